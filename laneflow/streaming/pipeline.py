@@ -1,0 +1,133 @@
+"""The two real-time jobs, as one chained query or as two joined by a topic."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DataType
+
+from laneflow.config import SiteConfig
+from laneflow.functions import scalar
+from laneflow.operators import forecast
+from laneflow.sources import topics
+from laneflow.streaming import stages
+
+
+@dataclass(frozen=True)
+class RealtimeConfig:
+    """Windows of the real-time pipeline, in milliseconds of event time."""
+
+    site: SiteConfig = field(default_factory=SiteConfig)
+    window_ms: int = 10_000
+    history: int = 6
+    skip: int = 1
+    predict: int = 1
+    with_ramp: bool = False
+    delay_ms: int | None = None  # one window by default
+    align_to_origin: bool = True
+    speed: DataType | None = None
+    dedup: bool = False
+
+    @property
+    def window(self) -> str:
+        return f"{self.window_ms} milliseconds"
+
+    @property
+    def length(self) -> str:
+        return f"{self.window_ms * self.history} milliseconds"
+
+    @property
+    def delay(self) -> str:
+        return f"{self.window_ms if self.delay_ms is None else self.delay_ms} milliseconds"
+
+    @property
+    def start_time(self) -> str:
+        origin = self.site.origin_ms if self.align_to_origin else 0
+        return stages.window_alignment(origin, self.window_ms)
+
+
+def section_stream(messages: DataFrame, config: RealtimeConfig) -> DataFrame:
+    """Frame messages to mean speed per frame x section x lane."""
+    points = topics.parse_frames(messages, config.speed).drop("v_acc")
+    points = stages.add_event_time(points, config.site, config.delay)
+    if config.dedup:
+        points = stages.dedup_points(points)
+    return stages.frame_sections(points, config.site)
+
+
+def window_stream(messages: DataFrame, config: RealtimeConfig) -> DataFrame:
+    return stages.tumbling_sections(
+        section_stream(messages, config), config.window, config.start_time
+    )
+
+
+def matrix_stream(messages: DataFrame, config: RealtimeConfig) -> DataFrame:
+    """First job: frame messages to one matrix per window."""
+    return stages.window_matrices(window_stream(messages, config), config.site, config.with_ramp)
+
+
+def history_stream(messages: DataFrame, config: RealtimeConfig) -> DataFrame:
+    """Both jobs in one query: the second aggregate runs on the first one's windows."""
+    return stages.histories(
+        matrix_stream(messages, config),
+        "timewindow",
+        config.length,
+        config.window,
+        config.start_time,
+    )
+
+
+def history_from_topic(messages: DataFrame, config: RealtimeConfig) -> DataFrame:
+    """Second job on its own: window messages to ordered histories."""
+    received = stages.received_matrices(topics.parse_matrices(messages), config.length)
+    return stages.histories(
+        received, "datetime", config.length, config.window, config.start_time
+    )
+
+
+def forecast_stream(
+    history: DataFrame,
+    config: RealtimeConfig,
+    factory: forecast.PredictorFactory,
+    unready: str = "zeros",
+) -> DataFrame:
+    """Forecast per history window, labelled with its own start and with the target's."""
+    lanes, sections = config.site.lanes(config.with_ramp), config.site.sections
+    out = forecast.forecast_matrix(
+        history, factory, config.history, lanes, sections, unready=unready
+    )
+    start = scalar.epoch_of_local(F.col("based_timewindow.start"), config.site.tz)
+    end = scalar.epoch_of_local(F.col("based_timewindow.end"), config.site.tz)
+    return out.select(
+        "location",
+        "based_timewindow",
+        start.alias("global_time"),
+        (end + F.lit(config.skip * config.window_ms)).alias("target_start"),
+        "prediction",
+    )
+
+
+def start_first_job(
+    messages: DataFrame, config: RealtimeConfig, fmt: str, checkpoint: str, **sink
+) -> StreamingQuery:
+    """Publish one matrix per closed window to a topic."""
+    encoded = topics.encode_matrices(matrix_stream(messages, config))
+    return topics.write_stream(encoded, fmt, checkpoint, **sink)
+
+
+def start_second_job(
+    messages: DataFrame,
+    config: RealtimeConfig,
+    factory: forecast.PredictorFactory,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Forecast from the first job's topic and append JSON files, once a minute by default."""
+    out = forecast_stream(history_from_topic(messages, config), config, factory)
+    return topics.write_stream(
+        out, "json", checkpoint, path=path, trigger=trigger or {"processingTime": "1 minute"}
+    )
