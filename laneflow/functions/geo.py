@@ -74,5 +74,9 @@ def lat_lon(x_ft: Column, y_ft: Column, crs: str) -> tuple[Column, Column]:
     phi = chi
     for multiple, coefficient in series:
         phi = phi + F.lit(coefficient) * F.sin(F.lit(float(multiple)) * chi)
+    # One step of the defining iteration takes the error of the series below double precision.
+    s = F.lit(_E) * F.sin(phi)
+    squeeze = F.pow((F.lit(1.0) - s) / (F.lit(1.0) + s), F.lit(_E / 2))
+    phi = F.lit(math.pi / 2) - F.lit(2.0) * F.atan(F.tan(F.lit(math.pi / 4) - chi / 2) * squeeze)
     theta = F.atan2(east, south)
     return F.degrees(phi), F.degrees(theta / F.lit(n)) + F.lit(zone.lon0)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneflow.operators import forecast
@@ -18,21 +18,24 @@ from laneflow.session import materialize
 
 def lag_rows(inputs: DataFrame, per_step: int) -> DataFrame:
     """One row per sample and target cell: the cell's own history and its true value."""
-    cell = F.pmod(F.col("pos"), F.lit(per_step))
-    return (
-        inputs.select("location", "sample_id", "split", "history", F.posexplode("actual"))
-        .withColumn("cell", cell)
-        .select(
-            "location",
-            "sample_id",
-            "split",
-            "pos",
-            F.col("cell").cast("double").alias("cell"),
-            array_to_vector(
-                F.transform("history", lambda step: F.get(step, F.col("cell")).cast("double"))
-            ).alias("lags"),
-            F.col("col").cast("double").alias("actual"),
-        )
+    positions = F.sequence(F.lit(0), F.size("actual") - 1)
+
+    def row(pos: Column) -> Column:
+        cell = F.pmod(pos, F.lit(per_step))
+        lags = F.transform("history", lambda step: F.get(step, cell).cast("double"))
+        actual = F.get("actual", pos).cast("double")
+        return F.struct(cell.cast("double").alias("cell"), lags.alias("lags"), actual.alias("y"))
+
+    exploded = inputs.select(
+        "location", "sample_id", "split", F.explode(F.transform(positions, row)).alias("row")
+    )
+    return exploded.select(
+        "location",
+        "sample_id",
+        "split",
+        "row.cell",
+        array_to_vector("row.lags").alias("lags"),
+        F.col("row.y").alias("actual"),
     )
 
 
