@@ -76,11 +76,16 @@ def extent(df: DataFrame, keys: tuple[str, ...] = SITE) -> DataFrame:
     )
 
 
-def first_last(df: DataFrame, order: Column, keys: tuple[str, ...] = SITE) -> DataFrame:
-    """First and last row of each group by ``order``, without sorting the group."""
-    row = F.struct(*[c for c in df.columns if c not in keys])
+def first_last(df: DataFrame, order: str, keys: tuple[str, ...] = SITE) -> DataFrame:
+    """First and last row of each group by ``order``, without sorting the group.
+
+    One ``min_by``/``max_by`` per column keeps the aggregate hash-based; they all compare the same
+    ``order``, so the columns of one end come from one row.
+    """
+    columns = [c for c in df.columns if c not in keys]
+    ends = (("first", F.min_by), ("last", F.max_by))
     return df.groupBy(*keys).agg(
-        F.min_by(row, order).alias("first"), F.max_by(row, order).alias("last")
+        *[pick(c, order).alias(f"{end}_{c}") for end, pick in ends for c in columns]
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +23,34 @@ def trajectory_segments(
     No vehicle is sorted in one task: points are ordered per time bucket, and the last point of a
     bucket takes the first point of the vehicle's next one from a table of bucket heads. Equal
     points are collapsed to a count before the shuffle and come back as zero-length segments.
+
+    All branches keep the same columns down to the explicit repartitioning, so that Spark scans
+    and shuffles the points once and reuses that exchange.
     """
-    bucket = F.floor(F.col("elapsed_time") / F.lit(bucket_ms)).alias("_bucket")
-    points = df.groupBy(*keys, bucket, *POINT).agg(F.count(F.lit(1)).alias("_copies"))
-
-    next_head = F.lead("_head").over(Window.partitionBy(*keys).orderBy("_bucket"))
-    heads = (
-        points.groupBy(*keys, "_bucket")
-        .agg(F.min(F.struct(*POINT)).alias("_head"))
-        .select(*keys, "_bucket", next_head.alias("_next_head"))
+    known = reduce(and_, [F.col(c).isNotNull() for c in (*keys, "_bucket")])
+    points = (
+        df.withColumn("_bucket", F.floor(F.col("elapsed_time") / F.lit(bucket_ms)))
+        .filter(known)
+        .groupBy(*keys, "_bucket", *POINT)
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .repartition(*keys, "_bucket")
     )
     within = Window.partitionBy(*keys, "_bucket").orderBy(*POINT)
-    follower = F.coalesce(F.lead(F.struct(*POINT)).over(within), F.col("_next_head"))
-    onward = points.join(heads, [*keys, "_bucket"]).withColumn("_end", follower)
-    onward = onward.filter(F.col("_end").isNotNull())
+    ordered = points.withColumns(
+        {"_rank": F.row_number().over(within), "_next": F.lead(F.struct(*POINT)).over(within)}
+    )
+    next_head = F.lead(F.struct(*POINT)).over(Window.partitionBy(*keys).orderBy("_bucket"))
+    heads = ordered.filter((F.col("_rank") == 1) & (F.col("_copies") > 0)).select(
+        *keys, "_bucket", next_head.alias("_next_head")
+    )
+    end = F.coalesce("_next", "_next_head").alias("_end")
+    onward = ordered.filter(F.col("_copies") > 0).join(heads, [*keys, "_bucket"])
+    onward = onward.select(*keys, *POINT, end).filter(F.col("_end").isNotNull())
 
-    again = expand_copies(
-        points.filter(F.col("_copies") > 1).withColumn("_copies", F.col("_copies") - 1), "_copies"
-    ).withColumn("_end", F.struct(*POINT))
+    again = ordered.filter((F.col("_copies") > 1) & (F.col("_rank") > 0)).select(
+        *keys, *POINT, (F.col("_copies") - 1).alias("_copies")
+    )
+    again = expand_copies(again, "_copies").withColumn("_end", F.struct(*POINT))
 
     columns = (
         F.col("elapsed_time").alias("t0"),

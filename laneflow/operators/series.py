@@ -7,7 +7,7 @@ frames run per chunk of the series with the few rows that reach over the boundar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laneflow.config import SampleConfig
@@ -103,15 +103,16 @@ def chrono_split(
 
 def sample_steps(df: DataFrame, keys: tuple[str, ...] = SITE) -> DataFrame:
     """Long form of samples: one row per sample x role x step, with that window's matrix."""
-    parts = [
-        df.select(
-            *keys,
-            "sample_id",
-            F.lit(role).alias("role"),
-            F.posexplode(role).alias("step", "_window"),
+
+    def role(name: str) -> Column:
+        return F.transform(
+            name,
+            lambda window, step: F.struct(
+                F.lit(name).alias("role"), step.cast("int").alias("step"), window.alias("window")
+            ),
         )
-        for role in ("history", "target")
-    ]
-    return parts[0].unionByName(parts[1]).select(
-        *keys, "sample_id", "role", "step", "_window.time_window", "_window.matrix"
+
+    steps = F.explode(F.concat(role("history"), role("target"))).alias("_s")
+    return df.select(*keys, "sample_id", steps).select(
+        *keys, "sample_id", "_s.role", "_s.step", "_s.window.time_window", "_s.window.matrix"
     )

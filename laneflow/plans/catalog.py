@@ -244,10 +244,7 @@ def first_last_row(spark, sf_dir):
     rows = tel.points(spark, sf_dir).select(
         "location", "elapsed_time", "event_id", "vehicle_id", "lane_id"
     )
-    ends = aggregate.first_last(rows, F.struct("elapsed_time", "event_id"))
-    names = ("elapsed_time", "event_id", "vehicle_id", "lane_id")
-    picked = [F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("first", "last") for c in names]
-    return ends.select("location", *picked)
+    return aggregate.first_last(rows, "elapsed_time")
 
 
 @query

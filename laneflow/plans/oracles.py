@@ -289,7 +289,7 @@ def sql() -> dict[str, str]:
         "extent": f"""{w}SELECT location, max(global_time) AS max_elapsed,
             round(max(distance), 6) AS max_dist FROM t GROUP BY ALL""",
         "first_last_row": f"""{w}SELECT location, {", ".join(
-            f"{fn}({c}, (global_time, event_id)) AS {e}_{name}"
+            f"{fn}({c}, global_time) AS {e}_{name}"
             for e, fn in (("first", "arg_min"), ("last", "arg_max"))
             for c, name in (("global_time", "elapsed_time"), ("event_id", "event_id"),
                             ("vehicle_id", "vehicle_id"), ("lane_id", "lane_id")))}

@@ -57,6 +57,7 @@ def run_experiments(
     is built and written once and shared by the experiments that need it.
     """
     window = window or WindowConfig()
+    models = list(models)
     windows: dict[float, DataFrame] = {}
     grids: dict[tuple[float, bool], DataFrame] = {}
     rows = []
@@ -72,6 +73,8 @@ def run_experiments(
             exp.sample.num_samples(config.num_windows)
         samples = sample_set(grids[grid_key], exp.sample, config.num_windows)
         inputs = forecast.model_input(samples)
+        if len(models) > 1:
+            inputs = materialize(inputs, "inputs")
         for model in models:
             cells = evaluate(
                 inputs, model, site.lanes(exp.with_ramp), site.sections, exp.sample.predict

@@ -77,7 +77,12 @@ def frames_to_messages(
     columns = [
         (F.col(c) if c.lower() in present else F.lit(None)).alias(c) for c in wire
     ]
-    counted = points.select(*columns).groupBy(*wire).agg(F.count(F.lit(1)).alias("_copies"))
+    counted = (
+        points.select(*columns)
+        .filter(F.col("Global_Time").isNotNull())
+        .groupBy(*wire)
+        .agg(F.count(F.lit(1)).alias("_copies"))
+    )
     sizes = counted.groupBy("Global_Time").agg(F.sum("_copies").alias("_size"))
     crowded = sizes.filter(F.col("_size") > max_points)
 
