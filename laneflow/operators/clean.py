@@ -101,7 +101,7 @@ def snapshot(df: DataFrame, elapsed_ms: int) -> DataFrame:
 
 def clean_points(df: DataFrame, site: SiteConfig, in_mph: bool = False) -> DataFrame:
     """Raw trajectory rows of a site with every derived column; narrow, no shuffle."""
-    out = site_filter(df, site)
+    out = site_filter(df.toDF(*[c.lower() for c in df.columns]), site)
     out = out if in_mph else convert_units(out)
     out = add_local_time(reproject(out, site.crs), site)
     out = add_elapsed(add_distance(out), site.data_origin_ms)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneflow.operators import forecast
@@ -39,6 +39,9 @@ def lag_rows(inputs: DataFrame, per_step: int) -> DataFrame:
     )
 
 
+WEIGHTS = "per_lag array<double>, per_cell array<double>"
+
+
 @dataclass
 class LagModel:
     """A fitted regression and the shrinkage that did best on the validation samples."""
@@ -52,12 +55,20 @@ class LagModel:
         """Add ``prediction`` to rows of :func:`lag_rows`; column math in the JVM."""
         return self.regression.transform(_features(self.encoder, rows))
 
-    def predictor(self) -> forecast.PredictorFactory:
-        """The same model for :func:`forecast.predicted`, e.g. on a stream of histories."""
+    def weights(self) -> tuple[list[float], list[float]]:
+        """One weight per lag, and one offset per cell."""
         weights = np.asarray(self.regression.coefficients.toArray())
         lags = len(weights) - self.per_step
-        per_lag, per_cell = weights[:lags], weights[lags:] + self.regression.intercept
-        return lambda: lambda batch: np.einsum("nhc,h->nc", batch, per_lag) + per_cell
+        return weights[:lags].tolist(), (weights[lags:] + self.regression.intercept).tolist()
+
+    def predictor(self) -> forecast.PredictorFactory:
+        """The same model for :func:`forecast.predicted`, e.g. on a stream of histories."""
+        return _linear_predictor(*self.weights())
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        row = spark.createDataFrame([self.weights()], WEIGHTS)
+        row.coalesce(1).write.mode("overwrite").json(path)
 
 
 def _features(encoder: OneHotEncoderModel, rows: DataFrame) -> DataFrame:
@@ -88,3 +99,14 @@ def fit(
         if best is None or loss < best[0]:
             best = (loss, model)
     return best[1]
+
+
+def _linear_predictor(per_lag: list[float], per_cell: list[float]) -> forecast.PredictorFactory:
+    lag_weights, cell_offsets = np.asarray(per_lag), np.asarray(per_cell)
+    return lambda: lambda batch: np.einsum("nhc,h->nc", batch, lag_weights) + cell_offsets
+
+
+def load_predictor(spark: SparkSession, path: str) -> forecast.PredictorFactory:
+    """Predictor of a model written with :meth:`LagModel.save`; one row of weights."""
+    row = spark.read.schema(WEIGHTS).json(path).head()
+    return _linear_predictor(row["per_lag"], row["per_cell"])
