@@ -122,7 +122,8 @@ def min_max_scaled(
 ) -> DataFrame:
     """Speed, acceleration and count scaled to [0, 1] with the bounds in ``stats``.
 
-    ``stats`` has one row per site: AQE broadcasts it by its measured size, else splits hot sites.
+    ``stats`` has one row per site. Read it from a written table, so that Spark knows its size and
+    joins it without shuffling the windows.
     """
     pairs = {"avg_vel": "vel", "avg_acc": "acc", "n": "n"}
     scaled = {

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from laneflow.config import SiteConfig
 from laneflow.functions import geo, scalar
+from laneflow.session import materialize
 
 
 def at_location(df: DataFrame, location: str) -> DataFrame:
@@ -53,12 +54,13 @@ def add_elapsed(df: DataFrame, origin_ms: int) -> DataFrame:
 def rebase_elapsed(df: DataFrame, offset_ms: int | None = None) -> DataFrame:
     """Count elapsed time from the site's first frame.
 
-    With no known offset it is looked up per location. The lookup has one row per location; AQE
-    broadcasts it when its measured size allows and splits a hot location otherwise.
+    With no known offset it is looked up per location. The lookup is written first: Spark then
+    knows its size, and joins it without shuffling the points unless it is too large to broadcast.
     """
     if offset_ms is not None:
         return df.withColumn("elapsed_time", F.col("elapsed_time") - F.lit(offset_ms))
     first = df.groupBy("location").agg(F.min("elapsed_time").alias("_first"))
+    first = materialize(first, "first-frames")
     return (
         df.join(first, "location")
         .withColumn("elapsed_time", F.col("elapsed_time") - F.col("_first"))

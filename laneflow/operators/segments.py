@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laneflow.operators.copies import expand_copies
+from laneflow.operators.copies import crowded_groups, expand_copies
 
 POINT = ("elapsed_time", "distance", "v_vel")
 
@@ -17,34 +17,46 @@ def trajectory_segments(
     df: DataFrame,
     keys: tuple[str, ...] = ("location", "vehicle_id"),
     bucket_ms: int = 3_600_000,
+    crowd: int = 1_000_000,
 ) -> DataFrame:
     """Consecutive points of a vehicle joined to segments (t0, d0) -> (t1, d1) with the first speed.
 
     No vehicle is sorted in one task: points are ordered per time bucket, and the last point of a
-    bucket takes the first point of the vehicle's next one from a table of bucket heads. Equal
-    points are collapsed to a count before the shuffle and come back as zero-length segments.
+    bucket takes the first point of the vehicle's next one from a table of bucket heads. In
+    buckets of more than ``crowd`` points, equal points are collapsed to a count before the
+    shuffle and come back as zero-length segments.
 
-    All branches keep the same columns down to the explicit repartitioning, so that Spark scans
-    and shuffles the points once and reuses that exchange.
+    All branches keep the same columns down to the explicit repartitioning, so that Spark shuffles
+    the points once and reuses that exchange.
     """
-    known = reduce(and_, [F.col(c).isNotNull() for c in (*keys, "_bucket")])
-    points = (
+    bucket = [*keys, "_bucket"]
+    known = reduce(and_, [F.col(c).isNotNull() for c in bucket])
+    placed = (
         df.withColumn("_bucket", F.floor(F.col("elapsed_time") / F.lit(bucket_ms)))
+        .select(*bucket, *POINT)
         .filter(known)
-        .groupBy(*keys, "_bucket", *POINT)
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .repartition(*keys, "_bucket")
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*POINT)
+    crowded = crowded_groups(placed, bucket, crowd)
+    single = placed.join(crowded, bucket, "left_anti")
+    # Grouped as one struct: a join on the bucket then does not count as its partitioning, and AQE
+    # may split the join of a hot bucket.
+    row = F.struct(*bucket, *POINT).alias("_row")
+    collapsed = placed.join(crowded, bucket, "left_semi").groupBy(row)
+    points = (
+        single.withColumn("_copies", F.lit(1).cast("bigint"))
+        .unionByName(collapsed.agg(F.count(F.lit(1)).alias("_copies")).select("_row.*", "_copies"))
+        .repartition(*bucket)
+    )
+    within = Window.partitionBy(*bucket).orderBy(*POINT)
     ordered = points.withColumns(
         {"_rank": F.row_number().over(within), "_next": F.lead(F.struct(*POINT)).over(within)}
     )
     next_head = F.lead(F.struct(*POINT)).over(Window.partitionBy(*keys).orderBy("_bucket"))
     heads = ordered.filter((F.col("_rank") == 1) & (F.col("_copies") > 0)).select(
-        *keys, "_bucket", next_head.alias("_next_head")
+        *bucket, next_head.alias("_next_head")
     )
     end = F.coalesce("_next", "_next_head").alias("_end")
-    onward = ordered.filter(F.col("_copies") > 0).join(heads, [*keys, "_bucket"])
+    onward = ordered.filter(F.col("_copies") > 0).join(heads, bucket)
     onward = onward.select(*keys, *POINT, end).filter(F.col("_end").isNotNull())
 
     again = ordered.filter((F.col("_copies") > 1) & (F.col("_rank") > 0)).select(

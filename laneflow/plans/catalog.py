@@ -256,7 +256,8 @@ def scale_stats(spark, sf_dir):
 @query
 def min_max_scaled(spark, sf_dir):
     windows = materialize(_windows(spark, sf_dir), "windows")
-    out = aggregate.min_max_scaled(windows, aggregate.scale_stats(windows))
+    stats = materialize(aggregate.scale_stats(windows), "scale-stats")
+    out = aggregate.min_max_scaled(windows, stats)
     return out.withColumns({c: F.round(c, 6) for c in ("avg_vel", "avg_acc", "n")})
 
 

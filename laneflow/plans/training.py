@@ -21,12 +21,11 @@ def window_grids(
 
 
 def sample_set(
-    grids: DataFrame, sample: SampleConfig, num_windows: int | None = None
+    grids: DataFrame, sample: SampleConfig, num_windows: int | None = None, realtime: bool = False
 ) -> DataFrame:
     """Labelled samples of a table of window matrices (read twice, so a written one)."""
-    return series.chrono_split(
-        series.samples(series.series_index(grids), sample, num_windows=num_windows)
-    )
+    samples = series.samples(series.series_index(grids), sample, num_windows=num_windows)
+    return series.chrono_split(samples, realtime=realtime)
 
 
 def evaluate(

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, DataType
 
 from laneflow import schemas
-from laneflow.operators.copies import copy_blocks
+from laneflow.operators.copies import copy_blocks, crowded_groups
 
 
 def kafka_source_options(servers: str, topic: str) -> dict[str, str]:
@@ -61,6 +61,26 @@ def write_stream(
     return writer.start(path) if path else writer.start()
 
 
+def _crowded_messages(points: DataFrame, wire: list[str], max_points: int) -> DataFrame:
+    """Points of crowded frames in several arrays per frame.
+
+    Equal points are collapsed to a count before the shuffle, the counts cut to blocks, and blocks
+    hashed to as many parts as the frame's size asks for. A point is grouped as one struct: a join
+    on the frame then does not count as its partitioning, and AQE may split the join of a hot one.
+    """
+    parts = F.ceil(F.first("_size") / F.lit(max_points)).alias("_parts")
+    point = F.struct(*wire).alias("_point")
+    counted = points.groupBy(point).agg(F.count(F.lit(1)).alias("_copies"), parts)
+    blocks = copy_blocks(counted, "_copies", max_points)
+    part = F.pmod(F.xxhash64("_point", "_block"), F.col("_parts")).alias("_part")
+    repeated = F.array_repeat("_point", F.col("_copies").cast("int"))
+    return (
+        blocks.groupBy("_point.Global_Time", part)
+        .agg(F.flatten(F.collect_list(repeated)).alias("points"))
+        .drop("_part")
+    )
+
+
 def frames_to_messages(
     points: DataFrame,
     frames: DataFrame | None = None,
@@ -69,35 +89,22 @@ def frames_to_messages(
     """Encode points as frame messages: one JSON array of all points with one ``global_time``.
 
     A frame of more than ``max_points`` is sent as several arrays, so no group grows with the
-    data; a consumer unfolds them to the same rows. Equal points are collapsed to a count before
-    the shuffle. ``frames`` (see :func:`frame_clock`) adds an empty array for each silent frame.
+    data; a consumer unfolds them to the same rows. ``frames`` (see :func:`frame_clock`) adds an
+    empty array for each silent frame.
     """
     wire = [f.name for f in schemas.frame_point()]
     present = {c.lower() for c in points.columns}
-    columns = [
-        (F.col(c) if c.lower() in present else F.lit(None)).alias(c) for c in wire
-    ]
-    counted = (
-        points.select(*columns)
-        .filter(F.col("Global_Time").isNotNull())
-        .groupBy(*wire)
-        .agg(F.count(F.lit(1)).alias("_copies"))
+    columns = [(F.col(c) if c.lower() in present else F.lit(None)).alias(c) for c in wire]
+    sent = points.select(*columns).filter(F.col("Global_Time").isNotNull())
+    crowded = crowded_groups(sent, ["Global_Time"], max_points)
+    usual = (
+        sent.join(crowded, "Global_Time", "left_anti")
+        .groupBy("Global_Time")
+        .agg(F.collect_list(F.struct(*wire)).alias("points"))
     )
-    sizes = counted.groupBy("Global_Time").agg(F.sum("_copies").alias("_size"))
-    crowded = sizes.filter(F.col("_size") > max_points)
-
-    # The part is hashed into one grouping expression, so that the join on Global_Time (which AQE
-    # may split for a hot frame) is followed by a shuffle of its own.
-    parts = F.ceil(F.coalesce(F.col("_size"), F.lit(1)) / F.lit(max_points))
-    part = F.pmod(F.xxhash64(*wire, "_block"), parts)
-    blocks = copy_blocks(counted, "_copies", max_points).join(crowded, "Global_Time", "left")
-    frame = F.struct(F.col("Global_Time").alias("global_time"), part.alias("part"))
-    repeated = F.array_repeat(F.struct(*wire), F.col("_copies").cast("int"))
     messages = (
-        blocks.groupBy(frame.alias("frame"))
-        .agg(F.flatten(F.collect_list(repeated)).alias("points"))
-        .select("frame.global_time", F.to_json("points").alias("value"))
-    )
+        usual.unionByName(_crowded_messages(sent.join(crowded, "Global_Time"), wire, max_points))
+    ).select(F.col("Global_Time").alias("global_time"), F.to_json("points").alias("value"))
     if frames is not None:
         messages = frames.join(messages, "global_time", "left").select(
             "global_time", F.coalesce("value", F.lit("[]")).alias("value")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DataType
 
-from laneflow.config import SiteConfig
+from laneflow.config import SampleConfig, SiteConfig
 from laneflow.functions import scalar
 from laneflow.operators import forecast
 from laneflow.sources import topics
@@ -31,6 +31,10 @@ class RealtimeConfig:
     speed: DataType | None = None
     dedup: bool = False
 
+    @property
+    def sample(self) -> SampleConfig:
+        return SampleConfig(self.history, self.skip, self.predict)
+
     @property
     def window(self) -> str:
         return f"{self.window_ms} milliseconds"

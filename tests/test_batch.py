@@ -148,7 +148,8 @@ def test_chrono_split(spark):
     assert {r.split: r.n for r in online.collect()} == {"train": 231, "validation": 33}
 
 
-def test_segments_across_buckets_and_copies(spark):
+@pytest.mark.parametrize("crowd", [1, 4, 1_000_000])
+def test_segments_across_buckets_and_copies(spark, crowd):
     rng = random.Random(3)
     rows = []
     for vehicle in range(4):
@@ -166,7 +167,7 @@ def test_segments_across_buckets_and_copies(spark):
         want += [
             (vehicle, a[0], a[1], b[0], b[1], a[2]) for a, b in zip(points, points[1:], strict=False)
         ]
-    out = segments.trajectory_segments(df, ("vehicle_id",), bucket_ms=1_000)
+    out = segments.trajectory_segments(df, ("vehicle_id",), bucket_ms=1_000, crowd=crowd)
     assert sorted(map(tuple, out.collect())) == sorted(want)
 
 
@@ -183,7 +184,7 @@ def frame_points(spark):
     return spark.createDataFrame(rows, schema), rows
 
 
-@pytest.mark.parametrize("max_points", [10_000, 4])
+@pytest.mark.parametrize("max_points", [10_000, 4, 1])
 def test_frames_round_trip_with_silent_and_crowded_frames(spark, max_points):
     points, rows = frame_points(spark)
     clock = topics.frame_clock(spark, 0, 400)

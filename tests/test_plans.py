@@ -48,13 +48,20 @@ def test_location_filter_reaches_the_scan(spark):
 
 def test_segments_scan_and_shuffle_the_points_once(spark):
     text = final_plan(entry.queries()["trajectory_segments"](spark, SF_DIR))
-    assert text.count("FileScan") == 1
+    assert text.count("/events.parquet") == 1
+    assert text.count("Exchange hashpartitioning(location#") == 2 + text.count("ReusedExchange")
     assert "ReusedExchange" in text
 
 
-def test_frame_encoder_scans_the_points_once(spark):
+def test_frame_encoder_scans_and_shuffles_the_points_once(spark):
     text = final_plan(topics.frames_to_messages(tel.frames(spark, SF_DIR)))
-    assert text.count("FileScan") == 1
+    assert text.count("/events.parquet") == 1
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_lookup_per_site_does_not_shuffle_the_points(spark):
+    text = plan(entry.queries()["distance_elapsed"](spark, SF_DIR))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
 
 
 def test_long_grid_needs_no_join(spark):
