@@ -26,8 +26,8 @@ def trajectory_segments(
     buckets of more than ``crowd`` points, equal points are collapsed to a count before the
     shuffle and come back as zero-length segments.
 
-    All branches keep the same columns down to the explicit repartitioning, so that Spark shuffles
-    the points once and reuses that exchange.
+    The heads and the points read the same columns of the same explicit repartitioning, so that
+    Spark scans and shuffles the points once and reuses that exchange.
     """
     bucket = [*keys, "_bucket"]
     known = reduce(and_, [F.col(c).isNotNull() for c in bucket])
@@ -37,32 +37,36 @@ def trajectory_segments(
         .filter(known)
     )
     crowded = crowded_groups(placed, bucket, crowd)
-    single = placed.join(crowded, bucket, "left_anti")
     # Grouped as one struct: a join on the bucket then does not count as its partitioning, and AQE
     # may split the join of a hot bucket.
-    row = F.struct(*bucket, *POINT).alias("_row")
-    collapsed = placed.join(crowded, bucket, "left_semi").groupBy(row)
+    collapsed = (
+        placed.join(crowded, bucket, "left_semi")
+        .groupBy(F.struct(*bucket, *POINT).alias("_row"))
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .filter(F.col("_copies") > 0)  # keeps the count, and with it one exchange for both uses
+        .select("_row.*", "_copies")
+    )
     points = (
-        single.withColumn("_copies", F.lit(1).cast("bigint"))
-        .unionByName(collapsed.agg(F.count(F.lit(1)).alias("_copies")).select("_row.*", "_copies"))
+        placed.join(crowded, bucket, "left_anti")
+        .unionByName(collapsed.drop("_copies"))
         .repartition(*bucket)
     )
+    point = F.struct(*POINT)
     within = Window.partitionBy(*bucket).orderBy(*POINT)
-    ordered = points.withColumns(
-        {"_rank": F.row_number().over(within), "_next": F.lead(F.struct(*POINT)).over(within)}
-    )
-    next_head = F.lead(F.struct(*POINT)).over(Window.partitionBy(*keys).orderBy("_bucket"))
-    heads = ordered.filter((F.col("_rank") == 1) & (F.col("_copies") > 0)).select(
-        *bucket, next_head.alias("_next_head")
+    next_head = F.lead(point).over(Window.partitionBy(*keys).orderBy("_bucket"))
+    heads = (
+        points.withColumn("_rank", F.row_number().over(within))
+        .filter(F.col("_rank") == 1)
+        .select(*bucket, next_head.alias("_next_head"))
     )
-    end = F.coalesce("_next", "_next_head").alias("_end")
-    onward = ordered.filter(F.col("_copies") > 0).join(heads, bucket)
-    onward = onward.select(*keys, *POINT, end).filter(F.col("_end").isNotNull())
-
-    again = ordered.filter((F.col("_copies") > 1) & (F.col("_rank") > 0)).select(
-        *keys, *POINT, (F.col("_copies") - 1).alias("_copies")
+    onward = (
+        points.withColumn("_next", F.lead(point).over(within))
+        .join(heads, bucket)
+        .select(*keys, *POINT, F.coalesce("_next", "_next_head").alias("_end"))
+        .filter(F.col("_end").isNotNull())
     )
-    again = expand_copies(again, "_copies").withColumn("_end", F.struct(*POINT))
+    extra = collapsed.withColumn("_copies", F.col("_copies") - 1).filter(F.col("_copies") > 0)
+    again = expand_copies(extra, "_copies").withColumn("_end", point)
 
     columns = (
         F.col("elapsed_time").alias("t0"),

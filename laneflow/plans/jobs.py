@@ -12,7 +12,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laneflow import schemas
 from laneflow.config import EXPERIMENTS, SiteConfig, WindowConfig
 from laneflow.operators import aggregate, clean, forecast, regression
 from laneflow.plans import training
@@ -80,15 +79,35 @@ def fit_for_stream(
 
 
 def transmit(
-    points: DataFrame, start_ms: int, end_ms: int, fmt: str, path: str | None = None, **options: str
+    points: DataFrame,
+    start_ms: int,
+    end_ms: int,
+    fmt: str,
+    path: str | None = None,
+    slice_ms: int | None = None,
+    **options: str,
 ) -> None:
-    """Publish the frames of a time range, silent ones included, to a topic."""
+    """Publish the frames of a time range, silent ones included, to a topic.
+
+    Tasks write in parallel, so one write keeps no order. With ``slice_ms`` the range is published
+    slice after slice: a consumer whose watermark waits that long drops nothing. The messages are
+    encoded once and lie sorted by time, so that a slice reads its own part of them only.
+    """
     spark = points.sparkSession
     inside = points.filter(F.col("global_time").between(start_ms, end_ms))
     clock = topics.frame_clock(spark, start_ms, end_ms)
-    messages = topics.frames_to_messages(inside, clock).select("key", "value")
-    writer = messages.write.format(fmt).options(**options).mode("append")
-    writer.save(path) if path else writer.save()
+    messages = topics.frames_to_messages(inside, clock)
+    starts = [start_ms]
+    if slice_ms is not None:
+        by_time = messages.repartitionByRange("global_time").sortWithinPartitions("global_time")
+        messages = materialize(by_time, "messages")
+        starts = range(start_ms, end_ms + 1, slice_ms)
+    for start in starts:
+        part = messages
+        if slice_ms is not None:
+            part = messages.filter(F.col("global_time").between(start, start + slice_ms - 1))
+        writer = part.select("key", "value").write.format(fmt).options(**options).mode("append")
+        writer.save(path) if path else writer.save()
 
 
 def _source(spark: SparkSession, args: argparse.Namespace, topic: str) -> DataFrame:
@@ -129,6 +148,7 @@ def _parser() -> argparse.ArgumentParser:
     sub = job("transmit", "raw", "topic")
     sub.add_argument("--start-ms", type=int, required=True)
     sub.add_argument("--end-ms", type=int, required=True)
+    sub.add_argument("--slice-ms", type=int, help="publish in time order, slice after slice")
     for sub in (
         sub,
         job("aggregate", "source", "topic", "checkpoint"),
@@ -165,9 +185,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     if args.job in ("sections", "train", "fit"):
         _batch(spark, args, site)
     elif args.job == "transmit":
-        raw = files.read_table(spark, args.raw, schemas.frame_point(), "csv", header="true")
-        points = raw.toDF(*[c.lower() for c in raw.columns])
-        transmit(points, args.start_ms, args.end_ms, args.format, **_sink(args, args.topic))
+        points = files.read_replay_points(spark, args.raw)
+        sink = _sink(args, args.topic)
+        transmit(points, args.start_ms, args.end_ms, args.format, slice_ms=args.slice_ms, **sink)
     else:
         trigger = {"availableNow": True} if args.available_now else None
         if args.job == "aggregate":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laneflow.session import fresh_path
+from laneflow.session import fresh_path, state_width
 from laneflow.sources import topics
 
 UNTIL_DONE = {"availableNow": True}
@@ -17,7 +17,8 @@ def publish(messages: DataFrame, path: str) -> None:
 
 def run_to_end(stream: DataFrame, checkpoint: str, path: str, fmt: str = "parquet") -> None:
     """Process everything that has arrived, then stop; state stays in the checkpoint."""
-    query = topics.write_stream(stream, fmt, checkpoint, path=path, trigger=UNTIL_DONE)
+    with state_width(stream.sparkSession):
+        query = topics.write_stream(stream, fmt, checkpoint, path=path, trigger=UNTIL_DONE)
     query.awaitTermination()
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_WIDTH = "spark.sql.shuffle.partitions"
+SPARK_DEFAULT_WIDTH = "200"
 
 
 def pin(spark: SparkSession) -> SparkSession:
@@ -27,7 +31,7 @@ def cluster_conf(executors: int, cores: int) -> dict[str, str]:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(2 * executors * cores),
+        SHUFFLE_WIDTH: str(2 * executors * cores),
         "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.streaming.stateStore.providerClass": (
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -66,3 +70,18 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def state_width(spark: SparkSession) -> Iterator[None]:
+    """Start a streaming query in here to give its state one partition per core.
+
+    AQE does not coalesce stateful stages. A width that somebody has chosen is left alone.
+    """
+    chosen = spark.conf.get(SHUFFLE_WIDTH)
+    if chosen == SPARK_DEFAULT_WIDTH:
+        spark.conf.set(SHUFFLE_WIDTH, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_WIDTH, chosen)

@@ -22,6 +22,13 @@ def read_trajectories(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
     return read_table(spark, path, schemas.TRAJECTORY, fmt, **options)
 
 
+def read_replay_points(spark: SparkSession, path: str) -> DataFrame:
+    """Points to replay, from CSV files with a header; columns go by name, in any order."""
+    text = spark.read.csv(path, header=True)
+    fields = schemas.frame_point()
+    return text.select(*[F.col(f.name).cast(f.dataType).alias(f.name.lower()) for f in fields])
+
+
 def as_trajectory(df: DataFrame) -> DataFrame:
     """Project to the raw trajectory schema, NULL for the columns ``df`` lacks."""
     present = {c.lower() for c in df.columns}
