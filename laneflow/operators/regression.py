@@ -57,7 +57,7 @@ class LagModel:
 
     def weights(self) -> tuple[list[float], list[float]]:
         """One weight per lag, and one offset per cell."""
-        weights = np.asarray(self.regression.coefficients.toArray())
+        weights = np.append(self.regression.coefficients.toArray(), 0.0)  # of the last cell
         lags = len(weights) - self.per_step
         return weights[:lags].tolist(), (weights[lags:] + self.regression.intercept).tolist()
 
@@ -81,11 +81,14 @@ def fit(
 ) -> LagModel:
     """Fit on the train samples, keep the shrinkage with the least validation error.
 
-    Each candidate is one distributed pass with a gradient of ``history + cells`` numbers. The
+    One model for all sites: a weight per lag and an offset per cell, the last cell being the base
+    the others are measured from, so that the normal equations have one solution.
+
+    Each candidate is one distributed pass with a matrix of ``history + cells`` columns squared. The
     rows are written once, so the passes do not recompute the aggregates behind them.
     """
     rows = materialize(rows, "lag-rows")
-    encoder = OneHotEncoder(inputCol="cell", outputCol="cell_vec", dropLast=False).fit(rows)
+    encoder = OneHotEncoder(inputCol="cell", outputCol="cell_vec").fit(rows)
     train = _features(encoder, rows.filter(F.col("split") == "train"))
     validation = rows.filter(F.col("split") == "validation")
     best: tuple[float, LagModel] | None = None

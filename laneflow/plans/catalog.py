@@ -11,7 +11,7 @@ from pyspark.sql.types import DecimalType
 
 from laneflow.config import ExperimentConfig, SampleConfig, WindowConfig
 from laneflow.functions import cells, scalar
-from laneflow.operators import aggregate, clean, forecast, grid, segments, series
+from laneflow.operators import aggregate, clean, forecast, grid, regression, segments, series
 from laneflow.plans import telemetry as tel
 from laneflow.plans import training
 from laneflow.plans.replay import Replay
@@ -223,6 +223,14 @@ def section_snapshot(spark, sf_dir):
     return _doubles(out, "avg_vel", "avg_acc")
 
 
+@query
+def snapshot_grid(spark, sf_dir):
+    """Dense grid of one frame, straight from the section aggregate."""
+    keys = ("location", "elapsed_time")
+    frame = _sections(spark, sf_dir).filter(F.col("elapsed_time") == 1_705_320_000_000)
+    return grid.grid_cells(grid.dense_grid(frame, SITE, keys=keys), SITE.sections, keys)
+
+
 @query
 def speed_histogram(spark, sf_dir):
     return _doubles(aggregate.speed_histogram(tel.points(spark, sf_dir), "click", 1), "speed")
@@ -409,6 +417,25 @@ def forecast_regression(spark, sf_dir):
     return training.run_experiments(sections, SITE, SWEEP[:1], models=("regression",))
 
 
+@query
+def forecast_regression_lag1(spark, sf_dir):
+    """Least squares on one lag and the cell's offset, test samples only."""
+    samples = _samples(spark, sf_dir, SampleConfig(history=1, skip=1, predict=1))
+    per_step = SITE.lanes() * SITE.sections
+    rows = regression.lag_rows(forecast.model_input(samples), per_step)
+    model = regression.fit(rows, per_step, reg_params=(0.0,))
+    scored = model.transform(rows.filter(F.col("split") == "test"))
+    cell = F.col("cell").cast("int")
+    return scored.select(
+        "location",
+        "sample_id",
+        cells.lane_of(cell, SITE.sections).alias("lane_id"),
+        cells.section_of(cell, SITE.sections).alias("section_id"),
+        F.round("prediction", 5).alias("prediction"),
+        "actual",
+    )
+
+
 # --- messages and streams -----------------------------------------------------------------------
 
 

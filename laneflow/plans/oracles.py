@@ -281,6 +281,11 @@ def sql() -> dict[str, str]:
             SELECT {WINDOW_COLUMNS} FROM win WHERE time_window BETWEEN 19727 AND 19738""",
         "section_snapshot": f"""WITH {SECTIONS}
             SELECT {SECTION_COLUMNS} FROM sec WHERE frame = 1705320000000""",
+        "snapshot_grid": f"""WITH {SECTIONS}, one AS (
+            SELECT *, frame AS time_window FROM sec
+            WHERE frame = 1705320000000),{_grid(6, "one")}
+            SELECT location, time_window AS elapsed_time, lane_id, section_id, vel, dens,
+                   acc::DOUBLE / 100 AS acc FROM grid""",
         "speed_histogram": f"""{w}SELECT ((vel + 50) // 100)::DOUBLE AS speed, count(*) AS n
             FROM t WHERE location = 'click' AND lane_id = 1 GROUP BY ALL""",
         "hourly_counts": f"""{w}SELECT day({LOCAL})::INT AS day, month({LOCAL})::INT AS month,
@@ -350,6 +355,23 @@ def sql() -> dict[str, str]:
             _metrics(m, f"location, '{m}' AS model_name") + " GROUP BY location"
             for m in ("persistence", "history_mean")
         ),
+        "forecast_regression_lag1": f"""WITH {GRID},{_series(3)},
+            cell AS (SELECT location, idx, num_samples, lane_id, section_id, vel
+                     FROM grid JOIN ser USING (location, time_window)),
+            pair AS (SELECT a.location, a.idx AS sample_id, a.num_samples, a.lane_id, a.section_id,
+                            a.vel::DOUBLE AS x, b.vel::DOUBLE AS y
+                     FROM cell a JOIN cell b ON b.location = a.location AND b.idx = a.idx + 2
+                          AND b.lane_id = a.lane_id AND b.section_id = a.section_id
+                     WHERE a.idx < a.num_samples),
+            train AS (SELECT *, avg(x) OVER c AS mx, avg(y) OVER c AS my FROM pair
+                      WHERE sample_id < floor(0.7::DOUBLE * num_samples)
+                      WINDOW c AS (PARTITION BY lane_id, section_id)),
+            slope AS (SELECT sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS b FROM train),
+            means AS (SELECT DISTINCT lane_id, section_id, mx, my FROM train)
+            SELECT location, sample_id, lane_id, section_id, round(my + b * (x - mx), 5) AS prediction,
+                   y AS actual
+            FROM pair JOIN means USING (lane_id, section_id) CROSS JOIN slope
+            WHERE sample_id >= floor(0.8::DOUBLE * num_samples)""",
         "experiment_sweep": _sweep(),
         "metrics_log": sweep_scored
         + "\nUNION ALL\n".join(

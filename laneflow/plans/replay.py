@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from laneflow.session import fresh_path, state_width
 from laneflow.sources import topics
@@ -15,11 +16,14 @@ def publish(messages: DataFrame, path: str) -> None:
     messages.select("key", "value").write.mode("append").parquet(path)
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, path: str, fmt: str = "parquet") -> None:
+def run_to_end(
+    stream: DataFrame, checkpoint: str, path: str, fmt: str = "parquet"
+) -> StreamingQuery:
     """Process everything that has arrived, then stop; state stays in the checkpoint."""
     with state_width(stream.sparkSession):
         query = topics.write_stream(stream, fmt, checkpoint, path=path, trigger=UNTIL_DONE)
     query.awaitTermination()
+    return query
 
 
 class Replay:
@@ -37,7 +41,7 @@ class Replay:
             publish(messages, self.topic)
         stream = self.build(topics.read_stream(self.spark, "parquet", self.topic))
         self.schema = stream.schema
-        run_to_end(stream, self.checkpoint, self.sink)
+        self.late_rows = topics.late_rows(run_to_end(stream, self.checkpoint, self.sink))
         return self
 
     def result(self) -> DataFrame:

@@ -61,6 +61,15 @@ def write_stream(
     return writer.start(path) if path else writer.start()
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the query has dropped because they came behind the watermark."""
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress
+        for operator in progress["stateOperators"]
+    )
+
+
 def _crowded_messages(points: DataFrame, wire: list[str], max_points: int) -> DataFrame:
     """Points of crowded frames in several arrays per frame.
 

@@ -182,9 +182,11 @@ def test_repeated_malformed_and_late_messages(spark, frames, tmp_path):
     replay = Replay(spark, "noisy", lambda m: pipeline.window_stream(m, config), path)
     half = messages(spark, frames[:600])
     replay.run(half.unionAll(half).unionAll(messages(spark, None, noise)))
+    assert replay.late_rows == 0
     # Frames far behind the watermark arrive with wrong speeds: they must not change anything.
     stale = [[{**c, "v_Vel": 99.0} for c in f] for f in frames[:100]]
     replay.run(messages(spark, stale))
+    assert replay.late_rows > 0
     again = messages(spark, frames[550:])
     replay.run(again)
     got = window_rows(replay.result())
