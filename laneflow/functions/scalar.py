@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,9 +47,14 @@ def window_bin(elapsed_ms: Column, window_ms: int) -> Column:
 
 
 def in_range(elapsed_ms: Column, start: float, end: float | None, trim_ms: int = 0) -> Column:
-    """``[start, end)`` seconds, the upper bound moved down by ``trim_ms``."""
-    cond = elapsed_ms >= F.lit(start * 1000)
-    return cond if end is None else cond & (elapsed_ms < F.lit(end * 1000 - trim_ms))
+    """``[start, end)`` seconds, the upper bound moved down by ``trim_ms``.
+
+    Whole milliseconds are compared with whole numbers: the bounds reach a table scan.
+    """
+    cond = elapsed_ms >= F.lit(math.ceil(start * 1000)).cast("bigint")
+    if end is None:
+        return cond
+    return cond & (elapsed_ms < F.lit(math.ceil(end * 1000 - trim_ms)).cast("bigint"))
 
 
 def frame_floor(epoch_ms: Column, frame_ms: int) -> Column:

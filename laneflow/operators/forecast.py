@@ -20,23 +20,14 @@ PredictorFactory = Callable[[], Predictor]
 EPSILON = 2.220446049250313e-16  # fixed value: float64 machine epsilon, floor of |y| in MAPE
 
 
-def history_cells(history: Column, name: str = "vel") -> Column:
-    """One feature of every history step, each flattened to an array of cells."""
-    return F.transform(history, lambda step: cells.channel(step["matrix"], name))
+def model_input(samples: DataFrame, payload: str) -> DataFrame:
+    """Samples of flat ``payload`` arrays as ``history`` (steps x cells) and one flat ``actual``."""
 
+    def steps(name: str) -> Column:
+        return F.transform(name, lambda step: step[payload])
 
-def target_cells(target: Column, name: str = "vel") -> Column:
-    """One feature of the target windows in a single flat array, step by step."""
-    return F.flatten(history_cells(target, name))
-
-
-def model_input(samples: DataFrame, name: str = "vel") -> DataFrame:
-    """Samples reduced to the chosen feature: ``history`` (steps x cells) and flat ``actual``."""
     return samples.withColumns(
-        {
-            "history": history_cells(F.col("history"), name),
-            "actual": target_cells(F.col("target"), name),
-        }
+        {"history": steps("history"), "actual": F.flatten(steps("target"))}
     ).drop("target")
 
 

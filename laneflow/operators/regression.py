@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneflow.operators import forecast
-from laneflow.session import materialize
 
 
 def lag_rows(inputs: DataFrame, per_step: int) -> DataFrame:
@@ -84,10 +83,9 @@ def fit(
     One model for all sites: a weight per lag and an offset per cell, the last cell being the base
     the others are measured from, so that the normal equations have one solution.
 
-    Each candidate is one distributed pass with a matrix of ``history + cells`` columns squared. The
-    rows are written once, so the passes do not recompute the aggregates behind them.
+    Each candidate is one distributed pass with a matrix of ``history + cells`` columns squared.
+    Write ``rows`` first, so that the passes do not recompute the aggregates behind them.
     """
-    rows = materialize(rows, "lag-rows")
     encoder = OneHotEncoder(inputCol="cell", outputCol="cell_vec").fit(rows)
     train = _features(encoder, rows.filter(F.col("split") == "train"))
     validation = rows.filter(F.col("split") == "validation")

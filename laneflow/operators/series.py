@@ -50,12 +50,15 @@ def samples(
     num_windows: int | None = None,
     keys: tuple[str, ...] = SITE,
     order: str = "time_window",
+    payload: str = "matrix",
     chunk: int = 1024,
     drop_last: bool = True,
 ) -> DataFrame:
     """Sliding samples: ``history`` windows, a gap of ``skip``, then ``predict`` target windows.
 
-    Sample ``i`` starts at window ``i``. ``num_windows`` bounds the series (its length by default);
+    Sample ``i`` starts at window ``i``. Steps carry ``order`` and ``payload``; choose a narrow
+    payload where one feature is enough, as every window is repeated in ``history`` samples.
+    ``num_windows`` bounds the series (its length by default);
     ``drop_last`` leaves out the last possible sample, as the study's loop bound does.
     """
     h, gap, span = config.history, config.history + config.skip, config.span
@@ -71,7 +74,7 @@ def samples(
     total = F.greatest(usable - F.lit(span if drop_last else span - 1), F.lit(0))
 
     ahead = Window.partitionBy(*keys, "_chunk").orderBy("idx")
-    step = F.collect_list(F.struct(order, "matrix"))
+    step = F.collect_list(F.struct(order, payload))
     framed = series.withColumn("_chunk", F.explode(copies)).select(
         *keys,
         "idx",

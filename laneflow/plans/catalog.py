@@ -27,6 +27,8 @@ DAILY = tel.DAILY
 SAMPLE = SampleConfig(history=6, skip=1, predict=1)
 SAMPLE_SKIP2 = replace(SAMPLE, skip=2)
 PACIFIC = "America/Los_Angeles"
+NOON = 1_705_320_000_000  # 2024-01-15 12:00 UTC
+NOON_SPAN = (NOON, NOON + tel.HOUR_MS)
 
 # The six parameter sets of a sweep, scaled from seconds to the sparse event times.
 SWEEP = (
@@ -61,12 +63,12 @@ def _significant_metrics(df: DataFrame) -> DataFrame:
     return df.withColumns({m: _significant(m) for m in ("mse", "mae", "mape", "maape", "rmse")})
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.section_agg(tel.frames(spark, sf_dir), SITE)
+def _sections(spark: SparkSession, sf_dir: str, span: tel.Span | None = None) -> DataFrame:
+    return aggregate.section_agg(tel.frames(spark, sf_dir, span), SITE)
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.timewindow_agg(_sections(spark, sf_dir), DAILY)
+def _windows(spark: SparkSession, sf_dir: str, span: tel.Span | None = None) -> DataFrame:
+    return aggregate.timewindow_agg(_sections(spark, sf_dir, span), DAILY)
 
 
 def _grids(spark: SparkSession, sf_dir: str, with_ramp: bool = True) -> DataFrame:
@@ -139,9 +141,8 @@ def lane_filter(spark, sf_dir):
 
 @query
 def snapshot(spark, sf_dir):
-    df = tel.frames(spark, sf_dir)
-    noon = 1_705_320_000_000  # 2024-01-15 12:00 UTC
-    out = clean.snapshot(clean.reproject(df, SITE.crs), noon)
+    df = tel.frames(spark, sf_dir, NOON_SPAN)
+    out = clean.snapshot(clean.reproject(df, SITE.crs), NOON)
     rounded = {c: F.round(c, 6) for c in ("distance", "lat", "lon")}
     return _doubles(out.withColumns(rounded), "v_vel", "v_acc")
 
@@ -149,7 +150,8 @@ def snapshot(spark, sf_dir):
 @query
 def elapsed_range(spark, sf_dir):
     window = WindowConfig(seconds=tel.DAY_S, start=1_704_499_200, end=1_705_968_000)
-    out = aggregate.add_time_window(tel.points(spark, sf_dir), window)
+    span = (window.start * 1000, window.end * 1000)
+    out = aggregate.add_time_window(tel.points(spark, sf_dir, span), window)
     return out.select("event_id", "elapsed_time", "time_window")
 
 
@@ -213,13 +215,15 @@ def timewindow_agg_range(spark, sf_dir):
 
 @query
 def window_range(spark, sf_dir):
-    out = _windows(spark, sf_dir).filter(F.col("time_window").between(19_727, 19_738))
+    day_ms = DAILY.millis
+    windows = _windows(spark, sf_dir, (19_727 * day_ms, 19_739 * day_ms))
+    out = windows.filter(F.col("time_window").between(19_727, 19_738))
     return _doubles(out, "avg_vel", "avg_acc")
 
 
 @query
 def section_snapshot(spark, sf_dir):
-    out = _sections(spark, sf_dir).filter(F.col("elapsed_time") == 1_705_320_000_000)
+    out = _sections(spark, sf_dir, NOON_SPAN).filter(F.col("elapsed_time") == NOON)
     return _doubles(out, "avg_vel", "avg_acc")
 
 
@@ -227,7 +231,7 @@ def section_snapshot(spark, sf_dir):
 def snapshot_grid(spark, sf_dir):
     """Dense grid of one frame, straight from the section aggregate."""
     keys = ("location", "elapsed_time")
-    frame = _sections(spark, sf_dir).filter(F.col("elapsed_time") == 1_705_320_000_000)
+    frame = _sections(spark, sf_dir, NOON_SPAN).filter(F.col("elapsed_time") == NOON)
     return grid.grid_cells(grid.dense_grid(frame, SITE, keys=keys), SITE.sections, keys)
 
 
@@ -344,23 +348,22 @@ def realtime_split(spark, sf_dir):
 # --- forecasts ----------------------------------------------------------------------------------
 
 
-def _inputs(spark, sf_dir):
-    return forecast.model_input(_samples(spark, sf_dir))
+def _inputs(spark, sf_dir, config=SAMPLE):
+    return training.sample_inputs(materialize(_grids(spark, sf_dir), "grids"), config)
 
 
-def _test_cells(spark, sf_dir, model):
-    lanes = SITE.lanes()
-    return training.evaluate(_inputs(spark, sf_dir), model, lanes, SITE.sections)
+def _baseline_cells(spark, sf_dir, *models):
+    return training.baseline_cells(_inputs(spark, sf_dir), models, SITE.lanes(), SITE.sections)
 
 
 @query
 def forecast_persistence(spark, sf_dir):
-    return _test_cells(spark, sf_dir, "persistence")
+    return _baseline_cells(spark, sf_dir, "persistence").drop("model")
 
 
 @query
 def forecast_history_mean(spark, sf_dir):
-    out = _test_cells(spark, sf_dir, "history_mean")
+    out = _baseline_cells(spark, sf_dir, "history_mean").drop("model")
     return out.withColumn("prediction", F.round("prediction", 6))
 
 
@@ -381,13 +384,9 @@ def last_window_predictor() -> forecast.Predictor:
 
 @query
 def forecast_metrics(spark, sf_dir):
-    inputs = materialize(_inputs(spark, sf_dir), "inputs")
-    out = None
-    for model in forecast.BASELINES:
-        scored = training.evaluate(inputs, model, SITE.lanes(), SITE.sections)
-        row = forecast.error_metrics(scored, ("location",)).withColumn("model_name", F.lit(model))
-        out = row if out is None else out.unionByName(row)
-    return _significant_metrics(out)
+    scored = _baseline_cells(spark, sf_dir, *forecast.BASELINES)
+    metrics = forecast.error_metrics(scored, ("location", "model"))
+    return _significant_metrics(metrics.withColumnRenamed("model", "model_name"))
 
 
 @query
@@ -404,8 +403,8 @@ def metrics_log(spark, sf_dir):
     path = fresh_path(spark, "metrics-log")
     inputs = materialize(_inputs(spark, sf_dir), "inputs")
     for model in forecast.BASELINES:
-        scored = training.evaluate(inputs, model, SITE.lanes(), SITE.sections)
-        row = forecast.error_metrics(scored).withColumn("model_name", F.lit(model))
+        scored = training.baseline_cells(inputs, [model], SITE.lanes(), SITE.sections)
+        row = forecast.error_metrics(scored, ("model",)).withColumnRenamed("model", "model_name")
         files.append_metrics(row, path)
     log = files.read_metrics(spark, path)
     return log.withColumns({m: _significant(m) for m in ("mae", "mape", "maape", "rmse")})
@@ -420,9 +419,9 @@ def forecast_regression(spark, sf_dir):
 @query
 def forecast_regression_lag1(spark, sf_dir):
     """Least squares on one lag and the cell's offset, test samples only."""
-    samples = _samples(spark, sf_dir, SampleConfig(history=1, skip=1, predict=1))
+    inputs = _inputs(spark, sf_dir, SampleConfig(history=1, skip=1, predict=1))
     per_step = SITE.lanes() * SITE.sections
-    rows = regression.lag_rows(forecast.model_input(samples), per_step)
+    rows = regression.lag_rows(inputs, per_step)
     model = regression.fit(rows, per_step, reg_params=(0.0,))
     scored = model.transform(rows.filter(F.col("split") == "test"))
     cell = F.col("cell").cast("int")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneflow.config import EXPERIMENTS, SiteConfig, WindowConfig
-from laneflow.operators import aggregate, clean, forecast, regression
+from laneflow.operators import aggregate, clean, regression
 from laneflow.plans import training
 from laneflow.session import materialize, pin
 from laneflow.sources import files, topics
@@ -68,11 +68,11 @@ def fit_for_stream(
     """Fit the forecaster of the real-time pipeline on all but the last windows, and save it."""
     site, sample = config.site, config.sample
     grids = training.window_grids(sections, site, window, config.with_ramp)
-    samples = training.sample_set(
+    inputs = training.sample_inputs(
         materialize(grids, "grids"), sample, window.num_windows, realtime=True
     )
     per_step = site.lanes(config.with_ramp) * site.sections
-    rows = regression.lag_rows(forecast.model_input(samples), per_step)
+    rows = materialize(regression.lag_rows(inputs, per_step), "lag-rows")
     model = regression.fit(rows, per_step)
     model.save(path)
     return model

@@ -6,6 +6,8 @@ are decimals, so every mean is exact and does not depend on the order rows are a
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,22 @@ DAILY = WindowConfig(seconds=DAY_S)
 SPEED = "decimal(8,2)"
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw points; only the columns a query uses are read from the table."""
+Span = tuple[int, int]  # epoch milliseconds, end excluded
+
+
+def _in_span(events: DataFrame, span: Span) -> DataFrame:
+    """Bounds on the stored timestamp itself, which the scan can skip row groups by."""
+    first, end = (
+        F.lit(datetime.fromtimestamp(ms / 1000, UTC).replace(tzinfo=None)).cast("timestamp_ntz")
+        for ms in span
+    )
+    return events.filter((F.col("ts") >= first) & (F.col("ts") < end))
+
+
+def telemetry(spark: SparkSession, sf_dir: str, span: Span | None = None) -> DataFrame:
+    """Raw points, of a time span if given; only the columns a query uses are read."""
     events = pin(spark).read.parquet(f"{sf_dir}/events.parquet")
+    events = _in_span(events, span) if span else events
     event, user = F.col("event_id"), F.col("user_id")
     return events.select(
         event,
@@ -40,15 +55,15 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str, span: Span | None = None) -> DataFrame:
     """Points with merged lanes, distance and elapsed time."""
-    merged = clean.merge_ramp_lanes(telemetry(spark, sf_dir), SITE)
+    merged = clean.merge_ramp_lanes(telemetry(spark, sf_dir, span), SITE)
     return clean.add_elapsed(clean.add_distance(merged), SITE.origin_ms)
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, span: Span | None = None) -> DataFrame:
     """The same points, their times floored to hourly frames."""
     floored = scalar.frame_floor(F.col("global_time"), HOUR_MS)
-    merged = clean.merge_ramp_lanes(telemetry(spark, sf_dir), SITE)
+    merged = clean.merge_ramp_lanes(telemetry(spark, sf_dir, span), SITE)
     merged = merged.withColumn("global_time", floored)
     return clean.add_elapsed(clean.add_distance(merged), SITE.origin_ms)

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laneflow.config import ExperimentConfig, SampleConfig, SiteConfig, WindowConfig
+from laneflow.functions import cells
 from laneflow.operators import aggregate, forecast, grid, regression, series
 from laneflow.session import materialize
 
+REGRESSION = "regression"
+
 
 def window_grids(
     sections: DataFrame, site: SiteConfig, window: WindowConfig, with_ramp: bool = True
@@ -23,31 +26,71 @@ def window_grids(
 def sample_set(
     grids: DataFrame, sample: SampleConfig, num_windows: int | None = None, realtime: bool = False
 ) -> DataFrame:
-    """Labelled samples of a table of window matrices (read twice, so a written one)."""
+    """Labelled samples of whole matrices, from a table of them (read twice, so a written one)."""
     samples = series.samples(series.series_index(grids), sample, num_windows=num_windows)
     return series.chrono_split(samples, realtime=realtime)
 
 
+def sample_inputs(
+    grids: DataFrame,
+    sample: SampleConfig,
+    num_windows: int | None = None,
+    realtime: bool = False,
+    feature: str = "vel",
+) -> DataFrame:
+    """Labelled model inputs: one feature of the samples as flat arrays.
+
+    The other features are left out before the windows are repeated in overlapping samples.
+    """
+    flat = grids.select(*grid.WINDOW, cells.channel(F.col("matrix"), feature).alias("cells"))
+    ordered = series.series_index(flat)
+    samples = series.samples(ordered, sample, num_windows=num_windows, payload="cells")
+    return series.chrono_split(forecast.model_input(samples, "cells"), realtime=realtime)
+
+
+def baseline_cells(
+    inputs: DataFrame, models: Iterable[str], lanes: int, sections: int, predict: int = 1
+) -> DataFrame:
+    """Test samples forecast by each baseline, cell by cell; one pass for all of them."""
+    guesses = [
+        F.struct(
+            F.lit(m).alias("model"), forecast.BASELINES[m](F.col("history"), predict).alias("guess")
+        )
+        for m in models
+    ]
+    guess = F.explode(F.array(*guesses)).alias("g")
+    test = inputs.filter(F.col("split") == "test").select("location", "sample_id", "actual", guess)
+    flat = test.select("location", "sample_id", "g.model", F.col("g.guess").alias("prediction"), "actual")
+    return forecast.forecast_cells(flat, lanes, sections, ("location", "sample_id", "model"))
+
+
 def evaluate(
-    inputs: DataFrame, model: str, lanes: int, sections: int, predict: int = 1
+    inputs: DataFrame, models: Iterable[str], lanes: int, sections: int, predict: int = 1
 ) -> DataFrame:
-    """Forecast the test samples with a baseline or the fitted regression, cell by cell."""
-    if model in forecast.BASELINES:
-        test = inputs.filter(F.col("split") == "test")
-        guess = forecast.BASELINES[model](F.col("history"), predict)
-        return forecast.forecast_cells(test.withColumn("prediction", guess), lanes, sections)
-    if model == "regression":
-        rows = regression.lag_rows(inputs, lanes * sections)
+    """Error metrics on the test samples, one row per ``model``."""
+    models = list(models)
+    unknown = set(models) - set(forecast.BASELINES) - {REGRESSION}
+    if unknown:
+        raise ValueError(f"unknown models {sorted(unknown)}")
+    scored = []
+    baselines = [m for m in models if m in forecast.BASELINES]
+    if baselines:
+        scored.append(baseline_cells(inputs, baselines, lanes, sections, predict))
+    if REGRESSION in models:
+        rows = materialize(regression.lag_rows(inputs, lanes * sections), "lag-rows")
         fitted = regression.fit(rows, lanes * sections)
-        return fitted.transform(rows.filter(F.col("split") == "test"))
-    raise ValueError(f"unknown model {model!r}")
+        test = fitted.transform(rows.filter(F.col("split") == "test"))
+        scored.append(test.withColumn("model", F.lit(REGRESSION)))
+    columns = ("model", "prediction", "actual")
+    together = reduce(DataFrame.unionByName, [df.select(*columns) for df in scored])
+    return forecast.error_metrics(together, ("model",))
 
 
 def run_experiments(
     sections: DataFrame,
     site: SiteConfig,
     experiments: Iterable[ExperimentConfig],
-    models: Iterable[str] = ("regression",),
+    models: Iterable[str] = (REGRESSION,),
     window: WindowConfig | None = None,
 ) -> DataFrame:
     """Error metrics of every model under every parameter set, one row each.
@@ -70,14 +113,10 @@ def run_experiments(
             grids[grid_key] = materialize(dense, "grids")
         if config.num_windows is not None:
             exp.sample.num_samples(config.num_windows)
-        samples = sample_set(grids[grid_key], exp.sample, config.num_windows)
-        inputs = forecast.model_input(samples)
-        if len(models) > 1:
-            inputs = materialize(inputs, "inputs")
-        for model in models:
-            cells = evaluate(
-                inputs, model, site.lanes(exp.with_ramp), site.sections, exp.sample.predict
-            )
-            name = F.lit(exp.model_name(model, site.sections)).alias("model_name")
-            rows.append(forecast.error_metrics(cells).select(name, "*"))
+        inputs = sample_inputs(grids[grid_key], exp.sample, config.num_windows)
+        metrics = evaluate(
+            inputs, models, site.lanes(exp.with_ramp), site.sections, exp.sample.predict
+        )
+        names = {m: exp.model_name(m, site.sections) for m in models}
+        rows.append(metrics.replace(names, subset=["model"]).withColumnRenamed("model", "model_name"))
     return reduce(DataFrame.unionByName, rows)

@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DataType
 
 from laneflow.config import SampleConfig, SiteConfig
-from laneflow.functions import scalar
 from laneflow.operators import forecast
 from laneflow.sources import topics
 from laneflow.streaming import stages
@@ -98,18 +97,20 @@ def forecast_stream(
     factory: forecast.PredictorFactory,
     unready: str = "zeros",
 ) -> DataFrame:
-    """Forecast per history window, labelled with its own start and with the target's."""
+    """Forecast per history window, labelled with its own start and with the target's.
+
+    ``based_timewindow`` is on the site's wall clock, the other two are epoch milliseconds.
+    """
     lanes, sections = config.site.lanes(config.with_ramp), config.site.sections
     out = forecast.forecast_matrix(
         history, factory, config.history, lanes, sections, unready=unready
     )
-    start = scalar.epoch_of_local(F.col("based_timewindow.start"), config.site.tz)
-    end = scalar.epoch_of_local(F.col("based_timewindow.end"), config.site.tz)
+    target = F.unix_millis("based_timewindow.end") + F.lit(config.skip * config.window_ms)
     return out.select(
         "location",
-        "based_timewindow",
-        start.alias("global_time"),
-        (end + F.lit(config.skip * config.window_ms)).alias("target_start"),
+        stages.wall_clock("based_timewindow", config.site.tz).alias("based_timewindow"),
+        F.unix_millis("based_timewindow.start").alias("global_time"),
+        target.alias("target_start"),
         "prediction",
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneflow.config import SiteConfig
-from laneflow.functions import cells, scalar
+from laneflow.functions import cells
 from laneflow.operators.aggregate import add_section
 from laneflow.operators.clean import add_distance
 
@@ -22,9 +22,19 @@ def window_alignment(origin_ms: int, window_ms: int) -> str:
 
 
 def add_event_time(points: DataFrame, site: SiteConfig, delay: str) -> DataFrame:
-    """Wall clock of the site as event time, with its watermark."""
-    clock = scalar.local_time(F.col("global_time"), site.tz, site.offset_ms)
-    return points.withColumn("datetime", clock).withWatermark("datetime", delay)
+    """Event time with its watermark.
+
+    An instant, not the site's wall clock: that one repeats an hour each autumn, and a whole hour
+    would come late. Results are labelled with the wall clock.
+    """
+    instant = F.timestamp_millis(F.col("global_time") - F.lit(site.offset_ms))
+    return points.withColumn("datetime", instant).withWatermark("datetime", delay)
+
+
+def wall_clock(window: str, tz: str) -> Column:
+    """A window of instants on the wall clock of ``tz``."""
+    ends = [F.from_utc_timestamp(f"{window}.{end}", tz).alias(end) for end in ("start", "end")]
+    return F.struct(*ends)
 
 
 def dedup_points(points: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
-from laneflow.config import SiteConfig
+from laneflow.config import SiteConfig, WindowConfig
+from laneflow.operators import aggregate
 from laneflow.plans import catalog, training
 from laneflow.plans import telemetry as tel
 from laneflow.sources import files, topics
@@ -46,6 +47,19 @@ def test_location_filter_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in text
 
 
+@pytest.mark.parametrize("name", ["window_range", "snapshot", "elapsed_range", "snapshot_grid"])
+def test_time_span_reaches_the_scan(spark, name):
+    text = plan(entry.queries()[name](spark, SF_DIR))
+    assert "GreaterThanOrEqual(ts," in text and "LessThan(ts," in text
+
+
+def test_time_range_of_windows_reaches_the_section_table(spark, tmp_path):
+    table = files.section_table(catalog.section_agg(spark, SF_DIR), str(tmp_path / "sections"))
+    text = plan(aggregate.timewindow_agg(table, WindowConfig(10, 45, 2772.5)))
+    assert "GreaterThanOrEqual(elapsed_time,45000)" in text
+    assert "LessThan(elapsed_time,2772455)" in text
+
+
 def test_segments_scan_and_shuffle_the_points_once(spark):
     text = final_plan(entry.queries()["trajectory_segments"](spark, SF_DIR))
     assert text.count("/events.parquet") == 1

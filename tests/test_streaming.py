@@ -1,5 +1,7 @@
 import json
 import random
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,6 @@ from pyspark.sql.types import DecimalType
 
 from laneflow import schemas
 from laneflow.config import SiteConfig, WindowConfig
-from laneflow.functions import scalar
 from laneflow.operators import aggregate, clean, grid
 from laneflow.plans.replay import Replay, publish, run_to_end
 from laneflow.sources import topics
@@ -67,7 +68,7 @@ def batch_windows(spark, frames, config=CONFIG):
 
 
 def start_ms(column):
-    return scalar.epoch_of_local(F.col(column), SITE.tz)
+    return F.unix_millis(F.col(column))
 
 
 def stream(spark, path, **options):
@@ -142,6 +143,8 @@ def test_chained_history_and_forecast(spark, frames):
     assert {r.global_time for r in out} == set(histories)
     for r in out:
         steps = histories[r.global_time]
+        local = datetime.fromtimestamp(r.global_time / 1000, ZoneInfo(SITE.tz)).replace(tzinfo=None)
+        assert r.based_timewindow.start == local
         assert r.target_start == r.global_time + (CONFIG.history + CONFIG.skip) * 10_000
         if len(steps) < CONFIG.history:
             assert r.prediction == [[0] * 10 for _ in range(5)]
