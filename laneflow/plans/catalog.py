@@ -17,7 +17,7 @@ from laneflow.plans import training
 from laneflow.plans.replay import Replay
 from laneflow.session import fresh_path, materialize
 from laneflow.sources import files, topics
-from laneflow.streaming import pipeline, stages
+from laneflow.streaming import realtime, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -40,7 +40,7 @@ SWEEP = (
     ExperimentConfig(tel.DAY_S / 2, SampleConfig(12, 2), False),
 )
 
-REALTIME = pipeline.RealtimeConfig(
+REALTIME = realtime.RealtimeConfig(
     site=SITE, window_ms=tel.DAY_S * 1000, with_ramp=True, speed=DecimalType(8, 2)
 )
 
@@ -486,7 +486,7 @@ def _ms(column: str) -> Column:
 
 @query
 def stream_section_agg(spark, sf_dir):
-    replay = Replay(spark, "sections", lambda m: pipeline.section_stream(m, REALTIME))
+    replay = Replay(spark, "sections", lambda m: realtime.section_stream(m, REALTIME))
     out = replay.run(_messages(spark, sf_dir)).result()
     out = out.select("location", _ms("datetime").alias("frame"), "section_id", "lane_id", "avg_vel")
     return _doubles(out, "avg_vel")
@@ -499,7 +499,7 @@ def _window_rows(out: DataFrame) -> DataFrame:
 
 @query
 def stream_timewindow(spark, sf_dir):
-    replay = Replay(spark, "windows", lambda m: pipeline.window_stream(m, REALTIME))
+    replay = Replay(spark, "windows", lambda m: realtime.window_stream(m, REALTIME))
     return _window_rows(replay.run(_messages(spark, sf_dir)).result())
 
 
@@ -524,7 +524,7 @@ def stream_late_data(spark, sf_dir):
     first, last = _bounds(points)
     middle = (first + last) // 2
     late = F.col("global_time") < middle
-    replay = Replay(spark, "late", lambda m: pipeline.window_stream(m, REALTIME))
+    replay = Replay(spark, "late", lambda m: realtime.window_stream(m, REALTIME))
     replay.run(topics.frames_to_messages(points.filter(~late)))
     replay.run(topics.frames_to_messages(points.filter(late)))
     return _window_rows(replay.result())
@@ -543,7 +543,7 @@ def _matrix_cells(df: DataFrame, keys: tuple[str, ...], column: str = "matrix")
 
 @query
 def stream_matrix(spark, sf_dir):
-    replay = Replay(spark, "matrices", lambda m: pipeline.matrix_stream(m, REALTIME))
+    replay = Replay(spark, "matrices", lambda m: realtime.matrix_stream(m, REALTIME))
     out = replay.run(_messages(spark, sf_dir)).result()
     out = out.withColumn("window_start", _ms("timewindow.start"))
     return _matrix_cells(out, ("location", "window_start"))
@@ -567,15 +567,15 @@ def _history_cells(out: DataFrame) -> DataFrame:
 
 @query
 def stream_history(spark, sf_dir):
-    replay = Replay(spark, "histories", lambda m: pipeline.history_stream(m, REALTIME))
+    replay = Replay(spark, "histories", lambda m: realtime.history_stream(m, REALTIME))
     return _history_cells(replay.run(_messages(spark, sf_dir)).result())
 
 
 @query
 def stream_forecast(spark, sf_dir):
     def build(messages):
-        history = pipeline.history_stream(messages, REALTIME)
-        return pipeline.forecast_stream(history, REALTIME, last_window_predictor)
+        history = realtime.history_stream(messages, REALTIME)
+        return realtime.forecast_stream(history, REALTIME, last_window_predictor)
 
     out = Replay(spark, "forecasts", build).run(_messages(spark, sf_dir)).result()
     flat = out.withColumn("prediction", F.array("prediction"))
@@ -591,11 +591,11 @@ def stream_two_stage(spark, sf_dir):
     early = F.col("global_time") < (first + last) // 2
 
     def first_job(messages):
-        return topics.encode_matrices(pipeline.matrix_stream(messages, REALTIME))
+        return topics.encode_matrices(realtime.matrix_stream(messages, REALTIME))
 
     producer = Replay(spark, "producer", first_job)
     consumer = Replay(
-        spark, "consumer", lambda m: pipeline.history_from_topic(m, REALTIME), producer.sink
+        spark, "consumer", lambda m: realtime.history_from_topic(m, REALTIME), producer.sink
     )
     for half in (early, ~early):
         producer.run(topics.frames_to_messages(points.filter(half)))

@@ -17,7 +17,7 @@ from laneflow.operators import aggregate, clean, regression
 from laneflow.plans import training
 from laneflow.session import materialize, pin
 from laneflow.sources import files, topics
-from laneflow.streaming import pipeline
+from laneflow.streaming import realtime
 
 
 def site_points(
@@ -63,7 +63,7 @@ def train(
 
 
 def fit_for_stream(
-    sections: DataFrame, config: pipeline.RealtimeConfig, window: WindowConfig, path: str
+    sections: DataFrame, config: realtime.RealtimeConfig, window: WindowConfig, path: str
 ) -> regression.LagModel:
     """Fit the forecaster of the real-time pipeline on all but the last windows, and save it."""
     site, sample = config.site, config.sample
@@ -174,14 +174,14 @@ def _batch(spark: SparkSession, args: argparse.Namespace, site: SiteConfig) -> N
     if args.job == "train":
         train(sections, site, window, args.log)
     elif args.job == "fit":
-        fit_for_stream(sections, pipeline.RealtimeConfig(site=site), window, args.model)
+        fit_for_stream(sections, realtime.RealtimeConfig(site=site), window, args.model)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = pin(SparkSession.builder.appName(f"laneflow-{args.job}").getOrCreate())
     site = SiteConfig()
-    config = pipeline.RealtimeConfig(site=site)
+    config = realtime.RealtimeConfig(site=site)
     if args.job in ("sections", "train", "fit"):
         _batch(spark, args, site)
     elif args.job == "transmit":
@@ -191,13 +191,13 @@ def main(argv: Sequence[str] | None = None) -> None:
     else:
         trigger = {"availableNow": True} if args.available_now else None
         if args.job == "aggregate":
-            query = pipeline.start_first_job(
+            query = realtime.start_first_job(
                 _source(spark, args, args.source), config, args.format, args.checkpoint,
                 trigger=trigger, **_sink(args, args.topic),
             )
         else:
             factory = regression.load_predictor(spark, args.model)
-            query = pipeline.start_second_job(
+            query = realtime.start_second_job(
                 _source(spark, args, args.topic), config, factory, args.out, args.checkpoint,
                 trigger,
             )

@@ -215,6 +215,18 @@ def test_section_table_is_written_once(spark, tmp_path):
         first = files.section_table(sections, path, fmt).collect()
         boom = sections.withColumn("avg_vel", F.raise_error(F.lit("read again")).cast("double"))
         assert files.section_table(boom, path, fmt).collect() == first
+    wide = spark.range(5_000).select(
+        F.lit("a").alias("location"),
+        (F.pmod(F.xxhash64("id"), F.lit(5_000)) * 100).alias("elapsed_time"),
+        F.lit(1.0).alias("distance"), F.lit(1).alias("lane_id"), F.lit(1.0).alias("v_vel"),
+        F.lit(0.0).alias("v_acc"),
+    )
+    spread = files.section_table(aggregate.section_agg(wide, SITE), str(tmp_path / "wide"))
+    spans = spread.groupBy(F.input_file_name()).agg(
+        F.min("elapsed_time").alias("a"), F.max("elapsed_time").alias("b")
+    )
+    ordered = sorted((r.a, r.b) for r in spans.collect())
+    assert all(x[1] < y[0] for x, y in zip(ordered, ordered[1:], strict=False))
     other = files.section_path(str(tmp_path), SITE, "realtime", (7, 8))
     assert other != files.section_path(str(tmp_path), SITE, "raw", (7, 8))
 

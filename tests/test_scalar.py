@@ -36,7 +36,7 @@ def test_window_and_sample_counts():
 
 def test_model_name():
     exp = ExperimentConfig(0.5, SampleConfig(120, 20), False)
-    assert exp.model_name("mdl_model", 10) == "mdl_model_wo_0.5_10_120_1_20"
+    assert exp.model_name("m", 10) == "m_wo_0.5_10_120_1_20"
 
 
 @pytest.mark.parametrize(

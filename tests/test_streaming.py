@@ -12,11 +12,11 @@ from laneflow.config import SiteConfig, WindowConfig
 from laneflow.operators import aggregate, clean, grid
 from laneflow.plans.replay import Replay, publish, run_to_end
 from laneflow.sources import topics
-from laneflow.streaming import pipeline, stages
+from laneflow.streaming import realtime, stages
 
 SITE = SiteConfig()
 SPEED = DecimalType(8, 2)
-CONFIG = pipeline.RealtimeConfig(site=SITE, history=3, speed=SPEED)
+CONFIG = realtime.RealtimeConfig(site=SITE, history=3, speed=SPEED)
 WINDOW = WindowConfig(10)
 START = SITE.origin_ms
 
@@ -93,7 +93,7 @@ def test_stream_equals_batch_over_many_micro_batches(spark, frames, tmp_path):
     path = str(tmp_path / "topic")
     in_slices(spark, frames, path, [70, 230, 150, 300, 150])
     source = stream(spark, path, maxFilesPerTrigger="1")
-    out = pipeline.window_stream(source, CONFIG)
+    out = realtime.window_stream(source, CONFIG)
     query = topics.write_stream(
         out, "parquet", str(tmp_path / "cp"), path=str(tmp_path / "out"), trigger={"availableNow": True}
     )
@@ -110,7 +110,7 @@ def test_stream_equals_batch_over_many_micro_batches(spark, frames, tmp_path):
 
 
 def test_matrices_equal_the_batch_grid(spark, frames, tmp_path):
-    replay = Replay(spark, "matrices", lambda m: pipeline.matrix_stream(m, CONFIG))
+    replay = Replay(spark, "matrices", lambda m: realtime.matrix_stream(m, CONFIG))
     out = replay.run(messages(spark, frames)).result()
     got = {r[0]: r[1] for r in out.select(start_ms("timewindow.start"), "matrix").collect()}
     grids = grid.dense_grid(batch_windows(spark, frames), SITE, with_ramp=False).collect()
@@ -133,10 +133,10 @@ def test_chained_history_and_forecast(spark, frames):
         return lambda batch: batch[:, -1, :] + 0.5
 
     def build(m):
-        return pipeline.forecast_stream(pipeline.history_stream(m, CONFIG), CONFIG, last_step)
+        return realtime.forecast_stream(realtime.history_stream(m, CONFIG), CONFIG, last_step)
 
     out = Replay(spark, "forecast", build).run(messages(spark, frames)).result().collect()
-    matrices = Replay(spark, "mat", lambda m: pipeline.matrix_stream(m, CONFIG))
+    matrices = Replay(spark, "mat", lambda m: realtime.matrix_stream(m, CONFIG))
     matrices = matrices.run(messages(spark, frames)).result()
     by_start = {r[0]: r[1] for r in matrices.select(start_ms("timewindow.start"), "matrix").collect()}
     histories = expected_histories(by_start, closed_at(frames))
@@ -157,13 +157,13 @@ def test_chained_history_and_forecast(spark, frames):
 
 def test_two_jobs_restarted_half_way(spark, frames):
     producer = Replay(
-        spark, "p", lambda m: topics.encode_matrices(pipeline.matrix_stream(m, CONFIG))
+        spark, "p", lambda m: topics.encode_matrices(realtime.matrix_stream(m, CONFIG))
     )
-    consumer = Replay(spark, "c", lambda m: pipeline.history_from_topic(m, CONFIG), producer.sink)
+    consumer = Replay(spark, "c", lambda m: realtime.history_from_topic(m, CONFIG), producer.sink)
     for part in (frames[:350], frames[350:]):
         producer.run(messages(spark, part))
         consumer.run()
-    one_query = Replay(spark, "h", lambda m: pipeline.history_stream(m, CONFIG))
+    one_query = Replay(spark, "h", lambda m: realtime.history_stream(m, CONFIG))
     one_query.run(messages(spark, frames))
 
     def rows(df):
@@ -179,10 +179,10 @@ def test_two_jobs_restarted_half_way(spark, frames):
 
 
 def test_repeated_malformed_and_late_messages(spark, frames, tmp_path):
-    config = pipeline.RealtimeConfig(site=SITE, history=3, speed=SPEED, dedup=True)
+    config = realtime.RealtimeConfig(site=SITE, history=3, speed=SPEED, dedup=True)
     path = str(tmp_path / "topic")
     noise = [("k", "[]"), ("k", "{broken"), ("k", None)]
-    replay = Replay(spark, "noisy", lambda m: pipeline.window_stream(m, config), path)
+    replay = Replay(spark, "noisy", lambda m: realtime.window_stream(m, config), path)
     half = messages(spark, frames[:600])
     replay.run(half.unionAll(half).unionAll(messages(spark, None, noise)))
     assert replay.late_rows == 0
@@ -200,21 +200,21 @@ def test_repeated_malformed_and_late_messages(spark, frames, tmp_path):
 
 
 def test_windows_follow_the_epoch_without_alignment(spark, frames):
-    config = pipeline.RealtimeConfig(site=SITE, align_to_origin=False)
+    config = realtime.RealtimeConfig(site=SITE, align_to_origin=False)
     assert config.start_time == "0 milliseconds"
     assert CONFIG.start_time == "9700 milliseconds"
-    replay = Replay(spark, "epoch", lambda m: pipeline.window_stream(m, config))
+    replay = Replay(spark, "epoch", lambda m: realtime.window_stream(m, config))
     out = replay.run(messages(spark, frames)).result()
     assert {r[0] % 10_000 for r in out.select(start_ms("timewindow.start")).collect()} == {0}
 
 
 def test_second_job_writes_json_files(spark, frames, tmp_path):
     topic, sink = str(tmp_path / "matrices"), str(tmp_path / "forecasts")
-    matrices = Replay(spark, "m", lambda m: pipeline.matrix_stream(m, CONFIG))
+    matrices = Replay(spark, "m", lambda m: realtime.matrix_stream(m, CONFIG))
     done = matrices.run(messages(spark, frames)).result()
     publish(topics.encode_matrices(done), topic)
     publish(topics.encode_matrices(done), topic)  # re-sent windows are dropped
-    query = pipeline.start_second_job(
+    query = realtime.start_second_job(
         stream(spark, topic), CONFIG, lambda: lambda batch: batch.mean(axis=1), sink,
         str(tmp_path / "cp"), trigger={"availableNow": True},
     )
@@ -227,7 +227,7 @@ def test_second_job_writes_json_files(spark, frames, tmp_path):
 def test_first_job_to_a_file_topic(spark, frames, tmp_path):
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
     publish(messages(spark, frames), source)
-    query = pipeline.start_first_job(
+    query = realtime.start_first_job(
         stream(spark, source), CONFIG, "parquet", str(tmp_path / "cp"), path=sink,
         name="first_job", trigger={"availableNow": True},
     )
@@ -251,6 +251,15 @@ def test_dedup_keeps_one_point_per_vehicle_and_frame(spark, frames):
     assert out.count() == sum(c["Global_Time"] <= last for f in frames for c in f)
 
 
+def test_kafka_is_a_matter_of_options():
+    assert topics.kafka_source_options("host:1", "frames") == {
+        "kafka.bootstrap.servers": "host:1", "subscribe": "frames", "startingOffsets": "earliest",
+    }
+    assert topics.kafka_sink_options("host:1", "out") == {
+        "kafka.bootstrap.servers": "host:1", "topic": "out",
+    }
+
+
 def test_run_to_end_twice_reads_nothing_new(spark, frames, tmp_path):
     path = str(tmp_path / "t")
     publish(messages(spark, frames[:20]), path)
