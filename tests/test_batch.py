@@ -3,6 +3,8 @@ from collections import defaultdict
 from datetime import datetime
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from laneflow import schemas
@@ -102,6 +104,37 @@ def test_grid_defaults_truncation_and_overflow(spark):
     assert grid.grid_cells(grid.dense_grid(windows, SITE), SITE.sections).count() == 2 * 60
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.dictionaries(
+        st.tuples(st.integers(0, 2), st.integers(-1, 12), st.integers(0, 8)),
+        st.tuples(st.floats(-5, 90), st.integers(1, 100)),
+        min_size=1,
+        max_size=60,
+    ),
+    st.booleans(),
+)
+def test_grid_equals_filling_a_matrix(spark, occupied, with_ramp):
+    rows = [("a", t, s, lane, v, v / 8, n) for (t, s, lane), (v, n) in occupied.items()]
+    lanes = 6 if with_ramp else 5
+    want = {t: [[(60, 0.0, 0.0)] * 10 for _ in range(lanes)] for t, _, _ in occupied}
+    for (t, s, lane), (v, n) in sorted(occupied.items()):
+        if 1 <= lane <= lanes and 0 <= s <= 10:
+            want[t][lane - 1][min(s, 9)] = (int(v), float(n), v / 8)
+    out = grid.dense_grid(spark.createDataFrame(rows, CELLS), SITE, with_ramp).collect()
+    assert {r.time_window: [[tuple(c) for c in row] for row in r.matrix] for r in out} == want
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(1, 40), st.integers(1, 6), st.integers(0, 3), st.integers(1, 3))
+def test_sample_counts(spark, total, history, skip, predict):
+    config = SampleConfig(history, skip, predict)
+    indexed = series.series_index(series_frame(spark, {"a": total}), block=5)
+    assert series.samples(indexed, config, chunk=7).count() == max(0, total - config.span)
+    every = series.samples(indexed, config, chunk=7, drop_last=False)
+    assert every.count() == max(0, total - config.span + 1)
+
+
 def series_frame(spark, lengths):
     rows = [(site, 3 * t + 1) for site, n in lengths.items() for t in range(n)]
     random.Random(5).shuffle(rows)

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from laneflow.config import SiteConfig, WindowConfig
 from laneflow.operators import aggregate
-from laneflow.plans import catalog, training
+from laneflow.plans import catalog, jobs, training
 from laneflow.plans import telemetry as tel
 from laneflow.sources import files, topics
 
@@ -78,6 +78,17 @@ def test_lookup_per_site_does_not_shuffle_the_points(spark):
     assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
 
 
+def test_sections_of_raw_files_leave_out_unused_math_and_columns(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    files.write_table(files.as_trajectory(tel.telemetry(spark, SF_DIR)), path, "csv", header="true")
+    points = jobs.site_points(files.read_trajectories(spark, path), SiteConfig(), [7, 8])
+    text = plan(aggregate.section_agg(points, SiteConfig()))
+    assert "ATAN" not in text.upper() and "Sort" not in text
+    assert "EqualTo(Location,us-101)" in text
+    read = text[text.index("ReadSchema"):]
+    assert "v_Vel" in read and "Global_X" not in read and "Space_Headway" not in read
+
+
 def test_long_grid_needs_no_join(spark):
     assert "Join" not in plan(entry.queries()["dense_grid_long"](spark, SF_DIR))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from laneflow import schemas
+from laneflow import schemas, session
 from laneflow.config import SiteConfig, WindowConfig
 from laneflow.operators import aggregate, clean, grid
 from laneflow.plans.replay import Replay, publish, run_to_end
@@ -199,6 +199,36 @@ def test_repeated_malformed_and_late_messages(spark, frames, tmp_path):
     assert got == sorted(tuple(r) for r in want.collect())
 
 
+def test_cluster_settings_survive_a_restart(spark, frames):
+    conf = session.cluster_conf(executors=2, cores=2)
+    assert conf["spark.sql.shuffle.partitions"] == "8"
+    streaming = {k: v for k, v in conf.items() if "stateStore" in k}
+    before = {k: spark.conf.get(k, None) for k in streaming}
+    for key, value in streaming.items():
+        spark.conf.set(key, value)
+    try:
+        replay = Replay(spark, "rocks", lambda m: realtime.window_stream(m, CONFIG))
+        replay.run(messages(spark, frames[:450]))
+        replay.run(messages(spark, frames[450:]))
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert replay.result().count() == batch_windows(spark, frames).count()
+
+
+def test_state_width_only_replaces_the_default(spark):
+    key, chosen = session.SHUFFLE_WIDTH, spark.conf.get(session.SHUFFLE_WIDTH)
+    with session.state_width(spark):
+        assert spark.conf.get(key) == chosen
+    spark.conf.set(key, session.SPARK_DEFAULT_WIDTH)
+    try:
+        with session.state_width(spark):
+            assert spark.conf.get(key) == str(spark.sparkContext.defaultParallelism)
+        assert spark.conf.get(key) == session.SPARK_DEFAULT_WIDTH
+    finally:
+        spark.conf.set(key, chosen)
+
+
 def test_windows_follow_the_epoch_without_alignment(spark, frames):
     config = realtime.RealtimeConfig(site=SITE, align_to_origin=False)
     assert config.start_time == "0 milliseconds"
