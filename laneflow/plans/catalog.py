@@ -419,9 +419,19 @@ def forecast_regression(spark, sf_dir):
 @query
 def forecast_regression_lag1(spark, sf_dir):
     """Least squares on one lag and the cell's offset, test samples only."""
-    inputs = _inputs(spark, sf_dir, SampleConfig(history=1, skip=1, predict=1))
+    return _least_squares(spark, sf_dir, SampleConfig(history=1, skip=1, predict=1))
+
+
+@query
+def forecast_regression_lags(spark, sf_dir):
+    """Least squares on all six lags and the cell's offset, test samples only."""
+    return _least_squares(spark, sf_dir, SAMPLE)
+
+
+def _least_squares(spark, sf_dir, config):
+    inputs = _inputs(spark, sf_dir, config)
     per_step = SITE.lanes() * SITE.sections
-    rows = regression.lag_rows(inputs, per_step)
+    rows = materialize(regression.lag_rows(inputs, per_step), "lag-rows")
     model = regression.fit(rows, per_step, reg_params=(0.0,))
     scored = model.transform(rows.filter(F.col("split") == "test"))
     cell = F.col("cell").cast("int")

@@ -159,6 +159,40 @@ def _sweep() -> str:
     return "WITH " + ",".join(ctes) + "\n" + "\nUNION ALL\n".join(selects)
 
 
+def _least_squares(h: int, k: int) -> str:
+    """Test predictions of y ~ lags + cell, by removing one regressor after the other.
+
+    Everything is centred by the cell's train means; each lag is then projected out of the later
+    ones and of y with coefficients of the train rows. What is left of y is the residual.
+    """
+    lags = range(1, h + 1)
+    columns = ", ".join(f"lead(vel::DOUBLE, {j - 1}) OVER o AS x{j}" for j in lags)
+    centred = ", ".join(
+        f"{c} - avg({c}) FILTER (WHERE train) OVER (PARTITION BY lane_id, section_id) AS {c}"
+        for c in [f"x{j}" for j in lags] + ["y"]
+    )
+    keys = "location, sample_id, num_samples, lane_id, section_id, train, actual"
+    ctes = f"""WITH {GRID},{_series(h + k + 1)},
+        cell AS (SELECT location, idx, num_samples, lane_id, section_id, vel
+                 FROM grid JOIN ser USING (location, time_window)),
+        wide AS (SELECT location, idx AS sample_id, num_samples, lane_id, section_id, {columns},
+                        lead(vel::DOUBLE, {h + k}) OVER o AS y
+                 FROM cell WINDOW o AS (PARTITION BY location, lane_id, section_id ORDER BY idx)),
+        flagged AS (SELECT *, y AS actual, sample_id < floor(0.7::DOUBLE * num_samples) AS train
+                    FROM wide WHERE sample_id < num_samples),
+        r0 AS MATERIALIZED (SELECT {keys}, {centred} FROM flagged)"""
+    for j in lags:
+        rest = [f"x{i}" for i in lags if i > j] + ["y"]
+        cleaned = ", ".join(
+            f"{c} - x{j} * (SELECT sum(x{j} * {c}) / sum(x{j} * x{j}) FROM r{j - 1} WHERE train) AS {c}"
+            for c in rest
+        )
+        ctes += f",\n        r{j} AS MATERIALIZED (SELECT {keys}, {cleaned} FROM r{j - 1})"
+    return f"""{ctes}
+        SELECT location, sample_id, lane_id, section_id, round(actual - y, 5) AS prediction, actual
+        FROM r{h} WHERE sample_id >= floor(0.8::DOUBLE * num_samples)"""
+
+
 CONIC = """
 zone AS (SELECT radians(36.5) AS p0, radians(-120.5) AS l0, radians(38 + 26 / 60.0) AS p1,
          radians(37 + 4 / 60.0) AS p2, 2000000.0::DOUBLE AS fe, 500000.0::DOUBLE AS fn,
@@ -355,6 +389,7 @@ def sql() -> dict[str, str]:
             _metrics(m, f"location, '{m}' AS model_name") + " GROUP BY location"
             for m in ("persistence", "history_mean")
         ),
+        "forecast_regression_lags": _least_squares(6, 1),
         "forecast_regression_lag1": f"""WITH {GRID},{_series(3)},
             cell AS (SELECT location, idx, num_samples, lane_id, section_id, vel
                      FROM grid JOIN ser USING (location, time_window)),
