@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laneflow.llm import bpe, chat, lines
+from laneflow.llm import bpe, chat, lines, simhash
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": chat.op3_chat,
     "op4_line_frequency": lines.op4_line_frequency,
+    "op8_simhash": simhash.op8_simhash,
     "op10_bpe": bpe.op10_bpe,
 }
 
