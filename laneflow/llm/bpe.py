@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -21,14 +22,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from laneflow.llm import shared
 
-#: Pieces whose ids a task remembers at most; the memory is emptied when it is full.
-REMEMBERED = 200_000
+#: Pieces, and runs between spaces, whose ids a Python worker remembers at most (some 200 bytes each).
+#: The memory is emptied when it is full; results don't depend on it.
+REMEMBERED = 500_000
 #: Letters and numbers of Unicode 16 that this Python's tables (15.1) lack; the library has them.
 NEWER = (
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65),
@@ -86,6 +89,7 @@ class Vocabulary:
     pattern: str
     steps: tuple[tuple[str, ...], ...]
     unassigned: str
+    key: str
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -116,6 +120,7 @@ class Vocabulary:
             pattern=splits[0]["pattern"]["Regex"],
             steps=tuple(steps),
             unassigned=unassigned(),
+            key=path,
         )
 
 
@@ -156,11 +161,15 @@ class Codec:
         strict = regex.sub(r"\\p\{[LN]\}", lambda m: classes[m.group()], vocabulary.pattern)
         self.split_odd = regex.compile(strict, regex.V1)
         special = sorted(vocabulary.special, key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.steps = [(s[0], regex.compile(s[1]), s[2]) if s[0] == "Replace" else s for s in vocabulary.steps]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.runs: dict[str, bytes] = {}
         bytes_of = {letter: bytes([b]) for b, letter in enumerate(self.letters)}
-        self.strings = {i: s for s, i in vocabulary.ids.items()} | {i: s for s, i in vocabulary.special.items()}
+        named = vocabulary.ids | vocabulary.special
+        self.strings = [""] * (max(named.values()) + 1)
+        for string, i in named.items():
+            self.strings[i] = string
         self.bytes_of = bytes_of
 
     def normal(self, text: str) -> str:
@@ -186,32 +195,42 @@ class Codec:
             self.known[piece] = ids
         return ids
 
-    def ordinary(self, text: str) -> Iterator[int]:
-        known, piece, text = self.known, self.piece, self.normal(text)
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a run without spaces or special tokens, as 32-bit integers."""
+        text = self.normal(chunk)
         split = self.split if text.isascii() or not self.odd.search(text) else self.split_odd
-        return chain.from_iterable(known.get(p) or piece(p) for p in split.findall(text))
-
-    def encode(self, text: str) -> array:
-        """Ids of the text; strings of special tokens inside it become those tokens."""
-        out, start = array("I"), 0
-        for m in self.special.finditer(text) if self.special else ():
-            out.extend(self.ordinary(text[start : m.start()]))
-            out.append(self.v.special[m.group()])
+        ids = array("I", chain.from_iterable(self.piece(p) for p in split.findall(text))).tobytes()
+        if len(self.runs) >= REMEMBERED:
+            self.runs.clear()
+        self.runs[chunk] = ids
+        return ids
+
+    def ordinary(self, text: str) -> bytes:
+        """Ids of a text without special tokens. No piece and no step of the normalizer reaches over
+        a space or line feed, so the runs between them are encoded one by one and remembered."""
+        known, chunk = self.runs.get, self.chunk
+        return b"".join([known(c) or chunk(c) for c in text.replace("\n", " ").split(" ") if c])
+
+    def encode(self, text: str) -> bytes:
+        """Ids of the text, four bytes each; strings of special tokens inside it become those tokens."""
+        if not self.special or not self.special.search(text):
+            return self.ordinary(text)
+        out, start = [], 0
+        for m in self.special.finditer(text):
+            out += [self.ordinary(text[start : m.start()]), array("I", [self.v.special[m.group()]]).tobytes()]
             start = m.end()
-        out.extend(self.ordinary(text[start:] if start else text))
-        return out
+        return b"".join([*out, self.ordinary(text[start:])])
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: bytes) -> str:
         """Vocabulary strings one after another, special tokens included.
 
         Without a decoder in the file the strings are joined by one space, as they stand.
         """
-        strings = self.strings
-        return " ".join([strings[i] for i in ids])
+        return " ".join(map(self.strings.__getitem__, memoryview(ids).cast("I")))
 
-    def plain(self, ids) -> str:
+    def plain(self, ids: bytes) -> str:
         """The text that the ids spell: letters back to bytes, word ends as spaces."""
-        out = "".join([self.strings[i] for i in ids])
+        out = "".join(map(self.strings.__getitem__, memoryview(ids).cast("I")))
         words = out.split(self.v.suffix) if self.v.suffix else [out]
         spelled = (b"".join([self.bytes_of.get(c, c.encode()) for c in w]) for w in words)
         return b" ".join(spelled).decode("utf-8", "replace").strip()
@@ -224,9 +243,15 @@ def lower(text: str) -> str:
     return ("".join([c.lower() for c in text]) if "Σ" in text else text.lower()).translate(LOWER)
 
 
-def codec_of(vocabulary) -> Codec:
-    """The codec of a task, made from the broadcast vocabulary at first use."""
-    return Codec(vocabulary.value)
+_CODECS: dict[int, Codec] = {}
+
+
+def codec_of(shipped) -> Codec:
+    """The codec of a Python worker, made once from the broadcast vocabulary and kept over tasks."""
+    if shipped.value.key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[shipped.value.key] = Codec(shipped.value)
+    return _CODECS[shipped.value.key]
 
 
 def encode_decode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -245,7 +270,7 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
-                        pa.array(ids, pa.list_(pa.int32())),
+                        pa.array([memoryview(x).cast("I").tolist() for x in ids], pa.list_(pa.int32())),
                         pa.array([codec.decode(x) for x in ids], pa.string()),
                     ],
                     ["doc_id", "ids", "decoded"],
@@ -265,11 +290,9 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 counts, ids_hex, text_hex = [], [], []
                 for text in shared.texts(part):
                     ids = codec.encode(text)
-                    counts.append(len(ids))
+                    counts.append(len(ids) // 4)
                     text_hex.append(shared.hex_digest(codec.decode(ids).encode()))
-                    if sys.byteorder == "big":
-                        ids.byteswap()
-                    ids_hex.append(shared.hex_digest(ids.tobytes()))
+                    ids_hex.append(shared.hex_digest(np.frombuffer(ids, np.uint32).astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(text_hex)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
