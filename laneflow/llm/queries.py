@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laneflow.llm import bpe, chat, lines, simhash
+from laneflow.llm import bpe, bytespans, chat, lines, simhash, wordspans
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffixes": bytespans.op2_suffixes,
     "op3_chat": chat.op3_chat,
     "op4_line_frequency": lines.op4_line_frequency,
+    "op7_doubling": wordspans.op7_doubling,
     "op8_simhash": simhash.op8_simhash,
     "op10_bpe": bpe.op10_bpe,
 }
