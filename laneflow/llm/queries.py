@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laneflow.llm import bpe, bytespans, chat, lines, simhash, wordspans
+from laneflow.llm import bpe, bytespans, chat, containment, lines, simhash, wordspans
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffixes": bytespans.op2_suffixes,
     "op3_chat": chat.op3_chat,
     "op4_line_frequency": lines.op4_line_frequency,
+    "op5_containment": containment.op5_containment,
     "op7_doubling": wordspans.op7_doubling,
     "op8_simhash": simhash.op8_simhash,
     "op10_bpe": bpe.op10_bpe,
 }
 
-SQL: dict[str, str] = {"op4_line_frequency": lines.SQL}
+SQL: dict[str, str] = {"op5_containment": containment.SQL, "op4_line_frequency": lines.SQL}
