@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laneflow.llm import bpe, bytespans, chat, containment, lines, simhash, wordspans
+from laneflow.llm import bpe, bytespans, chat, containment, lines, simhash, toxicity, wordspans
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffixes": bytespans.op2_suffixes,
@@ -15,6 +15,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_containment": containment.op5_containment,
     "op7_doubling": wordspans.op7_doubling,
     "op8_simhash": simhash.op8_simhash,
+    "op9_weak_supervision": toxicity.op9_weak_supervision,
     "op10_bpe": bpe.op10_bpe,
 }
 
