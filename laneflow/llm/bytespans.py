@@ -2,9 +2,9 @@
 
 Repeated strings of ``length`` bytes have equal anchors (``winnow``); segments of windows around one
 anchor meet by its hash. Equal segments are repeated as a whole. Different segments of one anchor are
-sorted as suffixes: they are laid over each other at the anchor, runs of columns in which the same
-segments agree become one symbol, and the suffix array of all symbols (``suffixes``) with its common
-prefixes tells for every start how far it is repeated in another segment.
+laid over each other at the anchor, parts of them whose cores stand alone are left out, runs of
+columns in which the same segments agree become one symbol, and the suffix array of all symbols
+(``suffixes``) with its common prefixes tells for every start how far it is repeated elsewhere.
 
 Anchors with more than ``group`` different segments (a line that a third of the corpus has, with
 different neighbours everywhere) are not brought together: their windows meet one by one by hash,
@@ -24,8 +24,12 @@ from laneflow.llm.shared import F
 
 LENGTH = 200
 GRAM = 16
-#: Different segments of one anchor that are sorted together at most.
-GROUP = 1024
+#: Different segments of one anchor that come together in one task at most (some 300 bytes each).
+GROUP = 65_536
+#: Windows told apart by the place of their anchor, so many places at a time.
+CORE = 24
+#: Bytes of segments that are worked on at once, about.
+AT_ONCE = 4 << 20
 #: Symbols per suffix array, about.
 SYMBOLS = 20_000
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -104,89 +108,191 @@ def laid_over(pieces: list[bytes], leads: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Sorter:
-    """Collects the symbols of several groups of segments and sorts them in one suffix array."""
+    """Symbols of groups of aligned strings, sorted in suffix arrays of some ``SYMBOLS`` each.
+
+    A string's symbols stand for runs of its columns; equal symbols are equal runs of one group.
+    """
 
     def __init__(self, length: int):
         self.length = length
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes: list[int] = []
-        self.next = 2  # 1 ends a segment
-        self.members: list[tuple] = []
-
-    def add(self, docs: np.ndarray, places: np.ndarray, pieces: list[bytes]) -> None:
-        leads = repeats.lead_of(places)
-        agree, cuts, most = laid_over(pieces, leads)
-        ends = np.append(cuts[1:], agree.shape[1])
-        symbols = agree[:, cuts] + np.arange(len(cuts)) * len(pieces) + self.next
-        self.next += len(cuts) * len(pieces)
-        shift = most - leads
-        first = np.searchsorted(cuts, shift)
-        last = np.searchsorted(cuts, shift + [len(p) for p in pieces])
-        for i in range(len(pieces)):
-            a, b = int(first[i]), int(last[i])
-            self.members.append((docs[i], places[i], int(shift[i]), cuts[a:b], ends[a:b], len(self.codes)))
-            self.codes += symbols[i, a:b].tolist()
-            self.codes.append(1)
-
-    def repeated(self) -> tuple[list[int], list[int], list[int]]:
-        """Doc, first window and number of windows of the repeated ranges of all members."""
-        order = suffixes.suffix_array(self.codes)
-        prefix = suffixes.common_prefixes(self.codes, order)
-        best = np.zeros(len(order), np.int64)
-        shared_with = np.array([*prefix, 0])
-        best[np.array(order, np.int64)] = np.maximum(shared_with[:-1], shared_with[1:])
-        docs, firsts, counts = [], [], []
-        for doc, place, shift, begin, end, at in self.members:
-            k = len(begin)
-            reach = np.minimum(best[at : at + k], k - np.arange(k))
-            for c in np.flatnonzero(reach):
-                # Starts in this run of columns whose window ends within the common prefix.
-                lo, hi = begin[c] - shift, min(end[c], end[c + reach[c] - 1] - self.length + 1) - shift
-                hi = min(hi, count_windows(place))
-                if hi > lo:
-                    docs.append(doc)
-                    firsts.append((int(place) & 0xFFFFFFFF) + int(lo) | (int(place) >> repeats.TAG << repeats.TAG))
-                    counts.append(int(hi - lo))
-        return docs, firsts, counts
-
-
-def count_windows(place) -> int:
-    return (int(place) >> repeats.COUNT) & 0xFF
-
-
-def compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated ranges of the segments of each key; rows arrive sorted by key.
-
-    A key's rows are held together until the next key comes; there are ``GROUP`` of them at most.
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.next, self.groups = 2, 0  # 1 ends a string
+
+    def add(self, group: np.ndarray, string: np.ndarray, symbol: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Symbols in order of groups and their strings; groups and symbols count from 0 in each call."""
+        if len(symbol):
+            self.parts.append((group + self.groups, string, symbol + self.next, begin, end))
+            self.next += int(symbol.max()) + 1
+            self.groups += int(group[-1]) + 1
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """String, first and one past the last column at which a repeated window starts."""
+        if not self.parts:
+            return (np.zeros(0, np.int64),) * 3
+        group, string, symbol, begin, end = map(np.concatenate, zip(*self.parts, strict=True))
+        n = len(symbol)
+        edges = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, n)
+        cuts = [0]
+        while cuts[-1] < n:
+            cuts.append(int(edges[min(np.searchsorted(edges, cuts[-1] + SYMBOLS), len(edges) - 1)]))
+        best = np.concatenate([longest(string[a:b], symbol[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        closes = np.append(np.flatnonzero(string[1:] != string[:-1]) + 1, n)
+        left = closes[np.searchsorted(closes, np.arange(n), side="right")] - np.arange(n)
+        reach = np.minimum(best, left)
+        upto = np.minimum(end, end[np.arange(n) + np.maximum(reach, 1) - 1] - self.length + 1)
+        good = (reach > 0) & (upto > begin)
+        return string[good], begin[good], upto[good]
+
+
+def longest(string: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Symbols that each place has in common with the same place of another string, at most."""
+    closes = np.flatnonzero(np.append(string[1:] != string[:-1], True))
+    at = np.arange(len(symbol)) + np.searchsorted(closes, np.arange(len(symbol)))
+    codes = np.ones(len(symbol) + len(closes), np.int64)
+    codes[at] = symbol
+    codes = codes.tolist()
+    order = suffixes.suffix_array(codes)
+    prefix = np.array([*suffixes.common_prefixes(codes, order), 0])
+    best = np.empty(len(codes), np.int64)
+    best[np.array(order)] = np.maximum(prefix[:-1], prefix[1:])
+    return best[at]
+
+
+def runs_of_equal(*columns: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal rows of sorted columns, and the number of rows."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def compare(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first window and number of windows of every repeated range; all rows of a key are here.
+
+    Windows of a key are told apart by the place of the anchor in them, ``CORE`` places at a time.
+    All windows of such a part contain its core of ``length - CORE + 1`` bytes, so only parts with
+    equal cores can have equal windows; a core that stands alone is done with. Parts that are equal
+    as a whole are repeated as a whole, different ones are sorted as suffixes.
     """
+    key = rows.column("key").to_numpy()
+    place = rows.column("place").to_numpy()
+    piece = rows.column("piece").combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(piece.buffers()[1], np.int64)[piece.offset : piece.offset + len(piece) + 1]
+    data = np.frombuffer(piece.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    lead, count = repeats.lead_of(place), repeats.count_of(place)
+    low, high = (lead - count + 1) // CORE, lead // CORE
+    row = np.repeat(np.arange(len(key)), high - low + 1)
+    part = arrays.ranges(low, high - low + 1)
+    least = np.maximum(part * CORE, (lead - count + 1)[row])
+    most = np.minimum(part * CORE + CORE - 1, lead[row])
+    anchor = offsets[row] + lead[row]
+    begin, end = anchor - most, anchor - least + length
+    hashes = arrays.Runs(arrays.BYTE_CODES[data])
+    core = hashes.hashes(anchor - part * CORE, anchor - part * CORE - CORE + 1 + length)
+    core = arrays.mix(core ^ arrays.mix(key.view(np.uint64)[row] + part.astype(np.uint64)))
+    whole = hashes.hashes(begin, end) ^ arrays.mix(most.astype(np.uint64))
+    order = np.lexsort((row, whole, core))
+    row, begin, end, most, core, whole = (x[order] for x in (row, begin, end, most, core, whole))
+    bounds = runs_of_equal(core)
+    keep = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
+    row, begin, end, most, core, whole = (x[keep] for x in (row, begin, end, most, core, whole))
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 3
+    equal = runs_of_equal(core, whole)
+    twice = np.repeat(np.diff(equal) > 1, np.diff(equal))
+    first = begin - offsets[row]
+    out = [(row[twice], first[twice], (end - begin - length + 1)[twice])]
+    one = equal[:-1]  # one of each kind is sorted
+    row, begin, end, most, core, first = (x[one] for x in (row, begin, end, most, core, first))
+    bounds = runs_of_equal(core)
+    sizes = np.diff(bounds)
+    inner = CORE - 1
+    middle = begin + (most % CORE)  # where the core begins
     sorter = Sorter(length)
-    key, docs, places, pieces = None, [], [], []
+    two = bounds[:-1][sizes == 2]
+    sorter.add(*pairs(data, begin, middle, middle + length - inner, end, two))
+    for a, b in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist(), strict=True):
+        strings = [data[x:y].tobytes() for x, y in zip(begin[a:b].tolist(), end[a:b].tolist(), strict=True)]
+        sorter.add(*several(strings, middle[a:b] - begin[a:b], a))
+    string, c0, c1 = sorter.repeated()
+    out.append((row[string], first[string] + c0, c1 - c0))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def pairs(data: np.ndarray, begin: np.ndarray, core: np.ndarray, core_end: np.ndarray, end: np.ndarray, at: np.ndarray):
+    """Symbols of groups of two strings, ``at`` and the next: what is equal around the core, the rest."""
+    x, y = at, at + 1
+    grown = []
+    for side, room in (
+        (-1, np.minimum(core[x] - begin[x], core[y] - begin[y])),
+        (1, np.minimum(end[x] - core_end[x], end[y] - core_end[y])),
+    ):
+        same, k = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for step in range(int(room.max(initial=0))):
+            k &= room > step
+            i = np.flatnonzero(k)
+            p, q = (core[x] - 1 - step, core[y] - 1 - step) if side < 0 else (core_end[x] + step, core_end[y] + step)
+            k[i] = data[p[i]] == data[q[i]]
+            same[k] += 1
+        grown.append(same)
+    string = np.stack([x, y], axis=1).ravel()
+    left, right = (np.repeat(g, 2) for g in grown)
+    a, b = core[string] - left - begin[string], core_end[string] + right - begin[string]
+    size = end[string] - begin[string]
+    group = np.repeat(np.arange(len(at)), 2)
+    own = np.arange(len(string))
+    symbol = np.stack([3 * own, np.repeat(3 * own[::2] + 1, 2), 3 * own + 2], axis=1)
+    first = np.stack([0 * a, a, b], axis=1)
+    last = np.stack([a, b, size], axis=1)
+    used = (last > first).ravel()
+    spread = [np.repeat(v, 3)[used] for v in (group, string)]
+    return *spread, symbol.ravel()[used], first.ravel()[used], last.ravel()[used]
+
+
+def several(strings: list[bytes], leads: np.ndarray, number: int):
+    """Symbols of one group of strings: runs of columns in which the same strings agree."""
+    agree, cuts, most = laid_over(strings, leads)
+    ends = np.append(cuts[1:], agree.shape[1])
+    m = len(strings)
+    shift = most - leads
+    sizes = np.array([len(s) for s in strings])
+    inside = (cuts >= shift[:, None]) & (ends <= (shift + sizes)[:, None])
+    symbol = (agree[:, cuts] + np.arange(len(cuts)) * m)[inside]
+    string = np.broadcast_to(np.arange(m)[:, None], inside.shape)[inside]
+    begin = (cuts[None, :] - shift[:, None])[inside]
+    end = (ends[None, :] - shift[:, None])[inside]
+    return np.zeros(len(symbol), np.int64), string + number, symbol, begin, end
 
-    def close() -> None:
-        if len(docs) > 1:
-            sorter.add(np.array(docs), np.array(places), pieces)
 
-    def flush() -> pa.RecordBatch:
-        doc, first, count = sorter.repeated()
-        sorter.clear()
-        packed = np.array(first, np.int64) | (np.array(count, np.int64) << repeats.COUNT)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(packed)], ["doc", "place"])
+def compared(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Repeated ranges of the segments of each key; rows arrive sorted by key.
+
+    Rows are worked on some megabytes at a time; those of one key stay together, ``GROUP`` at most.
+    """
+
+    def ready(rows: pa.Table) -> pa.RecordBatch:
+        row, first, count = compare(rows, length)
+        tag = rows.column("place").to_numpy()[row] >> repeats.TAG << repeats.TAG
+        start = repeats.first_of(rows.column("place").to_numpy()[row]) + first
+        return pa.RecordBatch.from_arrays(
+            [rows.column("doc").combine_chunks().take(pa.array(row)), pa.array(start | (count << repeats.COUNT) | tag)],
+            ["doc", "place"],
+        )
 
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for k, d, p, x in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "place", "piece")), strict=True):
-            if k != key:
-                close()
-                key, docs, places, pieces = k, [], [], []
-                if len(sorter.codes) > SYMBOLS:
-                    yield flush()
-            docs.append(d)
-            places.append(p)
-            pieces.append(x)
-    close()
-    if sorter.codes:
-        yield flush()
+        for some in shared.parts(batch):
+            held.append(some)
+            if sum(b.nbytes for b in held) < AT_ONCE:
+                continue
+            rows = pa.Table.from_batches(held)
+            key = rows.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if (key[:-1] <= key[1:]).all() else len(key)
+            if cut:
+                yield ready(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+    if held:
+        yield ready(pa.Table.from_batches(held))
 
 
 def removed(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
@@ -233,15 +339,15 @@ def covered_ranges(rows: DataFrame, length: int, group: int) -> DataFrame:
         lambda part: cut_out(part, length),
         "key long, doc long, place long, piece binary",
     )
-    compared = (
+    ranges = (
         pieces.repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(lambda batches: compare(batches, length), "doc long, place long")
+        .sortWithinPartitions("key", "doc", "place")
+        .mapInArrow(lambda batches: compared(batches, length), "doc long, place long")
     )
     crowded = repeats.sightings(asking(lambda x: x["others"] > group), lambda part: windows(part, length), False)
     single = repeats.judged(crowded, False).filter("covered").select("doc", "place")
     known = first.select("doc", F.explode(F.filter("found", lambda x: x["covered"])).alias("x")).select("doc", "x.place")
-    return repeats.by_row(known.unionByName(compared).unionByName(single))
+    return repeats.by_row(known.unionByName(ranges).unionByName(single))
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -251,8 +357,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> D
     or another; a row that is repeated counts as often as it stands. Null text is empty. Extra
     columns are ignored.
     """
-    if not 2 <= length < 255 + min(GRAM, length):
-        raise ValueError("a segment has 255 windows at most")
+    if not CORE <= length < 255 + GRAM:
+        raise ValueError("a segment has 255 windows at most, and a window the bytes of a core")
     rows = repeats.named(docs)
     texts = repeats.with_texts(rows, covered_ranges(rows, length, group), "left").select(
         F.when(F.col("doc") != repeats.NO_ID, F.col("doc")).alias("doc_id"), "text", "found"
