@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laneflow.llm import bpe, bytespans, chat, containment, lines, simhash, toxicity, wordspans
+from laneflow.llm import bpe, bytespans, chat, containment, lines, pii, simhash, toxicity, wordspans
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffixes": bytespans.op2_suffixes,
     "op3_chat": chat.op3_chat,
     "op4_line_frequency": lines.op4_line_frequency,
     "op5_containment": containment.op5_containment,
+    "op6_bilstm": pii.op6_bilstm,
     "op7_doubling": wordspans.op7_doubling,
     "op8_simhash": simhash.op8_simhash,
     "op9_weak_supervision": toxicity.op9_weak_supervision,
