@@ -22,6 +22,9 @@ from laneflow.llm.shared import F
 #: Kinds in the order of the results; tag k of the network is kind k - 1, tag 0 is no span.
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
+SECRET = 4
+#: Characters that a span neither begins nor ends with.
+EDGES = " \t\n\r,;:.#*$%&|<>!"
 WINDOW, OVERLAP = 448, 64
 HIDDEN, STEPS, BATCH, SEED = 6, 240, 192, 6
 #: Documents that training windows are taken from, windows of each, and their characters.
@@ -97,7 +100,7 @@ def invented(random: np.random.Generator) -> tuple[int, str]:
     if kind == 3:
         a, b, c = digits(3), digits(3), digits(4)
         return kind, random.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"00{digits(2)} {a} {b} {c}", f"{a}.{b}.{c}"])
-    hexa = letters(int(random.integers(16, 34)), "0123456789abcdef")
+    hexa = letters(int(random.integers(16, 42)), "0123456789abcdef")
     word = random.choice(["password", "token", "secret", "api_key", "passwd"])
     return kind, random.choice(
         ["AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), f"{word}={hexa}", f'{word} = "{hexa}"', f"{word}: {hexa}", "sk-" + letters(32, "abcdefghijklmnopqrstuvwxyz0123456789")]
@@ -218,9 +221,13 @@ def spans_of(texts: list[str], net: bilstm.Network) -> list[tuple[list, list]]:
         base = base_spans(text)
         added = []
         for kind, a, b in more:
-            while a < b and text[a] in " \t\n,;:.":
+            while kind == SECRET and a > 0 and not text[a - 1].isspace():  # keys are whole words
+                a -= 1
+            while kind == SECRET and b < len(text) and not text[b].isspace():
+                b += 1
+            while a < b and text[a] in EDGES:
                 a += 1
-            while a < b and text[b - 1] in " \t\n,;:.":
+            while a < b and text[b - 1] in EDGES:
                 b -= 1
             if plausible(kind, text[a:b]) and not any(x < b and a < y for _, x, y in base):
                 added.append((kind, a, b))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laneflow.llm import bpe, bytespans, chat, containment, lines, pii, simhash, toxicity, wordspans
+from laneflow.llm import bpe, bytespans, chat, containment, lines, pii, simhash, templates, toxicity, wordspans
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template": templates.op1_template,
     "op2_suffixes": bytespans.op2_suffixes,
     "op3_chat": chat.op3_chat,
     "op4_line_frequency": lines.op4_line_frequency,
