@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,7 @@ NEWER_LOWER = (
     (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 )
 LOWER = {i: x + i - a for a, b, x in NEWER_LOWER for i in range(a, b + 1) if chr(i).lower() == chr(i)}
-SCHEMA = "doc_id long, ids array<int>, decoded string"
+SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
 
 def byte_letters() -> list[str]:
@@ -255,7 +256,7 @@ def codec_of(shipped) -> Codec:
 
 
 def encode_decode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``doc_id, ids, decoded`` for every document.
+    """``doc_id, n_tokens, ids, decoded`` for every document.
 
     Null and empty texts have no ids and decode to the empty text. Nothing is truncated, rows
     repeat as they are repeated in the input, and extra columns are ignored.
@@ -267,13 +268,12 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in batches:
             for part in shared.parts(batch):
                 ids = [codec.encode(t) for t in shared.texts(part)]
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                flat = pa.array(np.frombuffer(b"".join(ids), np.uint32).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+                decoded = pa.array([codec.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([memoryview(x).cast("I").tolist() for x in ids], pa.list_(pa.int32())),
-                        pa.array([codec.decode(x) for x in ids], pa.string()),
-                    ],
-                    ["doc_id", "ids", "decoded"],
+                    [part.column("doc_id"), pa.array(sizes), lists, decoded], ["doc_id", "n_tokens", "ids", "decoded"]
                 )
 
     return shared.id_and_text(docs).mapInArrow(run, SCHEMA)
@@ -302,9 +302,11 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return shared.id_and_text(docs).mapInArrow(run, schema)
 
 
+def public_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary lies on the driver."""
+    return str(public_tokenizers.path(name))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded and decoded."""
-    import public_tokenizers
-
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return digests(shared.table(spark, sf_dir, "documents"), Vocabulary.read(str(path)))
+    return digests(shared.table(spark, sf_dir, "documents"), Vocabulary.read(public_path()))

@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from laneflow.llm import arrays, components, shared
 from laneflow.llm.shared import F
@@ -30,6 +30,8 @@ BLOCK = 32_768
 #: Comparisons made at once.
 AT_ONCE = 1 << 20
 LOW = 0x5555555555555555
+#: Stands for a null id, smaller than all others.
+NO_ID = -(1 << 63)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -40,7 +42,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def fingerprint_batch(part: pa.RecordBatch, shingle: int) -> pa.RecordBatch:
     out = [fingerprint_rows(data, offsets, shingle) for _, data, offsets in arrays.pieces(part)]
     values = np.concatenate(out) if out else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+    kept = [name for name in part.schema.names if name != "text"]
+    return pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(values)], [*kept, "fp"])
 
 
 def fingerprint_rows(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
@@ -141,6 +144,13 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, b
     ignored.
     """
     rows = shared.materialize(fingerprints(docs, shingle), "simhash")
+    named = rooted(rows, bits, block)
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(named.join(names, "root").select("fp", "component_id"), "fp")
+
+
+def rooted(rows: DataFrame, bits: int, block: int) -> DataFrame:
+    """``fp, least, root``: each fingerprint with its least ``doc_id`` and its component's least fingerprint."""
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = (
         cells(prints.select("fp"), bits, block)
@@ -148,11 +158,27 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, b
         .applyInArrow(lambda table: stars(table, bits), "a long, b long")
     )
     roots = components.components(edges)
-    named = prints.join(roots, F.col("fp") == F.col("node"), "left").select(
+    return prints.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(names, "root").select("fp", "component_id"), "fp")
+
+
+def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """The row of ``docs``, all columns, with the least ``doc_id`` of each component; of several such
+    rows the one with the least hash of all columns, once."""
+    keyed = docs.withColumns({"_row": F.xxhash64(*docs.columns), "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
+    rows = keyed.select(F.col("_doc").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = shared.materialize(
+        shared.per_batch(rows, lambda part: fingerprint_batch(part, shingle), "doc_id long, row long, fp long"), "simhash"
+    )
+    kept = (
+        rows.join(rooted(rows.select("doc_id", "fp"), bits, block), "fp")
+        .groupBy("root")
+        .agg(F.min(F.struct("doc_id", "row")).alias("x"))
+        .select(F.col("x.doc_id").alias("_doc"), F.col("x.row").alias("_row"))
+    )
+    same = Window.partitionBy("_doc", "_row").orderBy("_row")
+    return keyed.join(kept, ["_doc", "_row"], "left_semi").withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
