@@ -228,3 +228,23 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shared.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string")
     return digests(rows.unionByName(added))
+
+
+def _escapes(column: str) -> str:
+    patterns = (re.sub(r"([|\[\]])", r"\\\1", c[:-1]) + r"\\*" + re.sub(r"([|\[\]])", r"\\\1", c[-1]) for c in CONTROL)
+    return " + ".join(f"len(regexp_extract_all({column}, '{p}'))" for p in patterns)
+
+
+SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES {", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in ADDED)}
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(OPEN + ROLE_END + CLOSE)} + length(role) + length(text) + {_escapes("role")} + {_escapes("text")})::BIGINT
+    AS formatted_chars
+FROM t GROUP BY conv_id
+"""

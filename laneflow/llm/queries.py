@@ -21,4 +21,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
 }
 
-SQL: dict[str, str] = {"op5_containment": containment.SQL, "op4_line_frequency": lines.SQL}
+SQL: dict[str, str] = {
+    "op3_chat": chat.SQL,
+    "op4_line_frequency": lines.SQL,
+    "op5_containment": containment.SQL,
+    "op7_doubling": wordspans.SQL,
+}

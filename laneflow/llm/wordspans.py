@@ -120,3 +120,28 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op7_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated windows of 50 words over every whole text of ``documents``."""
     return deduplicated(shared.table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH w AS (
+  SELECT doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), h AS (
+  SELECT doc_id, words,
+    list_transform(range(1, len(words) - {WINDOW} + 2), lambda i: md5(array_to_string(words[i : i + {WINDOW} - 1], ' '))) AS hs
+  FROM w
+), starts AS (SELECT doc_id, unnest(hs) AS hash, unnest(range(1, len(hs) + 1)) AS i FROM h),
+least AS (SELECT hash, min(doc_id) AS least FROM starts GROUP BY hash),
+gone AS (
+  SELECT doc_id, list(DISTINCT i + k) AS gone
+  FROM starts JOIN least USING (hash), range(0, {WINDOW}) AS r(k) WHERE least < doc_id GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN words
+      ELSE list_transform(list_filter(range(1, len(words) + 1), lambda k: NOT list_contains(gone, k)), lambda k: words[k])
+    END AS kept
+  FROM h LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept
+"""
