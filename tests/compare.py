@@ -33,7 +33,7 @@ def difference(spark_df, con, sql) -> str | None:
     columns = sorted(relation.columns)
     if sorted(spark_df.columns) != columns:
         return f"columns {sorted(spark_df.columns)} != {columns}"
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     types = dict(zip(relation.columns, map(str, relation.types), strict=True))
     for name, kind in spark_df.dtypes:
         if kinds.get(kind, kind) != types[name]:
