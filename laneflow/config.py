@@ -102,6 +102,7 @@ class ExperimentConfig:
     with_ramp: bool
 
     def model_name(self, model: str, sections: int, features: int = 1) -> str:
+        # Fixed value: the order of the parts of a run's name.
         ramp = "w" if self.with_ramp else "wo"
         s = self.sample
         return f"{model}_{ramp}_{self.window_seconds:g}_{sections}_{s.history}_{features}_{s.skip}"

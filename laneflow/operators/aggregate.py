@@ -79,13 +79,24 @@ def extent(df: DataFrame, keys: tuple[str, ...] = SITE) -> DataFrame:
 def first_last(df: DataFrame, order: str, keys: tuple[str, ...] = SITE) -> DataFrame:
     """First and last row of each group by ``order``, without sorting the group.
 
-    One ``min_by``/``max_by`` per column keeps the aggregate hash-based; they all compare the same
-    ``order``, so the columns of one end come from one row.
+    Of several first rows the one with the least remaining columns, in their order, is taken; of
+    several last rows the one with the greatest. One hash aggregate finds the ends, and only rows at
+    an end are compared as a whole. Rows without ``order`` are never an end.
     """
+    rest = [c for c in df.columns if c not in keys and c != order]
+    whole = F.struct(order, *rest)
+    ends = df.groupBy(*keys).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    ends = ends.select(F.struct(*keys).alias("_at"), "_low", "_high")
+    at_end = df.withColumn("_at", F.struct(*keys)).join(ends, "_at")
+    at_end = at_end.filter((F.col(order) == F.col("_low")) | (F.col(order) == F.col("_high")))
+    picked = at_end.groupBy("_at").agg(
+        F.min(F.when(F.col(order) == F.col("_low"), whole)).alias("first"),
+        F.max(F.when(F.col(order) == F.col("_high"), whole)).alias("last"),
+    )
     columns = [c for c in df.columns if c not in keys]
-    ends = (("first", F.min_by), ("last", F.max_by))
-    return df.groupBy(*keys).agg(
-        *[pick(c, order).alias(f"{end}_{c}") for end, pick in ends for c in columns]
+    return picked.select(
+        *[F.col(f"_at.{k}").alias(k) for k in keys],
+        *[F.col(f"{end}.{c}").alias(f"{end}_{c}") for end in ("first", "last") for c in columns],
     )
 
 

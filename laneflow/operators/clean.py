@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date, datetime, timedelta
+from functools import reduce
+from operator import or_
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +85,7 @@ def hour_filter(
     ``ordered`` range-shuffles every point by time; leave it off in front of an aggregate.
     """
     hours = [hours] if isinstance(hours, int) else list(hours)
+    # The ten columns of the output contract.
     columns = ["location", "elapsed_time", "hour", "distance", "vehicle_id", "lane_id"]
     columns += ["v_vel", "v_acc", "lat", "lon"]
     out = df.filter(F.col("hour").isin(hours)).select(*columns)
@@ -94,10 +99,29 @@ def lane_filter(df: DataFrame, lane_id: int, ordered: bool = False) -> DataFrame
     return out.orderBy("elapsed_time") if ordered else out
 
 
-def snapshot(df: DataFrame, elapsed_ms: int) -> DataFrame:
-    """Every vehicle at one instant, with its position on the globe."""
+def on_days(df: DataFrame, days: Iterable[date], tz: str, offset_ms: int = 0) -> DataFrame:
+    """Points of the given local days, as ranges of the stored ``global_time``: the scan can skip
+    by them, which it can't by an hour or day that is derived from it."""
+    zone = ZoneInfo(tz)
+
+    def start(day: date) -> int:
+        return round(datetime(day.year, day.month, day.day, tzinfo=zone).timestamp() * 1000) + offset_ms
+
+    spans = [(start(d), start(d + timedelta(days=1))) for d in sorted(set(days))]
+    inside = [(F.col("global_time") >= a) & (F.col("global_time") < b) for a, b in spans]
+    return df.filter(reduce(or_, inside, F.lit(False)))
+
+
+def snapshot(df: DataFrame, elapsed_ms: int, origin_ms: int | None = None) -> DataFrame:
+    """Every vehicle at one instant, with its position on the globe.
+
+    With the ``origin_ms`` of the elapsed time the instant is a literal of the stored
+    ``global_time`` and reaches the scan.
+    """
     columns = ["location", "elapsed_time", "distance", "vehicle_id", "lane_id"]
     out = df.filter(F.col("elapsed_time") == elapsed_ms)
+    if origin_ms is not None:
+        out = out.filter(F.col("global_time") == F.lit(origin_ms + elapsed_ms))
     return out.select(*columns, "v_vel", "v_acc", "lat", "lon")
 
 

@@ -1,23 +1,10 @@
-"""Groups that are too large for one task: find them, collapse their equal rows, unfold them."""
+"""Counts of equal rows: split them into blocks and unfold them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laneflow.session import materialize
-
-
-def crowded_groups(df: DataFrame, keys: list[str | Column], limit: int) -> DataFrame:
-    """Groups of more than ``limit`` rows with their ``_size``, as a written table.
-
-    Runs one aggregate over the key columns. The table is usually empty, and its size on disk is
-    exact: Spark broadcasts it to the points when it is below the threshold and shuffles otherwise,
-    and drops the branch for crowded groups altogether when there are none.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    return materialize(sizes.filter(F.col("_size") > limit), "crowded")
-
 
 def copy_blocks(df: DataFrame, copies: str, block: int) -> DataFrame:
     """Split a count of equal rows into rows of at most ``block`` copies (``_block`` numbers them)."""

@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,29 +56,36 @@ BASELINES: dict[str, Callable[[Column, int], Column]] = {
 }
 
 
-def _batch_predict(
-    flat: pd.Series, factory: PredictorFactory, predictor: list, steps: int
-) -> pd.Series:
-    if not predictor:
-        predictor.append(factory())
-    out: list = [None] * len(flat)
-    known = np.flatnonzero(flat.notna().to_numpy())
-    if len(known):
-        stacked = np.stack([np.asarray(flat.iat[i], dtype="float64") for i in known])
-        result = np.asarray(predictor[0](stacked.reshape(len(known), steps, -1)))
-        for i, row in zip(known, result.reshape(len(known), -1), strict=True):
-            out[i] = row
-    return pd.Series(out, index=flat.index, dtype=object)
-
-
-def predicted(history: Column, factory: PredictorFactory, steps: int) -> Column:
-    """Apply a predictor to ``history`` (steps x cells) in Arrow batches; NULL stays NULL."""
+def _predict_batch(flat: pa.Array, predictor: Predictor, steps: int, outputs: int | None) -> pa.Array:
+    """Forecasts of one Arrow batch; the list values are one array, so rows need no loop."""
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    n = int(known.sum())
+    lengths = np.zeros(len(flat), np.int64)
+    values = np.zeros(0)
+    if n:
+        history = flat.flatten().to_numpy(zero_copy_only=False).reshape(n, steps, -1)
+        result = np.asarray(predictor(history), dtype="float64").reshape(n, -1)
+        if outputs is not None and result.shape[1] != outputs:
+            raise ValueError(f"the predictor gives {result.shape[1]} values a row, not {outputs}")
+        lengths[known] = result.shape[1]
+        values = result.ravel()
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~known))
+
+
+def predicted(
+    history: Column, factory: PredictorFactory, steps: int, outputs: int | None = None
+) -> Column:
+    """Apply a predictor to ``history`` (steps x cells) in Arrow batches; NULL stays NULL.
+
+    A predictor that doesn't give ``outputs`` values a row, where that is set, fails the job.
+    """
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        predictor: list = []
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        predictor = factory()
         for flat in batches:
-            yield _batch_predict(flat, factory, predictor, steps)
+            yield _predict_batch(flat, predictor, steps, outputs)
 
     return run(F.transform(F.flatten(history), lambda v: v.cast("double")))
 
@@ -90,22 +97,30 @@ def forecast_matrix(
     lanes: int,
     sections: int,
     unready: str = "zeros",
+    predict: int = 1,
 ) -> DataFrame:
-    """Rounded forecast per history, as a ``lanes x sections`` matrix; batch or stream.
+    """Rounded forecasts per history, one row per target ``step`` with a ``lanes x sections`` matrix.
 
-    ``history`` is steps x lanes x sections x 1. One shorter than ``steps`` gives a matrix of
-    zeros, or no row with ``unready="drop"``; the model never sees it.
+    Batch or stream. ``history`` is steps x lanes x sections x 1. One shorter than ``steps`` gives
+    matrices of zeros, or no row with ``unready="drop"``; the model never sees it. The predictor must
+    give ``predict * lanes * sections`` values.
     """
     ready = F.size("history") == steps
     if unready == "drop":
         df = df.filter(ready)
+    per_step = lanes * sections
     flat = F.transform(F.col("history"), lambda m: F.flatten(F.flatten(m)))
-    raw = predicted(F.when(ready, flat), factory, steps)
+    raw = predicted(F.when(ready, flat), factory, steps, predict * per_step)
     cells_int = F.transform(raw, lambda v: F.bround(v).cast("int"))
-    zeros = F.array_repeat(F.lit(0), lanes * sections)
-    return df.withColumn("_cells", cells_int).withColumn(
-        "prediction", cells.unflatten(F.coalesce("_cells", zeros), lanes, sections)
-    ).drop("_cells")
+    zeros = F.array_repeat(F.lit(0), predict * per_step)
+    whole = df.withColumn("_cells", cells_int).withColumn("_cells", F.coalesce("_cells", zeros))
+    by_step = F.transform(
+        F.sequence(F.lit(0), F.lit(predict - 1)),
+        lambda k: F.slice("_cells", k * F.lit(per_step) + F.lit(1), F.lit(per_step)),
+    )
+    return whole.select(*df.columns, F.posexplode(by_step).alias("step", "_flat")).withColumn(
+        "prediction", cells.unflatten(F.col("_flat"), lanes, sections)
+    ).drop("_flat")
 
 
 def with_truth(
@@ -118,8 +133,14 @@ def with_truth(
 def forecast_cells(
     df: DataFrame, lanes: int, sections: int, keys: tuple[str, ...] = ("location", "sample_id")
 ) -> DataFrame:
-    """Flat ``prediction`` and ``actual`` side by side, one row per target step, lane, section."""
-    pairs = F.arrays_zip("prediction", "actual")
+    """Flat ``prediction`` and ``actual`` side by side, one row per target step, lane, section.
+
+    A missing array, or two of different lengths, fail the query: a mean over what is there would
+    look better than the forecast is.
+    """
+    fits = F.size("prediction") == F.size("actual")
+    told = F.concat(F.lit("forecast and truth differ in length or are missing: "), F.to_json(F.struct(*keys)))
+    pairs = F.when(fits, F.arrays_zip("prediction", "actual")).otherwise(F.raise_error(told))
     exploded = df.select(*keys, F.posexplode(pairs).alias("pos", "pair"))
     per_step = lanes * sections
     in_grid = F.pmod(F.col("pos"), F.lit(per_step))
@@ -136,10 +157,14 @@ def forecast_cells(
 def error_metrics(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """MSE, MAE, MAPE, MAAPE and RMSE over all samples and cells, in one pass.
 
-    The arctangent error is pi/2 where only the truth is 0, and 0 where both are.
+    The arctangent error is pi/2 where only the truth is 0, and 0 where both are. A NULL forecast or
+    truth fails the query.
     """
     y = F.abs("actual")
-    error = F.abs(F.col("actual") - F.col("prediction"))
+    known = F.col("actual").isNotNull() & F.col("prediction").isNotNull()
+    error = F.when(known, F.abs(F.col("actual") - F.col("prediction"))).otherwise(
+        F.raise_error(F.lit("a forecast or its truth is missing")).cast("double")
+    )
     arctan = F.when(y != 0, F.atan(F.try_divide(error, y))).when(error == 0, 0.0)
     mse = F.avg(error * error)
     return df.groupBy(*keys).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneflow.config import SiteConfig
@@ -43,6 +43,16 @@ def dense_grid(
     )
 
 
+def empty_matrix(site: SiteConfig, with_ramp: bool = True, velocity_type: str = "int") -> Column:
+    """The matrix of a window without data: defaults in all cells."""
+    cell = F.struct(
+        F.lit(site.default_speed).cast(velocity_type).alias("vel"),
+        F.lit(0.0).alias("dens"),
+        F.lit(0.0).alias("acc"),
+    )
+    return F.array_repeat(F.array_repeat(cell, site.sections), site.lanes(with_ramp))
+
+
 def grid_cells(grids: DataFrame, sections: int, keys: tuple[str, ...] = WINDOW) -> DataFrame:
     """The same grid in long form, one row per window x lane x section; no join, no shuffle."""
     pos = F.col("pos")

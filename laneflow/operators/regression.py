@@ -1,113 +1,192 @@
-"""Per-cell speed regression on the lags of the history, fitted with ``pyspark.ml``."""
+"""Speed regression on the lags of the history: one ridge per site and target step.
+
+For each site, target step and shrinkage the model has a weight per lag and an offset per cell:
+``y = offset[cell] + sum(weight[j] * lag[j])``. Only the weights are shrunk. Every solution follows
+from sums over the train rows, which one pass adds up per batch before the shuffle; their size
+depends on the model and not on the data.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneflow.operators import forecast
 
+REG_PARAMS = (0.0, 0.01, 0.1)
+MODEL = ("location", "step")
+SUMS = "i int, j int, cell int, value double"
+WEIGHTS = "location string, step int, reg_param double, per_lag array<double>, per_cell array<double>"
+
 
 def lag_rows(inputs: DataFrame, per_step: int) -> DataFrame:
-    """One row per sample and target cell: the cell's own history and its true value."""
+    """One row per sample, target step and cell: the cell's own history and its true value.
+
+    Columns of ``inputs`` other than ``history`` and ``actual`` are kept.
+    """
     positions = F.sequence(F.lit(0), F.size("actual") - 1)
 
     def row(pos: Column) -> Column:
-        cell = F.pmod(pos, F.lit(per_step))
+        cell = F.pmod(pos, F.lit(per_step)).cast("int")
         lags = F.transform("history", lambda step: F.get(step, cell).cast("double"))
+        step = F.floor(pos / F.lit(per_step)).cast("int")
         actual = F.get("actual", pos).cast("double")
-        return F.struct(cell.cast("double").alias("cell"), lags.alias("lags"), actual.alias("y"))
+        return F.struct(step.alias("step"), cell.alias("cell"), lags.alias("lags"), actual.alias("actual"))
 
-    exploded = inputs.select(
-        "location", "sample_id", "split", F.explode(F.transform(positions, row)).alias("row")
-    )
-    return exploded.select(
-        "location",
-        "sample_id",
-        "split",
-        "row.cell",
-        array_to_vector("row.lags").alias("lags"),
-        F.col("row.y").alias("actual"),
+    kept = [c for c in inputs.columns if c not in ("history", "actual")]
+    exploded = inputs.select(*kept, F.explode(F.transform(positions, row)).alias("_row"))
+    return exploded.select(*kept, "_row.*")
+
+
+def _moments(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Sums of products of all pairs of (lags, y), and per cell of each of them with 1.
+
+    ``cell`` is -1 for the products; per cell ``i`` is the column and ``j`` -1, and ``i = j = -1``
+    counts. Each Arrow batch is summed up by matrix products before anything is shuffled.
+    """
+    names = [f.simpleString().replace(":", " ", 1) for f in rows.select(*keys).schema.fields]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lags = batch.column("lags")
+            x = lags.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = np.column_stack([x, batch.column("actual").to_numpy(zero_copy_only=False)])
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            frame = pd.DataFrame({k: batch.column(k).to_pylist() for k in keys})
+            for key, at in frame.groupby(list(keys), dropna=False, sort=False).indices.items():
+                own, cells = x[at], cell[at]
+                width = own.shape[1]
+                product = own.T @ own
+                found, place = np.unique(cells, return_inverse=True)
+                sums = np.zeros((len(found), width + 1))
+                np.add.at(sums, place, np.column_stack([own, np.ones(len(own))]))
+                i, j = np.divmod(np.arange(width * width), width)
+                per_cell = np.tile([*range(width), -1], len(found))
+                columns = {
+                    "i": np.concatenate([i, per_cell]),
+                    "j": np.concatenate([j, np.full(len(per_cell), -1)]),
+                    "cell": np.concatenate([np.full(len(i), -1), np.repeat(found, width + 1)]),
+                    "value": np.concatenate([product.ravel(), sums.ravel()]),
+                }
+                n = len(columns["i"])
+                key = key if isinstance(key, tuple) else (key,)
+                arrays = [pa.array([k] * n, batch.schema.field(c).type) for c, k in zip(keys, key, strict=True)]
+                arrays += [pa.array(columns[c], pa.int32()) for c in ("i", "j", "cell")]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(columns["value"])], [*keys, *columns])
+
+    moments = rows.select(*keys, "lags", "cell", "actual").mapInArrow(add_up, ", ".join([*names, SUMS]))
+    return moments.groupBy(*keys, "i", "j", "cell").agg(F.sum("value").alias("value"))
+
+
+def solve(sums: pd.DataFrame, per_step: int, reg_params: Iterable[float]) -> pd.DataFrame:
+    """Weights for each shrinkage from the sums of one site and step; cells without rows have none."""
+    product = sums[sums.cell == -1]
+    width = int(product.i.max()) + 1
+    gram = np.zeros((width, width))
+    gram[product.i, product.j] = product.value
+    per_cell = sums[sums.cell != -1]
+    totals = np.zeros((per_step, width + 1))
+    totals[per_cell.cell, per_cell.i] = per_cell.value  # i = -1, the count, is the last column
+    count = totals[:, -1]
+    mean = totals[:, :-1] / np.maximum(count, 1)[:, None]
+    within = gram - (mean * count[:, None]).T @ mean
+    rows = []
+    for reg_param in reg_params:
+        left = within[:-1, :-1] + reg_param * count.sum() * np.eye(width - 1)
+        weights = np.linalg.lstsq(left, within[:-1, -1], rcond=None)[0]
+        offsets = np.where(count > 0, mean[:, -1] - mean[:, :-1] @ weights, np.nan)
+        rows.append((reg_param, weights.tolist(), offsets.tolist()))
+    return pd.DataFrame(rows, columns=["reg_param", "per_lag", "per_cell"])
+
+
+def fitted(
+    rows: DataFrame, per_step: int, reg_params: Iterable[float] = REG_PARAMS, keys: tuple[str, ...] = MODEL
+) -> DataFrame:
+    """Weights of every model and shrinkage: ``keys``, ``reg_param``, ``per_lag``, ``per_cell``."""
+    reg_params = tuple(reg_params)
+    names = [f.simpleString().replace(":", " ", 1) for f in rows.select(*keys).schema.fields]
+    moments = _moments(rows.filter(F.col("split") == "train"), keys)
+
+    def run(key: tuple, sums: pd.DataFrame) -> pd.DataFrame:
+        out = solve(sums, per_step, reg_params)
+        for name, value in zip(keys, key, strict=True):
+            out[name] = value
+        return out[[*keys, "reg_param", "per_lag", "per_cell"]]
+
+    schema = ", ".join([*names, "reg_param double, per_lag array<double>, per_cell array<double>"])
+    return moments.groupBy(*keys).applyInPandas(run, schema)
+
+
+def predictions(rows: DataFrame, weights: DataFrame, keys: tuple[str, ...] = MODEL) -> DataFrame:
+    """``rows`` of :func:`lag_rows` with ``prediction`` by each of their models; column math."""
+    products = F.zip_with("lags", "per_lag", lambda lag, weight: lag * weight)
+    total = F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+    return (
+        rows.join(weights, list(keys))
+        .withColumn("prediction", total + F.get("per_cell", F.col("cell")))
+        .drop("per_lag", "per_cell")
     )
 
 
-WEIGHTS = "per_lag array<double>, per_cell array<double>"
+def chosen(rows: DataFrame, weights: DataFrame, keys: tuple[str, ...] = MODEL) -> DataFrame:
+    """Of each model the weights with the least validation error; of equal ones the least shrinkage.
+
+    A model without validation rows keeps its least shrinkage.
+    """
+    validation = predictions(rows.filter(F.col("split") == "validation"), weights, keys)
+    square = (F.col("actual") - F.col("prediction")) ** 2
+    loss = validation.groupBy(*keys, "reg_param").agg(F.avg(square).alias("_loss"))
+    ranked = weights.join(loss, [*keys, "reg_param"], "left")
+    order = F.struct(F.coalesce("_loss", F.lit(float("inf"))).alias("loss"), "reg_param")
+    best = ranked.groupBy(*keys).agg(F.min(order)["reg_param"].alias("reg_param"))
+    return weights.join(best, [*keys, "reg_param"])
 
 
 @dataclass
 class LagModel:
-    """A fitted regression and the shrinkage that did best on the validation samples."""
+    """Fitted weights: one row for each site and target step."""
 
-    encoder: OneHotEncoderModel
-    regression: LinearRegressionModel
-    reg_param: float
+    weights: DataFrame
     per_step: int
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """Add ``prediction`` to rows of :func:`lag_rows`; column math in the JVM."""
-        return self.regression.transform(_features(self.encoder, rows))
-
-    def weights(self) -> tuple[list[float], list[float]]:
-        """One weight per lag, and one offset per cell."""
-        weights = np.append(self.regression.coefficients.toArray(), 0.0)  # of the last cell
-        lags = len(weights) - self.per_step
-        return weights[:lags].tolist(), (weights[lags:] + self.regression.intercept).tolist()
+        """Add ``prediction`` to rows of :func:`lag_rows`."""
+        return predictions(rows, self.weights).drop("reg_param")
 
-    def predictor(self) -> forecast.PredictorFactory:
-        """The same model for :func:`forecast.predicted`, e.g. on a stream of histories."""
-        return _linear_predictor(*self.weights())
+    def predictor(self, location: str) -> forecast.PredictorFactory:
+        """One site's model for :func:`forecast.predicted`, e.g. on a stream of histories."""
+        return site_predictor(self.weights, location)
 
     def save(self, path: str) -> None:
-        spark = SparkSession.active()
-        row = spark.createDataFrame([self.weights()], WEIGHTS)
-        row.coalesce(1).write.mode("overwrite").json(path)
-
-
-def _features(encoder: OneHotEncoderModel, rows: DataFrame) -> DataFrame:
-    assembler = VectorAssembler(inputCols=["lags", "cell_vec"], outputCol="features")
-    return assembler.transform(encoder.transform(rows))
+        self.weights.select("location", "step", "reg_param", "per_lag", "per_cell").coalesce(
+            1
+        ).write.mode("overwrite").json(path)
 
 
 def fit(
-    rows: DataFrame, per_step: int, reg_params: Iterable[float] = (0.0, 0.01, 0.1)
+    rows: DataFrame, per_step: int, reg_params: Iterable[float] = REG_PARAMS
 ) -> LagModel:
-    """Fit on the train samples, keep the shrinkage with the least validation error.
+    """Fit on the train samples, keep per model the shrinkage with the least validation error."""
+    weights = fitted(rows, per_step, reg_params)
+    return LagModel(chosen(rows, weights), per_step)
 
-    One model for all sites: a weight per lag and an offset per cell, the last cell being the base
-    the others are measured from, so that the normal equations have one solution.
 
-    Each candidate is one distributed pass with a matrix of ``history + cells`` columns squared.
-    Write ``rows`` first, so that the passes do not recompute the aggregates behind them.
-    """
-    encoder = OneHotEncoder(inputCol="cell", outputCol="cell_vec").fit(rows)
-    train = _features(encoder, rows.filter(F.col("split") == "train"))
-    validation = rows.filter(F.col("split") == "validation")
-    best: tuple[float, LagModel] | None = None
-    for reg_param in reg_params:
-        regression = LinearRegression(
-            featuresCol="features", labelCol="actual", regParam=reg_param, solver="normal"
-        ).fit(train)
-        model = LagModel(encoder, regression, reg_param, per_step)
-        loss = forecast.error_metrics(model.transform(validation)).head()["mse"]
-        loss = float("inf") if loss is None else loss
-        if best is None or loss < best[0]:
-            best = (loss, model)
-    return best[1]
-
-
-def _linear_predictor(per_lag: list[float], per_cell: list[float]) -> forecast.PredictorFactory:
-    lag_weights, cell_offsets = np.asarray(per_lag), np.asarray(per_cell)
-    return lambda: lambda batch: np.einsum("nhc,h->nc", batch, lag_weights) + cell_offsets
-
-
-def load_predictor(spark: SparkSession, path: str) -> forecast.PredictorFactory:
-    """Predictor of a model written with :meth:`LagModel.save`; one row of weights."""
-    row = spark.read.schema(WEIGHTS).json(path).head()
-    return _linear_predictor(row["per_lag"], row["per_cell"])
+def site_predictor(weights: DataFrame, location: str) -> forecast.PredictorFactory:
+    """Predictor from the weights of one site: one row per target step."""
+    rows = weights.filter(F.col("location") == location).orderBy("step").collect()
+    if not rows or [r.step for r in rows] != list(range(len(rows))):
+        raise ValueError(f"no complete model for {location!r}")
+    per_lag = np.array([r.per_lag for r in rows])
+    per_cell = np.array([r.per_cell for r in rows])
+    return lambda: lambda batch: (np.einsum("nhc,sh->nsc", batch, per_lag) + per_cell).reshape(len(batch), -1)
+
+
+def load_predictor(spark: SparkSession, path: str, location: str) -> forecast.PredictorFactory:
+    """Predictor of one site of a model written with :meth:`LagModel.save`."""
+    return site_predictor(spark.read.schema(WEIGHTS).json(path), location)

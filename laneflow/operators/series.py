@@ -7,6 +7,8 @@ frames run per chunk of the series with the few rows that reach over the boundar
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,43 @@ from laneflow.config import SampleConfig
 SITE = ("location",)
 
 
+def gap_filled(
+    grids: DataFrame,
+    default: Column,
+    keys: tuple[str, ...] = SITE,
+    order: str = "time_window",
+    payload: str = "matrix",
+) -> DataFrame:
+    """The series with a row for every missing window between a site's windows, ``payload`` default.
+
+    The gap behind a window is as long as the next one is away: one window per site over
+    (``order``) of the narrow keys, and one ``explode``; nothing is joined.
+    """
+    # Ends of the series are found like any other, per block, so that no site is sorted in one task.
+    block = F.floor(F.col(order) / F.lit(4096))
+    placed = grids.select(*keys, order, payload).withColumn("_block", block)
+    heads = placed.groupBy(*keys, "_block").agg(F.min(order).alias("_head")).select(
+        F.struct(*keys).alias("_at"),
+        F.col("_block"),
+        F.lead("_head").over(Window.partitionBy(*keys).orderBy("_block")).alias("_next_head"),
+    )
+    inside = F.lead(order).over(Window.partitionBy(*keys, "_block").orderBy(order))
+    ahead = (
+        placed.withColumn("_next", inside)
+        .withColumn("_at", F.struct(*keys))
+        .join(heads, ["_at", "_block"])
+        .withColumn("_next", F.coalesce("_next", "_next_head", F.col(order) + 1))
+    )
+    filled = ahead.select(
+        *keys,
+        F.col(order).alias("_own"),
+        F.explode(F.sequence(F.col(order), F.col("_next") - 1)).alias(order),
+        payload,
+    )
+    own = F.col(order) == F.col("_own")
+    return filled.select(*keys, order, F.when(own, F.col(payload)).otherwise(default).alias(payload))
+
+
 def series_index(
     grids: DataFrame, keys: tuple[str, ...] = SITE, order: str = "time_window", block: int = 4096
 ) -> DataFrame:
@@ -61,30 +100,56 @@ def samples(
     ``num_windows`` bounds the series (its length by default);
     ``drop_last`` leaves out the last possible sample, as the study's loop bound does.
     """
-    h, gap, span = config.history, config.history + config.skip, config.span
-    chunk = max(chunk, span)
+    return samples_by_skip(
+        series, config, [config.skip], num_windows, keys, order, payload, chunk, drop_last
+    ).drop("skip")
+
+
+def samples_by_skip(
+    series: DataFrame,
+    config: SampleConfig,
+    skips: Iterable[int],
+    num_windows: int | None = None,
+    keys: tuple[str, ...] = SITE,
+    order: str = "time_window",
+    payload: str = "matrix",
+    chunk: int = 1024,
+    drop_last: bool = True,
+) -> DataFrame:
+    """The samples of several gaps in one pass, told apart by ``skip``: they share their histories."""
+    h, predict, skips = config.history, config.predict, sorted(set(skips))
+    widest = h + skips[-1] + predict
+    chunk = max(chunk, widest)
     idx = F.col("idx")
     home = F.floor(idx / F.lit(chunk))
-    reaches_back = (F.pmod(idx, F.lit(chunk)) < span - 1) & (home > 0)
+    reaches_back = (F.pmod(idx, F.lit(chunk)) < widest - 1) & (home > 0)
     copies = F.when(reaches_back, F.array(home, home - 1)).otherwise(F.array(home))
 
     usable = F.col("series_len")
     if num_windows is not None:
         usable = F.least(usable, F.lit(num_windows).cast("bigint"))
-    total = F.greatest(usable - F.lit(span if drop_last else span - 1), F.lit(0))
 
     ahead = Window.partitionBy(*keys, "_chunk").orderBy("idx")
     step = F.collect_list(F.struct(order, payload))
+
+    def gap(skip: int) -> Column:
+        span = h + skip + predict
+        total = F.greatest(usable - F.lit(span if drop_last else span - 1), F.lit(0))
+        target = step.over(ahead.rowsBetween(h + skip, span - 1))
+        return F.struct(F.lit(skip).alias("skip"), total.alias("num_samples"), target.alias("target"))
+
     framed = series.withColumn("_chunk", F.explode(copies)).select(
         *keys,
         "idx",
         "_chunk",
-        total.alias("num_samples"),
         step.over(ahead.rowsBetween(0, h - 1)).alias("history"),
-        step.over(ahead.rowsBetween(gap, span - 1)).alias("target"),
+        F.array(*[gap(skip) for skip in skips]).alias("_gaps"),
+    )
+    own = framed.filter(home == F.col("_chunk")).select(
+        *keys, idx.alias("sample_id"), "history", F.explode("_gaps").alias("_gap")
     )
-    return framed.filter((home == F.col("_chunk")) & (idx < F.col("num_samples"))).select(
-        *keys, idx.alias("sample_id"), "num_samples", "history", "target"
+    return own.filter(F.col("sample_id") < F.col("_gap.num_samples")).select(
+        *keys, "sample_id", "_gap.num_samples", "_gap.skip", "history", "_gap.target"
     )
 
 

@@ -15,7 +15,7 @@ from laneflow.operators import aggregate, clean, forecast, grid, regression, seg
 from laneflow.plans import telemetry as tel
 from laneflow.plans import training
 from laneflow.plans.replay import Replay
-from laneflow.session import fresh_path, materialize
+from laneflow.session import fresh_path, materialize, state_width
 from laneflow.sources import files, topics
 from laneflow.streaming import realtime, stages
 
@@ -26,6 +26,9 @@ SITE = tel.SITE
 DAILY = tel.DAILY
 SAMPLE = SampleConfig(history=6, skip=1, predict=1)
 SAMPLE_SKIP2 = replace(SAMPLE, skip=2)
+SAMPLE_PREDICT2 = replace(SAMPLE, predict=2)
+# A range of 20 whole days inside the events, for operators that are bounded by it.
+BOUNDED = WindowConfig(seconds=tel.DAY_S, start=1_704_412_800, end=1_704_412_800 + 20 * tel.DAY_S)
 PACIFIC = "America/Los_Angeles"
 NOON = 1_705_320_000_000  # 2024-01-15 12:00 UTC
 NOON_SPAN = (NOON, NOON + tel.HOUR_MS)
@@ -183,7 +186,7 @@ def csv_roundtrip(spark, sf_dir):
 
 @query
 def trajectory_segments(spark, sf_dir):
-    out = segments.trajectory_segments(tel.points(spark, sf_dir), bucket_ms=tel.DAY_S * 1000)
+    out = segments.trajectory_segments(tel.points(spark, sf_dir), bucket_ms=tel.HOUR_MS)
     return _doubles(out.withColumns({d: F.round(d, 6) for d in ("d0", "d1")}), "v_vel")
 
 
@@ -253,9 +256,8 @@ def extent(spark, sf_dir):
 
 @query
 def first_last_row(spark, sf_dir):
-    rows = tel.points(spark, sf_dir).select(
-        "location", "elapsed_time", "event_id", "vehicle_id", "lane_id"
-    )
+    """Ends of each site by hourly frame: many points share one."""
+    rows = tel.frames(spark, sf_dir).select("location", "elapsed_time", "lane_id", "vehicle_id", "event_id")
     return aggregate.first_last(rows, "elapsed_time")
 
 
@@ -328,8 +330,23 @@ def samples_skip2(spark, sf_dir):
 
 
 @query
-def chrono_split(spark, sf_dir):
-    return _samples(spark, sf_dir).select(
+def samples_predict2(spark, sf_dir):
+    """Samples with two target windows."""
+    return _long_samples(spark, sf_dir, SAMPLE_PREDICT2)
+
+
+@query
+def series_gap_fill(spark, sf_dir):
+    """The series with a grid of defaults for every window that a site has no data for."""
+    windows = _windows(spark, sf_dir).filter(F.col("time_window") % 7 < 5)
+    grids = materialize(grid.dense_grid(windows, SITE), "grids")
+    filled = series.gap_filled(grids, grid.empty_matrix(SITE))
+    ranked = series.series_index(materialize(filled, "filled"), block=8)
+    return grid.grid_cells(ranked, SITE.sections, (*grid.WINDOW, "idx", "series_len"))
+
+
+def _split_rows(samples):
+    return samples.select(
         "location",
         "sample_id",
         "num_samples",
@@ -339,6 +356,20 @@ def chrono_split(spark, sf_dir):
     )
 
 
+@query
+def chrono_split(spark, sf_dir):
+    return _split_rows(_samples(spark, sf_dir))
+
+
+@query
+def chrono_split_bounded(spark, sf_dir):
+    """The split of a bounded range: its number of windows limits the samples."""
+    grids = training.window_grids(_sections(spark, sf_dir), SITE, BOUNDED)
+    bounded = replace(BOUNDED, end=BOUNDED.end - 5 * tel.DAY_S)
+    samples = training.sample_set(materialize(grids, "grids"), SAMPLE, bounded.num_windows)
+    return _split_rows(samples)
+
+
 @query
 def realtime_split(spark, sf_dir):
     labelled = series.chrono_split(_samples(spark, sf_dir), realtime=True)
@@ -371,10 +402,19 @@ def forecast_history_mean(spark, sf_dir):
 def forecast_udf(spark, sf_dir):
     """The persistence forecast made by a loaded predictor instead of column math."""
     test = _inputs(spark, sf_dir).filter(F.col("split") == "test")
-    guess = forecast.predicted(F.col("history"), last_window_predictor, SAMPLE.history)
-    predictions = test.select("location", "sample_id", guess.alias("prediction"))
-    aligned = forecast.with_truth(predictions, test)
-    return forecast.forecast_cells(aligned, SITE.lanes(), SITE.sections)
+    per_step = SITE.lanes() * SITE.sections
+    guess = forecast.predicted(F.col("history"), last_window_predictor, SAMPLE.history, per_step)
+    scored = test.select("location", "sample_id", guess.alias("prediction"), "actual")
+    return forecast.forecast_cells(scored, SITE.lanes(), SITE.sections)
+
+
+@query
+def forecast_with_truth(spark, sf_dir):
+    """Written forecasts joined to the truth that became known after them."""
+    inputs = materialize(_inputs(spark, sf_dir).filter(F.col("split") == "test"), "inputs")
+    guess = forecast.persistence(F.col("history"))
+    made = materialize(inputs.select("location", "sample_id", guess.alias("prediction")), "forecasts")
+    return forecast.forecast_cells(forecast.with_truth(made, inputs), SITE.lanes(), SITE.sections)
 
 
 def last_window_predictor() -> forecast.Predictor:
@@ -382,6 +422,21 @@ def last_window_predictor() -> forecast.Predictor:
     return lambda batch: batch[:, -1, :]
 
 
+def mean_of_two_predictor() -> forecast.Predictor:
+    """Halves of whole numbers, so that rounding has ties."""
+    return lambda batch: batch[:, -2:, :].mean(axis=1)
+
+
+@query
+def forecast_metrics_predict2(spark, sf_dir):
+    """Baselines over two target windows."""
+    scored = training.baseline_cells(
+        _inputs(spark, sf_dir, SAMPLE_PREDICT2), forecast.BASELINES, SITE.lanes(), SITE.sections, 2
+    )
+    metrics = forecast.error_metrics(scored, ("location", "model", "step"))
+    return _significant_metrics(metrics.withColumnRenamed("model", "model_name"))
+
+
 @query
 def forecast_metrics(spark, sf_dir):
     scored = _baseline_cells(spark, sf_dir, *forecast.BASELINES)
@@ -412,32 +467,34 @@ def metrics_log(spark, sf_dir):
 
 @query
 def forecast_regression(spark, sf_dir):
+    """The regression with its choice of shrinkage under all parameter sets."""
     sections = materialize(_sections(spark, sf_dir), "sections")
-    return training.run_experiments(sections, SITE, SWEEP[:1], models=("regression",))
+    return _significant_metrics(training.run_experiments(sections, SITE, SWEEP))
 
 
 @query
 def forecast_regression_lag1(spark, sf_dir):
-    """Least squares on one lag and the cell's offset, test samples only."""
+    """Least squares on one lag and the cell's offset for each site, test samples only."""
     return _least_squares(spark, sf_dir, SampleConfig(history=1, skip=1, predict=1))
 
 
 @query
 def forecast_regression_lags(spark, sf_dir):
-    """Least squares on all six lags and the cell's offset, test samples only."""
+    """Least squares on all six lags and the cell's offset for each site, test samples only."""
     return _least_squares(spark, sf_dir, SAMPLE)
 
 
-def _least_squares(spark, sf_dir, config):
+def _least_squares(spark, sf_dir, config, *more):
     inputs = _inputs(spark, sf_dir, config)
     per_step = SITE.lanes() * SITE.sections
     rows = materialize(regression.lag_rows(inputs, per_step), "lag-rows")
     model = regression.fit(rows, per_step, reg_params=(0.0,))
     scored = model.transform(rows.filter(F.col("split") == "test"))
-    cell = F.col("cell").cast("int")
+    cell = F.col("cell")
     return scored.select(
         "location",
         "sample_id",
+        *more,
         cells.lane_of(cell, SITE.sections).alias("lane_id"),
         cells.section_of(cell, SITE.sections).alias("section_id"),
         F.round("prediction", 5).alias("prediction"),
@@ -445,6 +502,12 @@ def _least_squares(spark, sf_dir, config):
     )
 
 
+@query
+def forecast_regression_predict2(spark, sf_dir):
+    """Least squares with a model of its own for each of two target windows."""
+    return _least_squares(spark, sf_dir, SampleConfig(history=1, skip=1, predict=2), "step")
+
+
 # --- messages and streams -----------------------------------------------------------------------
 
 
@@ -593,6 +656,30 @@ def stream_forecast(spark, sf_dir):
     return cells_out.withColumnRenamed("vel", "prediction")
 
 
+@query
+def stream_json_forecast(spark, sf_dir):
+    """The second job on its own: window messages in, a processing-time trigger, JSON files out."""
+    points = tel.frames(spark, sf_dir)
+    producer = Replay(
+        spark, "producer", lambda m: topics.encode_matrices(realtime.matrix_stream(m, REALTIME))
+    )
+    producer.run(topics.frames_to_messages(points))
+    path, checkpoint = fresh_path(spark, "forecast-json"), fresh_path(spark, "forecast-checkpoint")
+    with state_width(spark, spark.sparkContext.defaultParallelism):
+        job = realtime.start_second_job(
+            topics.read_stream(spark, "parquet", producer.sink), REALTIME, mean_of_two_predictor,
+            path, checkpoint, {"processingTime": "1 second"},
+        )
+    job.processAllAvailable()
+    job.stop()
+    schema = (
+        "location string, global_time long, target_start long, step int, prediction array<array<int>>"
+    )
+    out = spark.read.schema(schema).json(path).withColumn("prediction", F.array("prediction"))
+    cells_out = _matrix_cells(out, ("location", "global_time", "target_start", "step"), "prediction")
+    return cells_out.withColumnRenamed("vel", "prediction")
+
+
 @query
 def stream_two_stage(spark, sf_dir):
     """Two checkpointed jobs joined by a topic, each stopped and restarted half-way."""

@@ -1,6 +1,9 @@
 """Jobs to submit: section table, training sweep, replay, and the two real-time jobs.
 
-    spark-submit ... -m laneflow.plans.jobs sections --raw s3a://.../trajectories --out ...
+    spark-submit --py-files laneflow.zip run_job.py sections --raw s3a://.../trajectories --out ...
+
+``fit`` saves the parameters of the site, windows and samples with the weights; the real-time jobs
+take theirs from the model, and fail where a flag says otherwise.
 """
 
 from __future__ import annotations
@@ -12,19 +15,28 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laneflow.config import EXPERIMENTS, SiteConfig, WindowConfig
+from laneflow.config import EXPERIMENTS, SampleConfig, SiteConfig, WindowConfig
 from laneflow.operators import aggregate, clean, regression
 from laneflow.plans import training
-from laneflow.session import materialize, pin
+from laneflow.session import cluster_conf, materialize, pin, release
 from laneflow.sources import files, topics
 from laneflow.streaming import realtime
 
 
+#: Speeds as decimals: sums are exact, so means don't depend on the order of the rows.
+EXACT = "decimal(18,6)"
+
+
+def exact(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast(EXACT) for c in columns})
+
+
 def site_points(
     raw: DataFrame, site: SiteConfig, hours: Sequence[int], in_mph: bool = False
 ) -> DataFrame:
     """Clean points of a site within the given local hours, elapsed from its first frame."""
-    return clean.hour_filter(clean.clean_points(raw, site, in_mph), hours, site.site_offset_ms)
+    points = exact(clean.clean_points(raw, site, in_mph), "v_vel", "v_acc")
+    return clean.hour_filter(points, hours, site.site_offset_ms)
 
 
 def measured(points: DataFrame, site: SiteConfig) -> tuple[SiteConfig, int]:
@@ -46,7 +58,8 @@ def build_sections(
     points = site_points(files.read_trajectories(spark, raw_path, fmt), site, hours, in_mph)
     source = "mph" if in_mph else "raw"
     path = files.section_path(out, site, source, tuple(hours))
-    return files.section_table(aggregate.section_agg(points, site), path)
+    table = files.section_table(aggregate.section_agg(points, site), path)
+    return exact(table, "avg_vel", "avg_acc")
 
 
 def train(
@@ -75,28 +88,41 @@ def fit_for_stream(
     rows = materialize(regression.lag_rows(inputs, per_step), "lag-rows")
     model = regression.fit(rows, per_step)
     model.save(path)
+    told = sections.sparkSession.createDataFrame([(config.to_json(),)], "value string")
+    told.coalesce(1).write.mode("overwrite").text(parameters_path(path))
     return model
 
 
+def parameters_path(model: str) -> str:
+    return f"{model}.parameters"
+
+
+def saved_config(spark: SparkSession, model: str) -> realtime.RealtimeConfig:
+    """The parameters that a saved model was fitted with."""
+    return realtime.RealtimeConfig.from_json(spark.read.text(parameters_path(model)).head().value)
+
+
 def transmit(
     points: DataFrame,
     start_ms: int,
     end_ms: int,
     fmt: str,
     path: str | None = None,
-    slice_ms: int | None = None,
+    slice_ms: int | None = 10_000,
+    parts: int = 1,
     **options: str,
 ) -> None:
     """Publish the frames of a time range, silent ones included, to a topic.
 
-    Tasks write in parallel, so one write keeps no order. With ``slice_ms`` the range is published
-    slice after slice: a consumer whose watermark waits that long drops nothing. The messages are
-    encoded once and lie sorted by time, so that a slice reads its own part of them only.
+    Tasks write in parallel, so one write keeps no order. The range is published slice after slice:
+    a consumer whose watermark waits ``slice_ms`` drops nothing. The messages are encoded once and
+    lie sorted by time, so that a slice reads its own part of them only. Without ``slice_ms`` all go
+    out in one write, for a consumer that reads them when they are all there.
     """
     spark = points.sparkSession
     inside = points.filter(F.col("global_time").between(start_ms, end_ms))
     clock = topics.frame_clock(spark, start_ms, end_ms)
-    messages = topics.frames_to_messages(inside, clock)
+    messages = topics.frames_to_messages(inside, clock, parts)
     starts = [start_ms]
     if slice_ms is not None:
         by_time = messages.repartitionByRange("global_time").sortWithinPartitions("global_time")
@@ -123,14 +149,25 @@ def _sink(args: argparse.Namespace, topic: str) -> dict[str, str]:
     return {"path": topic}
 
 
+#: Flags that change what a model's weights mean: name, type, and where it is kept.
+SITE_FLAGS = {"location": str, "max_dist": float, "splits": int}
+SAMPLE_FLAGS = {"window_ms": int, "history": int, "skip": int, "predict": int}
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="laneflow")
+    parser.add_argument("--executors", type=int, help="with --cores: size the session for a cluster")
+    parser.add_argument("--cores", type=int)
+    parser.add_argument("--largest-shuffle", type=int, default=0, help="bytes")
     jobs = parser.add_subparsers(dest="job", required=True)
 
     def job(name: str, *options: str) -> argparse.ArgumentParser:
         sub = jobs.add_parser(name)
         for option in options:
             sub.add_argument(f"--{option}", required=True)
+        for flag, kind in (SITE_FLAGS | SAMPLE_FLAGS).items():
+            sub.add_argument(f"--{flag.replace('_', '-')}", type=kind)
+        sub.add_argument("--with-ramp", action=argparse.BooleanOptionalAction)
         return sub
 
     for name, options in (
@@ -144,50 +181,77 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_argument("--in-mph", action="store_true")
         sub.add_argument("--start", type=float, default=45)
         sub.add_argument("--end", type=float)
-        sub.add_argument("--max-dist", type=float)
     sub = job("transmit", "raw", "topic")
     sub.add_argument("--start-ms", type=int, required=True)
     sub.add_argument("--end-ms", type=int, required=True)
-    sub.add_argument("--slice-ms", type=int, help="publish in time order, slice after slice")
-    for sub in (
-        sub,
-        job("aggregate", "source", "topic", "checkpoint"),
-        job("forecast", "topic", "out", "checkpoint", "model"),
-    ):
+    sub.add_argument("--slice-ms", type=int, default=10_000, help="publish in time order, slice after slice")
+    sub.add_argument("--unordered", action="store_true", help="publish everything in one write")
+    sub.add_argument("--parts", type=int, default=1, help="messages that a frame is dealt to")
+    aggregate_job = job("aggregate", "source", "topic", "checkpoint")
+    aggregate_job.add_argument("--model", help="take the parameters of this model")
+    for sub in (sub, aggregate_job, job("forecast", "topic", "out", "checkpoint", "model")):
         sub.add_argument("--format", default="kafka")
         sub.add_argument("--servers", default="localhost:9092")
         sub.add_argument("--available-now", action="store_true")
     return parser
 
 
-def _batch(spark: SparkSession, args: argparse.Namespace, site: SiteConfig) -> None:
-    end = args.end
-    if args.max_dist:
-        site = replace(site, max_dist=args.max_dist)
-    elif end is None:
+def _flags(args: argparse.Namespace) -> tuple[dict, dict]:
+    """The site's and the other parameters that were given on the command line."""
+    given = {k: v for k, v in vars(args).items() if v is not None}
+    site = {k: given[k] for k in SITE_FLAGS if k in given}
+    return site, {k: given[k] for k in (*SAMPLE_FLAGS, "with_ramp") if k in given}
+
+
+def job_config(spark: SparkSession, args: argparse.Namespace) -> realtime.RealtimeConfig:
+    """Parameters of a job: of the model it uses, if any, or the defaults with the given flags."""
+    site, rest = _flags(args)
+    if getattr(args, "model", None) and args.job != "fit":
+        config = saved_config(spark, args.model)
+        wrong = [k for k, v in site.items() if getattr(config.site, k) != v]
+        wrong += [k for k, v in rest.items() if getattr(config, k) != v]
+        if wrong:
+            raise ValueError(f"the model was fitted with another {', '.join(wrong)}")
+        return config
+    config = realtime.RealtimeConfig()
+    return replace(config, site=replace(config.site, **site), **rest)
+
+
+def _batch(spark: SparkSession, args: argparse.Namespace, config: realtime.RealtimeConfig) -> None:
+    """The largest distance and the end of the range are measured where they aren't given."""
+    site, end = config.site, args.end
+    if args.max_dist is None or end is None:
         raw = files.read_trajectories(spark, args.raw, args.raw_format)
-        site, end = measured(site_points(raw, site, args.hours, args.in_mph), site)
-    window = WindowConfig(start=args.start, end=end)
+        found, last = measured(site_points(raw, site, args.hours, args.in_mph), site)
+        site = found if args.max_dist is None else site
+        end = last if end is None else end
+    window = WindowConfig(seconds=config.window_ms / 1000, start=args.start, end=end)
     sections = build_sections(
         spark, args.raw, args.out, site, args.hours, args.raw_format, args.in_mph
     )
     if args.job == "train":
         train(sections, site, window, args.log)
     elif args.job == "fit":
-        fit_for_stream(sections, realtime.RealtimeConfig(site=site), window, args.model)
+        SampleConfig(config.history, config.skip, config.predict).num_samples(window.num_windows)
+        fit_for_stream(sections, replace(config, site=site), window, args.model)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
     args = _parser().parse_args(argv)
-    spark = pin(SparkSession.builder.appName(f"laneflow-{args.job}").getOrCreate())
-    site = SiteConfig()
-    config = realtime.RealtimeConfig(site=site)
+    builder = SparkSession.builder.appName(f"laneflow-{args.job}")
+    if args.executors and args.cores:
+        builder = builder.config(map=cluster_conf(args.executors, args.cores, args.largest_shuffle))
+    spark = pin(builder.getOrCreate())
+    config = job_config(spark, args)
     if args.job in ("sections", "train", "fit"):
-        _batch(spark, args, site)
+        _batch(spark, args, config)
     elif args.job == "transmit":
         points = files.read_replay_points(spark, args.raw)
-        sink = _sink(args, args.topic)
-        transmit(points, args.start_ms, args.end_ms, args.format, slice_ms=args.slice_ms, **sink)
+        slice_ms = None if args.unordered else args.slice_ms
+        transmit(
+            points, args.start_ms, args.end_ms, args.format, slice_ms=slice_ms, parts=args.parts,
+            **_sink(args, args.topic),
+        )
     else:
         trigger = {"availableNow": True} if args.available_now else None
         if args.job == "aggregate":
@@ -196,12 +260,13 @@ def main(argv: Sequence[str] | None = None) -> None:
                 trigger=trigger, **_sink(args, args.topic),
             )
         else:
-            factory = regression.load_predictor(spark, args.model)
+            factory = regression.load_predictor(spark, args.model, config.site.location)
             query = realtime.start_second_job(
                 _source(spark, args, args.topic), config, factory, args.out, args.checkpoint,
                 trigger,
             )
         query.awaitTermination()
+    release(spark)
 
 
 if __name__ == "__main__":

@@ -80,23 +80,26 @@ SECTION_COLUMNS = """location, frame AS elapsed_time, section_id, lane_id,
        vel::DOUBLE / 10 AS avg_vel, acc::DOUBLE / 100 AS avg_acc, n"""
 
 
-def _long_samples(skip: int) -> str:
-    span, gap = 6 + skip + 1, 6 + skip
+def _long_samples(skip: int, predict: int = 1) -> str:
+    span, gap = 6 + skip + predict, 6 + skip
     return f"""WITH {GRID},{_series(span)},
 starts AS (SELECT location, idx AS sample_id FROM ser WHERE idx < num_samples),
 steps AS (
   SELECT location, sample_id, 'history' AS role, j AS step, sample_id + j AS idx
   FROM starts CROSS JOIN (SELECT unnest(range(0, 6))::INT AS j)
   UNION ALL
-  SELECT location, sample_id, 'target', 0::INT, sample_id + {gap} FROM starts)
+  SELECT location, sample_id, 'target', j AS step, sample_id + {gap} + j
+  FROM starts CROSS JOIN (SELECT unnest(range(0, {predict}))::INT AS j))
 SELECT steps.location, sample_id, role, step, grid.time_window, lane_id, section_id, vel, dens,
        acc::DOUBLE / 100 AS acc
 FROM steps JOIN ser USING (location, idx)
 JOIN grid ON grid.location = ser.location AND grid.time_window = ser.time_window"""
 
 
-def _scored(h: int, k: int, grid: str = "grid", ser: str = "ser", prefix: str = "") -> str:
-    """Test samples with both baseline forecasts, one row per cell."""
+def _scored(
+    h: int, k: int, grid: str = "grid", ser: str = "ser", prefix: str = "", predict: int = 1
+) -> str:
+    """Test samples with both baseline forecasts, one row per cell and target step."""
     gap = h + k
     return f"""
 {prefix}starts AS (
@@ -110,12 +113,14 @@ def _scored(h: int, k: int, grid: str = "grid", ser: str = "ser", prefix: str =
        AND c.idx >= sample_id AND c.idx < sample_id + {h}
   GROUP BY ALL),
 {prefix}scored AS (
-  SELECT m.location, m.sample_id, m.lane_id, m.section_id, p.vel::DOUBLE AS persistence,
-         m.prediction AS history_mean, y.vel::DOUBLE AS actual
+  SELECT m.location, m.sample_id, (y.idx - m.sample_id - {gap})::INT AS step, m.lane_id,
+         m.section_id, p.vel::DOUBLE AS persistence, m.prediction AS history_mean,
+         y.vel::DOUBLE AS actual
   FROM {prefix}mean m
   JOIN {prefix}cell p ON p.location = m.location AND p.idx = m.sample_id + {h - 1}
        AND p.lane_id = m.lane_id AND p.section_id = m.section_id
-  JOIN {prefix}cell y ON y.location = m.location AND y.idx = m.sample_id + {gap}
+  JOIN {prefix}cell y ON y.location = m.location
+       AND y.idx >= m.sample_id + {gap} AND y.idx < m.sample_id + {gap + predict}
        AND y.lane_id = m.lane_id AND y.section_id = m.section_id)"""
 
 
@@ -159,38 +164,111 @@ def _sweep() -> str:
     return "WITH " + ",".join(ctes) + "\n" + "\nUNION ALL\n".join(selects)
 
 
-def _least_squares(h: int, k: int) -> str:
-    """Test predictions of y ~ lags + cell, by removing one regressor after the other.
+def _eliminated(
+    h: int, k: int, lams: tuple[float, ...], grid: str = "grid", ser: str = "ser", prefix: str = ""
+) -> str:
+    """Ridge of y ~ lags + cell per site and shrinkage, by removing one regressor after the other.
 
     Everything is centred by the cell's train means; each lag is then projected out of the later
-    ones and of y with coefficients of the train rows. What is left of y is the residual.
+    ones and of y with coefficients of the train rows. What is left of y is the residual. The
+    penalty of a lag is one more train row, which has the root of it in that lag and 0 elsewhere.
     """
     lags = range(1, h + 1)
     columns = ", ".join(f"lead(vel::DOUBLE, {j - 1}) OVER o AS x{j}" for j in lags)
     centred = ", ".join(
-        f"{c} - avg({c}) FILTER (WHERE train) OVER (PARTITION BY lane_id, section_id) AS {c}"
+        f"{c} - avg({c}) FILTER (WHERE train) OVER (PARTITION BY location, lane_id, section_id) AS {c}"
         for c in [f"x{j}" for j in lags] + ["y"]
     )
-    keys = "location, sample_id, num_samples, lane_id, section_id, train, actual"
-    ctes = f"""WITH {GRID},{_series(h + k + 1)},
-        cell AS (SELECT location, idx, num_samples, lane_id, section_id, vel
-                 FROM grid JOIN ser USING (location, time_window)),
-        wide AS (SELECT location, idx AS sample_id, num_samples, lane_id, section_id, {columns},
+    keys = "location, sample_id, num_samples, lane_id, section_id, train, actual, lam"
+    roots = ", ".join(f"CASE WHEN j = {j} THEN root ELSE 0 END AS x{j}" for j in lags)
+    ctes = f"""
+        {prefix}cell AS (SELECT location, idx, num_samples, lane_id, section_id, vel
+                 FROM {grid} JOIN {ser} USING (location, time_window)),
+        {prefix}wide AS (SELECT location, idx AS sample_id, num_samples, lane_id, section_id, {columns},
                         lead(vel::DOUBLE, {h + k}) OVER o AS y
-                 FROM cell WINDOW o AS (PARTITION BY location, lane_id, section_id ORDER BY idx)),
-        flagged AS (SELECT *, y AS actual, sample_id < floor(0.7::DOUBLE * num_samples) AS train
-                    FROM wide WHERE sample_id < num_samples),
-        r0 AS MATERIALIZED (SELECT {keys}, {centred} FROM flagged)"""
+                 FROM {prefix}cell WINDOW o AS (PARTITION BY location, lane_id, section_id ORDER BY idx)),
+        {prefix}flagged AS (SELECT *, y AS actual, sample_id < floor(0.7::DOUBLE * num_samples) AS train
+                    FROM {prefix}wide WHERE sample_id < num_samples),
+        {prefix}lam AS (SELECT unnest([{", ".join(map(str, lams))}])::DOUBLE AS lam),
+        {prefix}size AS (SELECT location, count(*) AS n FROM {prefix}flagged WHERE train GROUP BY ALL),
+        {prefix}r0 AS MATERIALIZED (
+          SELECT {keys}, {centred} FROM {prefix}flagged CROSS JOIN {prefix}lam WINDOW w AS (PARTITION BY lam)
+          UNION ALL
+          SELECT location, NULL, NULL, NULL, NULL, true, NULL, lam, {roots}, 0
+          FROM (SELECT location, lam, j, sqrt(lam * n) AS root FROM {prefix}size CROSS JOIN {prefix}lam
+                CROSS JOIN (SELECT unnest(range(1, {h + 1})) AS j)))"""
+    ctes = ctes.replace("PARTITION BY location, lane_id, section_id) AS", "PARTITION BY lam, location, lane_id, section_id) AS")
+    ctes = ctes.replace(" WINDOW w AS (PARTITION BY lam)", "")
     for j in lags:
         rest = [f"x{i}" for i in lags if i > j] + ["y"]
-        cleaned = ", ".join(
-            f"{c} - x{j} * (SELECT sum(x{j} * {c}) / sum(x{j} * x{j}) FROM r{j - 1} WHERE train) AS {c}"
-            for c in rest
-        )
-        ctes += f",\n        r{j} AS MATERIALIZED (SELECT {keys}, {cleaned} FROM r{j - 1})"
-    return f"""{ctes}
-        SELECT location, sample_id, lane_id, section_id, round(actual - y, 5) AS prediction, actual
-        FROM r{h} WHERE sample_id >= floor(0.8::DOUBLE * num_samples)"""
+        slopes = ", ".join(f"sum(x{j} * {c}) / nullif(sum(x{j} * x{j}), 0) AS b_{c}" for c in rest)
+        cleaned = ", ".join(f"{c} - x{j} * coalesce(b_{c}, 0) AS {c}" for c in rest)
+        ctes += f""",
+        {prefix}b{j} AS MATERIALIZED (
+          SELECT location, lam, {slopes} FROM {prefix}r{j - 1} WHERE train GROUP BY ALL),
+        {prefix}r{j} AS MATERIALIZED (
+          SELECT {keys}, {cleaned} FROM {prefix}r{j - 1} JOIN {prefix}b{j} USING (location, lam))"""
+    return ctes + f""",
+        {prefix}fitted AS MATERIALIZED (
+          SELECT location, sample_id, num_samples, lane_id, section_id, lam, actual - y AS prediction, actual
+          FROM {prefix}r{h} WHERE sample_id IS NOT NULL)"""
+
+
+def _least_squares(h: int, k: int) -> str:
+    """Test predictions without shrinkage."""
+    return f"""WITH {GRID},{_series(h + k + 1)},{_eliminated(h, k, (0.0,))}
+        SELECT location, sample_id, lane_id, section_id, round(prediction, 5) AS prediction, actual
+        FROM fitted WHERE sample_id >= floor(0.8::DOUBLE * num_samples)"""
+
+
+def _chosen(prefix: str) -> str:
+    """Test rows of the shrinkage with the least validation error, per site."""
+    return f"""
+        {prefix}loss AS (
+          SELECT location, lam, avg((actual - prediction) ** 2) AS loss FROM {prefix}fitted
+          WHERE sample_id >= floor(0.7::DOUBLE * num_samples) AND sample_id < floor(0.8::DOUBLE * num_samples)
+          GROUP BY ALL),
+        {prefix}best AS (
+          SELECT DISTINCT ON (f.location) f.location, f.lam
+          FROM (SELECT DISTINCT location, lam FROM {prefix}fitted) f LEFT JOIN {prefix}loss l USING (location, lam)
+          ORDER BY f.location, coalesce(loss, 'inf'::DOUBLE), f.lam),
+        {prefix}tested AS (
+          SELECT * FROM {prefix}fitted JOIN {prefix}best USING (location, lam)
+          WHERE sample_id >= floor(0.8::DOUBLE * num_samples))"""
+
+
+def _regression_sweep() -> str:
+    """Six parameter sets, three shrinkages each."""
+    ctes, selects = [SECTIONS], []
+    for seconds, half in ((86400, "d"), (43200, "h")):
+        ctes.append(_windows(seconds * 1000, name=f"win_{half}"))
+        for lanes in (6, 5):
+            ctes.append(_grid(lanes, f"win_{half}", f"grid_{half}{lanes}"))
+    for seconds, half, h, k in ((86400, "d", 6, 1), (86400, "d", 6, 2), (43200, "h", 12, 2)):
+        ser = f"ser_{half}{k}"
+        ctes.append(_series(h + k + 1, f"win_{half}", ser))
+        for lanes, ramp in ((6, "w"), (5, "wo")):
+            prefix = f"f_{half}{h}{k}{lanes}_"
+            ctes.append(_eliminated(h, k, (0.0, 0.01, 0.1), f"grid_{half}{lanes}", ser, prefix))
+            ctes.append(_chosen(prefix))
+            name = f"'regression_{ramp}_{seconds}_10_{h}_1_{k}' AS model_name"
+            selects.append(_metrics("prediction", name, f"{prefix}tested"))
+    return "WITH " + ",".join(ctes) + "\n" + "\nUNION ALL\n".join(selects)
+
+
+def _gap_filled() -> str:
+    return f"""WITH {WINDOWS},
+        held AS (SELECT * FROM win WHERE time_window % 7 < 5),
+        ends AS (SELECT location, min(time_window) AS a, max(time_window) AS b FROM held GROUP BY ALL),
+        every AS (SELECT location, unnest(range(a, b + 1)) AS time_window FROM ends)
+        SELECT e.location, e.time_window, e.time_window - a AS idx, b - a + 1 AS series_len,
+               l.lane_id, s.section_id, coalesce(w.vel // 10, 60)::INT AS vel,
+               coalesce(w.n, 0)::DOUBLE AS dens, coalesce(w.acc::DOUBLE / 100, 0) AS acc
+        FROM every e JOIN ends USING (location)
+        CROSS JOIN (SELECT unnest(range(1, 7))::INT AS lane_id) l
+        CROSS JOIN (SELECT unnest(range(0, 10))::INT AS section_id) s
+        LEFT JOIN held w ON w.location = e.location AND w.time_window = e.time_window
+             AND w.lane_id = l.lane_id AND w.section_id = s.section_id"""
 
 
 CONIC = """
@@ -327,12 +405,16 @@ def sql() -> dict[str, str]:
             FROM t GROUP BY ALL""",
         "extent": f"""{w}SELECT location, max(global_time) AS max_elapsed,
             round(max(distance), 6) AS max_dist FROM t GROUP BY ALL""",
-        "first_last_row": f"""{w}SELECT location, {", ".join(
-            f"{fn}({c}, global_time) AS {e}_{name}"
-            for e, fn in (("first", "arg_min"), ("last", "arg_max"))
-            for c, name in (("global_time", "elapsed_time"), ("event_id", "event_id"),
-                            ("vehicle_id", "vehicle_id"), ("lane_id", "lane_id")))}
-            FROM t GROUP BY ALL""",
+        "first_last_row": f"""{w[:-1]}, r AS (
+              SELECT location, global_time - global_time % {HOUR} AS f, lane_id, vehicle_id, event_id FROM t),
+            n AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY f, lane_id, vehicle_id, event_id) AS a,
+                         row_number() OVER (PARTITION BY location
+                                            ORDER BY f DESC, lane_id DESC, vehicle_id DESC, event_id DESC) AS b FROM r)
+            SELECT x.location, x.f AS first_elapsed_time, x.lane_id AS first_lane_id,
+                   x.vehicle_id AS first_vehicle_id, x.event_id AS first_event_id,
+                   y.f AS last_elapsed_time, y.lane_id AS last_lane_id,
+                   y.vehicle_id AS last_vehicle_id, y.event_id AS last_event_id
+            FROM n x JOIN n y USING (location) WHERE x.a = 1 AND y.b = 1""",
         "scale_stats": f"""WITH {WINDOWS}
             SELECT location, min(vel)::DOUBLE / 10 AS min_vel, max(vel)::DOUBLE / 10 AS max_vel,
                    min(acc)::DOUBLE / 100 AS min_acc, max(acc)::DOUBLE / 100 AS max_acc,
@@ -365,6 +447,19 @@ def sql() -> dict[str, str]:
             SELECT location, time_window, idx, num_samples AS series_len FROM ser""",
         "samples_long": _long_samples(1),
         "samples_skip2": _long_samples(2),
+        "samples_predict2": _long_samples(1, 2),
+        "series_gap_fill": _gap_filled(),
+        "chrono_split_bounded": f"""WITH {SECTIONS},
+            {_windows(DAY, f"frame >= 1704412800000 AND frame < 1704412800000 + 20 * {DAY} - 45")},
+            {_series(0).strip()}, cut AS (
+              SELECT location, idx, time_window, least(num_samples, 15) - 8 AS num_samples FROM ser)
+            SELECT a.location, a.idx AS sample_id, a.num_samples, a.time_window AS history_start,
+                   b.time_window AS target_window,
+                   CASE WHEN a.idx < floor(0.7::DOUBLE * a.num_samples) THEN 'train'
+                        WHEN a.idx < floor(0.8::DOUBLE * a.num_samples) THEN 'validation'
+                        ELSE 'test' END AS split
+            FROM cut a JOIN cut b ON b.location = a.location AND b.idx = a.idx + 7
+            WHERE a.idx < a.num_samples""",
         "chrono_split": f"""WITH {WINDOWS},{_series(8)}
             SELECT a.location, a.idx AS sample_id, a.num_samples, a.time_window AS history_start,
                    b.time_window AS target_window,
@@ -390,23 +485,21 @@ def sql() -> dict[str, str]:
             for m in ("persistence", "history_mean")
         ),
         "forecast_regression_lags": _least_squares(6, 1),
-        "forecast_regression_lag1": f"""WITH {GRID},{_series(3)},
-            cell AS (SELECT location, idx, num_samples, lane_id, section_id, vel
-                     FROM grid JOIN ser USING (location, time_window)),
-            pair AS (SELECT a.location, a.idx AS sample_id, a.num_samples, a.lane_id, a.section_id,
-                            a.vel::DOUBLE AS x, b.vel::DOUBLE AS y
-                     FROM cell a JOIN cell b ON b.location = a.location AND b.idx = a.idx + 2
-                          AND b.lane_id = a.lane_id AND b.section_id = a.section_id
-                     WHERE a.idx < a.num_samples),
-            train AS (SELECT *, avg(x) OVER c AS mx, avg(y) OVER c AS my FROM pair
-                      WHERE sample_id < floor(0.7::DOUBLE * num_samples)
-                      WINDOW c AS (PARTITION BY lane_id, section_id)),
-            slope AS (SELECT sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS b FROM train),
-            means AS (SELECT DISTINCT lane_id, section_id, mx, my FROM train)
-            SELECT location, sample_id, lane_id, section_id, round(my + b * (x - mx), 5) AS prediction,
-                   y AS actual
-            FROM pair JOIN means USING (lane_id, section_id) CROSS JOIN slope
+        "forecast_regression_lag1": _least_squares(1, 1),
+        "forecast_regression_predict2": f"""WITH {GRID},{_series(4)},
+            {_eliminated(1, 1, (0.0,), prefix="s0_").strip()},
+            {_eliminated(1, 2, (0.0,), prefix="s1_").strip()}
+            SELECT location, sample_id, step, lane_id, section_id, round(prediction, 5) AS prediction, actual
+            FROM (SELECT *, 0::INT AS step FROM s0_fitted UNION ALL SELECT *, 1::INT FROM s1_fitted)
             WHERE sample_id >= floor(0.8::DOUBLE * num_samples)""",
+        "forecast_regression": _regression_sweep(),
+        "forecast_with_truth": f"""{sweep_scored}SELECT location, sample_id, step, lane_id,
+            section_id, persistence AS prediction, actual FROM scored""",
+        "forecast_metrics_predict2": f"WITH {GRID},{_series(9)},{_scored(6, 1, predict=2)}\n"
+        + "\nUNION ALL\n".join(
+            _metrics(m, f"location, '{m}' AS model_name, step") + " GROUP BY location, step"
+            for m in ("persistence", "history_mean")
+        ),
         "experiment_sweep": _sweep(),
         "metrics_log": sweep_scored
         + "\nUNION ALL\n".join(
@@ -414,7 +507,7 @@ def sql() -> dict[str, str]:
             for m in ("persistence", "history_mean")
         ),
         "frames_roundtrip": f"""{w}SELECT global_time - global_time % {HOUR} AS global_time,
-            vehicle_id::INT AS vehicle_id, local_x, local_y, {doubles}, lane_id, location FROM t""",
+            vehicle_id, local_x, local_y, {doubles}, lane_id, location FROM t""",
         "frame_messages": f"""{w[:-1]}, f AS (SELECT global_time - global_time % {HOUR} AS f FROM t)
             SELECT g AS global_time, count(f.f) AS points
             FROM (SELECT unnest(generate_series(min(f), max(f), {HOUR})) AS g FROM f) c
@@ -425,7 +518,7 @@ def sql() -> dict[str, str]:
         "stream_timewindow": f"""{w[:-1]},{_stream_windows()}
             SELECT location, window_start, section_id, lane_id, vel::DOUBLE / 10 AS avg_vel
             FROM sw""",
-        "stream_dedup": f"""{w}SELECT location, vehicle_id::INT AS vehicle_id, global_time,
+        "stream_dedup": f"""{w}SELECT location, vehicle_id, global_time,
             vel::DOUBLE / 100 AS v_vel FROM t
             WHERE global_time <= (SELECT max(global_time) - {DAY} FROM t)""",
         "stream_late_data": f"""{w[:-1]}, mid AS (
@@ -444,6 +537,14 @@ def sql() -> dict[str, str]:
             FROM hist JOIN sg ON sg.location = hist.location
                  AND sg.window_start = hist.window_start
             WHERE step = steps - 1""",
+        "stream_json_forecast": "WITH "
+        + _histories(f"(SELECT max(window_start) - 6 * {DAY} FROM sw)")
+        + f"""
+            SELECT hist.location, based_start AS global_time, based_start + 7 * {DAY} AS target_start,
+                   0::INT AS step, lane_id, section_id,
+                   (CASE WHEN any_value(steps) = 6 THEN round_even(avg(vel), 0) ELSE 0 END)::INT AS prediction
+            FROM hist JOIN sg ON sg.location = hist.location AND sg.window_start = hist.window_start
+            WHERE hist.step >= steps - 2 GROUP BY hist.location, based_start, lane_id, section_id""",
         "stream_two_stage": "WITH "
         + _histories(f"(SELECT max(window_start) - 6 * {DAY} FROM sw)")
         + f"\n{HISTORY_ROWS}",

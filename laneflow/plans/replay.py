@@ -20,7 +20,8 @@ def run_to_end(
     stream: DataFrame, checkpoint: str, path: str, fmt: str = "parquet"
 ) -> StreamingQuery:
     """Process everything that has arrived, then stop; state stays in the checkpoint."""
-    with state_width(stream.sparkSession):
+    spark = stream.sparkSession
+    with state_width(spark, spark.sparkContext.defaultParallelism):
         query = topics.write_stream(stream, fmt, checkpoint, path=path, trigger=UNTIL_DONE)
     query.awaitTermination()
     return query

@@ -48,6 +48,14 @@ def sample_inputs(
     return series.chrono_split(forecast.model_input(samples, "cells"), realtime=realtime)
 
 
+def skip_inputs(
+    flat: DataFrame, sample: SampleConfig, skips: Iterable[int], num_windows: int | None = None
+) -> DataFrame:
+    """Labelled model inputs of several gaps, from a ranked series of flat ``cells``."""
+    samples = series.samples_by_skip(flat, sample, skips, num_windows=num_windows, payload="cells")
+    return series.chrono_split(forecast.model_input(samples, "cells"))
+
+
 def baseline_cells(
     inputs: DataFrame, models: Iterable[str], lanes: int, sections: int, predict: int = 1
 ) -> DataFrame:
@@ -58,32 +66,36 @@ def baseline_cells(
         )
         for m in models
     ]
+    keys = ("location", "sample_id", *(["skip"] if "skip" in inputs.columns else []))
     guess = F.explode(F.array(*guesses)).alias("g")
-    test = inputs.filter(F.col("split") == "test").select("location", "sample_id", "actual", guess)
-    flat = test.select("location", "sample_id", "g.model", F.col("g.guess").alias("prediction"), "actual")
-    return forecast.forecast_cells(flat, lanes, sections, ("location", "sample_id", "model"))
+    test = inputs.filter(F.col("split") == "test").select(*keys, "actual", guess)
+    flat = test.select(*keys, "g.model", F.col("g.guess").alias("prediction"), "actual")
+    return forecast.forecast_cells(flat, lanes, sections, (*keys, "model"))
 
 
 def evaluate(
     inputs: DataFrame, models: Iterable[str], lanes: int, sections: int, predict: int = 1
 ) -> DataFrame:
-    """Error metrics on the test samples, one row per ``model``."""
+    """Error metrics on the test samples, one row per ``model`` and, where inputs have it, ``skip``."""
     models = list(models)
     unknown = set(models) - set(forecast.BASELINES) - {REGRESSION}
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}")
+    gap = ("skip",) if "skip" in inputs.columns else ()
     scored = []
     baselines = [m for m in models if m in forecast.BASELINES]
     if baselines:
         scored.append(baseline_cells(inputs, baselines, lanes, sections, predict))
     if REGRESSION in models:
+        keys = (*gap, *regression.MODEL)
         rows = materialize(regression.lag_rows(inputs, lanes * sections), "lag-rows")
-        fitted = regression.fit(rows, lanes * sections)
-        test = fitted.transform(rows.filter(F.col("split") == "test"))
+        weights = materialize(regression.fitted(rows, lanes * sections, keys=keys), "weights")
+        best = regression.chosen(rows, weights, keys)
+        test = regression.predictions(rows.filter(F.col("split") == "test"), best, keys)
         scored.append(test.withColumn("model", F.lit(REGRESSION)))
-    columns = ("model", "prediction", "actual")
+    columns = (*gap, "model", "prediction", "actual")
     together = reduce(DataFrame.unionByName, [df.select(*columns) for df in scored])
-    return forecast.error_metrics(together, ("model",))
+    return forecast.error_metrics(together, (*gap, "model"))
 
 
 def run_experiments(
@@ -95,28 +107,38 @@ def run_experiments(
 ) -> DataFrame:
     """Error metrics of every model under every parameter set, one row each.
 
-    Window aggregates depend on the window length only and grids on the ramp lane as well, so each
-    is built and written once and shared by the experiments that need it.
+    Window aggregates depend on the window length only and ranked series of flat grids on the ramp
+    lane as well, so each is built and written once. Parameter sets that differ in the gap alone
+    share their series, histories and one pass over the samples.
     """
     window = window or WindowConfig()
-    models = list(models)
+    models, experiments = list(models), list(experiments)
     windows: dict[float, DataFrame] = {}
-    grids: dict[tuple[float, bool], DataFrame] = {}
-    rows = []
+    flats: dict[tuple[float, bool], DataFrame] = {}
+    groups: dict[tuple, list[ExperimentConfig]] = {}
     for exp in experiments:
-        seconds, grid_key = exp.window_seconds, (exp.window_seconds, exp.with_ramp)
+        config = WindowConfig(exp.window_seconds, window.start, window.end, window.trim_ms)
+        if config.num_windows is not None:
+            exp.sample.num_samples(config.num_windows)
+        s = exp.sample
+        groups.setdefault((exp.window_seconds, exp.with_ramp, s.history, s.predict), []).append(exp)
+    scored = []
+    for (seconds, with_ramp, _, predict), members in groups.items():
         config = WindowConfig(seconds, window.start, window.end, window.trim_ms)
         if seconds not in windows:
             windows[seconds] = materialize(aggregate.timewindow_agg(sections, config), "windows")
-        if grid_key not in grids:
-            dense = grid.dense_grid(windows[seconds], site, exp.with_ramp)
-            grids[grid_key] = materialize(dense, "grids")
-        if config.num_windows is not None:
-            exp.sample.num_samples(config.num_windows)
-        inputs = sample_inputs(grids[grid_key], exp.sample, config.num_windows)
-        metrics = evaluate(
-            inputs, models, site.lanes(exp.with_ramp), site.sections, exp.sample.predict
-        )
-        names = {m: exp.model_name(m, site.sections) for m in models}
-        rows.append(metrics.replace(names, subset=["model"]).withColumnRenamed("model", "model_name"))
-    return reduce(DataFrame.unionByName, rows)
+        if (seconds, with_ramp) not in flats:
+            dense = grid.dense_grid(windows[seconds], site, with_ramp)
+            flat = dense.select(*grid.WINDOW, cells.channel(F.col("matrix"), "vel").alias("cells"))
+            ranked = series.series_index(materialize(flat, "grids"))
+            flats[seconds, with_ramp] = materialize(ranked, "ranked-grids")
+        skips = [e.sample.skip for e in members]
+        inputs = skip_inputs(flats[seconds, with_ramp], members[0].sample, skips, config.num_windows)
+        metrics = evaluate(inputs, models, site.lanes(with_ramp), site.sections, predict)
+        names = {
+            f"{m} {e.sample.skip}": e.model_name(m, site.sections) for m in models for e in members
+        }
+        named = F.concat_ws(" ", "model", "skip").alias("model_name")
+        rest = [c for c in metrics.columns if c not in ("model", "skip")]
+        scored.append(metrics.select(named, *rest).replace(names, subset=["model_name"]))
+    return reduce(DataFrame.unionByName, scored)

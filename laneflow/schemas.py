@@ -56,7 +56,7 @@ def frame_point(speed: DataType | None = None) -> StructType:
     return _struct(
         ("Global_Time", LongType()),
         ("ElapsedTime", LongType()),
-        ("Vehicle_ID", IntegerType()),
+        ("Vehicle_ID", LongType()),
         ("Global_X", DoubleType()),
         ("Global_Y", DoubleType()),
         ("Local_X", DoubleType()),

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 SHUFFLE_WIDTH = "spark.sql.shuffle.partitions"
-SPARK_DEFAULT_WIDTH = "200"
+BATCH_WIDTH = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+PARTITION_BYTES = 128 << 20
 
 
 def pin(spark: SparkSession) -> SparkSession:
@@ -21,17 +22,22 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cluster_conf(executors: int, cores: int) -> dict[str, str]:
+def cluster_conf(executors: int, cores: int, largest_shuffle: int = 0) -> dict[str, str]:
     """Settings to start a session of ``executors`` x ``cores`` with.
 
-    Stateful streaming operators fix their partition count on the first batch, so the shuffle
-    width has to fit the cluster from the start; batch stages are coalesced by AQE.
+    Stateful streaming operators fix their partition count on the first batch and AQE leaves it
+    alone, so their width fits the cluster from the start. Batch stages begin with as many
+    partitions as the ``largest_shuffle`` in bytes needs at the advisory size (AQE merges
+    partitions, but doesn't split those of an aggregate), and with the streams' width at least.
     """
+    width = 2 * executors * cores
     return {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        SHUFFLE_WIDTH: str(2 * executors * cores),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        SHUFFLE_WIDTH: str(width),
+        BATCH_WIDTH: str(max(width, -(-largest_shuffle // PARTITION_BYTES))),
         "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.streaming.stateStore.providerClass": (
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -60,27 +66,46 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[tuple[str, DataFrame]] = []
+
+
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     Cuts the lineage before a plan reads ``df`` several times: a lost executor costs a re-read of
-    the table, not a second scan of the raw points.
+    the table, not a second scan of the raw points. ``release`` frees what was written without a
+    ``path`` of its own.
     """
     spark = df.sparkSession
-    path = path or fresh_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    target = path or fresh_path(spark, name)
+    df.write.mode("overwrite").parquet(target)
+    out = spark.read.schema(df.schema).parquet(target)
+    if path is None:
+        _written.append((target, out))
+    return out
+
+
+def release(spark: SparkSession) -> int:
+    """Empty the intermediates written so far; call it when no result that reads them is needed.
+
+    Replaces each by a table without rows, which any store that Spark can write to supports.
+    """
+    mine = [(path, df) for path, df in _written if df.sparkSession is spark]
+    for path, df in mine:
+        spark.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
+    _written[:] = [x for x in _written if x[1].sparkSession is not spark]
+    return len(mine)
 
 
 @contextmanager
-def state_width(spark: SparkSession) -> Iterator[None]:
-    """Start a streaming query in here to give its state one partition per core.
+def state_width(spark: SparkSession, width: int | None) -> Iterator[None]:
+    """Start a streaming query in here to give its state ``width`` partitions; None: as it is.
 
-    AQE does not coalesce stateful stages. A width that somebody has chosen is left alone.
+    AQE does not coalesce stateful stages.
     """
     chosen = spark.conf.get(SHUFFLE_WIDTH)
-    if chosen == SPARK_DEFAULT_WIDTH:
-        spark.conf.set(SHUFFLE_WIDTH, str(spark.sparkContext.defaultParallelism))
+    if width is not None:
+        spark.conf.set(SHUFFLE_WIDTH, str(width))
     try:
         yield
     finally:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StructField, StructType
 
 from laneflow import schemas
 from laneflow.config import SiteConfig
@@ -17,14 +18,20 @@ def read_table(
 
 
 def read_trajectories(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Raw trajectory points; CSV files carry a header line."""
-    options = {"header": "true"} if fmt == "csv" else {}
+    """Raw trajectory points; CSV files carry a header line, each with the columns in schema order.
+
+    A file whose header says otherwise fails the read.
+    """
+    options = {"header": "true", "enforceSchema": "false"} if fmt == "csv" else {}
     return read_table(spark, path, schemas.TRAJECTORY, fmt, **options)
 
 
 def read_replay_points(spark: SparkSession, path: str) -> DataFrame:
-    """Points to replay, from CSV files with a header; columns go by name, in any order."""
-    text = spark.read.csv(path, header=True)
+    """Points to replay, from CSV files with a header; columns go by name, in any order.
+
+    All files have the header of the first one; a file with another fails the read.
+    """
+    text = spark.read.csv(path, header=True, enforceSchema=False)
     fields = schemas.frame_point()
     return text.select(*[F.col(f.name).cast(f.dataType).alias(f.name.lower()) for f in fields])
 
@@ -54,9 +61,25 @@ def section_path(root: str, site: SiteConfig, source: str, hours: tuple[int, ...
 
 
 def _finished(spark: SparkSession, path: str) -> bool:
-    """Whether a completed write left its marker in the folder."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    """Whether the table at ``path`` was written to its end: its mark is written last."""
+    try:
+        return bool(spark.read.text(f"{path}.done").head())
+    except AnalysisException:
+        return False
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """Store raw points by site and UTC day, so that a range of hours reads its own days only."""
+    day = F.to_date(F.timestamp_millis("Global_Time")).alias("day")
+    stored = points.select("*", day).repartition("Location", "day", F.floor(F.col("Global_Time") / 600_000))
+    stored.write.mode("overwrite").partitionBy("Location", "day").parquet(path)
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """Points written by :func:`write_points`, the partition column ``day`` included."""
+    fields = [f for f in schemas.TRAJECTORY if f.name != "Location"]
+    stored = StructType([*fields, schemas.TRAJECTORY["Location"], StructField("day", DateType())])
+    return read_table(spark, path, stored)
 
 
 def section_table(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
@@ -72,6 +95,8 @@ def section_table(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
         order = ("location", "elapsed_time")
         stored = df.select(*fields).repartitionByRange(*order).sortWithinPartitions(*order)
         write_table(stored, path, fmt)
+        done = spark.createDataFrame([("done",)], "value string")
+        done.coalesce(1).write.mode("overwrite").text(f"{path}.done")
     return read_table(spark, path, schemas.SECTION_AGG, fmt)
 
 

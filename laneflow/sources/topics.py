@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, DataType
 
 from laneflow import schemas
-from laneflow.operators.copies import copy_blocks, crowded_groups
 
 
 def kafka_source_options(servers: str, topic: str) -> dict[str, str]:
@@ -70,56 +69,45 @@ def late_rows(query: StreamingQuery) -> int:
     )
 
 
-def _crowded_messages(points: DataFrame, wire: list[str], max_points: int) -> DataFrame:
-    """Points of crowded frames in several arrays per frame.
-
-    Equal points are collapsed to a count before the shuffle, the counts cut to blocks, and blocks
-    hashed to as many parts as the frame's size asks for. A point is grouped as one struct: a join
-    on the frame then does not count as its partitioning, and AQE may split the join of a hot one.
-    """
-    parts = F.ceil(F.first("_size") / F.lit(max_points)).alias("_parts")
-    point = F.struct(*wire).alias("_point")
-    counted = points.groupBy(point).agg(F.count(F.lit(1)).alias("_copies"), parts)
-    blocks = copy_blocks(counted, "_copies", max_points)
-    part = F.pmod(F.xxhash64("_point", "_block"), F.col("_parts")).alias("_part")
-    repeated = F.array_repeat("_point", F.col("_copies").cast("int"))
-    return (
-        blocks.groupBy("_point.Global_Time", part)
-        .agg(F.flatten(F.collect_list(repeated)).alias("points"))
-        .drop("_part")
-    )
-
-
 def frames_to_messages(
-    points: DataFrame,
-    frames: DataFrame | None = None,
-    max_points: int = 10_000,
+    points: DataFrame, frames: DataFrame | None = None, parts: int = 1
 ) -> DataFrame:
-    """Encode points as frame messages: one JSON array of all points with one ``global_time``.
+    """Encode points as frame messages: a JSON array of the points of one site and ``global_time``.
 
-    A frame of more than ``max_points`` is sent as several arrays, so no group grows with the
-    data; a consumer unfolds them to the same rows. ``frames`` (see :func:`frame_clock`) adds an
-    empty array for each silent frame.
+    Every frame is dealt to ``parts`` messages by the hash of its points (fewer if it has fewer), a
+    choice of the job and not of the data; a consumer unfolds them to the same rows. Equal points are
+    counted before the shuffle and their copies dealt out evenly, so copies cost one row per task.
+    ``frames`` (see :func:`frame_clock`) adds an empty array for each silent frame; frames off that
+    grid are sent as well. Points without a ``global_time`` belong to no frame and aren't sent.
     """
     wire = [f.name for f in schemas.frame_point()]
     present = {c.lower() for c in points.columns}
     columns = [(F.col(c) if c.lower() in present else F.lit(None)).alias(c) for c in wire]
-    sent = points.select(*columns).filter(F.col("Global_Time").isNotNull())
-    crowded = crowded_groups(sent, ["Global_Time"], max_points)
-    usual = (
-        sent.join(crowded, "Global_Time", "left_anti")
-        .groupBy("Global_Time")
-        .agg(F.collect_list(F.struct(*wire)).alias("points"))
+    sent = points.select(F.struct(*columns).alias("_point")).filter("_point.Global_Time is not null")
+    counted = sent.groupBy("_point").agg(F.count(F.lit(1)).alias("_copies"))
+    dealt = counted.select(
+        "_point",
+        "_copies",
+        F.explode(F.sequence(F.lit(0), F.least("_copies", F.lit(parts)).cast("int") - 1)).alias("_turn"),
     )
+    each = F.floor(F.col("_copies") / F.lit(parts)) + (
+        F.col("_turn") < F.col("_copies") % F.lit(parts)
+    ).cast("int")
+    part = F.pmod(F.xxhash64("_point") + F.col("_turn"), F.lit(parts)).cast("int")
     messages = (
-        usual.unionByName(_crowded_messages(sent.join(crowded, "Global_Time"), wire, max_points))
-    ).select(F.col("Global_Time").alias("global_time"), F.to_json("points").alias("value"))
-    if frames is not None:
-        messages = frames.join(messages, "global_time", "left").select(
-            "global_time", F.coalesce("value", F.lit("[]")).alias("value")
+        dealt.groupBy(
+            F.col("_point.Location").alias("location"),
+            F.col("_point.Global_Time").alias("global_time"),
+            part.alias("part"),
         )
+        .agg(F.flatten(F.collect_list(F.array_repeat("_point", each.cast("int")))).alias("points"))
+        .select("location", "global_time", "part", F.to_json("points").alias("value"))
+    )
+    if frames is not None:
+        messages = frames.select("global_time").join(messages, "global_time", "full")
+    key = F.struct("location", "global_time", F.coalesce("part", F.lit(0)).alias("part"))
     return messages.select(
-        "global_time", F.col("global_time").cast("string").alias("key"), "value"
+        "global_time", F.to_json(key).alias("key"), F.coalesce("value", F.lit("[]")).alias("value")
     )
 
 

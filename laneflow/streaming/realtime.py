@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, DecimalType
 
 from laneflow.config import SampleConfig, SiteConfig
 from laneflow.operators import forecast
@@ -15,6 +16,10 @@ from laneflow.sources import topics
 from laneflow.streaming import stages
 
 
+#: Speeds of messages are decimals: their means don't depend on the order they are added in.
+SPEED = DecimalType(18, 6)
+
+
 @dataclass(frozen=True)
 class RealtimeConfig:
     """Windows of the real-time pipeline, in milliseconds of event time."""
@@ -27,9 +32,22 @@ class RealtimeConfig:
     with_ramp: bool = False
     delay_ms: int | None = None  # one window by default
     align_to_origin: bool = True
-    speed: DataType | None = None
+    speed: DataType | None = SPEED
     dedup: bool = False
 
+    def to_json(self) -> str:
+        """Everything the meaning of a model's weights depends on, and the rest of the settings."""
+        told = asdict(replace(self, speed=None))
+        return json.dumps(told | {"speed": self.speed.simpleString() if self.speed else None})
+
+    @classmethod
+    def from_json(cls, text: str) -> RealtimeConfig:
+        told = json.loads(text)
+        site = told.pop("site")
+        site = SiteConfig(**site | {"merged_lanes": tuple(site["merged_lanes"])})
+        speed = told.pop("speed")
+        return cls(**told, site=site, speed=DataType.fromDDL(speed) if speed else None)
+
     @property
     def sample(self) -> SampleConfig:
         return SampleConfig(self.history, self.skip, self.predict)
@@ -97,20 +115,22 @@ def forecast_stream(
     factory: forecast.PredictorFactory,
     unready: str = "zeros",
 ) -> DataFrame:
-    """Forecast per history window, labelled with its own start and with the target's.
+    """Forecasts per history window, labelled with its own start and with the target's.
 
-    ``based_timewindow`` is on the site's wall clock, the other two are epoch milliseconds.
+    One row for each target window, numbered by ``step``. ``based_timewindow`` is on the site's wall
+    clock, the other two times are epoch milliseconds; the names are fixed values of the contract.
     """
     lanes, sections = config.site.lanes(config.with_ramp), config.site.sections
     out = forecast.forecast_matrix(
-        history, factory, config.history, lanes, sections, unready=unready
+        history, factory, config.history, lanes, sections, unready=unready, predict=config.predict
     )
-    target = F.unix_millis("based_timewindow.end") + F.lit(config.skip * config.window_ms)
+    ahead = (F.col("step") + F.lit(config.skip)) * F.lit(config.window_ms)
     return out.select(
         "location",
         stages.wall_clock("based_timewindow", config.site.tz).alias("based_timewindow"),
         F.unix_millis("based_timewindow.start").alias("global_time"),
-        target.alias("target_start"),
+        (F.unix_millis("based_timewindow.end") + ahead).alias("target_start"),
+        "step",
         "prediction",
     )
 

@@ -38,14 +38,14 @@ def wall_clock(window: str, tz: str) -> Column:
 
 
 def dedup_points(points: DataFrame) -> DataFrame:
-    """One point per site, vehicle and frame, the first to arrive.
+    """One point per site, vehicle and frame: of several the one with the least values.
 
     For at-least-once sources. Written as an aggregate rather than a de-duplication: copies are
     dropped map-side, so a message sent a million times does not meet in one task.
     """
     keys = ("location", "vehicle_id", "datetime")
     rest = [c for c in points.columns if c not in keys]
-    return points.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest])
+    return points.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_kept")).select(*keys, "_kept.*")
 
 
 def frame_sections(points: DataFrame, site: SiteConfig) -> DataFrame:
@@ -84,7 +84,7 @@ def histories(
 ) -> DataFrame:
     """Matrices of each sliding window in order of time.
 
-    ``by`` is the window column inside one query, or the event-time column of a second one.
+    The names of the windows are fixed values of the message contract. ``by`` is the window column inside one query, or the event-time column of a second one.
     """
     based = F.window(by, length, slide, start_time).alias("based_timewindow")
     collected = F.sort_array(F.collect_list(F.struct("timewindow", "matrix")))

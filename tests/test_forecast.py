@@ -86,7 +86,7 @@ def test_regression_matches_least_squares_and_its_predictor(spark):
             assert got[s.sample_id, c] == pytest.approx(np.dot(design(s, c), weights), abs=1e-4)
 
     by_udf = inputs.filter("split = 'test'").select(
-        "sample_id", forecast.predicted(F.col("history"), model.predictor(), 2).alias("p")
+        "sample_id", forecast.predicted(F.col("history"), model.predictor("a"), 2).alias("p")
     )
     for r in by_udf.collect():
         assert r.p == pytest.approx([got[r.sample_id, c] for c in range(4)], abs=1e-9)
@@ -97,8 +97,42 @@ def test_saved_model_predicts_the_same(spark, tmp_path):
     model = regression.fit(regression.lag_rows(inputs, 4), 4, reg_params=(0.01,))
     model.save(str(tmp_path / "model"))
     batch = np.array([[[1.0, 2, 3, 4], [5, 6, 7, 8]]])
-    loaded = regression.load_predictor(spark, str(tmp_path / "model"))
-    assert np.allclose(model.predictor()()(batch), loaded()(batch))
+    loaded = regression.load_predictor(spark, str(tmp_path / "model"), "a")
+    assert np.allclose(model.predictor("a")()(batch), loaded()(batch))
+    with pytest.raises(ValueError):
+        regression.load_predictor(spark, str(tmp_path / "model"), "b")
+
+
+def test_each_target_step_has_its_own_model(spark):
+    inputs, values = sample_inputs(spark)
+    ahead = {i: values[i + 3].tolist() for i in range(len(values) - 3)}
+    rows = [(*r[:4], r.actual + ahead[r.sample_id], r.split) for r in inputs.collect() if r.sample_id in ahead]
+    two = spark.createDataFrame(rows, inputs.schema)
+    model = regression.fit(regression.lag_rows(two, 4), 4, reg_params=(0.0,))
+    batch = np.array([[[1.0, 2, 3, 4], [5, 6, 7, 8]]])
+    out = model.predictor("a")()(batch)
+    assert out.shape == (1, 8)
+    one = regression.fit(regression.lag_rows(two.withColumn("actual", F.slice("actual", 5, 4)), 4), 4, reg_params=(0.0,))
+    assert np.allclose(out[:, 4:], one.predictor("a")()(batch))
+
+
+def test_lengths_that_do_not_fit_fail(spark):
+    bad = spark.createDataFrame([("a", 0, [1.0], [1, 50])], "location string, sample_id long, prediction array<double>, actual array<int>")
+    none = spark.createDataFrame([("a", 0, None, [1, 50])], bad.schema)
+    for df in (bad, none):
+        with pytest.raises(Exception, match="differ in length"):
+            forecast.forecast_cells(df, 1, 2).collect()
+    with pytest.raises(Exception, match="is missing"):
+        forecast.error_metrics(spark.createDataFrame([(None, 2.0)], PAIRS)).collect()
+    history = spark.createDataFrame([(1, [[[[1], [2]]]])], "id int, history array<array<array<array<int>>>>")
+
+    def too_long():
+        return lambda batch: np.zeros((len(batch), 5))
+
+    with pytest.raises(Exception, match="not 2"):
+        forecast.forecast_matrix(history, too_long, 1, 1, 2).collect()
+    two = forecast.forecast_matrix(history, lambda: lambda b: np.concatenate([b[:, 0], 2 * b[:, 0]], axis=1), 1, 1, 2, predict=2)
+    assert [(r.step, r.prediction) for r in two.orderBy("step").collect()] == [(0, [[1, 2]]), (1, [[2, 4]])]
 
 
 def test_forecast_matrix_gates_short_histories(spark):

@@ -11,7 +11,6 @@ from tests import compare
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = dict(catalog.REGISTRY), oracles.sql()
-ROWS_ONLY = {"forecast_regression"}  # an iterative fit has no SQL form; see test_forecast.py
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="test tables are not here")
 
@@ -22,8 +21,7 @@ def con():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(QUERIES) - set(SQL) == ROWS_ONLY
-    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) == set(SQL)
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
@@ -32,11 +30,6 @@ def test_query_equals_sql(spark, con, name):
     assert compare.difference(QUERIES[name](spark, SF_DIR), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_rows_only_query(spark, name):
-    assert QUERIES[name](spark, SF_DIR).count() > 0
-
-
 def test_flagship_has_a_stable_schema(spark):
     df = entry.entry(spark)
     assert df.columns == [
