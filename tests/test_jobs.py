@@ -59,8 +59,10 @@ def test_real_time_jobs_end_to_end(spark, raw, tmp_path):
     d = {n: str(tmp_path / n) for n in ("out", "model", "replay", "in", "mid", "cp1", "cp2", "json")}
     jobs.main([
         "fit", "--raw", raw, "--out", d["out"], "--model", d["model"], "--start", "0",
-        "--end", str(SECONDS), "--max-dist", str(SITE.max_dist),
+        "--end", str(SECONDS), "--splits", "8", "--predict", "2",
     ])
+    config = jobs.saved_config(spark, d["model"])  # the distance is measured
+    assert config.site.max_dist < SITE.max_dist and config.site.splits == 8 and config.predict == 2
     points = files.read_trajectories(spark, raw).withColumn(
         "ElapsedTime", F.col("Global_Time") - SITE.origin_ms
     )
@@ -72,17 +74,29 @@ def test_real_time_jobs_end_to_end(spark, raw, tmp_path):
     end_ms = SITE.origin_ms + SECONDS * 1000
     jobs.main([
         "transmit", "--raw", d["replay"], "--topic", d["in"], "--start-ms", str(SITE.origin_ms),
-        "--end-ms", str(end_ms), "--slice-ms", "40000", *local,
+        "--end-ms", str(end_ms), "--slice-ms", "40000", "--parts", "2", *local,
+    ])
+    sent = spark.read.parquet(d["in"])
+    assert sent.filter("value = '[]'").count() == 1  # the last frame is silent
+    assert SECONDS * 10 < sent.count() <= SECONDS * 20 + 1
+    jobs.main([
+        "aggregate", "--source", d["in"], "--topic", d["mid"], "--checkpoint", d["cp1"],
+        "--model", d["model"], *local,
     ])
-    assert spark.read.parquet(d["in"]).count() == SECONDS * 10 + 1  # the last frame is silent
-    jobs.main(["aggregate", "--source", d["in"], "--topic", d["mid"], "--checkpoint", d["cp1"], *local])
     windows = topics.parse_matrices(spark.read.schema(schemas.TOPIC).parquet(d["mid"]))
     assert windows.count() == SECONDS // 10 - 2
     jobs.main([
         "forecast", "--topic", d["mid"], "--out", d["json"], "--checkpoint", d["cp2"],
         "--model", d["model"], *local,
     ])
-    out = spark.read.json(d["json"]).select("global_time", "prediction").collect()
+    with pytest.raises(ValueError, match="splits"):
+        jobs.main([
+            "forecast", "--topic", d["mid"], "--out", d["json"], "--checkpoint", d["cp2"],
+            "--model", d["model"], "--splits", "9", *local,
+        ])
+    out = spark.read.json(d["json"]).select("global_time", "step", "prediction").collect()
+    assert {r.step for r in out} == {0, 1}
+    assert all(len(lane) == 9 for r in out for lane in r.prediction)
     speeds = [v for r in out for row in r.prediction for v in row]
     assert len(out) > 0 and all(len(r.prediction) == 5 for r in out)
     assert max(speeds) <= 70

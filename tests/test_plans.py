@@ -1,10 +1,13 @@
 """Properties of physical plans that must hold at any scale."""
 
+from datetime import date
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from laneflow.config import SiteConfig, WindowConfig
-from laneflow.operators import aggregate
+from laneflow.operators import aggregate, clean, segments
 from laneflow.plans import catalog, jobs, training
 from laneflow.plans import telemetry as tel
 from laneflow.sources import files, topics
@@ -65,8 +68,9 @@ def test_time_range_of_windows_reaches_the_section_table(spark, tmp_path):
 
 
 def test_segments_scan_the_points_once(spark):
+    points = tel.points(spark, SF_DIR)
     jobs_before = jobs_run(spark)
-    df = entry.queries()["trajectory_segments"](spark, SF_DIR)
+    df = segments.trajectory_segments(points)
     assert jobs_run(spark) == jobs_before  # declaring it runs nothing
     text = final_plan(df)
     assert text.count("/events.parquet") == 1
@@ -74,8 +78,9 @@ def test_segments_scan_the_points_once(spark):
 
 
 def test_frame_encoder_scans_the_points_once(spark):
+    points = tel.frames(spark, SF_DIR)
     jobs_before = jobs_run(spark)
-    df = topics.frames_to_messages(tel.frames(spark, SF_DIR))
+    df = topics.frames_to_messages(points)
     assert jobs_run(spark) == jobs_before
     text = final_plan(df)
     assert text.count("/events.parquet") == 1
@@ -98,6 +103,29 @@ def test_sections_of_raw_files_leave_out_unused_math_and_columns(spark, tmp_path
     assert "v_Vel" in read and "Global_X" not in read and "Space_Headway" not in read
 
 
+def test_days_and_instants_reach_the_scan_of_stored_points(spark, tmp_path):
+    path = str(tmp_path / "points")
+    raw = files.as_trajectory(tel.telemetry(spark, SF_DIR)).withColumn("Location", F.lit("us-101"))
+    files.write_points(raw, path)
+    stored = files.read_points(spark, path)
+    assert stored.count() == raw.count()
+    day = stored.filter("day = '2024-01-15'").filter("Location = 'us-101'")
+    text = plan(day)
+    assert "PartitionFilters: [isnotnull(" in text and "PartitionFilters: []" not in text
+    site = SiteConfig()
+    points = clean.clean_points(stored, site)
+    text = plan(clean.snapshot(points, 1000, site.data_origin_ms))
+    assert f"EqualTo(Global_Time,{site.data_origin_ms + 1000})" in text
+    some = clean.on_days(points, [date(2024, 1, 15)], "UTC")
+    assert "GreaterThanOrEqual(Global_Time,1705276800000)" in plan(some)
+    assert some.count() == stored.filter("day = '2024-01-15'").count() > 0
+
+
+def test_sweep_shares_its_series_and_samples(spark):
+    text = plan(entry.queries()["experiment_sweep"](spark, SF_DIR))
+    assert text.count("Exchange hashpartitioning") <= 12
+
+
 def test_long_grid_needs_no_join(spark):
     assert "Join" not in plan(entry.queries()["dense_grid_long"](spark, SF_DIR))
 

@@ -216,17 +216,25 @@ def test_cluster_settings_survive_a_restart(spark, frames):
     assert replay.result().count() == batch_windows(spark, frames).count()
 
 
-def test_state_width_only_replaces_the_default(spark):
+def test_state_width(spark):
     key, chosen = session.SHUFFLE_WIDTH, spark.conf.get(session.SHUFFLE_WIDTH)
-    with session.state_width(spark):
-        assert spark.conf.get(key) == chosen
-    spark.conf.set(key, session.SPARK_DEFAULT_WIDTH)
-    try:
-        with session.state_width(spark):
-            assert spark.conf.get(key) == str(spark.sparkContext.defaultParallelism)
-        assert spark.conf.get(key) == session.SPARK_DEFAULT_WIDTH
-    finally:
-        spark.conf.set(key, chosen)
+    for before in (chosen, "200"):
+        spark.conf.set(key, before)
+        with session.state_width(spark, None):
+            assert spark.conf.get(key) == before
+        with session.state_width(spark, 3):
+            assert spark.conf.get(key) == "3"
+        assert spark.conf.get(key) == before
+    spark.conf.set(key, chosen)
+
+
+def test_release_empties_what_was_written(spark, tmp_path):
+    kept = session.materialize(spark.range(5), "kept", str(tmp_path / "kept"))
+    gone = session.materialize(spark.range(7), "gone")
+    path = gone.inputFiles()[0].rsplit("/", 1)[0]
+    assert session.release(spark) >= 1
+    assert kept.count() == 5 and spark.read.parquet(path).count() == 0
+    assert session.release(spark) == 0
 
 
 def test_windows_follow_the_epoch_without_alignment(spark, frames):
