@@ -22,22 +22,66 @@ from laneflow.operators import forecast
 REG_PARAMS = (0.0, 0.01, 0.1)
 MODEL = ("location", "step")
 SUMS = "i int, j int, cell int, value double"
-WEIGHTS = "location string, step int, reg_param double, per_lag array<double>, per_cell array<double>"
+WEIGHTS = (
+    "location string, step int, reg_param double, per_lag array<double>, per_cell array<double>, "
+    "features int, sections int"
+)
 
 
-def lag_rows(inputs: DataFrame, per_step: int) -> DataFrame:
-    """One row per sample, target step and cell: the cell's own history and its true value.
+@dataclass(frozen=True)
+class Lags:
+    """What a cell's forecast looks at in each step of the history.
+
+    ``features`` channels of ``per_step`` cells stand one after another in a step. With ``sections``
+    the cells before and behind in the same lane count as well; at an end of the road the cell stands
+    for its missing neighbour.
+    """
+
+    per_step: int
+    features: int = 1
+    sections: int | None = None
+
+    def cells_of(self, cell: Column) -> list[Column]:
+        if self.sections is None:
+            return [cell]
+        section = F.pmod(cell, F.lit(self.sections))
+        before = F.when(section > 0, cell - 1).otherwise(cell)
+        behind = F.when(section < self.sections - 1, cell + 1).otherwise(cell)
+        return [cell, before, behind]
+
+    def column(self, history: Column, cell: Column) -> Column:
+        """The lags of one cell as a flat array: by step, channel, then own cell and neighbours."""
+        at = [c + F.lit(f * self.per_step) for f in range(self.features) for c in self.cells_of(cell)]
+        return F.flatten(
+            F.transform(history, lambda step: F.array(*[F.get(step, c).cast("double") for c in at]))
+        )
+
+    def stacked(self, batch: np.ndarray) -> np.ndarray:
+        """The same for all cells of a batch (rows, steps, channels x cells): (rows, lags, cells)."""
+        rows, steps, _ = batch.shape
+        cell = np.arange(self.per_step)
+        places = [cell]
+        if self.sections is not None:
+            section = cell % self.sections
+            places += [cell - (section > 0), cell + (section < self.sections - 1)]
+        channels = batch.reshape(rows, steps, self.features, self.per_step)
+        return np.stack([channels[..., p] for p in places], axis=3).reshape(rows, -1, self.per_step)
+
+
+def lag_rows(inputs: DataFrame, lags: Lags | int) -> DataFrame:
+    """One row per sample, target step and cell: what the cell's history shows, and its true value.
 
     Columns of ``inputs`` other than ``history`` and ``actual`` are kept.
     """
+    lags = Lags(lags) if isinstance(lags, int) else lags
     positions = F.sequence(F.lit(0), F.size("actual") - 1)
 
     def row(pos: Column) -> Column:
-        cell = F.pmod(pos, F.lit(per_step)).cast("int")
-        lags = F.transform("history", lambda step: F.get(step, cell).cast("double"))
-        step = F.floor(pos / F.lit(per_step)).cast("int")
+        cell = F.pmod(pos, F.lit(lags.per_step)).cast("int")
+        step = F.floor(pos / F.lit(lags.per_step)).cast("int")
+        seen = lags.column(F.col("history"), cell)
         actual = F.get("actual", pos).cast("double")
-        return F.struct(step.alias("step"), cell.alias("cell"), lags.alias("lags"), actual.alias("actual"))
+        return F.struct(step.alias("step"), cell.alias("cell"), seen.alias("lags"), actual.alias("actual"))
 
     kept = [c for c in inputs.columns if c not in ("history", "actual")]
     exploded = inputs.select(*kept, F.explode(F.transform(positions, row)).alias("_row"))
@@ -153,7 +197,7 @@ class LagModel:
     """Fitted weights: one row for each site and target step."""
 
     weights: DataFrame
-    per_step: int
+    lags: Lags
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Add ``prediction`` to rows of :func:`lag_rows`."""
@@ -161,32 +205,49 @@ class LagModel:
 
     def predictor(self, location: str) -> forecast.PredictorFactory:
         """One site's model for :func:`forecast.predicted`, e.g. on a stream of histories."""
-        return site_predictor(self.weights, location)
+        return site_predictor(self.weights, location, self.lags)
 
     def save(self, path: str) -> None:
-        self.weights.select("location", "step", "reg_param", "per_lag", "per_cell").coalesce(
-            1
-        ).write.mode("overwrite").json(path)
+        told = self.weights.select(
+            "location",
+            "step",
+            "reg_param",
+            "per_lag",
+            "per_cell",
+            F.lit(self.lags.features).alias("features"),
+            F.lit(self.lags.sections).cast("int").alias("sections"),
+        )
+        told.coalesce(1).write.mode("overwrite").json(path)
 
 
 def fit(
-    rows: DataFrame, per_step: int, reg_params: Iterable[float] = REG_PARAMS
+    rows: DataFrame, lags: Lags | int, reg_params: Iterable[float] = REG_PARAMS
 ) -> LagModel:
     """Fit on the train samples, keep per model the shrinkage with the least validation error."""
-    weights = fitted(rows, per_step, reg_params)
-    return LagModel(chosen(rows, weights), per_step)
+    lags = Lags(lags) if isinstance(lags, int) else lags
+    weights = fitted(rows, lags.per_step, reg_params)
+    return LagModel(chosen(rows, weights), lags)
 
 
-def site_predictor(weights: DataFrame, location: str) -> forecast.PredictorFactory:
+def site_predictor(weights: DataFrame, location: str, lags: Lags) -> forecast.PredictorFactory:
     """Predictor from the weights of one site: one row per target step."""
     rows = weights.filter(F.col("location") == location).orderBy("step").collect()
     if not rows or [r.step for r in rows] != list(range(len(rows))):
         raise ValueError(f"no complete model for {location!r}")
     per_lag = np.array([r.per_lag for r in rows])
     per_cell = np.array([r.per_cell for r in rows])
-    return lambda: lambda batch: (np.einsum("nhc,sh->nsc", batch, per_lag) + per_cell).reshape(len(batch), -1)
+
+    def predict(batch: np.ndarray) -> np.ndarray:
+        out = np.einsum("nlc,sl->nsc", lags.stacked(batch), per_lag) + per_cell
+        return out.reshape(len(batch), -1)
+
+    return lambda: predict
 
 
 def load_predictor(spark: SparkSession, path: str, location: str) -> forecast.PredictorFactory:
     """Predictor of one site of a model written with :meth:`LagModel.save`."""
-    return site_predictor(spark.read.schema(WEIGHTS).json(path), location)
+    weights = spark.read.schema(WEIGHTS).json(path)
+    row = weights.filter(F.col("location") == location).select(F.size("per_cell"), "features", "sections").head()
+    if row is None:
+        raise ValueError(f"no complete model for {location!r}")
+    return site_predictor(weights, location, Lags(*row))

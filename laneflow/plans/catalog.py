@@ -485,10 +485,13 @@ def forecast_regression_lags(spark, sf_dir):
 
 
 def _least_squares(spark, sf_dir, config, *more):
-    inputs = _inputs(spark, sf_dir, config)
-    per_step = SITE.lanes() * SITE.sections
-    rows = materialize(regression.lag_rows(inputs, per_step), "lag-rows")
-    model = regression.fit(rows, per_step, reg_params=(0.0,))
+    lags = regression.Lags(SITE.lanes() * SITE.sections)
+    return _test_predictions(_inputs(spark, sf_dir, config), lags, *more)
+
+
+def _test_predictions(inputs, lags, *more):
+    rows = materialize(regression.lag_rows(inputs, lags), "lag-rows")
+    model = regression.fit(rows, lags, reg_params=(0.0,))
     scored = model.transform(rows.filter(F.col("split") == "test"))
     cell = F.col("cell")
     return scored.select(
@@ -502,6 +505,16 @@ def _least_squares(spark, sf_dir, config, *more):
     )
 
 
+@query
+def forecast_regression_features(spark, sf_dir):
+    """Least squares on the last speed, density and acceleration of each cell."""
+    config = SampleConfig(history=1, skip=1, predict=1)
+    grids = materialize(_grids(spark, sf_dir), "grids")
+    inputs = training.sample_inputs(grids, config, features=("vel", "dens", "acc"))
+    lags = regression.Lags(SITE.lanes() * SITE.sections, features=3)
+    return _test_predictions(inputs, lags)
+
+
 @query
 def forecast_regression_predict2(spark, sf_dir):
     """Least squares with a model of its own for each of two target windows."""

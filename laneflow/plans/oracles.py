@@ -165,7 +165,8 @@ def _sweep() -> str:
 
 
 def _eliminated(
-    h: int, k: int, lams: tuple[float, ...], grid: str = "grid", ser: str = "ser", prefix: str = ""
+    h: int, k: int, lams: tuple[float, ...], grid: str = "grid", ser: str = "ser", prefix: str = "",
+    features: tuple[str, ...] = (),
 ) -> str:
     """Ridge of y ~ lags + cell per site and shrinkage, by removing one regressor after the other.
 
@@ -173,8 +174,11 @@ def _eliminated(
     ones and of y with coefficients of the train rows. What is left of y is the residual. The
     penalty of a lag is one more train row, which has the root of it in that lag and 0 elsewhere.
     """
-    lags = range(1, h + 1)
-    columns = ", ".join(f"lead(vel::DOUBLE, {j - 1}) OVER o AS x{j}" for j in lags)
+    lags = range(1, h + len(features) + 1)
+    columns = ", ".join(
+        [f"lead(vel::DOUBLE, {j - 1}) OVER o AS x{j}" for j in range(1, h + 1)]
+        + [f"{f} AS x{h + j}" for j, f in enumerate(features, 1)]
+    )
     centred = ", ".join(
         f"{c} - avg({c}) FILTER (WHERE train) OVER (PARTITION BY location, lane_id, section_id) AS {c}"
         for c in [f"x{j}" for j in lags] + ["y"]
@@ -182,7 +186,7 @@ def _eliminated(
     keys = "location, sample_id, num_samples, lane_id, section_id, train, actual, lam"
     roots = ", ".join(f"CASE WHEN j = {j} THEN root ELSE 0 END AS x{j}" for j in lags)
     ctes = f"""
-        {prefix}cell AS (SELECT location, idx, num_samples, lane_id, section_id, vel
+        {prefix}cell AS (SELECT location, idx, num_samples, lane_id, section_id, vel, dens, acc
                  FROM {grid} JOIN {ser} USING (location, time_window)),
         {prefix}wide AS (SELECT location, idx AS sample_id, num_samples, lane_id, section_id, {columns},
                         lead(vel::DOUBLE, {h + k}) OVER o AS y
@@ -196,7 +200,7 @@ def _eliminated(
           UNION ALL
           SELECT location, NULL, NULL, NULL, NULL, true, NULL, lam, {roots}, 0
           FROM (SELECT location, lam, j, sqrt(lam * n) AS root FROM {prefix}size CROSS JOIN {prefix}lam
-                CROSS JOIN (SELECT unnest(range(1, {h + 1})) AS j)))"""
+                CROSS JOIN (SELECT unnest(range(1, {len(lags) + 1})) AS j)))"""
     ctes = ctes.replace("PARTITION BY location, lane_id, section_id) AS", "PARTITION BY lam, location, lane_id, section_id) AS")
     ctes = ctes.replace(" WINDOW w AS (PARTITION BY lam)", "")
     for j in lags:
@@ -211,12 +215,12 @@ def _eliminated(
     return ctes + f""",
         {prefix}fitted AS MATERIALIZED (
           SELECT location, sample_id, num_samples, lane_id, section_id, lam, actual - y AS prediction, actual
-          FROM {prefix}r{h} WHERE sample_id IS NOT NULL)"""
+          FROM {prefix}r{len(lags)} WHERE sample_id IS NOT NULL)"""
 
 
-def _least_squares(h: int, k: int) -> str:
+def _least_squares(h: int, k: int, features: tuple[str, ...] = ()) -> str:
     """Test predictions without shrinkage."""
-    return f"""WITH {GRID},{_series(h + k + 1)},{_eliminated(h, k, (0.0,))}
+    return f"""WITH {GRID},{_series(h + k + 1)},{_eliminated(h, k, (0.0,), features=features)}
         SELECT location, sample_id, lane_id, section_id, round(prediction, 5) AS prediction, actual
         FROM fitted WHERE sample_id >= floor(0.8::DOUBLE * num_samples)"""
 
@@ -486,6 +490,7 @@ def sql() -> dict[str, str]:
         ),
         "forecast_regression_lags": _least_squares(6, 1),
         "forecast_regression_lag1": _least_squares(1, 1),
+        "forecast_regression_features": _least_squares(1, 1, ("dens", "acc::DOUBLE / 100")),
         "forecast_regression_predict2": f"""WITH {GRID},{_series(4)},
             {_eliminated(1, 1, (0.0,), prefix="s0_").strip()},
             {_eliminated(1, 2, (0.0,), prefix="s1_").strip()}

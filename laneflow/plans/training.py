@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -31,20 +31,35 @@ def sample_set(
     return series.chrono_split(samples, realtime=realtime)
 
 
+def feature_cells(grids: DataFrame, features: Sequence[str] = ("vel",)) -> DataFrame:
+    """Windows with their features as one flat array, channel after channel."""
+    channels = [cells.channel(F.col("matrix"), f).cast("array<double>") for f in features]
+    flat = cells.channel(F.col("matrix"), features[0]) if len(features) == 1 else F.concat(*channels)
+    return grids.select(*grid.WINDOW, flat.alias("cells"))
+
+
 def sample_inputs(
     grids: DataFrame,
     sample: SampleConfig,
     num_windows: int | None = None,
     realtime: bool = False,
-    feature: str = "vel",
+    features: Sequence[str] = ("vel",),
 ) -> DataFrame:
-    """Labelled model inputs: one feature of the samples as flat arrays.
+    """Labelled model inputs: features of the samples as flat arrays; the target is the first one.
 
-    The other features are left out before the windows are repeated in overlapping samples.
+    Other features are left out before the windows are repeated in overlapping samples.
     """
-    flat = grids.select(*grid.WINDOW, cells.channel(F.col("matrix"), feature).alias("cells"))
-    ordered = series.series_index(flat)
+    ordered = series.series_index(feature_cells(grids, features))
     samples = series.samples(ordered, sample, num_windows=num_windows, payload="cells")
+    if len(features) > 1:
+        target = F.transform(
+            "target",
+            lambda step: F.struct(
+                step["time_window"].alias("time_window"),
+                F.slice(step["cells"], F.lit(1), F.floor(F.size(step["cells"]) / F.lit(len(features))).cast("int")).alias("cells"),
+            ),
+        )
+        samples = samples.withColumn("target", target)
     return series.chrono_split(forecast.model_input(samples, "cells"), realtime=realtime)
 
 
@@ -129,8 +144,7 @@ def run_experiments(
             windows[seconds] = materialize(aggregate.timewindow_agg(sections, config), "windows")
         if (seconds, with_ramp) not in flats:
             dense = grid.dense_grid(windows[seconds], site, with_ramp)
-            flat = dense.select(*grid.WINDOW, cells.channel(F.col("matrix"), "vel").alias("cells"))
-            ranked = series.series_index(materialize(flat, "grids"))
+            ranked = series.series_index(materialize(feature_cells(dense), "grids"))
             flats[seconds, with_ramp] = materialize(ranked, "ranked-grids")
         skips = [e.sample.skip for e in members]
         inputs = skip_inputs(flats[seconds, with_ramp], members[0].sample, skips, config.num_windows)

@@ -116,6 +116,25 @@ def test_each_target_step_has_its_own_model(spark):
     assert np.allclose(out[:, 4:], one.predictor("a")()(batch))
 
 
+def test_neighbours_and_features(spark, tmp_path):
+    """What the rows show is what the predictor looks at."""
+    lags = regression.Lags(4, features=2, sections=2)
+    rng = np.random.default_rng(4)
+    rows = [("a", i, 80, rng.uniform(0, 9, (3, 8)).tolist(), rng.uniform(0, 9, 4).tolist()) for i in range(80)]
+    schema = "location string, sample_id long, num_samples long, history array<array<double>>, actual array<double>"
+    inputs = series.chrono_split(spark.createDataFrame(rows, schema))
+    made = regression.lag_rows(inputs, lags)
+    one = made.filter("sample_id = 0 and cell = 1").head().lags
+    step = rows[0][3][0]
+    assert one[:6] == [step[1], step[0], step[1], step[5], step[4], step[5]]
+    model = regression.fit(made, lags, reg_params=(0.01,))
+    model.save(str(tmp_path / "model"))
+    batch = np.array([r[3] for r in rows])
+    by_udf = regression.load_predictor(spark, str(tmp_path / "model"), "a")()(batch)
+    for r in model.transform(made).collect():
+        assert by_udf[r.sample_id, r.cell] == pytest.approx(r.prediction, abs=1e-9)
+
+
 def test_lengths_that_do_not_fit_fail(spark):
     bad = spark.createDataFrame([("a", 0, [1.0], [1, 50])], "location string, sample_id long, prediction array<double>, actual array<int>")
     none = spark.createDataFrame([("a", 0, None, [1, 50])], bad.schema)
