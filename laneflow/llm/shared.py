@@ -39,7 +39,7 @@ def per_batch(
     return df.mapInArrow(run, schema)
 
 
-def parts(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of at most ``most_bytes``, or one row where that is larger."""
     if batch.num_rows <= 1 or batch.nbytes <= most_bytes:
         if batch.num_rows:
