@@ -93,7 +93,8 @@ def frames_to_messages(
     each = F.floor(F.col("_copies") / F.lit(parts)) + (
         F.col("_turn") < F.col("_copies") % F.lit(parts)
     ).cast("int")
-    part = F.pmod(F.xxhash64("_point") + F.col("_turn"), F.lit(parts)).cast("int")
+    own = F.pmod(F.xxhash64("_point"), F.lit(parts))
+    part = ((own + F.col("_turn")) % F.lit(parts)).cast("int")
     messages = (
         dealt.groupBy(
             F.col("_point.Location").alias("location"),
