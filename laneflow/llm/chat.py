@@ -104,7 +104,7 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
         raise ValueError(f"no turn begins at {end}")
 
 
-def ordered(rows: DataFrame, typed: bool) -> DataFrame:
+def ordered(rows: DataFrame) -> DataFrame:
     """Rows of a conversation together and in order: by turn, then role, then text; nulls first.
 
     The order inside a conversation makes one stream of it, which one task reads with constant
@@ -133,7 +133,7 @@ def format_turns(rows: DataFrame, typed: bool = False) -> DataFrame:
         "conv_id long, place long, role string, formatted string, "
         "attachments array<struct<kind: string, ref: string, tokens: long>>, tokens long"
     )
-    return ordered(rows, typed).mapInArrow(lambda batches: formatted(batches, typed), schema)
+    return ordered(rows).mapInArrow(lambda batches: formatted(batches, typed), schema)
 
 
 def formatted(batches: Iterator[pa.RecordBatch], typed: bool) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def digests(rows: DataFrame, typed: bool = False) -> DataFrame:
     schema = (
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
-    return ordered(rows, typed).mapInArrow(run, schema)
+    return ordered(rows).mapInArrow(run, schema)
 
 
 #: Fixed value: the conversation that the query adds, in which every text is a control string.

@@ -64,8 +64,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "@" in text:
         out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
-    if text.isascii() and text.isalpha():
-        return out
     out += [(1, *m.span()) for m in IP.finditer(text) if all(int(p[-4:]) <= 255 and not p[:-3].strip("0") for p in m.group().split("."))]
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")

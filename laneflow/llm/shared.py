@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from laneflow.session import materialize, pin
 
-#: A word of the operators that count words.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,4 +56,4 @@ def hex_digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-__all__ = ["F", "WORD", "hex_digest", "id_and_text", "materialize", "parts", "per_batch", "table", "texts"]
+__all__ = ["F", "hex_digest", "id_and_text", "materialize", "parts", "per_batch", "table", "texts"]
