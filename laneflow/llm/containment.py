@@ -6,7 +6,8 @@ begin every ``u``, so an item always meets windows of its own size, however long
 Item and window are sketched by the least hash in each of ``BINS * u`` bins. They are candidates if
 they agree in one bin; with that many bins nearly every shingle is the least of its own, so an item of
 which 0.8 stand in a document is found practically always (missing one takes a smaller hash in the
-bin of each of its shared shingles). Candidates are verified by exact containment.
+bin of each of its shared shingles). Sketches of up to ``DIRECT`` shingles are too small for that: their
+hashes are looked up in the whole document. Candidates are verified by exact containment.
 
 Items are handled in blocks of a bounded number of shingles, hence each broadcast is bounded; a
 document is read once per block. Documents are neither shuffled nor collected.
@@ -28,6 +29,8 @@ SHINGLE = 5
 LEAST = 0.8
 #: Bins for each shingle of a partition's largest item.
 BINS = 4
+#: Largest partition whose sketch hashes make a candidate wherever they stand, without a bin's rivals.
+DIRECT = 8
 #: Words of the items of a block, about; 8 bytes of a broadcast each.
 BLOCK_WORDS = 1 << 21
 #: Bytes of words: letters and digits, and all of other alphabets.
@@ -112,7 +115,7 @@ def members(values: np.ndarray, table: np.ndarray, owner: np.ndarray) -> tuple[n
 
 
 def candidates(hashes: np.ndarray, begin: np.ndarray, width: int, items: Items) -> np.ndarray:
-    """(row, item) pairs that agree in a bin of one of the row's windows; sorted, each once.
+    """(row, item) pairs that agree in a bin of one of the row's windows, or in a hash if small; sorted, each once.
 
     ``hashes[begin[r]:begin[r + 1]]`` are the shingles of row ``r``. Only shingles that stand in some
     item's sketch can agree, so only the windows around those are sketched.
@@ -122,8 +125,9 @@ def candidates(hashes: np.ndarray, begin: np.ndarray, width: int, items: Items)
     keep = items.widths[item] == width
     at, item = hit[at[keep]], item[keep]
     row = np.searchsorted(begin, at, side="right") - 1
-    agreed = np.zeros(len(at), bool)
-    for k, (p, i, r) in enumerate(zip(at.tolist(), item.tolist(), row.tolist(), strict=True)):
+    agreed = items.classes[item] <= DIRECT
+    rest = np.flatnonzero(~agreed)
+    for k, p, i, r in zip(rest.tolist(), at[rest].tolist(), item[rest].tolist(), row[rest].tolist(), strict=True):
         u, lo, hi = int(items.classes[i]), int(begin[r]), int(begin[r + 1])
         w = (p - lo) // u
         for first in {max(0, w - 1), w}:
