@@ -39,13 +39,15 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[slice,
         start = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACES
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the number of words before each row (rows + 1).
 
-    A word is a maximal run of bytes other than space, tab, line feed, vertical tab, form feed and
-    carriage return; no word crosses a row.
+    A word is a maximal run of bytes that aren't ``between`` words: by default space, tab, line feed,
+    vertical tab, form feed and carriage return. No word crosses a row.
     """
-    inside = ~SPACES[data]
+    inside = ~between[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside
     before[offsets] = False

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laneflow.llm import bpe, bytespans, chat, containment, lines, pii, simhash, templates, toxicity, wordspans
+from laneflow.llm import (
+    bpe,
+    bytespans,
+    chat,
+    containment,
+    lines,
+    pii,
+    quality,
+    resampling,
+    simhash,
+    templates,
+    toxicity,
+    whitening,
+    wordspans,
+)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template": templates.op1_template,
@@ -19,6 +33,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_weak_supervision": toxicity.op9_weak_supervision,
     "op10_bpe": bpe.op10_bpe,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_boosted_quality": quality.op13_boosted_quality,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +43,5 @@ SQL: dict[str, str] = {
     "op4_line_frequency": lines.SQL,
     "op5_containment": containment.SQL,
     "op7_doubling": wordspans.SQL,
+    "op11_resampling": resampling.SQL,
 }

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laneflow.session import materialize, pin
@@ -52,8 +52,27 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df``, written, with ``number``: 0, 1, 2... by ``order``, or in any order without one.
+
+    Ranges of the order are dealt to tasks, each of which numbers its own rows; what a partition
+    starts at follows from the counts of those before it, a table of one row a partition. ``df`` must be
+    a written table: ranges are found by reading it once more.
+    """
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The upper 31 bits are the partition's number, the others count its rows.
+    written = materialize(df.withColumn("_at", F.monotonically_increasing_id()), name)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = written.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    joined = written.withColumn("_part", part).join(starts, "_part")
+    return joined.withColumn("number", F.col("_start") + place).drop("_at", "_part", "_start")
+
+
 def hex_digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-__all__ = ["F", "hex_digest", "id_and_text", "materialize", "parts", "per_batch", "table", "texts"]
+__all__ = ["F", "hex_digest", "id_and_text", "materialize", "numbered", "parts", "per_batch", "table", "texts"]
