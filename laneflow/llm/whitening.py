@@ -10,6 +10,8 @@ centred blocks of all rows. Rows keep their number throughout, so results are jo
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -46,16 +48,19 @@ def usable(rows: DataFrame, vector: str) -> DataFrame:
 
 
 def dimension_sums(fit: DataFrame) -> list[int]:
-    """Exact sums of the entries of ``x``, added up per batch first."""
+    """Exact sums of the entries of ``x``, added up per batch first; halves of 32 bits never overflow."""
 
     def add_up(part: pa.RecordBatch) -> pa.RecordBatch:
         x = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
-        total = x.sum(axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["at", "s"])
+        high, low = (x >> 32).sum(axis=0), (x & 0xFFFFFFFF).sum(axis=0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(len(high)), pa.int32()), pa.array(high), pa.array(low)], ["at", "high", "low"]
+        )
 
-    sums = shared.per_batch(fit.select("x"), add_up, "at int, s long")
-    found = sums.groupBy("at").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect()
-    return [int(r.s) for r in sorted(found)]
+    sums = shared.per_batch(fit.select("x"), add_up, "at int, high long, low long")
+    exact = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("high", "low")]
+    found = sums.groupBy("at").agg(*exact).collect()  # a row a dimension
+    return [(int(r.high) << 32) + int(r.low) for r in sorted(found)]
 
 
 def blocks(rows: DataFrame, height: int, width: int, n: int) -> BlockMatrix:
@@ -137,7 +142,8 @@ def whitened(
     pairs = [(i, j) for i in range(len(values)) for j in range(i + 1)]
     found = of_fit.agg(*(F.covar_pop(F.col("vector")[i], F.col("vector")[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
     error = max(abs(found[f"c{i}_{j}"] - (i == j)) for i, j in pairs)
-    steps = F.zip_with("x", F.array(*(F.lit(s).cast("long") for s in sums)), lambda x, s: F.try_subtract(F.lit(n).cast("long") * x, s))
+    totals = F.array(*(F.lit(Decimal(s)).try_cast("long") for s in sums))
+    steps = F.zip_with("x", totals, lambda x, s: F.try_subtract(F.try_multiply(F.lit(n).cast("long"), x), s))
     deviation = F.aggregate(steps, F.lit(0).cast("long"), lambda a, d: F.try_add(a, F.try_multiply(d, d)))
     explained = F.array(*map(F.lit, (values / np.trace(covariance)).tolist()))
     return (
