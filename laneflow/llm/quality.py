@@ -174,10 +174,10 @@ class Trees:
 
 
 def edges_of(column: np.ndarray, bins: int) -> np.ndarray:
-    """Thresholds between bins: midpoints of the values at the quantiles and those after them."""
+    """Thresholds between ``bins`` bins at most: midpoints of neighbouring values at the quantiles."""
     values = np.unique(column)
     if len(values) > bins:
-        values = np.unique(np.quantile(column, np.linspace(0, 1, bins + 1), method="nearest"))
+        values = np.unique(np.quantile(column, np.linspace(0, 1, bins), method="nearest"))
     return (values[1:] + values[:-1]) / 2
 
 
