@@ -1,45 +1,50 @@
-"""Near copies of the pipeline: SimHash candidates from salted grids, verified by exact Jaccard.
+"""Near copies of the pipeline: SimHash links first, an exact prefix filter for those it can't reach.
 
 Documents are sets of five-word shingles; two of a Jaccard of ``least`` or more are linked, and of each
-component one row stays. Rows of one set are one node. A node's fingerprint has four words of 64 bits,
-each from shingle hashes mixed with its own salt, so a pair at a Jaccard of 0.8 differs in about 15 % of
-256 bits and seldom in more than ``BITS``. Grids are salted: each looks at ``k`` bits drawn from all 256,
-``k`` grows with the number of nodes so that a cell holds few unlike ones, and there are as many grids
-as a pair at the bound needs to share a cell with a chance of ``RECALL``.
-
-A large group of near copies isn't compared pair by pair: in some of the grids each member of a cell meets
-the least and the previous one only. What these links join is one component, and the pairs that all
-grids then propose are those of different components.
+component one row stays. Rows of one set are one node.
+
+SimHash (operator 8: segment counts, grids, exact distance) proposes nodes whose fingerprints differ in
+few bits. Two sets at a Jaccard of 0.8 differ in far more, small ones in any number, so no bound on bits
+holds them all. The rest is therefore found by a prefix filter, which loses none whatever the sizes and
+however many documents there are: all shingles are put in one order, and two sets that share enough of
+their shingles share one among the first ``n - ceil(least n) + 1`` of each. Any order is right; frequent
+shingles come last in ours, so that a prefix holds what few other documents have. At a shared shingle
+what is left of both sets from there on must still hold enough, or the pair needn't be looked at.
+
+Shingles of the prefixes are sorted by ranges, not grouped: a shingle that a third of all documents have
+is cut at range borders like any other. Each document is first compared to the first one of its shingle
+(that with the shortest unshared beginning); what these links join is one component. Then components
+meet by one row each, round by round, until no link is new, and in the end all pairs of different
+components that the filter leaves, in blocks of bounded size. Every candidate is verified by the sets.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 
-from laneflow.llm import arrays, components, shared
+from laneflow.llm import arrays, components, shared, simhash
 from laneflow.llm.shared import F
 
 SHINGLE = 5
 LEAST = 0.8
-SALTS = 4
-#: Bits of 256 that candidates differ in at most.
-BITS = 72
-#: Chance that a pair at the bound shares a cell.
-RECALL = 0.99
-#: Share of equal bits of two sets of one size with a Jaccard of ``LEAST``: an angle of acos(2 J / (1 + J)).
-AGREE = 1 - math.acos(2 * LEAST / (1 + LEAST)) / math.pi
-#: Grids of the first round.
-FIRST = 8
-#: Rows of a group of cells, about; a cell of more is cut into blocks.
-BLOCK = 32_768
+#: Bits of 64 up to which SimHash proposes a pair.
+BITS = 4
+#: Frequent shingles that come last in the order at most; the order decides the cost, not the result.
+FREQUENT = 1 << 18
+#: Shingles that are counted together, and how often one must occur in them to be frequent.
+COUNTED, OFTEN = 1 << 21, 8
+#: Rows of a shingle that meet in one task at the end; more are cut into blocks.
+BLOCK = 2_048
+#: Rows of one key that one task of a join reads, about.
+SPLIT = 8_192
 AT_ONCE = 1 << 20
 NO_ID = -(1 << 63)
-PRINTS = [f"p{s}" for s in range(SALTS)]
-NODE = "node long, n long, " + ", ".join(f"{p} long" for p in PRINTS)
+NODE = "node long, n long, fp long"
+POSTING = "token long, node long, n int, pos int"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
@@ -61,172 +66,286 @@ def node_of(hashes: np.ndarray) -> int:
     return int(arrays.mix(arrays.mix(hashes + arrays.MULTIPLIER).sum(keepdims=True))[0]) if len(hashes) else 0
 
 
-def print_of(hashes: np.ndarray) -> list[int]:
-    out = []
-    for salt in range(SALTS):
-        salted = arrays.mix(hashes ^ np.uint64(0xA0761D6478BD642F * (salt + 1) % (1 << 64)))
-        ones = np.zeros(64, np.int64)
-        for lo in range(0, len(salted), 1 << 16):
-            bits = np.unpackbits(salted[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]))
-    return out
+def print_of(hashes: np.ndarray) -> int:
+    """SimHash of a set: a bit is set if it is in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+def sets_of(part: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
+    return [h for _, data, offsets in arrays.pieces(part) for h in shingle_sets(data, offsets, shingle)]
+
+
 def prints(part: pa.RecordBatch, shingle: int) -> pa.RecordBatch:
     """The columns of ``part`` but its text, and each row's node, number of shingles and fingerprint."""
-    sets = [h for _, data, offsets in arrays.pieces(part) for h in shingle_sets(data, offsets, shingle)]
-    words = [print_of(h) for h in sets]
+    sets = sets_of(part, shingle)
     kept = [name for name in part.schema.names if name != "text"]
     return pa.RecordBatch.from_arrays(
         [
             *map(part.column, kept),
             signed([node_of(h) for h in sets]),
             pa.array([len(h) for h in sets], pa.int64()),
-            *(signed([w[s] for w in words]) for s in range(SALTS)),
+            signed([print_of(h) for h in sets]),
         ],
-        [*kept, "node", "n", *PRINTS],
+        [*kept, "node", "n", "fp"],
     )
 
 
-def masks(nodes: int, recall: float) -> np.ndarray:
-    """Words of each grid's bits: enough bits for ``nodes``, enough grids for ``recall``."""
-    k = max(4, math.ceil(math.log2(max(nodes, 2))) - 4)
-    grids = math.ceil(math.log(1 - recall) / math.log(1 - AGREE**k))
-    rng = np.random.default_rng(8)
-    chosen = np.zeros((grids, 64 * SALTS), np.uint8)
-    for row in chosen:
-        row[rng.permutation(64 * SALTS)[:k]] = 1
-    return np.packbits(chosen, axis=1, bitorder="little").view(np.uint64)
-
-
-def dealt(nodes: DataFrame, grids: np.ndarray) -> DataFrame:
-    """``cell`` and the columns of ``nodes``, once for each grid."""
-
-    def deal(part: pa.RecordBatch) -> pa.RecordBatch:
-        words = np.stack([part.column(p).to_numpy().view(np.uint64) for p in PRINTS], axis=1)
-        seen = []
-        for g, mask in enumerate(grids):
-            key = np.full(len(words), g, np.uint64)
-            for s in range(SALTS):
-                key = arrays.mix(key * arrays.MULTIPLIER + (words[:, s] & mask[s]))
-            seen.append(key.view(np.int64))
-        at = pa.array(np.tile(np.arange(part.num_rows), len(grids)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(seen)), *(c.take(at) for c in part.columns)], ["cell", *part.schema.names]
-        )
-
-    return shared.per_batch(nodes, deal, f"cell long, {NODE}, root long")
-
-
-def proposed(nodes: DataFrame, count: int, grids: np.ndarray, every: bool, block: int) -> DataFrame:
-    """``a, b``: candidates of different roots; of a cell ``every`` pair, or those with its least and previous node."""
-    cells = dealt(nodes, grids)
-    groups = count * len(grids) // block + 1
-    hot = cells.groupBy("cell").agg(F.count("*").alias("size")).filter(F.col("size") > block)
-    hot = shared.materialize(hot, "copies-hot").withColumnRenamed("cell", "at")
-    blocks = F.ceil(F.coalesce("size", F.lit(1)) / block).cast("long")
-    own = F.pmod(F.xxhash64("node"), "blocks")
-    # Every pair of blocks of a hot cell is a group of its own; all other cells share groups.
+def frequent(texts: DataFrame, shingle: int, most: int) -> np.ndarray:
+    """Hashes of the most frequent shingles in ascending order of hash, and their ranks (0: the rarest of them)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def told() -> pa.RecordBatch:
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times >= OFTEN
+            return pa.RecordBatch.from_arrays(
+                [pa.array(values[often].view(np.int64)), pa.array(times[often])], ["token", "times"]
+            )
+
+        for batch in batches:
+            for part in shared.parts(batch):
+                held += {node_of(h): h for h in sets_of(part, shingle)}.values()
+                if sum(map(len, held)) >= COUNTED:
+                    yield told()
+                    held = []
+        if held:
+            yield told()
+
+    found = texts.mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    # ``most`` rows of one number at most.
+    rows = found.orderBy(F.desc("times"), "token").limit(most).select("token").collect()
+    tokens = np.array([r.token for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return np.stack([tokens[order], (len(tokens) - order).astype(np.uint64)])
+
+
+def prefix_length(n: np.ndarray, least: float) -> np.ndarray:
+    return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+
+
+def postings(part: pa.RecordBatch, shingle: int, least: float, last: np.ndarray) -> pa.RecordBatch:
+    """``token, node, n, pos`` of the first shingles of each distinct set of a batch; the empty set has none."""
+    sets = {node_of(h): h for h in sets_of(part, shingle) if len(h)}
+    n = np.array([len(h) for h in sets.values()], np.int64)
+    tokens = np.concatenate([np.zeros(0, np.uint64), *sets.values()])
+    row = np.repeat(np.arange(len(n)), n)
+    rank = np.zeros(len(tokens), np.uint64)
+    if last.shape[1]:
+        at = np.minimum(np.searchsorted(last[0], tokens), last.shape[1] - 1)
+        rank = np.where(last[0][at] == tokens, last[1][at], 0)
+    order = np.lexsort((tokens, rank, row))
+    pos = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+    kept = pos < prefix_length(n, least)[row]
+    nodes = np.array(list(sets), np.uint64).view(np.int64)
+    columns = [tokens[order][kept].view(np.int64), nodes[row[kept]], n[row[kept]].astype(np.int32), pos[kept].astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "pos"])
+
+
+def by_range(rows: DataFrame) -> DataFrame:
+    """Sorted by token, then place of the token in the set; a token of many rows is cut where a range ends."""
+    return rows.repartitionByRange("token", "pos", "node").sortWithinPartitions("token", "pos", "node")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """The rows whose token another node has as well, once each, and a few at the borders of batches."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, node = (batch.column(c).to_numpy() for c in ("token", "node"))
+            same = token[1:] == token[:-1]
+            # One token at one place of one node: copies of a document in several batches.
+            again = np.r_[False, same & (node[1:] == node[:-1])]
+            good = (np.r_[True, same] | np.r_[same, True]) & ~again
+            yield batch.filter(pa.array(good))
+
+    return by_range(rows).mapInArrow(keep, rows.schema)
+
+
+def enough(n1: np.ndarray, pos1: np.ndarray, n2: np.ndarray, pos2: np.ndarray, least: float) -> np.ndarray:
+    """May two sets that meet at these places be alike? What is left of both must hold what they have to share."""
+    share = least / (1 + least) * (n1 + n2) - 1e-9
+    return np.minimum(n1 - pos1, n2 - pos2) >= share
+
+
+def stars(rows: DataFrame, least: float, chain: bool) -> DataFrame:
+    """``a, b``: each row of ``token, node, n, pos, root`` with the first of its token, and with the one before
+    if ``chain``, where their roots differ."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None  # the first row of the last token so far, and the last row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if carried is not None:
+                batch = pa.Table.from_batches([*carried, batch]).combine_chunks().to_batches()[0]
+            token, node, n, pos, root = (batch.column(c).to_numpy() for c in ("token", "node", "n", "pos", "root"))
+            new = np.r_[True, token[1:] != token[:-1]]
+            at = np.arange(len(token))
+            first = np.maximum.accumulate(np.where(new, at, 0))
+            pairs = [(first, at)] + ([(np.maximum(at - 1, first), at)] if chain else [])
+            found = []
+            for a, b in pairs:
+                good = (root[a] != root[b]) & enough(n[a], pos[a], n[b], pos[b], least)
+                found.append(np.stack([node[a[good]], node[b[good]]]))
+            x = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*x)), pa.array(np.maximum(*x))], ["a", "b"])
+            carried = [batch.slice(first[-1], 1), batch.slice(len(token) - 1, 1)]
+
+    return by_range(rows).mapInArrow(link, "a long, b long").distinct()
+
+
+def every_pair(rows: DataFrame, count: int, least: float, block: int) -> DataFrame:
+    """``a, b``: all pairs of different roots at one token that may be alike."""
+    groups = count // block + 1
+    hot = rows.groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > block)
+    hot = shared.materialize(hot, "copies-hot").withColumnRenamed("token", "at")
+    # Every pair of blocks of a hot token is a group of its own; all other tokens share groups.
     cut = (
-        cells.join(hot, F.col("cell") == F.col("at"), "left")
-        .withColumn("blocks", blocks)
-        .withColumn("own", own)
+        rows.join(hot, F.col("token") == F.col("at"), "left")
+        .withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / block).cast("long"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        .withColumn("part", F.when(F.col("blocks") > 1, F.col("cell")).otherwise(F.pmod("cell", F.lit(groups))))
-        .select("part", "i", "j", "cell", "node", "n", *PRINTS, "root")
+        .withColumn("part", F.when(F.col("blocks") > 1, F.col("token")).otherwise(F.pmod("token", F.lit(groups))))
+        .select("part", "i", "j", "token", "node", "n", "pos", "root")
     )
-    found = cut.groupBy("part", "i", "j").applyInArrow(lambda table: candidates(table, every), "a long, b long")
-    return found.distinct()
-
-
-def candidates(table: pa.Table, every: bool) -> pa.Table:
-    cell, node, n, root = (table.column(c).to_numpy() for c in ("cell", "node", "n", "root"))
-    order = np.lexsort((node, cell))
-    cell, node, n, root = cell[order], node[order], n[order], root[order]
-    words = np.stack([table.column(p).to_numpy().view(np.uint64) for p in PRINTS], axis=1)[order]
-    out: list[np.ndarray] = []
-
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
-        good = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= LEAST * np.maximum(n[a], n[b]))
-        a, b = a[good], b[good]
-        near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= BITS
-        out.append(np.stack([node[a[near]], node[b[near]]]))
-
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    sizes = np.diff(np.r_[starts, len(cell)])
-    first = np.repeat(starts, sizes)
-    at = np.arange(len(cell))
-    if not every:
-        later = at[at > first]
-        keep(first[later], later)
-        keep(later - 1, later)
-    else:
-        # Rows of a cell against all later ones of it, a bounded number of pairs at once.
-        after = np.repeat(starts + sizes, sizes) - at - 1
-        lo, total = 0, np.cumsum(after)
-        while lo < len(cell):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + AT_ONCE, side="right")))
-            if after[lo:hi].any():
-                keep(np.repeat(at[lo:hi], after[lo:hi]), arrays.ranges(at[lo:hi] + 1, after[lo:hi]))
-            lo = hi
-    pairs = np.unique(np.concatenate([*out, np.zeros((2, 0), np.int64)], axis=1), axis=1)
+    return cut.groupBy("part", "i", "j").applyInArrow(lambda table: candidates(table, least), "a long, b long").distinct()
+
+
+def candidates(table: pa.Table, least: float) -> pa.Table:
+    """Pairs of one group; a token has a few blocks of rows at most here."""
+    token, node, n, pos, root = (table.column(c).to_numpy() for c in ("token", "node", "n", "pos", "root"))
+    order = np.lexsort((node, token))
+    token, node, n, pos, root = token[order], node[order], n[order], pos[order], root[order]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    sizes = np.diff(np.r_[starts, len(token)])
+    at = np.arange(len(token))
+    # Rows of a token against all later ones of it, a bounded number of pairs at once.
+    after = np.repeat(starts + sizes, sizes) - at - 1
+    out: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+    lo, total = 0, np.cumsum(after)
+    while lo < len(token):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+        a, b = np.repeat(at[lo:hi], after[lo:hi]), arrays.ranges(at[lo:hi] + 1, after[lo:hi]) if after[lo:hi].any() else at[:0]
+        good = (root[a] != root[b]) & enough(n[a], pos[a], n[b], pos[b], least)
+        out.append(np.stack([node[a[good]], node[b[good]]]))
+        lo = hi
+    pairs = np.unique(np.concatenate(out, axis=1), axis=1)
     return pa.table({"a": np.minimum(*pairs), "b": np.maximum(*pairs)})
 
 
+def dealt_join(left: DataFrame, right: DataFrame, key: str, split: int = SPLIT) -> DataFrame:
+    """Inner join by ``key``, of which ``right`` has one row each; keys of many rows go to several tasks."""
+    hot = left.groupBy(key).agg(F.ceil(F.count("*") / split).cast("int").alias("_tasks")).filter("_tasks > 1")
+    hot = shared.materialize(hot, "copies-hot")
+    tasks = F.coalesce("_tasks", F.lit(1))
+    many = left.join(hot, key, "left").withColumn("_task", F.pmod(F.xxhash64(*left.columns), tasks)).drop("_tasks")
+    each = right.join(hot, key, "left").withColumn("_task", F.explode(F.sequence(F.lit(0).cast("long"), (tasks - 1).cast("long")))).drop("_tasks")
+    return many.join(each, [key, "_task"]).drop("_task")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs of which the sets share ``least`` of all their shingles, from the texts themselves."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
     chosen = nodes.join(asked, F.col("node") == F.col("of"), "left_semi").select("least.*", "node")
-    texts = keyed.select("_doc", "_row", F.col("text").cast("string").alias("text"))
+    texts = keyed.select("_doc", "_row", "text")
     texts = texts.join(chosen, (F.col("_doc") == F.col("doc_id")) & (F.col("_row") == F.col("row"))).select("node", "text")
 
     def sets(part: pa.RecordBatch) -> pa.RecordBatch:
-        found = [h.view(np.int64) for _, data, offsets in arrays.pieces(part) for h in shingle_sets(data, offsets, shingle)]
+        found = [h.view(np.int64) for h in sets_of(part, shingle)]
         return pa.RecordBatch.from_arrays(
             [part.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "set"]
         )
 
     known = shared.per_batch(texts, sets, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
     known = shared.materialize(known, "copies-sets")
+    one = dealt_join(pairs, known.select(F.col("node").alias("a"), F.col("set").alias("left")), "a")
     both = F.size(F.array_intersect("left", "right"))
     return (
-        pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("left")), "a")
-        .join(known.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
+        dealt_join(one, known.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
         .filter(both >= F.lit(least) * (F.size("left") + F.size("right") - both))
         .select("a", "b")
     )
 
 
-def one_of_each(
-    docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, recall: float = RECALL, block: int = BLOCK
-) -> DataFrame:
+def simhash_pairs(nodes: DataFrame, bits: int) -> DataFrame:
+    """``a, b``: nodes of one fingerprint with their least, and such least nodes of near fingerprints."""
+    held = shared.materialize(nodes.groupBy("fp").agg(F.min("node").alias("to")), "copies-prints")
+    near = simhash.links(held.select("fp"), bits, simhash.BLOCK, simhash.groups_for(held.count(), bits))
+    near = near.distinct().withColumnsRenamed({"a": "of", "b": "fp"})
+    ends = near.join(held, "fp").select(F.col("to").alias("a"), F.col("of").alias("fp")).join(held, "fp").select("a", F.col("to").alias("b"))
+    same = dealt_join(nodes.select("fp", "node"), held, "fp").filter("node <> to").select(F.col("to").alias("a"), F.col("node").alias("b"))
+    return ends.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+    roots = components.components(links).withColumnRenamed("node", "of").withColumnRenamed("root", "to")
+    return rows.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("to", "node")).drop("of", "to")
+
+
+def still_open(rows: DataFrame) -> DataFrame:
+    """Rows of the tokens that nodes of more than one root have."""
+    several = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    return rows.join(several.select("token"), "token", "left_semi")
+
+
+def all_links(keyed: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, least: float, block: int) -> DataFrame:
+    """``a, b``: links that join all nodes of a Jaccard of ``least`` or more."""
+    last = frequent(texts, shingle, FREQUENT)
+    first = shared.per_batch(texts, lambda part: postings(part, shingle, least, last), POSTING)
+    rows = shared.materialize(met(shared.materialize(first, "copies-prefixes")), "copies-met")
+    seen = simhash_pairs(nodes, BITS).unionByName(stars(rows.withColumn("root", F.col("node")), least, False)).distinct()
+    seen = shared.materialize(seen, "copies-pairs")
+    links = shared.materialize(verified(seen, nodes, keyed, shingle, least), "copies-links")
+    while True:
+        parted = shared.materialize(still_open(with_roots(rows, links)), "copies-open")
+        best = parted.groupBy("token", "root").agg(F.min(F.struct("pos", "node", "n")).alias("x"))
+        pairs = stars(best.select("token", "x.*", "root"), least, True).join(seen, ["a", "b"], "left_anti")
+        pairs = shared.materialize(pairs, "copies-pairs")
+        if pairs.isEmpty():
+            break
+        more = shared.materialize(verified(pairs, nodes, keyed, shingle, least), "copies-links")
+        seen = seen.unionByName(pairs)
+        if more.isEmpty():
+            break
+        links = shared.materialize(links.unionByName(more), "copies-links")
+    rest = every_pair(parted, parted.count(), least, block).join(seen, ["a", "b"], "left_anti")
+    rest = shared.materialize(rest, "copies-pairs")
+    if rest.isEmpty():
+        return links
+    return links.unionByName(verified(rest, nodes, keyed, shingle, least))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """The row of ``docs``, all columns, with the least ``doc_id`` of each component of near copies; of several
-    such rows the one with the least hash of all columns, once. Null and empty texts are one node."""
-    keyed = docs.withColumns({"_row": F.xxhash64(*docs.columns), "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
-    rows = keyed.select(F.col("_doc").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
+    such rows the one with the least hash of all columns, once. Null and empty texts are one node, whose only
+    partner it is itself. A null id counts as the least. Columns of any name may stand beside ``doc_id`` and
+    ``text``. An empty table stays empty."""
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("_all"),
+        F.xxhash64(*docs.columns).alias("_row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"),
+        F.col("text").cast("string").alias("text"),
+    )
+    texts = keyed.select("text")
+    rows = keyed.select(F.col("_doc").alias("doc_id"), F.col("_row").alias("row"), "text")
     rows = shared.per_batch(rows, lambda part: prints(part, shingle), f"doc_id long, row long, {NODE}")
-    nodes = shared.materialize(rows.groupBy("node", "n", *PRINTS).agg(F.min(F.struct("doc_id", "row")).alias("least")), "copies-nodes")
-    count = nodes.count()
-    grids, plain = masks(count, recall), nodes.select("node", "n", *PRINTS)
-    pairs = proposed(plain.withColumn("root", F.col("node")), count, grids[:FIRST], False, block)
-    pairs = shared.materialize(pairs, "copies-pairs")
-    links = shared.materialize(verified(pairs, nodes, keyed, shingle, least), "copies-links")
-    roots = components.components(links).withColumnRenamed("node", "of").withColumnRenamed("root", "to")
-    joined = plain.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("to", "node")).drop("of", "to")
-    rest = shared.materialize(proposed(joined, count, grids, True, block), "copies-pairs")
-    links = links.unionByName(verified(rest.exceptAll(pairs), nodes, keyed, shingle, least))
-    roots = components.components(links).withColumnRenamed("node", "of").withColumnRenamed("root", "to")
+    nodes = shared.materialize(rows.groupBy("node", "n", "fp").agg(F.min(F.struct("doc_id", "row")).alias("least")), "copies-nodes")
+    links = all_links(keyed, texts, nodes, shingle, least, block)
     kept = (
-        nodes.join(roots, F.col("node") == F.col("of"), "left")
-        .groupBy(F.coalesce("to", "node").alias("root"))
+        with_roots(nodes.select("node", "least"), links)
+        .groupBy("root")
         .agg(F.min("least").alias("x"))
         .select(F.col("x.doc_id").alias("_doc"), F.col("x.row").alias("_row"))
     )
     same = Window.partitionBy("_doc", "_row").orderBy("_row")
-    return keyed.join(kept, ["_doc", "_row"], "left_semi").withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(*docs.columns)
+    return keyed.join(kept, ["_doc", "_row"], "left_semi").withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select("_all.*")

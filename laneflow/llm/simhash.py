@@ -5,8 +5,11 @@ place. Distances between places (Manhattan) never exceed the number of differing
 0..2 written in unary (00, 01, 11) keeps its segment's two bits, so a place is 64 bits again and a
 Manhattan distance is the number of differing unary bits.
 
-Grid: the segments fall into ``bits + 1`` groups. Two places at a distance of ``bits`` or less agree
-in all counts of at least one group, so they share a cell of that group's grid. Fingerprints of one
+Grids: the segments fall into ``g`` groups, more than ``bits``. Two places at a distance of ``bits`` or
+less agree in all counts of at least ``g - bits`` groups, so they share a cell of the grid over those
+groups; there is one grid for each choice of them. More groups make more copies of a fingerprint and
+far fewer fingerprints a cell, so ``groups_for`` takes the number of groups that costs least for the
+number of fingerprints at hand; the links found are the same with any. Fingerprints of one
 cell are compared by Manhattan distance first and, within the bound, exactly. Cells of more than
 ``block`` fingerprints are cut into blocks and each pair of blocks is a group of its own. A group
 reports its components as stars, never all pairs; the stars meet in ``components``.
@@ -14,10 +17,13 @@ reports its components as stars, never all pairs; the stars meet in ``components
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from laneflow.llm import arrays, components, shared
 from laneflow.llm.shared import F
@@ -27,6 +33,10 @@ SHINGLE = 4
 SEED = 42
 #: Fingerprints of a cell that are compared in one task at most; a larger cell is cut.
 BLOCK = 32_768
+#: Comparisons that a fingerprint's copy in one more grid counts for.
+COPY = 1_000
+#: Chance that two unlike segments have one count: 1/16 + 1/4 + 1/16.
+SAME = 0.375
 #: Comparisons made at once.
 AT_ONCE = 1 << 20
 LOW = 0x5555555555555555
@@ -77,18 +87,30 @@ def place(fp: Column) -> Column:
     return either.bitwiseOR(F.shiftleft(both, 1))
 
 
-def group_masks(bits: int) -> list[int]:
-    """Masks over the unary counts, one per group of segments; as signed 64-bit values."""
-    masks = [0] * (bits + 1)
+def grid_masks(bits: int, groups: int) -> list[int]:
+    """Masks over the unary counts, one per choice of ``groups - bits`` groups; as signed 64-bit values."""
+    masks = [0] * groups
     for segment in range(32):
-        masks[segment * (bits + 1) // 32] |= 3 << (2 * segment)
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+        masks[segment * groups // 32] |= 3 << (2 * segment)
+    chosen = [sum(c) for c in combinations(masks, groups - bits)]
+    return [m - (1 << 64) if m >> 63 else m for m in chosen]
+
+
+def groups_for(count: int, bits: int) -> int:
+    """Groups with the least cost a fingerprint: its copies, and its comparisons in all grids."""
 
+    def cost(groups: int) -> float:
+        apart = (groups - bits) * 32 // groups
+        return math.comb(groups, bits) * (COPY + count * SAME**apart)
 
-def cells(prints: DataFrame, bits: int, block: int) -> DataFrame:
+    return min(range(bits + 1, max(bits + 2, min(2 * bits, 32) + 1)), key=cost)
+
+
+def cells(prints: DataFrame, bits: int, block: int, groups: int) -> DataFrame:
     """``grid, cell, i, j, own, fp``: each fingerprint in its cell of every grid, cut into blocks."""
     placed = prints.withColumn("place", place(F.col("fp")))
-    grids = F.array(*(F.struct(F.lit(g).alias("grid"), F.col("place").bitwiseAND(F.lit(m)).alias("cell")) for g, m in enumerate(group_masks(bits))))
+    masks = grid_masks(bits, groups)
+    grids = F.array(*(F.struct(F.lit(g).alias("grid"), F.col("place").bitwiseAND(F.lit(m)).alias("cell")) for g, m in enumerate(masks)))
     dealt = placed.select("fp", F.explode(grids).alias("x")).select("x.grid", "x.cell", "fp")
     sizes = dealt.groupBy("grid", "cell").agg(F.count("*").alias("n")).filter("n > 1")
     own = F.pmod(F.xxhash64("fp"), "blocks")
@@ -101,6 +123,12 @@ def cells(prints: DataFrame, bits: int, block: int) -> DataFrame:
     )
 
 
+def links(prints: DataFrame, bits: int, block: int, groups: int) -> DataFrame:
+    """``a, b``: links that join all distinct fingerprints ``fp`` at a distance of ``bits`` or less."""
+    grouped = cells(prints, bits, block, groups).groupBy("grid", "cell", "i", "j")
+    return grouped.applyInArrow(lambda table: stars(table, bits), "a long, b long")
+
+
 def stars(table: pa.Table, bits: int) -> pa.Table:
     """Components of the fingerprints of one cell (or pair of blocks), as edges to their least member."""
     fp = np.sort(table.column("fp").to_numpy()).view(np.uint64)
@@ -151,36 +179,14 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, b
 
 def rooted(rows: DataFrame, bits: int, block: int) -> DataFrame:
     """``fp, least, root``: each fingerprint with its least ``doc_id`` and its component's least fingerprint."""
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = (
-        cells(prints.select("fp"), bits, block)
-        .groupBy("grid", "cell", "i", "j")
-        .applyInArrow(lambda table: stars(table, bits), "a long, b long")
-    )
+    prints = shared.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
+    edges = links(prints.select("fp"), bits, block, groups_for(prints.count(), bits))
     roots = components.components(edges)
     return prints.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
 
 
-def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """The row of ``docs``, all columns, with the least ``doc_id`` of each component; of several such
-    rows the one with the least hash of all columns, once."""
-    keyed = docs.withColumns({"_row": F.xxhash64(*docs.columns), "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
-    rows = keyed.select(F.col("_doc").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
-    rows = shared.materialize(
-        shared.per_batch(rows, lambda part: fingerprint_batch(part, shingle), "doc_id long, row long, fp long"), "simhash"
-    )
-    kept = (
-        rows.join(rooted(rows.select("doc_id", "fp"), bits, block), "fp")
-        .groupBy("root")
-        .agg(F.min(F.struct("doc_id", "row")).alias("x"))
-        .select(F.col("x.doc_id").alias("_doc"), F.col("x.row").alias("_row"))
-    )
-    same = Window.partitionBy("_doc", "_row").orderBy("_row")
-    return keyed.join(kept, ["_doc", "_row"], "left_semi").withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(*docs.columns)
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components over every whole text of ``documents``."""
     found = near_duplicates(shared.table(spark, sf_dir, "documents"))

@@ -45,7 +45,7 @@ def corpus():
     return [(i, " ".join(w)) for i, w in enumerate(rows)] + [(900, ""), (901, None), (902, "Two words"), (903, "two  WORDS")]
 
 
-@pytest.mark.parametrize("block", [50, copies.BLOCK])
+@pytest.mark.parametrize("block", [5, copies.BLOCK])
 def test_near_copies_equal_all_pairs(spark, block):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -62,3 +62,45 @@ def test_stage_links_near_copies_of_many_bits(spark):
     assert (a ^ b).bit_count() > 4
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()] == [3]
+
+
+@pytest.mark.parametrize("words", [(1, 8), (9, 14), (15, 55)])
+def test_no_link_is_lost_in_any_size_class(spark, words):
+    """Sets of 1 to 4, 5 to 10, and 11 to 51 shingles, changed at an end or inside; frequent words among them."""
+    rng = random.Random(words[0])
+    word = lambda: f"w{int(rng.paretovariate(0.4)) % 900}"
+    rows = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(*words))]
+        rows += [base, [*base, word()], [word(), *base[1:]], base[: max(1, len(base) - 2)]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in copies.one_of_each(docs).collect()) == kept(rows)
+
+
+def test_a_large_group_hardly_alike(spark, monkeypatch):
+    """Copies of one text with up to eight changed words each, and many unlike texts that share a passage."""
+    monkeypatch.setattr(copies, "OFTEN", 4)
+    rng = random.Random(3)
+    base, passage = [f"b{k}" for k in range(150)], [f"p{k}" for k in range(60)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 9)):
+            copy[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(copy)))
+    rows += [(i, " ".join([f"u{i}v{k}" for k in range(60)] + passage)) for i in range(300, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(r.doc_id for r in copies.one_of_each(docs, block=40).collect()) == kept(rows)
+
+
+def test_edges(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns with the operator's own names."""
+    long = " ".join(f"l{k}" for k in range(60_000))
+    rows = [(4, "a b c d e f"), (4, "a b c d e f"), (None, "a b  c d e F"), (5, None), (6, ""), (7, long), (3, long + " end"), (None, None)]
+    schema = "doc_id long, text string, _doc string, _row int, _nth int, node long, root long"
+    docs = spark.createDataFrame([(*r, "x", 1, 2, 3, 4) for r in rows], schema)
+    out = copies.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(None, "a b  c d e F"), (None, None), (3, long + " end")], key=repr)
+    assert copies.one_of_each(docs.limit(0)).count() == 0

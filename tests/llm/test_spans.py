@@ -90,7 +90,6 @@ def test_empty_tables(spark):
     assert bytespans.deduplicated(none).count() == 0
     assert wordspans.deduplicated(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.one_of_each(none).count() == 0
     items = spark.createDataFrame([], "item_id long, text string")
     assert containment.pairs(none, items).count() == 0
 
@@ -116,27 +115,35 @@ def test_simhash(spark, block):
     assert sorted(((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in out), key=repr) == want
 
 
-@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=12, unique=True), st.data())
-@settings(max_examples=60, deadline=None)
-def test_grid_loses_no_link(prints, data):
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=12, unique=True), st.sampled_from([5, 6, 7, 8]), st.data())
+@settings(max_examples=100, deadline=None)
+def test_grid_loses_no_link(prints, groups, data):
     """Every link shares a cell in some grid, and places are a lower bound of distances."""
     fp = np.array(prints + [p ^ (1 << data.draw(st.integers(0, 63))) ^ (1 << data.draw(st.integers(0, 63))) for p in prints], np.uint64)
     places = simhash.unary(fp)
-    masks = [np.uint64(m & (2**64 - 1)) for m in simhash.group_masks(4)]
+    masks = [np.uint64(m & (2**64 - 1)) for m in simhash.grid_masks(4, groups)]
     for i in range(len(fp)):
         away = np.bitwise_count(fp ^ fp[i])
         assert (np.bitwise_count(places ^ places[i]) <= away).all()
         for j in np.flatnonzero(away <= 4):
             assert any(places[i] & m == places[j] & m for m in masks)
-    assert sum(masks) == 2**64 - 1
+    assert np.bitwise_or.reduce(masks) == np.uint64(2**64 - 1)
+
+
+def test_comparisons_do_not_grow_with_the_fingerprints():
+    """Fingerprints that one is compared to in all grids: 64 times as many give hardly more."""
 
+    def compared(n):
+        groups = simhash.groups_for(n, 4)
+        places = simhash.unary(np.random.default_rng(1).integers(0, 2**63, n).astype(np.uint64))
+        some = places[:50]
+        return sum(
+            float((((some[:, None] ^ places[None, :]) & np.uint64(m & (2**64 - 1))) == 0).sum()) / len(some)
+            for m in simhash.grid_masks(4, groups)
+        )
 
-def test_one_of_each_keeps_one_row_of_a_component(spark):
-    text = " ".join(f"word{k}" for k in range(60))
-    rows = [(4, text), (2, text), (2, text), (9, "quite another text than those"), (None, None)]
-    out = simhash.one_of_each(frame(spark, rows))
-    assert sorted((r.doc_id for r in out.collect()), key=repr) == [2, 9, None]
-    assert out.columns == frame(spark, rows).columns
+    assert compared(1 << 20) < 8 * compared(1 << 14)
+    assert [simhash.groups_for(10**k, 4) for k in (3, 5, 9)] == sorted(simhash.groups_for(10**k, 4) for k in (3, 5, 9))
 
 
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=15))
