@@ -1,9 +1,13 @@
 """Quality rules with cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, white space inside turned into one space, trimmed) and hashed.
-Per host the distinct documents that have a line are counted; exact copies are one document. Lines
-of more than ``limit`` documents of their host are removed, and a document of which less than
-``least`` of the letters are left is rejected. The base rules look at one document alone.
+Per host the distinct documents that have a line are counted: copies of a text under different ids are
+different documents, rows equal in id and text are one. Lines of more than ``limit`` documents of their
+host are removed, and a document of which less than ``least`` of the letters are left is rejected. The
+base rules look at one document alone.
+
+Copies are counted before lines are unfolded: each distinct text of a host brings its number of
+documents along, and a line's count is the sum over the texts that have it.
 """
 
 from __future__ import annotations
@@ -112,12 +116,15 @@ def quality(docs: DataFrame, host: str = "source", limit: int = LIMIT, least: fl
         F.col("text").cast("string").alias("text"),
     )
     measured = shared.materialize(shared.per_batch(rows, measure, SCHEMA), "quality-lines")
-    # Copies inside a host count once; what is removed from one of them is removed from all.
+    # Copies inside a host are unfolded once; what is removed from one of them is removed from all.
     contents = measured.dropDuplicates(["host", "digest"])
+    named = measured.select("host", "digest", "doc_id").distinct()
+    copies = named.groupBy(F.col("host").alias("at"), F.col("digest").alias("of")).agg(F.count("*").alias("copies"))
     frequent = (
-        contents.select("host", F.explode(F.array_distinct("lines.line")).alias("line"))
+        contents.join(copies, F.col("host").eqNullSafe(F.col("at")) & (F.col("digest") == F.col("of")))
+        .select("host", "copies", F.explode(F.array_distinct("lines.line")).alias("line"))
         .groupBy("host", "line")
-        .agg(F.count("*").alias("documents"))
+        .agg(F.sum("copies").alias("documents"))
         .filter(F.col("documents") > limit)
         .select(F.col("host").alias("at"), F.col("line").alias("frequent"))
     )
@@ -170,7 +177,7 @@ WITH w AS (
     '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), frequent AS (
-  SELECT source, norm FROM plain GROUP BY ALL HAVING count(DISTINCT digest) > {LIMIT}
+  SELECT source, norm FROM plain GROUP BY ALL HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '') || ':' || digest) > {LIMIT}
 ), removed AS (
   SELECT doc_id, sum(length(replace(p.norm, ' ', '')))::BIGINT AS chars_removed, count(*) AS lines_removed
   FROM plain p JOIN frequent f ON p.norm = f.norm AND p.source IS NOT DISTINCT FROM f.source GROUP BY doc_id

@@ -62,6 +62,18 @@ def test_lines(spark):
     assert lines.quality(df.limit(0)).count() == 0
 
 
+def test_copies_are_documents_of_their_own(spark):
+    """Twenty copies of one page: its lines are frequent. Rows of one id and text are one document."""
+    page = "\n".join(" ".join(f"w{k}x{j}" for j in range(12)) for k in range(6))
+    other = page.replace("w", "v")
+    rows = [(i, page, "h") for i in range(20)] + [(50, other, "h")] * 20 + [(70 + i, other, f"h{i}") for i in range(20)]
+    rows += [(None, page.replace("w", "z"), None)] * 20
+    out = lines.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == len(rows)
+    assert all(not r.kept and r.lines_removed == 6 for r in out if r.doc_id is not None and r.doc_id < 20)
+    assert all(r.kept and not r.lines_removed for r in out if r.doc_id is None or r.doc_id >= 50)
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe.Codec(bpe.Vocabulary.read(bpe.public_path()))
