@@ -14,8 +14,9 @@ what is left of both sets from there on must still hold enough, or the pair need
 Shingles of the prefixes are sorted by ranges, not grouped: a shingle that a third of all documents have
 is cut at range borders like any other. Each document is first compared to the first one of its shingle
 (that with the shortest unshared beginning); what these links join is one component. Then components
-meet by one row each, round by round, until no link is new, and in the end all pairs of different
-components that the filter leaves, in blocks of bounded size. Every candidate is verified by the sets.
+meet by one row each, round by round, while that links many, and in the end all pairs of different
+components that the filter leaves, in blocks of bounded size. Candidates whose parities (a bit for each
+class of shingles) already differ in too many places are dropped; every other one is verified by the sets.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ BLOCK = 2_048
 SPLIT = 8_192
 AT_ONCE = 1 << 20
 NO_ID = -(1 << 63)
-NODE = "node long, n long, fp long"
+NODE = "node long, n long, fp long, parity array<long>"
+#: Words of 64 bits of a set's parities.
+WORDS = 16
 POSTING = "token long, node long, n int, pos int"
 
 
@@ -75,6 +78,15 @@ def print_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def parity_of(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``64 * WORDS`` classes of shingles whether the set has an odd number of them.
+
+    Two sets differ in at least as many shingles as their parities do in bits.
+    """
+    odd = np.bincount((hashes & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -93,8 +105,9 @@ def prints(part: pa.RecordBatch, shingle: int) -> pa.RecordBatch:
             signed([node_of(h) for h in sets]),
             pa.array([len(h) for h in sets], pa.int64()),
             signed([print_of(h) for h in sets]),
+            pa.array([parity_of(h) for h in sets], pa.list_(pa.int64())),
         ],
-        [*kept, "node", "n", "fp"],
+        [*kept, "node", "n", "fp", "parity"],
     )
 
 
@@ -253,10 +266,25 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, split: int = SPLIT)
     return many.join(each, [key, "_task"]).drop("_task")
 
 
+def near_enough(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Without the pairs whose parities differ in more than two alike sets of their sizes may."""
+
+    def side(end: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(end), F.struct("n", "parity").alias(f"_{end}"))
+
+    both = dealt_join(dealt_join(pairs, side("a"), "a"), side("b"), "b")
+    bits = F.zip_with("_a.parity", "_b.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    most = F.lit((1 - least) / (1 + least)) * (F.col("_a.n") + F.col("_b.n")) + 1e-9
+    return both.filter(apart <= most).select("a", "b")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs of which the sets share ``least`` of all their shingles, from the texts themselves."""
+    pairs = shared.materialize(near_enough(pairs, nodes, least), "copies-near")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
-    chosen = nodes.join(asked, F.col("node") == F.col("of"), "left_semi").select("least.*", "node")
+    chosen = nodes.select("node", "least.*").join(asked, F.col("node") == F.col("of"), "left_semi")
+    chosen = shared.materialize(chosen, "copies-asked")
     texts = keyed.select("_doc", "_row", "text")
     texts = texts.join(chosen, (F.col("_doc") == F.col("doc_id")) & (F.col("_row") == F.col("row"))).select("node", "text")
 
@@ -307,17 +335,20 @@ def all_links(keyed: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int
     seen = shared.materialize(seen, "copies-pairs")
     links = shared.materialize(verified(seen, nodes, keyed, shingle, least), "copies-links")
     while True:
-        parted = shared.materialize(still_open(with_roots(rows, links)), "copies-open")
+        rows = shared.materialize(still_open(with_roots(rows, links)), "copies-open").drop("root")
+        parted = with_roots(rows, links)
         best = parted.groupBy("token", "root").agg(F.min(F.struct("pos", "node", "n")).alias("x"))
         pairs = stars(best.select("token", "x.*", "root"), least, True).join(seen, ["a", "b"], "left_anti")
         pairs = shared.materialize(pairs, "copies-pairs")
-        if pairs.isEmpty():
+        tried = pairs.count()
+        if not tried:
             break
         more = shared.materialize(verified(pairs, nodes, keyed, shingle, least), "copies-links")
-        seen = seen.unionByName(pairs)
-        if more.isEmpty():
+        seen, links = seen.unionByName(pairs), links.unionByName(more)
+        # Few new links: what is open is hardly alike, and another round would not leave less for the end.
+        if more.count() * 10 < tried:
             break
-        links = shared.materialize(links.unionByName(more), "copies-links")
+    parted = shared.materialize(still_open(with_roots(rows, links)), "copies-open")
     rest = every_pair(parted, parted.count(), least, block).join(seen, ["a", "b"], "left_anti")
     rest = shared.materialize(rest, "copies-pairs")
     if rest.isEmpty():
@@ -339,7 +370,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, b
     texts = keyed.select("text")
     rows = keyed.select(F.col("_doc").alias("doc_id"), F.col("_row").alias("row"), "text")
     rows = shared.per_batch(rows, lambda part: prints(part, shingle), f"doc_id long, row long, {NODE}")
-    nodes = shared.materialize(rows.groupBy("node", "n", "fp").agg(F.min(F.struct("doc_id", "row")).alias("least")), "copies-nodes")
+    best = (F.min(F.struct("doc_id", "row")).alias("least"), F.first("parity").alias("parity"))
+    nodes = shared.materialize(rows.groupBy("node", "n", "fp").agg(*best), "copies-nodes")
     links = all_links(keyed, texts, nodes, shingle, least, block)
     kept = (
         with_roots(nodes.select("node", "least"), links)
