@@ -123,6 +123,47 @@ def forecast_matrix(
     ).drop("_flat")
 
 
+def site_models(weights: DataFrame) -> DataFrame:
+    """``location, model``: the weights of each site, one entry per target step in order of steps."""
+    entry = F.struct("step", "per_lag", "per_cell")
+    return weights.groupBy("location").agg(F.sort_array(F.collect_list(entry)).alias("model"))
+
+
+def forecast_by_site(
+    df: DataFrame, models: DataFrame, steps: int, lanes: int, sections: int, predict: int = 1
+) -> DataFrame:
+    """Rounded forecasts per history by the model of its own site, one row per target ``step``.
+
+    ``models`` is a table of :func:`site_models`; a site's forecast of a cell is the cell's offset plus the
+    weighted sum of its history, all column math. A history of a site without a model (or without a site)
+    has a ``prediction`` of NULL in a single row with ``step`` NULL; one shorter than ``steps`` gives
+    matrices of zeros. A model that has not ``predict`` target steps or weights for ``steps`` windows
+    fails the query.
+    """
+    per_step = lanes * sections
+    known = models.select(F.struct("location").alias("_at"), "model")
+    joined = df.withColumn("_at", F.struct("location")).join(known, "_at", "left").drop("_at")
+    flat = F.transform("history", lambda m: F.transform(F.flatten(F.flatten(m)), lambda v: v.cast("double")))
+
+    def of_step(entry: Column) -> Column:
+        def of_cell(offset: Column, i: Column) -> Column:
+            terms = F.zip_with(entry["per_lag"], "_flat", lambda weight, seen: weight * F.get(seen, i))
+            return F.aggregate(terms, offset, lambda total, term: total + term)
+
+        fits = (F.size(entry["per_lag"]) == steps) & (F.size(entry["per_cell"]) == per_step)
+        cells_out = F.transform(entry["per_cell"], lambda offset, i: F.bround(of_cell(offset, i)).cast("int"))
+        return F.when(fits, cells_out).otherwise(F.raise_error(F.lit("the model has weights for another grid or history")))
+
+    zeros = F.array_repeat(F.array_repeat(F.lit(0), per_step), predict)
+    made = F.when(F.size("model") != predict, F.raise_error(F.lit(f"the model has not {predict} target steps")))
+    made = made.when(F.size("history") != steps, zeros).otherwise(F.transform("model", of_step))
+    by_step = F.when(F.col("model").isNotNull(), made)
+    out = joined.withColumn("_flat", flat).withColumn("_steps", by_step)
+    return out.select(*df.columns, F.posexplode_outer("_steps").alias("step", "_cells")).withColumn(
+        "prediction", cells.unflatten(F.col("_cells"), lanes, sections)
+    ).drop("_cells")
+
+
 def with_truth(
     predictions: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("location", "sample_id")
 ) -> DataFrame:

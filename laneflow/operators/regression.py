@@ -26,6 +26,8 @@ WEIGHTS = (
     "location string, step int, reg_param double, per_lag array<double>, per_cell array<double>, "
     "features int, sections int"
 )
+#: Name of the folders of a model's versions.
+VERSION = "version"
 
 
 @dataclass(frozen=True)
@@ -244,6 +246,29 @@ def site_predictor(weights: DataFrame, location: str, lags: Lags) -> forecast.Pr
     return lambda: predict
 
 
+def save_version(weights: DataFrame, root: str, version: int) -> None:
+    """Add ``location, step, per_lag, per_cell`` of all sites to a folder of versions.
+
+    One file, so that a reader sees the whole version or none of it.
+    """
+    told = weights.select("location", "step", "per_lag", "per_cell")
+    told.coalesce(1).write.mode("errorifexists").json(f"{root}/{VERSION}={version}")
+
+
+def newest_weights(spark: SparkSession, root: str) -> DataFrame:
+    """Weights of the latest version of a model: one read of the folder as it is now.
+
+    A folder without versions, as :meth:`LagModel.save` writes it, is the only version of itself. Models with
+    channels or neighbours fail the query: their forecasts need a predictor.
+    """
+    found = spark.read.schema(f"{WEIGHTS}, {VERSION} long").json(root)
+    latest = found.agg(F.max(VERSION).alias("latest")).head().latest
+    mine = found if latest is None else found.filter(F.col(VERSION) == latest)
+    plain = F.coalesce("features", F.lit(1)).eqNullSafe(1) & F.col("sections").isNull()
+    told = F.raise_error(F.lit("a model with channels or neighbours has no forecast by site"))
+    return mine.select("location", F.when(plain, F.col("step")).otherwise(told.cast("int")).alias("step"), "per_lag", "per_cell")
+
+
 def load_predictor(spark: SparkSession, path: str, location: str) -> forecast.PredictorFactory:
     """Predictor of one site of a model written with :meth:`LagModel.save`."""
     weights = spark.read.schema(WEIGHTS).json(path)

@@ -14,7 +14,7 @@ from laneflow.functions import cells, scalar
 from laneflow.operators import aggregate, clean, forecast, grid, regression, segments, series
 from laneflow.plans import telemetry as tel
 from laneflow.plans import training
-from laneflow.plans.replay import Replay
+from laneflow.plans.replay import Replay, publish
 from laneflow.session import fresh_path, materialize, state_width
 from laneflow.sources import files, topics
 from laneflow.streaming import realtime, stages
@@ -693,6 +693,71 @@ def stream_json_forecast(spark, sf_dir):
     return cells_out.withColumnRenamed("vel", "prediction")
 
 
+def _weights(spark, sites: dict[str, tuple[list[float], float]]) -> DataFrame:
+    """One target step: the same weight of each lag and the same offset for all cells of a site."""
+    per_step = SITE.lanes() * SITE.sections
+    rows = [(site, 0, lags, [offset] * per_step) for site, (lags, offset) in sites.items()]
+    return spark.createDataFrame(rows, "location string, step int, per_lag array<double>, per_cell array<double>")
+
+
+LAST, HALVES = [0.0] * 5 + [1.0], [0.0] * 4 + [0.5, 0.5]
+
+
+def _site_cells(out: DataFrame) -> DataFrame:
+    flat = out.withColumn("prediction", F.array("prediction"))
+    cells_out = _matrix_cells(flat, ("location", "global_time", "target_start", "step"), "prediction")
+    return cells_out.withColumnRenamed("vel", "prediction")
+
+
+def _site_job(spark, topic: str, model: str, path: str):
+    """The site job over frame messages, both stages in one query."""
+    with state_width(spark, spark.sparkContext.defaultParallelism):
+        return realtime.start_site_job(
+            topics.read_stream(spark, "parquet", topic), REALTIME, model, path, fresh_path(spark, "site-checkpoint"),
+            {"processingTime": "1 second"}, realtime.history_stream,
+        )
+
+
+def _site_run(spark, sf_dir) -> str:
+    topic, model, path = (fresh_path(spark, f"site-{x}") for x in ("topic", "model", "out"))
+    regression.save_version(_weights(spark, {"click": (LAST, 0.0), "view": (HALVES, 3.0)}), model, 1)
+    publish(_messages(spark, sf_dir), topic)
+    job = _site_job(spark, topic, model, path)
+    job.processAllAvailable()
+    job.stop()
+    return path
+
+
+@query
+def stream_site_forecast(spark, sf_dir):
+    """Every site of a topic by its own model; sites without one have no forecast."""
+    return _site_cells(realtime.read_forecasts(spark, _site_run(spark, sf_dir)))
+
+
+@query
+def stream_unmodelled(spark, sf_dir):
+    """Histories of the sites that have no model, counted over the job's batches."""
+    return realtime.read_unmodelled(spark, _site_run(spark, sf_dir))
+
+
+@query
+def stream_model_refresh(spark, sf_dir):
+    """A version of the weights that is saved while the job runs: later batches use it."""
+    topic, model, path = (fresh_path(spark, f"refresh-{x}") for x in ("topic", "model", "out"))
+    points = tel.frames(spark, sf_dir)
+    first, last = _bounds(points)
+    early = F.col("global_time") < (first + last) // 2
+    regression.save_version(_weights(spark, {"click": (LAST, 0.0), "view": (LAST, 1.0)}), model, 1)
+    publish(topics.frames_to_messages(points.filter(early)), topic)
+    job = _site_job(spark, topic, model, path)
+    job.processAllAvailable()
+    regression.save_version(_weights(spark, {"click": (LAST, 5.0), "view": (HALVES, 0.0)}), model, 2)
+    publish(topics.frames_to_messages(points.filter(~early)), topic)
+    job.processAllAvailable()
+    job.stop()
+    return _site_cells(realtime.read_forecasts(spark, path))
+
+
 @query
 def stream_two_stage(spark, sf_dir):
     """Two checkpointed jobs joined by a topic, each stopped and restarted half-way."""

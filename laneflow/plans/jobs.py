@@ -189,7 +189,10 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--parts", type=int, default=1, help="messages that a frame is dealt to")
     aggregate_job = job("aggregate", "source", "topic", "checkpoint")
     aggregate_job.add_argument("--model", help="take the parameters of this model")
-    for sub in (sub, aggregate_job, job("forecast", "topic", "out", "checkpoint", "model")):
+    forecast_job = job("forecast", "topic", "out", "checkpoint", "model")
+    forecast_job.add_argument("--by-site", action="store_true", help="forecast each site by its own weights, read anew for each batch")
+    forecast_job.add_argument("--versions", help="folder of versions of the weights; --model gives the parameters only")
+    for sub in (sub, aggregate_job, forecast_job):
         sub.add_argument("--format", default="kafka")
         sub.add_argument("--servers", default="localhost:9092")
         sub.add_argument("--available-now", action="store_true")
@@ -260,11 +263,13 @@ def main(argv: Sequence[str] | None = None) -> None:
                 trigger=trigger, **_sink(args, args.topic),
             )
         else:
-            factory = regression.load_predictor(spark, args.model, config.site.location)
-            query = realtime.start_second_job(
-                _source(spark, args, args.topic), config, factory, args.out, args.checkpoint,
-                trigger,
-            )
+            messages = _source(spark, args, args.topic)
+            if args.by_site:
+                query = realtime.start_site_job(messages, config, args.versions or args.model, args.out, args.checkpoint, trigger)
+            else:
+                site = config.site.location
+                factory = regression.load_predictor(spark, args.model, site)
+                query = realtime.start_second_job(messages, config, factory, args.out, args.checkpoint, trigger, site)
         query.awaitTermination()
     release(spark)
 

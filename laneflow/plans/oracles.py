@@ -345,6 +345,23 @@ hist AS (
   WHERE based_start + 6 * {DAY} <= {closed_at})"""
 
 
+def _site_forecasts(model: str, sites: str = "'click', 'view'", ctes: str = "") -> str:
+    """Forecasts by a ``model`` of the last two windows ``v0, v1`` of each history, in halves of a mile."""
+    return f"""WITH {_histories(CLOSED_AT)}{ctes},
+ends AS (
+  SELECT hist.location, based_start, lane_id, section_id, any_value(steps) AS steps,
+         max(vel) FILTER (WHERE step = steps - 1) AS v1, max(vel) FILTER (WHERE step = steps - 2) AS v0
+  FROM hist JOIN sg ON sg.location = hist.location AND sg.window_start = hist.window_start
+  WHERE hist.location IN ({sites}) GROUP BY hist.location, based_start, lane_id, section_id)
+SELECT location, based_start AS global_time, based_start + 7 * {DAY} AS target_start, 0::INT AS step,
+       lane_id, section_id, (CASE WHEN steps = 6 THEN round_even({model}, 0) ELSE 0 END)::INT AS prediction
+FROM ends"""
+
+
+EARLY = f"""(SELECT max(f) - {DAY} FROM (SELECT global_time - global_time % {HOUR} AS f FROM t)
+  WHERE f < (SELECT (min(global_time - global_time % {HOUR}) + max(global_time - global_time % {HOUR})) // 2 FROM t))"""
+
+
 HISTORY_ROWS = """SELECT hist.location, based_start, step, hist.window_start, lane_id, section_id, vel
 FROM hist JOIN sg ON sg.location = hist.location AND sg.window_start = hist.window_start"""
 
@@ -550,6 +567,18 @@ def sql() -> dict[str, str]:
                    (CASE WHEN any_value(steps) = 6 THEN round_even(avg(vel), 0) ELSE 0 END)::INT AS prediction
             FROM hist JOIN sg ON sg.location = hist.location AND sg.window_start = hist.window_start
             WHERE hist.step >= steps - 2 GROUP BY hist.location, based_start, lane_id, section_id""",
+        "stream_site_forecast": _site_forecasts(
+            "CASE WHEN location = 'click' THEN v1 ELSE (v0 + v1) / 2.0::DOUBLE + 3 END"
+        ),
+        "stream_unmodelled": f"""WITH {_histories(CLOSED_AT)}
+            SELECT location, count(DISTINCT based_start) AS histories FROM hist
+            WHERE location NOT IN ('click', 'view') GROUP BY location""",
+        "stream_model_refresh": _site_forecasts(
+            f"""CASE WHEN based_start + 6 * {DAY} <= (SELECT done FROM early)
+                     THEN v1 + CASE WHEN location = 'click' THEN 0 ELSE 1 END
+                     WHEN location = 'click' THEN v1 + 5 ELSE (v0 + v1) / 2.0::DOUBLE END""",
+            ctes=f", early AS (SELECT {EARLY} AS done)",
+        ),
         "stream_two_stage": "WITH "
         + _histories(f"(SELECT max(window_start) - 6 * {DAY} FROM sw)")
         + f"\n{HISTORY_ROWS}",

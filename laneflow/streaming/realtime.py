@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DataType, DecimalType
 
 from laneflow.config import SampleConfig, SiteConfig
-from laneflow.operators import forecast
+from laneflow.operators import forecast, regression
 from laneflow.sources import topics
 from laneflow.streaming import stages
 
@@ -124,6 +125,10 @@ def forecast_stream(
     out = forecast.forecast_matrix(
         history, factory, config.history, lanes, sections, unready=unready, predict=config.predict
     )
+    return _labelled(out, config)
+
+
+def _labelled(out: DataFrame, config: RealtimeConfig) -> DataFrame:
     ahead = (F.col("step") + F.lit(config.skip)) * F.lit(config.window_ms)
     return out.select(
         "location",
@@ -135,6 +140,65 @@ def forecast_stream(
     )
 
 
+def site_forecasts(history: DataFrame, config: RealtimeConfig, models: DataFrame) -> DataFrame:
+    """The same from a table of models by site (``forecast.site_models``), on a batch or as a stream-static
+    join: each history is forecast by its own site's weights.
+
+    Histories of sites without a model give no row; the observed metric ``unmodelled`` counts them.
+    """
+    lanes, sections = config.site.lanes(config.with_ramp), config.site.sections
+    out = forecast.forecast_by_site(history, models, config.history, lanes, sections, config.predict)
+    missing = F.coalesce(F.sum(F.col("step").isNull().cast("long")), F.lit(0)).alias("histories")
+    return _labelled(out.observe("unmodelled", missing).filter(F.col("step").isNotNull()), config)
+
+
+def start_site_job(
+    messages: DataFrame,
+    config: RealtimeConfig,
+    model: str,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    histories: Callable[[DataFrame, RealtimeConfig], DataFrame] = history_from_topic,
+) -> StreamingQuery:
+    """Forecast every site of the first job's topic by its own model and append JSON files.
+
+    The newest version of the weights is read once per micro-batch, so a version saved while the job runs is
+    used from the next batch on, without a restart. A batch that is repeated after a failure overwrites its
+    own folder ``batch=N`` of ``path``. The ``unmodelled`` folder beside the forecasts has the number of
+    histories of each batch and site that had no model.
+    """
+
+    def forecast_batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        # Once for both outputs; small, as histories are windows and not points.
+        held = rows.persist()
+        models = forecast.site_models(regression.newest_weights(spark, model))
+        site_forecasts(held, config, models).write.mode("overwrite").json(f"{path}/forecasts/batch={number}")
+        known = models.select(F.struct("location").alias("_at"))
+        without = held.withColumn("_at", F.struct("location")).join(known, "_at", "left_anti")
+        counts = without.groupBy("location").agg(F.count(F.lit(1)).alias("histories"))
+        counts.write.mode("overwrite").json(f"{path}/unmodelled/batch={number}")
+        held.unpersist()
+
+    writer = histories(messages, config).writeStream.foreachBatch(forecast_batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "1 minute"})).start()
+
+
+FORECASTS = "location string, global_time long, target_start long, step int, prediction array<array<int>>, batch long"
+
+
+def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`start_site_job` has written, with the batch that each row is of."""
+    return spark.read.schema(FORECASTS).json(f"{path}/forecasts")
+
+
+def read_unmodelled(spark: SparkSession, path: str) -> DataFrame:
+    """``location, histories``: histories without a model over the job's life."""
+    found = spark.read.schema("location string, histories long, batch long").json(f"{path}/unmodelled")
+    return found.groupBy("location").agg(F.sum("histories").alias("histories"))
+
+
 def start_first_job(
     messages: DataFrame, config: RealtimeConfig, fmt: str, checkpoint: str, **sink
 ) -> StreamingQuery:
@@ -143,6 +207,10 @@ def start_first_job(
     return topics.write_stream(encoded, fmt, checkpoint, **sink)
 
 
+def _site_of(messages: DataFrame) -> Column:
+    return F.get_json_object(messages["key"].cast("string"), "$.location")
+
+
 def start_second_job(
     messages: DataFrame,
     config: RealtimeConfig,
@@ -150,8 +218,15 @@ def start_second_job(
     path: str,
     checkpoint: str,
     trigger: dict | None = None,
+    location: str | None = None,
 ) -> StreamingQuery:
-    """Forecast from the first job's topic and append JSON files, once a minute by default."""
+    """Forecast from the first job's topic and append JSON files, once a minute by default.
+
+    With a ``location`` messages of other sites are left out, for a model of one site; without one
+    ``factory`` forecasts every site alike. See :func:`start_site_job` for a model of each.
+    """
+    if location is not None:
+        messages = messages.filter(_site_of(messages) == location)
     out = forecast_stream(history_from_topic(messages, config), config, factory)
     return topics.write_stream(
         out, "json", checkpoint, path=path, trigger=trigger or {"processingTime": "1 minute"}
