@@ -2,7 +2,7 @@
 
 Lambert conformal conic with two standard parallels, inverted with the closed-form series for the
 conformal latitude (J. P. Snyder, Map Projections: A Working Manual, USGS PP 1395, eq. 3-5,
-14-1 ... 15-11). The datum shift NAD83 -> WGS84 is taken as zero.
+14-1 ... 15-11). The datum shift NAD83 -> WGS84 is zero unless a :class:`DatumShift` is given.
 """
 
 from __future__ import annotations
@@ -80,3 +80,55 @@ def lat_lon(x_ft: Column, y_ft: Column, crs: str) -> tuple[Column, Column]:
     phi = F.lit(math.pi / 2) - F.lit(2.0) * F.atan(F.tan(F.lit(math.pi / 4) - chi / 2) * squeeze)
     theta = F.atan2(east, south)
     return F.degrees(phi), F.degrees(theta / F.lit(n)) + F.lit(zone.lon0)
+
+
+# The WGS84 ellipsoid.
+WGS84_SEMI_MAJOR = 6378137.0
+WGS84_INVERSE_FLATTENING = 298.257223563
+
+
+@dataclass(frozen=True)
+class DatumShift:
+    """Seven parameters from one datum to another: metres, arc seconds (position vector), parts per million."""
+
+    dx: float = 0.0
+    dy: float = 0.0
+    dz: float = 0.0
+    rx: float = 0.0
+    ry: float = 0.0
+    rz: float = 0.0
+    ppm: float = 0.0
+
+
+def geocentric(lat: Column, lon: Column, semi_major: float, e2: float) -> tuple[Column, Column, Column]:
+    """Cartesian metres of a point on the ellipsoid, from radians."""
+    across = F.lit(semi_major) / F.sqrt(F.lit(1.0) - F.lit(e2) * F.sin(lat) * F.sin(lat))
+    return across * F.cos(lat) * F.cos(lon), across * F.cos(lat) * F.sin(lon), across * F.lit(1 - e2) * F.sin(lat)
+
+
+def geodetic(x: Column, y: Column, z: Column, semi_major: float, e2: float) -> tuple[Column, Column]:
+    """Latitude and longitude in radians of Cartesian metres near the ellipsoid (Bowring's closed form)."""
+    semi_minor = semi_major * math.sqrt(1 - e2)
+    away = F.hypot(x, y)
+    theta = F.atan2(z * F.lit(semi_major), away * F.lit(semi_minor))
+    sine, cosine = F.sin(theta), F.cos(theta)
+    up = z + F.lit(e2 / (1 - e2) * semi_minor) * sine * sine * sine
+    out = away - F.lit(e2 * semi_major) * cosine * cosine * cosine
+    return F.atan2(up, out), F.atan2(y, x)
+
+
+def shifted(lat: Column, lon: Column, shift: DatumShift) -> tuple[Column, Column]:
+    """Degrees on GRS 1980 to degrees on WGS84: to Cartesian metres, turned, scaled and moved, and back."""
+    if shift == DatumShift():
+        return lat, lon
+    x, y, z = geocentric(F.radians(lat), F.radians(lon), SEMI_MAJOR, _E2)
+    rx, ry, rz = (F.lit(math.radians(r / 3600)) for r in (shift.rx, shift.ry, shift.rz))
+    scale = F.lit(1 + shift.ppm * 1e-6)
+    moved = (
+        F.lit(shift.dx) + scale * (x - rz * y + ry * z),
+        F.lit(shift.dy) + scale * (rz * x + y - rx * z),
+        F.lit(shift.dz) + scale * (rx * y - ry * x + z),
+    )
+    f = 1 / WGS84_INVERSE_FLATTENING
+    phi, lam = geodetic(*moved, WGS84_SEMI_MAJOR, 2 * f - f * f)
+    return F.degrees(phi), F.degrees(lam)

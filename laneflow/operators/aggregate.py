@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from laneflow.config import SiteConfig, WindowConfig
 from laneflow.functions import scalar
+from laneflow.operators.joins import join_by
 
 CELL = ("section_id", "lane_id")
 SITE = ("location",)
@@ -142,4 +143,4 @@ def min_max_scaled(
         for column, s in pairs.items()
     }
     bounds = [f"{side}_{s}" for s in pairs.values() for side in ("min", "max")]
-    return windows.join(stats, list(keys)).withColumns(scaled).drop(*bounds)
+    return join_by(windows, stats, keys).withColumns(scaled).drop(*bounds)

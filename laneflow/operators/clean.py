@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from laneflow.config import SiteConfig
 from laneflow.functions import geo, scalar
+from laneflow.operators.joins import join_by
 from laneflow.session import materialize
 
 
@@ -35,10 +36,14 @@ def convert_units(df: DataFrame) -> DataFrame:
     return df.withColumns({c: scalar.to_mph(F.col(c)) for c in ("v_vel", "v_acc")})
 
 
-def reproject(df: DataFrame, crs: str) -> DataFrame:
-    """Planar ``global_x``/``global_y`` become ``lat``/``lon``."""
+def reproject(df: DataFrame, crs: str, shift: geo.DatumShift | None = None) -> DataFrame:
+    """Planar ``global_x``/``global_y`` become ``lat``/``lon``, moved to another datum if ``shift`` is given."""
     lat, lon = geo.lat_lon(F.col("global_x"), F.col("global_y"), crs)
-    return df.withColumns({"lat": lat, "lon": lon}).drop("global_x", "global_y")
+    out = df.withColumns({"lat": lat, "lon": lon}).drop("global_x", "global_y")
+    if shift is None:
+        return out
+    lat, lon = geo.shifted(F.col("lat"), F.col("lon"), shift)
+    return out.withColumns({"lat": lat, "lon": lon})
 
 
 def add_local_time(df: DataFrame, site: SiteConfig) -> DataFrame:
@@ -58,7 +63,7 @@ def add_elapsed(df: DataFrame, origin_ms: int) -> DataFrame:
 def rebase_elapsed(df: DataFrame, offset_ms: int | None = None) -> DataFrame:
     """Count elapsed time from the site's first frame.
 
-    With no known offset it is looked up per location. The lookup is written first: Spark then
+    With no known offset it is looked up per location (points without one are a site). The lookup is written first: Spark then
     knows its size, and joins it without shuffling the points unless it is too large to broadcast.
     """
     if offset_ms is not None:
@@ -66,7 +71,7 @@ def rebase_elapsed(df: DataFrame, offset_ms: int | None = None) -> DataFrame:
     first = df.groupBy("location").agg(F.min("elapsed_time").alias("_first"))
     first = materialize(first, "first-frames")
     return (
-        df.join(first, "location")
+        join_by(df, first, ["location"])
         .withColumn("elapsed_time", F.col("elapsed_time") - F.col("_first"))
         .drop("_first")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneflow.functions import cells
+from laneflow.operators.joins import join_by
 
 # A predictor maps a batch of histories (rows, history, cells) to forecasts (rows, outputs).
 # It is made by a factory on the executor, once per task, so weights are loaded once.
@@ -160,7 +161,7 @@ def forecast_by_site(
     by_step = F.when(F.col("model").isNotNull(), made)
     out = joined.withColumn("_flat", flat).withColumn("_steps", by_step)
     return out.select(*df.columns, F.posexplode_outer("_steps").alias("step", "_cells")).withColumn(
-        "prediction", cells.unflatten(F.col("_cells"), lanes, sections)
+        "prediction", F.when(F.col("_cells").isNotNull(), cells.unflatten(F.col("_cells"), lanes, sections))
     ).drop("_cells")
 
 
@@ -168,7 +169,7 @@ def with_truth(
     predictions: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("location", "sample_id")
 ) -> DataFrame:
     """Join forecasts to the flat truth that became known later, one row per sample."""
-    return predictions.join(truth.select(*keys, "actual"), list(keys))
+    return join_by(predictions, truth.select(*keys, "actual"), keys)
 
 
 def forecast_cells(

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneflow.operators import forecast
+from laneflow.operators.joins import join_by
 
 REG_PARAMS = (0.0, 0.01, 0.1)
 MODEL = ("location", "step")
@@ -26,6 +27,7 @@ WEIGHTS = (
     "location string, step int, reg_param double, per_lag array<double>, per_cell array<double>, "
     "features int, sections int"
 )
+WEIGHTS_BY_SITE = "location string, step int, per_lag array<double>, per_cell array<double>"
 #: Name of the folders of a model's versions.
 VERSION = "version"
 
@@ -174,7 +176,7 @@ def predictions(rows: DataFrame, weights: DataFrame, keys: tuple[str, ...] = MOD
     products = F.zip_with("lags", "per_lag", lambda lag, weight: lag * weight)
     total = F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
     return (
-        rows.join(weights, list(keys))
+        join_by(rows, weights, keys)
         .withColumn("prediction", total + F.get("per_cell", F.col("cell")))
         .drop("per_lag", "per_cell")
     )
@@ -188,10 +190,10 @@ def chosen(rows: DataFrame, weights: DataFrame, keys: tuple[str, ...] = MODEL) -
     validation = predictions(rows.filter(F.col("split") == "validation"), weights, keys)
     square = (F.col("actual") - F.col("prediction")) ** 2
     loss = validation.groupBy(*keys, "reg_param").agg(F.avg(square).alias("_loss"))
-    ranked = weights.join(loss, [*keys, "reg_param"], "left")
+    ranked = join_by(weights, loss, [*keys, "reg_param"], "left")
     order = F.struct(F.coalesce("_loss", F.lit(float("inf"))).alias("loss"), "reg_param")
     best = ranked.groupBy(*keys).agg(F.min(order)["reg_param"].alias("reg_param"))
-    return weights.join(best, [*keys, "reg_param"])
+    return join_by(weights, best, [*keys, "reg_param"])
 
 
 @dataclass

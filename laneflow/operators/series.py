@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laneflow.config import SampleConfig
+from laneflow.operators.joins import join_by
 
 SITE = ("location",)
 
@@ -77,7 +78,7 @@ def series_index(
     )
     rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order))
     return (
-        with_block.join(offsets, [*keys, "_block"])
+        join_by(with_block, offsets, [*keys, "_block"])
         .withColumn("idx", F.col("_offset") + rank - F.lit(1))
         .drop("_block", "_offset")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from laneflow.config import ExperimentConfig, SampleConfig, WindowConfig
-from laneflow.functions import cells, scalar
+from laneflow.functions import cells, geo, scalar
 from laneflow.operators import aggregate, clean, forecast, grid, regression, segments, series
 from laneflow.plans import telemetry as tel
 from laneflow.plans import training
@@ -129,6 +129,17 @@ def reproject(spark, sf_dir):
     return df.select("event_id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 
+#: Parameters of about the size of those between NAD83 and the ITRF frames.
+SHIFT = geo.DatumShift(-0.9956, 1.9013, 0.5215, 0.025915, 0.009426, 0.011599, -0.00062)
+
+
+@query
+def reproject_datum(spark, sf_dir):
+    """Planar points to another datum, by seven parameters."""
+    df = clean.reproject(tel.telemetry(spark, sf_dir), SITE.crs, SHIFT)
+    return df.select("event_id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
 @query
 def hour_filter(spark, sf_dir):
     df = clean.hour_filter(_local_points(spark, sf_dir), [7, 8], offset_ms=1000)
@@ -697,7 +708,7 @@ def _weights(spark, sites: dict[str, tuple[list[float], float]]) -> DataFrame:
     """One target step: the same weight of each lag and the same offset for all cells of a site."""
     per_step = SITE.lanes() * SITE.sections
     rows = [(site, 0, lags, [offset] * per_step) for site, (lags, offset) in sites.items()]
-    return spark.createDataFrame(rows, "location string, step int, per_lag array<double>, per_cell array<double>")
+    return spark.createDataFrame(rows, regression.WEIGHTS_BY_SITE)
 
 
 LAST, HALVES = [0.0] * 5 + [1.0], [0.0] * 4 + [0.5, 0.5]

@@ -304,6 +304,25 @@ def _iterations() -> str:
     )
 
 
+def _datum() -> str:
+    """Seven parameters over Cartesian coordinates; the latitude comes back by iteration."""
+    steps = "".join(
+        f",\nb{i + 1} AS (SELECT *, atan2(z2 + ew * 6378137.0::DOUBLE / sqrt(1 - ew * sin(q{i}) ** 2) * sin(q{i}), p) AS q{i + 1} FROM b{i})"
+        for i in range(6)
+    )
+    return f"""
+par AS (SELECT -0.9956::DOUBLE AS dx0, 1.9013::DOUBLE AS dy0, 0.5215::DOUBLE AS dz0, radians(0.025915::DOUBLE / 3600) AS rx,
+        radians(0.009426::DOUBLE / 3600) AS ry, radians(0.011599::DOUBLE / 3600) AS rz, 1 - 0.00062::DOUBLE / 1000000 AS sc,
+        2 / 298.257223563::DOUBLE - 1 / 298.257223563::DOUBLE ** 2 AS ew),
+g1 AS (SELECT event_id, radians(lat) AS f, radians(lon) AS l, a, e * e AS e2 FROM geo),
+g2 AS (SELECT *, a / sqrt(1 - e2 * sin(f) ** 2) AS nn FROM g1),
+g3 AS (SELECT *, nn * cos(f) * cos(l) AS x, nn * cos(f) * sin(l) AS y, nn * (1 - e2) * sin(f) AS z FROM g2),
+g4 AS (SELECT *, dx0 + sc * (x - rz * y + ry * z) AS x2, dy0 + sc * (rz * x + y - rx * z) AS y2,
+       dz0 + sc * (-ry * x + rx * y + z) AS z2 FROM g3 CROSS JOIN par),
+b0 AS (SELECT *, sqrt(x2 * x2 + y2 * y2) AS p, f AS q0 FROM g4){steps}
+SELECT event_id, round(degrees(q6), 7) AS lat, round(degrees(atan2(y2, x2)), 7) AS lon FROM b6"""
+
+
 LOCAL = "(to_timestamp(global_time / 1000.0) AT TIME ZONE 'America/Los_Angeles')"
 CLOSED_AT = f"(SELECT max(global_time - global_time % {HOUR}) - {DAY} FROM t)"
 
@@ -383,6 +402,7 @@ def sql() -> dict[str, str]:
         "calendar_parts": f"""{w}SELECT event_id, day({LOCAL})::INT AS day, month({LOCAL})::INT AS month,
             hour({LOCAL})::INT AS hour, year({LOCAL})::INT AS year FROM t""",
         "reproject": f"{local}SELECT event_id, round(lat, 7) AS lat, round(lon, 7) AS lon FROM geo",
+        "reproject_datum": f"{local[:-1]},{_datum()}",
         "hour_filter": f"""{local}SELECT location, global_time - 1000 AS elapsed_time,
             hour({LOCAL})::INT AS hour, {round6}, vehicle_id, lane_id, {doubles},
             round(lat, 6) AS lat, round(lon, 6) AS lon FROM geo WHERE hour({LOCAL}) IN (7, 8)""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from laneflow import schemas
 from laneflow.config import SampleConfig, SiteConfig, WindowConfig
-from laneflow.operators import aggregate, clean, copies, grid, segments, series
+from laneflow.operators import aggregate, clean, copies, forecast, grid, segments, series
 from laneflow.sources import files, topics
 
 SITE = SiteConfig()
@@ -276,3 +276,18 @@ def test_first_last_histogram_extent(spark):
     bars = [tuple(r) for r in aggregate.speed_histogram(df, "a", 1).collect()]
     assert bars == [(10.0, 2), (11.0, 4), (12.0, 2)]
     assert tuple(aggregate.extent(df).head()) == ("a", 7, 7.0)
+
+
+def test_rows_without_a_site_are_kept(spark):
+    """NULL is a site of its own in every step that joins a table per site."""
+    points = spark.createDataFrame([("a", 5), ("a", 9), (None, 7), (None, 8)], "location string, elapsed_time long")
+    assert sorted(map(tuple, clean.rebase_elapsed(points).collect()), key=repr) == sorted([("a", 0), ("a", 4), (None, 0), (None, 1)], key=repr)
+    schema = "location string, time_window long, avg_vel double, avg_acc double, n long"
+    windows = spark.createDataFrame([(s, w, float(w), 1.0, w + 1) for s in ("a", None) for w in range(20)], schema)
+    scaled = aggregate.min_max_scaled(windows, aggregate.scale_stats(windows))
+    assert scaled.count() == 40 and scaled.filter("location is null and avg_vel = 1").count() == 1
+    ranked = series.series_index(windows, block=7)
+    assert {(r.location, r.idx, r.series_len) for r in ranked.collect()} == {(s, i, 20) for s in ("a", None) for i in range(20)}
+    truth = spark.createDataFrame([("a", 1, [1]), (None, 1, [2])], "location string, sample_id long, actual array<int>")
+    made = truth.select("location", "sample_id", F.array(F.lit(0)).alias("prediction"))
+    assert {r.location for r in forecast.with_truth(made, truth).collect()} == {"a", None}

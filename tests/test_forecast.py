@@ -213,3 +213,41 @@ def test_experiments_on_dense_frames(spark):
     assert all(r.rmse >= r.mae >= 0 for r in out)
     with pytest.raises(ValueError):
         training.run_experiments(sections, site, experiments, models, WindowConfig(1, 0, 5))
+
+
+def test_forecast_by_site(spark):
+    """Two sites by their own models; no model, no site, a short history; a model of another shape fails."""
+    weights = spark.createDataFrame(
+        [("a", 0, [0.0, 1.0], [0.0] * 4), ("a", 1, [1.0, 0.0], [0.0] * 4), ("b", 0, [0.5, 0.5], [1.0] * 4), ("b", 1, [0.0, 0.0], [7.5] * 4)],
+        "location string, step int, per_lag array<double>, per_cell array<double>",
+    )
+    history = [[[[1], [2]], [[3], [4]]], [[[2], [4]], [[6], [9]]]]
+    rows = [("a", history), ("b", history), ("b", history[:1]), ("c", history), (None, history)]
+    df = spark.createDataFrame(rows, "location string, history array<array<array<array<int>>>>")
+    out = forecast.forecast_by_site(df, forecast.site_models(weights), 2, 2, 2, predict=2)
+    found = sorted(((r.location, r.step, r.prediction) for r in out.collect()), key=repr)
+    zeros = [[0, 0], [0, 0]]
+    want = [
+        ("a", 0, [[2, 4], [6, 9]]), ("a", 1, [[1, 2], [3, 4]]), ("b", 0, [[2, 4], [6, 8]]), ("b", 1, [[8, 8], [8, 8]]),
+        ("b", 0, zeros), ("b", 1, zeros), ("c", None, None), (None, None, None),
+    ]
+    assert found == sorted(want, key=repr)
+    with pytest.raises(Exception, match="target steps"):
+        forecast.forecast_by_site(df, forecast.site_models(weights), 2, 2, 2, predict=1).collect()
+    with pytest.raises(Exception, match="another grid or history"):
+        forecast.forecast_by_site(df.limit(1), forecast.site_models(weights.withColumn("per_lag", F.array(F.lit(1.0)))), 2, 2, 2, 2).collect()
+
+
+def test_newest_weights(spark, tmp_path):
+    rows = lambda w: spark.createDataFrame([("a", 0, [w], [0.0])], regression.WEIGHTS_BY_SITE)
+    root = str(tmp_path / "versions")
+    for version in (1, 2, 10):
+        regression.save_version(rows(float(version)), root, version)
+        assert regression.newest_weights(spark, root).head().per_lag == [version]
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        regression.save_version(rows(3.0), root, 10)
+    regression.LagModel(rows(4.0).withColumn("reg_param", F.lit(0.0)), regression.Lags(1)).save(str(tmp_path / "one"))
+    assert regression.newest_weights(spark, str(tmp_path / "one")).head().per_lag == [4.0]
+    regression.LagModel(rows(4.0).withColumn("reg_param", F.lit(0.0)), regression.Lags(1, features=3)).save(str(tmp_path / "three"))
+    with pytest.raises(Exception, match="channels or neighbours"):
+        regression.newest_weights(spark, str(tmp_path / "three")).collect()

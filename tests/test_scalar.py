@@ -129,3 +129,40 @@ def test_section_bin_is_monotone(spark, values):
     df = spark.createDataFrame([(v,) for v in sorted(values)], "d double").coalesce(1)
     bins = [r[0] for r in df.select(scalar.section_bin(F.col("d"), 247.0)).collect()]
     assert bins == [int(v / 247.0) for v in sorted(values)]
+
+
+def plain_shift(lat, lon, s):
+    """Seven parameters in plain floats; the latitude by iteration."""
+    def e2(inverse):
+        return 2 / inverse - 1 / inverse**2
+
+    phi, lam, e = math.radians(lat), math.radians(lon), e2(geo.INVERSE_FLATTENING)
+    across = geo.SEMI_MAJOR / math.sqrt(1 - e * math.sin(phi) ** 2)
+    x, y, z = across * math.cos(phi) * math.cos(lam), across * math.cos(phi) * math.sin(lam), across * (1 - e) * math.sin(phi)
+    rx, ry, rz = (math.radians(r / 3600) for r in (s.rx, s.ry, s.rz))
+    k = 1 + s.ppm * 1e-6
+    x, y, z = s.dx + k * (x - rz * y + ry * z), s.dy + k * (rz * x + y - rx * z), s.dz + k * (-ry * x + rx * y + z)
+    e = e2(geo.WGS84_INVERSE_FLATTENING)
+    for _ in range(30):
+        across = geo.WGS84_SEMI_MAJOR / math.sqrt(1 - e * math.sin(phi) ** 2)
+        phi = math.atan2(z + e * across * math.sin(phi), math.hypot(x, y))
+    return math.degrees(phi), math.degrees(math.atan2(y, x))
+
+
+@pytest.mark.parametrize(
+    "shift", [geo.DatumShift(-0.99, 1.9, 0.52, 0.026, 0.009, 0.012, -0.0006), geo.DatumShift(100.0, -200.0, 300.0, 1.0, -2.0, 3.0, 5.0)]
+)
+def test_datum_shift_equals_plain_code(spark, shift):
+    points = [(37.5, -122.25), (34.1, -118.3), (-60.0, 170.0), (0.0, 0.0), (89.0, 45.0)]
+    df = spark.createDataFrame(points, "lat double, lon double")
+    lat, lon = geo.shifted(F.col("lat"), F.col("lon"), shift)
+    for (a, b), row in zip(points, df.select(lat.alias("lat"), lon.alias("lon")).collect(), strict=True):
+        want = plain_shift(a, b, shift)
+        assert row.lat == pytest.approx(want[0], abs=1e-9) and row.lon == pytest.approx(want[1], abs=1e-9)
+
+
+def test_no_datum_shift_changes_nothing(spark):
+    df = spark.createDataFrame([(6042000.0, 2133000.0), (None, 1.0)], "global_x double, global_y double")
+    today = clean.reproject(df, "EPSG:2227").collect()
+    assert clean.reproject(df, "EPSG:2227", geo.DatumShift()).collect() == today
+    assert clean.reproject(df, "EPSG:2227", geo.DatumShift(dx=1.0)).collect()[1].lat is None
