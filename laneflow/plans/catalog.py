@@ -11,13 +11,14 @@ from pyspark.sql.types import DecimalType
 
 from laneflow.config import ExperimentConfig, SampleConfig, WindowConfig
 from laneflow.functions import cells, geo, scalar
-from laneflow.operators import aggregate, clean, forecast, grid, regression, segments, series
+from laneflow.operators import aggregate, clean, descent, forecast, grid, regression, segments, series
 from laneflow.plans import telemetry as tel
 from laneflow.plans import training
 from laneflow.plans.replay import Replay, publish
 from laneflow.session import fresh_path, materialize, state_width
-from laneflow.sources import files, topics
+from laneflow.sources import files, increments, topics
 from laneflow.streaming import realtime, stages
+from laneflow.streaming.late import LateRows
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -215,6 +216,18 @@ def section_table(spark, sf_dir):
     return files.section_table(_sections(spark, sf_dir), path, "csv")
 
 
+@query
+def section_increments(spark, sf_dir):
+    """The section table absorbed in two batches, late points of the first days in the second, which is run twice."""
+    root = fresh_path(spark, "increments")
+    points = tel.frames(spark, sf_dir)
+    second = (F.col("event_id") % 3 == 0) | (F.col("global_time") >= NOON)
+    increments.absorb(points.filter(~second), root, "first", SITE)
+    for _ in range(2):
+        table = increments.absorb(points.filter(second), root, "second", SITE)
+    return table
+
+
 @query
 def timewindow_agg(spark, sf_dir):
     return _doubles(_windows(spark, sf_dir), "avg_vel", "avg_acc")
@@ -503,7 +516,10 @@ def _least_squares(spark, sf_dir, config, *more):
 def _test_predictions(inputs, lags, *more):
     rows = materialize(regression.lag_rows(inputs, lags), "lag-rows")
     model = regression.fit(rows, lags, reg_params=(0.0,))
-    scored = model.transform(rows.filter(F.col("split") == "test"))
+    return _predicted_cells(model.transform(rows.filter(F.col("split") == "test")), *more)
+
+
+def _predicted_cells(scored, *more):
     cell = F.col("cell")
     return scored.select(
         "location",
@@ -532,6 +548,29 @@ def forecast_regression_predict2(spark, sf_dir):
     return _least_squares(spark, sf_dir, SampleConfig(history=1, skip=1, predict=2), "step")
 
 
+DESCENT = descent.Descent(rate=0.05, epochs=10, patience=2)
+
+
+def _descended(spark, sf_dir):
+    inputs = materialize(_inputs(spark, sf_dir), "inputs")
+    return inputs, descent.fit(inputs, SITE.lanes() * SITE.sections, DESCENT)
+
+
+@query
+def descent_epochs(spark, sf_dir):
+    """Errors of each epoch of the iterative fit, until each site stops."""
+    log = _descended(spark, sf_dir)[1].log
+    return log.withColumns({c: F.round(c, 6) for c in ("loss", "val_loss")})
+
+
+@query
+def descent_forecast(spark, sf_dir):
+    """Test samples by the best weights of the iterative fit."""
+    inputs, fitted = _descended(spark, sf_dir)
+    rows = regression.lag_rows(inputs.filter(F.col("split") == "test"), fitted.lags)
+    return _predicted_cells(fitted.model.transform(rows))
+
+
 # --- messages and streams -----------------------------------------------------------------------
 
 
@@ -627,6 +666,29 @@ def stream_late_data(spark, sf_dir):
     return _window_rows(replay.result())
 
 
+@query
+def stream_late_count(spark, sf_dir):
+    """Messages of windows that came late, over the life of a job that is restarted for every ten days."""
+    windows = _windows(spark, sf_dir).select("location", "time_window").distinct()
+    start = F.timestamp_seconds(F.col("time_window") * F.lit(tel.DAY_S))
+    window = F.struct(start.alias("start"), F.timestamp_seconds((F.col("time_window") + 1) * F.lit(tel.DAY_S)).alias("end"))
+    matrix = F.array(F.array(F.array(F.lit(0))))
+    arrived = materialize(windows.withColumns({"timewindow": window, "matrix": matrix}), "windows")
+    first, last = arrived.agg(F.min("time_window"), F.max("time_window")).head()
+
+    def build(messages):
+        return stages.received_matrices(topics.parse_matrices(messages), REALTIME.length)
+
+    replay = Replay(spark, "late-count", build)
+    listener = LateRows(spark, fresh_path(spark, "late-rows"))
+    with listener:
+        for newest in range(last, first - 1, -10):  # the newest days come first
+            days = F.col("time_window").between(newest - 9, newest)
+            replay.run(topics.encode_matrices(arrived.filter(days)))
+            listener.settled(replay.query)
+    return listener.dropped().select("dropped")
+
+
 def _matrix_cells(df: DataFrame, keys: tuple[str, ...], column: str = "matrix") -> DataFrame:
     pos = F.col("pos")
     flat = F.flatten(F.flatten(column))

@@ -260,6 +260,77 @@ def _regression_sweep() -> str:
     return "WITH " + ",".join(ctes) + "\n" + "\nUNION ALL\n".join(selects)
 
 
+def _descended(h: int = 6, k: int = 1, epochs: int = 10, patience: int = 2, rate: float = 0.05) -> str:
+    """The iterative fit, one epoch after the other: errors ``log`` and ``tested`` rows by the best epoch."""
+    lags = range(1, h + 1)
+    scaled = ", ".join(
+        f"(lead(vel::DOUBLE, {j - 1}) OVER o - 60) / 10 AS x{j}" for j in lags
+    )
+    guess = " + ".join(f"w{j} * x{j}" for j in lags)
+    ctes = f"""
+        cell AS (SELECT location, idx, num_samples, lane_id, section_id, vel
+                 FROM grid JOIN ser USING (location, time_window)),
+        wide AS (SELECT location, idx AS sample_id, num_samples, lane_id, section_id, {scaled},
+                        lead(vel::DOUBLE, {h + k}) OVER o AS actual
+                 FROM cell WINDOW o AS (PARTITION BY location, lane_id, section_id ORDER BY idx)),
+        z AS MATERIALIZED (
+          SELECT *, (actual - 60) / 10 AS y, sample_id < floor(0.7::DOUBLE * num_samples) AS train,
+                 sample_id < floor(0.8::DOUBLE * num_samples) AS known
+          FROM wide WHERE sample_id < num_samples),
+        p0 AS (SELECT location, {", ".join(f"0::DOUBLE AS w{j}, 0::DOUBLE AS m{j}, 0::DOUBLE AS u{j}" for j in lags)}
+               FROM z WHERE train GROUP BY location),
+        c0 AS (SELECT DISTINCT location, lane_id, section_id, 0::DOUBLE AS b, 0::DOUBLE AS m, 0::DOUBLE AS u FROM z)"""
+    losses = []
+    for e in range(epochs + 1):
+        step = rate / (1 - 0.9 ** (e + 1))
+        gradients = ", ".join(f"-sum(r / root * x{j}) FILTER (train) / count(*) FILTER (train) AS g{j}" for j in lags)
+        moved = ", ".join(
+            f"0.9::DOUBLE * m{j} + 0.1::DOUBLE * g{j} AS m{j}, greatest(0.999::DOUBLE * u{j}, abs(g{j})) AS u{j}" for j in lags
+        )
+        weights = ", ".join(f"w{j} - {step!r}::DOUBLE * m{j} / (u{j} + 1e-8::DOUBLE) AS w{j}, m{j}, u{j}" for j in lags)
+        ctes += f""",
+        r{e} AS MATERIALIZED (
+          SELECT *, sqrt(1 + r * r) AS root FROM (
+            SELECT z.*, y - ({guess}) - b AS r FROM z JOIN p{e} USING (location)
+            JOIN c{e} USING (location, lane_id, section_id))),
+        l{e} AS MATERIALIZED (
+          SELECT location, {e} AS epoch, avg(root - 1) FILTER (train) AS loss,
+                 avg(root - 1) FILTER (known AND NOT train) AS val_loss, count(*) FILTER (train) AS cells, {gradients}
+          FROM r{e} GROUP BY location),
+        p{e + 1} AS MATERIALIZED (
+          SELECT location, {weights} FROM (
+            SELECT location, {", ".join(f"w{j}" for j in lags)}, {moved} FROM p{e} JOIN l{e} USING (location))),
+        c{e + 1} AS MATERIALIZED (
+          SELECT location, lane_id, section_id, b - {step!r}::DOUBLE * m / (u + 1e-8::DOUBLE) AS b, m, u FROM (
+            SELECT location, lane_id, section_id, b, 0.9::DOUBLE * m + 0.1::DOUBLE * g AS m,
+                   greatest(0.999::DOUBLE * u, abs(g)) AS u
+            FROM c{e} JOIN (SELECT location, lane_id, section_id, -sum(r / root) FILTER (train) / any_value(cells) AS g
+                            FROM r{e} JOIN l{e} USING (location) GROUP BY location, lane_id, section_id)
+            USING (location, lane_id, section_id)))"""
+        losses.append(f"SELECT location, epoch, loss, val_loss FROM l{e}")
+    tests = " UNION ALL ".join(
+        f"SELECT location, {e} AS epoch, sample_id, lane_id, section_id, actual, r FROM r{e} WHERE NOT known"
+        for e in range(epochs + 1)
+    )
+    return f"""WITH {GRID},{_series(h + k + 1)},{ctes},
+        losses AS ({" UNION ALL ".join(losses)}),
+        marked AS (
+          SELECT *, coalesce(val_loss < min(val_loss) OVER (
+            PARTITION BY location ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better
+          FROM losses),
+        placed AS (
+          SELECT *, max(CASE WHEN better THEN epoch END) OVER (PARTITION BY location ORDER BY epoch) AS best_epoch
+          FROM marked),
+        ends AS (
+          SELECT location, min(epoch) AS last FROM placed
+          WHERE epoch - best_epoch >= {patience} OR epoch = {epochs} GROUP BY location),
+        log AS (
+          SELECT location, epoch, loss, val_loss, best_epoch, epoch < last AS running
+          FROM placed JOIN ends USING (location) WHERE epoch <= last),
+        tested AS (
+          SELECT t.* FROM ({tests}) t JOIN log ON log.location = t.location AND NOT running AND best_epoch = t.epoch)"""
+
+
 def _gap_filled() -> str:
     return f"""WITH {WINDOWS},
         held AS (SELECT * FROM win WHERE time_window % 7 < 5),
@@ -425,6 +496,7 @@ def sql() -> dict[str, str]:
             FROM t WINDOW o AS (PARTITION BY location, vehicle_id
                                 ORDER BY global_time, distance, vel)) WHERE t1 IS NOT NULL""",
         "section_agg": f"WITH {SECTIONS}\nSELECT {SECTION_COLUMNS} FROM sec",
+        "section_increments": f"WITH {SECTIONS}\nSELECT {SECTION_COLUMNS} FROM sec",
         "section_table": f"WITH {SECTIONS}\nSELECT {SECTION_COLUMNS} FROM sec",
         "timewindow_agg": f"WITH {WINDOWS}\nSELECT {WINDOW_COLUMNS} FROM win",
         "timewindow_agg_range": f"""WITH {SECTIONS},
@@ -599,6 +671,17 @@ def sql() -> dict[str, str]:
                      WHEN location = 'click' THEN v1 + 5 ELSE (v0 + v1) / 2.0::DOUBLE END""",
             ctes=f", early AS (SELECT {EARLY} AS done)",
         ),
+        "descent_epochs": f"""{_descended()}
+            SELECT location, epoch, round(loss, 6) AS loss, round(val_loss, 6) AS val_loss, best_epoch, running
+            FROM log""",
+        "descent_forecast": f"""{_descended()}
+            SELECT location, sample_id, lane_id, section_id, round(actual - 10 * r, 5) AS prediction, actual
+            FROM tested""",
+        "stream_late_count": f"""WITH {WINDOWS},
+            arrived AS (SELECT DISTINCT location, time_window FROM win),
+            ends AS (SELECT min(time_window) AS a, max(time_window) AS b FROM arrived)
+            SELECT count(*) AS dropped FROM arrived CROSS JOIN ends
+            WHERE time_window < b - 9 AND time_window <= b - 6""",
         "stream_two_stage": "WITH "
         + _histories(f"(SELECT max(window_start) - 6 * {DAY} FROM sw)")
         + f"\n{HISTORY_ROWS}",

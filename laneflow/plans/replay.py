@@ -42,7 +42,8 @@ class Replay:
             publish(messages, self.topic)
         stream = self.build(topics.read_stream(self.spark, "parquet", self.topic))
         self.schema = stream.schema
-        self.late_rows = topics.late_rows(run_to_end(stream, self.checkpoint, self.sink))
+        self.query = run_to_end(stream, self.checkpoint, self.sink)
+        self.late_rows = topics.late_rows(self.query)
         return self
 
     def result(self) -> DataFrame:
