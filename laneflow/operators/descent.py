@@ -218,8 +218,7 @@ def _weights(
     """The best weights of each model in speeds instead of units: one row per target step."""
     width = len(centre) + lags.per_step
     first_centre, first_unit = (float(v[0]) if len(v) else 0.0 for v in (centre, unit))
-    ratios = F.array(*[F.lit(float(first_unit / u)) for u in unit])
-    centres = F.array(*[F.lit(float(c)) for c in centre])
+    ratios, centres = (F.lit([float(v) for v in values]).cast("array<double>") for values in (first_unit / unit, centre))
 
     def at(step: Column, start: int, length: int) -> Column:
         return F.slice("best_w", step * F.lit(width) + F.lit(start + 1), F.lit(length))
