@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -19,6 +20,7 @@ from laneflow.session import fresh_path, materialize, state_width
 from laneflow.sources import files, increments, topics
 from laneflow.streaming import realtime, stages
 from laneflow.streaming.late import LateRows
+from laneflow.streaming.publish import OrderedPublisher, Slices
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -49,6 +51,9 @@ REALTIME = realtime.RealtimeConfig(
 )
 
 
+FILLED = replace(REALTIME, fill=True)
+
+
 def query(fn: Query) -> Query:
     REGISTRY[fn.__name__] = fn
     return fn
@@ -849,3 +854,52 @@ def stream_two_stage(spark, sf_dir):
         producer.run(topics.frames_to_messages(points.filter(half)))
         consumer.run()
     return _history_cells(consumer.result())
+
+
+def _with_silence(spark, sf_dir) -> DataFrame:
+    """Frames of sites that are silent two days a week, each on days of its own."""
+    day = F.floor(F.col("global_time") / F.lit(tel.DAY_S * 1000))
+    return tel.frames(spark, sf_dir).filter((day + F.length("location")) % 7 < 5)
+
+
+def _filled(spark, sf_dir, build) -> Replay:
+    replay = Replay(spark, "filled", lambda m: build(realtime.matrix_stream(m, FILLED)), timers=True)
+    return replay.run(topics.frames_to_messages(_with_silence(spark, sf_dir)))
+
+
+@query
+def stream_gap_fill(spark, sf_dir):
+    """Windows that a site is silent in come out as defaults, from its first one up to the watermark."""
+    out = _filled(spark, sf_dir, lambda matrices: matrices).result()
+    return _matrix_cells(out.withColumn("window_start", _ms("timewindow.start")), ("location", "window_start"))
+
+
+@query
+def stream_gap_history(spark, sf_dir):
+    """Histories over silent windows: the filled windows of the first job, read from its topic."""
+    producer = _filled(spark, sf_dir, topics.encode_matrices)
+    consumer = Replay(spark, "consumer", lambda m: realtime.history_from_topic(m, FILLED), producer.sink)
+    return _history_cells(consumer.run().result())
+
+
+@query
+def stream_ordered_publish(spark, sf_dir):
+    """Windows of frames that one query has published day after day, stopped and started again on its way.
+
+    The consumer reads the topic in order of arrival, a few files at a time, and would drop late frames.
+    """
+    by_time = _messages(spark, sf_dir).repartitionByRange("global_time").sortWithinPartitions("global_time")
+    messages = materialize(by_time, "messages")
+    first, last = _bounds(messages)
+    topic, checkpoint = fresh_path(spark, "ordered-topic"), fresh_path(spark, "ordered-checkpoint")
+    slices = Slices(first, last, tel.DAY_S * 1000)
+    publisher = OrderedPublisher(messages, slices, "parquet", checkpoint, topic)
+    job = publisher.start({"processingTime": "200 milliseconds"})
+    while job.isActive and (job.lastProgress is None or job.lastProgress.batchId < 3):
+        time.sleep(0.1)
+    job.stop()
+    publisher.run()
+    replay = Replay(
+        spark, "ordered", lambda m: realtime.window_stream(m, REALTIME), topic, maxFilesPerTrigger="8"
+    )
+    return _window_rows(replay.run().result())

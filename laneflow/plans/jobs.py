@@ -14,13 +14,16 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from laneflow.config import EXPERIMENTS, SampleConfig, SiteConfig, WindowConfig
-from laneflow.operators import aggregate, clean, regression
+from laneflow.operators import aggregate, clean, descent, grid, regression, series
 from laneflow.plans import training
-from laneflow.session import cluster_conf, materialize, pin, release
-from laneflow.sources import files, topics
+from laneflow.session import cluster_conf, fresh_path, materialize, pin, release
+from laneflow.sources import files, increments, topics
 from laneflow.streaming import realtime
+from laneflow.streaming.late import LateRows
+from laneflow.streaming.publish import OrderedPublisher, Slices
 
 
 #: Speeds as decimals: sums are exact, so means don't depend on the order of the rows.
@@ -56,12 +59,35 @@ def build_sections(
 ) -> DataFrame:
     """Section table of a raw trajectory table, written unless it is already there."""
     points = site_points(files.read_trajectories(spark, raw_path, fmt), site, hours, in_mph)
-    source = "mph" if in_mph else "raw"
-    path = files.section_path(out, site, source, tuple(hours))
+    path = _section_path(out, site, hours, in_mph)
     table = files.section_table(aggregate.section_agg(points, site), path)
     return exact(table, "avg_vel", "avg_acc")
 
 
+def _section_path(out: str, site: SiteConfig, hours: Sequence[int], in_mph: bool) -> str:
+    return files.section_path(out, site, "mph" if in_mph else "raw", tuple(hours))
+
+
+def absorb_sections(
+    spark: SparkSession,
+    raw_path: str,
+    out: str,
+    batch: str,
+    site: SiteConfig,
+    hours: Sequence[int] = (7, 8),
+    fmt: str = "csv",
+    in_mph: bool = False,
+) -> DataFrame:
+    """Add a batch of raw files to the section table; a batch of a name it knows is replaced."""
+    points = site_points(files.read_trajectories(spark, raw_path, fmt), site, hours, in_mph)
+    table = increments.absorb(points, absorbed_path(out, site, hours, in_mph), batch, site)
+    return exact(table, "avg_vel", "avg_acc")
+
+
+def absorbed_path(out: str, site: SiteConfig, hours: Sequence[int] = (7, 8), in_mph: bool = False) -> str:
+    return f"{_section_path(out, site, hours, in_mph)}.absorbed"
+
+
 def train(
     sections: DataFrame,
     site: SiteConfig,
@@ -76,17 +102,29 @@ def train(
 
 
 def fit_for_stream(
-    sections: DataFrame, config: realtime.RealtimeConfig, window: WindowConfig, path: str
+    sections: DataFrame,
+    config: realtime.RealtimeConfig,
+    window: WindowConfig,
+    path: str,
+    iterative: descent.Descent | None = None,
 ) -> regression.LagModel:
-    """Fit the forecaster of the real-time pipeline on all but the last windows, and save it."""
+    """Fit the forecaster of the real-time pipeline on all but the last windows, and save it.
+
+    Least squares, or in epochs under the robust error with the settings of ``iterative``. Where the
+    jobs fill silent windows, the model learns from a series with the same windows.
+    """
     site, sample = config.site, config.sample
-    grids = training.window_grids(sections, site, window, config.with_ramp)
-    inputs = training.sample_inputs(
-        materialize(grids, "grids"), sample, window.num_windows, realtime=True
-    )
+    grids = materialize(training.window_grids(sections, site, window, config.with_ramp), "grids")
+    if config.fill:
+        filled = series.gap_filled(grids, grid.empty_matrix(site, config.with_ramp))
+        grids = materialize(filled, "filled-grids")
+    inputs = training.sample_inputs(grids, sample, window.num_windows, realtime=True)
     per_step = site.lanes(config.with_ramp) * site.sections
-    rows = materialize(regression.lag_rows(inputs, per_step), "lag-rows")
-    model = regression.fit(rows, per_step)
+    if iterative:
+        model = descent.fit(inputs, per_step, iterative).model
+    else:
+        rows = materialize(regression.lag_rows(inputs, per_step), "lag-rows")
+        model = regression.fit(rows, per_step)
     model.save(path)
     told = sections.sparkSession.createDataFrame([(config.to_json(),)], "value string")
     told.coalesce(1).write.mode("overwrite").text(parameters_path(path))
@@ -110,30 +148,31 @@ def transmit(
     path: str | None = None,
     slice_ms: int | None = 10_000,
     parts: int = 1,
+    checkpoint: str | None = None,
+    trigger: dict | None = None,
     **options: str,
 ) -> None:
     """Publish the frames of a time range, silent ones included, to a topic.
 
-    Tasks write in parallel, so one write keeps no order. The range is published slice after slice:
-    a consumer whose watermark waits ``slice_ms`` drops nothing. The messages are encoded once and
-    lie sorted by time, so that a slice reads its own part of them only. Without ``slice_ms`` all go
-    out in one write, for a consumer that reads them when they are all there.
+    Tasks write in parallel, so one write keeps no order. The range is published slice after slice by
+    one query (:class:`OrderedPublisher`): a consumer whose watermark waits ``slice_ms`` drops
+    nothing. The messages are encoded once and lie sorted by time beside the ``checkpoint``; a job
+    that is started again with it goes on where it has stopped. Without ``slice_ms`` all go out in one
+    write, for a consumer that reads them when they are all there.
     """
     spark = points.sparkSession
     inside = points.filter(F.col("global_time").between(start_ms, end_ms))
     clock = topics.frame_clock(spark, start_ms, end_ms)
     messages = topics.frames_to_messages(inside, clock, parts)
-    starts = [start_ms]
-    if slice_ms is not None:
-        by_time = messages.repartitionByRange("global_time").sortWithinPartitions("global_time")
-        messages = materialize(by_time, "messages")
-        starts = range(start_ms, end_ms + 1, slice_ms)
-    for start in starts:
-        part = messages
-        if slice_ms is not None:
-            part = messages.filter(F.col("global_time").between(start, start + slice_ms - 1))
-        writer = part.select("key", "value").write.format(fmt).options(**options).mode("append")
+    if slice_ms is None:
+        writer = messages.select("key", "value").write.format(fmt).options(**options).mode("append")
         writer.save(path) if path else writer.save()
+        return
+    checkpoint = checkpoint or fresh_path(spark, "transmit")
+    by_time = messages.repartitionByRange("global_time").sortWithinPartitions("global_time")
+    sorted_messages = files.written_once(by_time, f"{checkpoint}.messages")
+    slices = Slices(start_ms, end_ms, slice_ms)
+    OrderedPublisher(sorted_messages, slices, fmt, checkpoint, path, **options).run(trigger)
 
 
 def _source(spark: SparkSession, args: argparse.Namespace, topic: str) -> DataFrame:
@@ -152,6 +191,7 @@ def _sink(args: argparse.Namespace, topic: str) -> dict[str, str]:
 #: Flags that change what a model's weights mean: name, type, and where it is kept.
 SITE_FLAGS = {"location": str, "max_dist": float, "splits": int}
 SAMPLE_FLAGS = {"window_ms": int, "history": int, "skip": int, "predict": int}
+BOOLEAN_FLAGS = ("with_ramp", "fill")
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -167,7 +207,8 @@ def _parser() -> argparse.ArgumentParser:
             sub.add_argument(f"--{option}", required=True)
         for flag, kind in (SITE_FLAGS | SAMPLE_FLAGS).items():
             sub.add_argument(f"--{flag.replace('_', '-')}", type=kind)
-        sub.add_argument("--with-ramp", action=argparse.BooleanOptionalAction)
+        for flag in BOOLEAN_FLAGS:
+            sub.add_argument(f"--{flag.replace('_', '-')}", action=argparse.BooleanOptionalAction)
         return sub
 
     for name, options in (
@@ -181,17 +222,27 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_argument("--in-mph", action="store_true")
         sub.add_argument("--start", type=float, default=45)
         sub.add_argument("--end", type=float)
+        if name == "sections":
+            sub.add_argument("--absorb", metavar="BATCH", help="add the files to the table as this batch")
+        if name == "fit":
+            sub.add_argument("--epochs", type=int, help="fit in epochs under the robust error, so many at most")
+            sub.add_argument("--patience", type=int, default=2, help="epochs without a better validation error")
     sub = job("transmit", "raw", "topic")
     sub.add_argument("--start-ms", type=int, required=True)
     sub.add_argument("--end-ms", type=int, required=True)
     sub.add_argument("--slice-ms", type=int, default=10_000, help="publish in time order, slice after slice")
     sub.add_argument("--unordered", action="store_true", help="publish everything in one write")
     sub.add_argument("--parts", type=int, default=1, help="messages that a frame is dealt to")
+    sub.add_argument("--checkpoint", help="where a transmission that is started again goes on")
+    sub.add_argument("--paced", action="store_true", help="publish at the pace of the recording")
     aggregate_job = job("aggregate", "source", "topic", "checkpoint")
     aggregate_job.add_argument("--model", help="take the parameters of this model")
     forecast_job = job("forecast", "topic", "out", "checkpoint", "model")
     forecast_job.add_argument("--by-site", action="store_true", help="forecast each site by its own weights, read anew for each batch")
     forecast_job.add_argument("--versions", help="folder of versions of the weights; --model gives the parameters only")
+    aggregate_job.add_argument("--silence", type=int, help="with --fill: windows in a row that are filled at most")
+    for stream_job in (aggregate_job, forecast_job):
+        stream_job.add_argument("--late", help="folder to count rows in that come behind the watermark")
     for sub in (sub, aggregate_job, forecast_job):
         sub.add_argument("--format", default="kafka")
         sub.add_argument("--servers", default="localhost:9092")
@@ -203,7 +254,7 @@ def _flags(args: argparse.Namespace) -> tuple[dict, dict]:
     """The site's and the other parameters that were given on the command line."""
     given = {k: v for k, v in vars(args).items() if v is not None}
     site = {k: given[k] for k in SITE_FLAGS if k in given}
-    return site, {k: given[k] for k in (*SAMPLE_FLAGS, "with_ramp") if k in given}
+    return site, {k: given[k] for k in (*SAMPLE_FLAGS, *BOOLEAN_FLAGS) if k in given}
 
 
 def job_config(spark: SparkSession, args: argparse.Namespace) -> realtime.RealtimeConfig:
@@ -228,6 +279,9 @@ def _batch(spark: SparkSession, args: argparse.Namespace, config: realtime.Realt
         found, last = measured(site_points(raw, site, args.hours, args.in_mph), site)
         site = found if args.max_dist is None else site
         end = last if end is None else end
+    if args.job == "sections" and args.absorb:
+        absorb_sections(spark, args.raw, args.out, args.absorb, site, args.hours, args.raw_format, args.in_mph)
+        return
     window = WindowConfig(seconds=config.window_ms / 1000, start=args.start, end=end)
     sections = build_sections(
         spark, args.raw, args.out, site, args.hours, args.raw_format, args.in_mph
@@ -236,7 +290,24 @@ def _batch(spark: SparkSession, args: argparse.Namespace, config: realtime.Realt
         train(sections, site, window, args.log)
     elif args.job == "fit":
         SampleConfig(config.history, config.skip, config.predict).num_samples(window.num_windows)
-        fit_for_stream(sections, replace(config, site=site), window, args.model)
+        iterative = None if args.epochs is None else descent.Descent(epochs=args.epochs, patience=args.patience)
+        fit_for_stream(sections, replace(config, site=site), window, args.model, iterative)
+
+
+def _start_stream(spark: SparkSession, args: argparse.Namespace, config: realtime.RealtimeConfig) -> StreamingQuery:
+    trigger = {"availableNow": True} if args.available_now else None
+    if args.job == "aggregate":
+        return realtime.start_first_job(
+            _source(spark, args, args.source), replace(config, patience=args.silence), args.format,
+            args.checkpoint, trigger=trigger, **_sink(args, args.topic),
+        )
+    messages = _source(spark, args, args.topic)
+    if args.by_site:
+        versions = args.versions or args.model
+        return realtime.start_site_job(messages, config, versions, args.out, args.checkpoint, trigger)
+    site = config.site.location
+    factory = regression.load_predictor(spark, args.model, site)
+    return realtime.start_second_job(messages, config, factory, args.out, args.checkpoint, trigger, site)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -251,26 +322,18 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif args.job == "transmit":
         points = files.read_replay_points(spark, args.raw)
         slice_ms = None if args.unordered else args.slice_ms
+        pace = {"processingTime": f"{args.slice_ms} milliseconds"} if args.paced else None
         transmit(
             points, args.start_ms, args.end_ms, args.format, slice_ms=slice_ms, parts=args.parts,
-            **_sink(args, args.topic),
+            checkpoint=args.checkpoint, trigger=pace, **_sink(args, args.topic),
         )
+    elif args.late:
+        with LateRows(spark, args.late) as late:
+            query = _start_stream(spark, args, config)
+            query.awaitTermination()
+            late.settled(query)
     else:
-        trigger = {"availableNow": True} if args.available_now else None
-        if args.job == "aggregate":
-            query = realtime.start_first_job(
-                _source(spark, args, args.source), config, args.format, args.checkpoint,
-                trigger=trigger, **_sink(args, args.topic),
-            )
-        else:
-            messages = _source(spark, args, args.topic)
-            if args.by_site:
-                query = realtime.start_site_job(messages, config, args.versions or args.model, args.out, args.checkpoint, trigger)
-            else:
-                site = config.site.location
-                factory = regression.load_predictor(spark, args.model, site)
-                query = realtime.start_second_job(messages, config, factory, args.out, args.checkpoint, trigger, site)
-        query.awaitTermination()
+        _start_stream(spark, args, config).awaitTermination()
     release(spark)
 
 

@@ -423,14 +423,29 @@ sg AS (
        AND w.lane_id = l.lane_id AND w.section_id = s.section_id)"""
 
 
-def _histories(closed_at: str) -> str:
-    return f"""{STREAM_GRID},
+# Sites that are silent two days a week, and all their windows from the first one on.
+FILLED_GRID = f"""{POINTS.replace("FROM events)", f"""FROM events
+  WHERE (epoch_us(ts) // 1000 // {DAY} + length(event_type)) % 7 < 5)""")},{_stream_windows()},
+every AS (
+  SELECT location, unnest(range(first, last + 1, {DAY})) AS window_start
+  FROM (SELECT location, min(window_start) AS first, {CLOSED_AT} - {DAY} AS last FROM sw GROUP BY location)),
+sg AS (
+  SELECT k.location, k.window_start, l.lane_id, s.section_id, coalesce(w.vel // 10, 60)::INT AS vel
+  FROM every k
+  CROSS JOIN (SELECT unnest(range(1, 7))::INT AS lane_id) l
+  CROSS JOIN (SELECT unnest(range(0, 10))::INT AS section_id) s
+  LEFT JOIN sw w ON w.location = k.location AND w.window_start = k.window_start
+       AND w.lane_id = l.lane_id AND w.section_id = s.section_id)"""
+
+
+def _histories(closed_at: str, grid: str = STREAM_GRID, windows: str = "sw") -> str:
+    return f"""{grid},
 hist AS (
   SELECT location, based_start, window_start,
          (row_number() OVER (PARTITION BY location, based_start ORDER BY window_start) - 1)::INT AS step,
          count(*) OVER (PARTITION BY location, based_start) AS steps
   FROM (SELECT location, window_start, window_start - j * {DAY} AS based_start
-        FROM (SELECT DISTINCT location, window_start FROM sw)
+        FROM (SELECT DISTINCT location, window_start FROM {windows})
         CROSS JOIN (SELECT unnest(range(0, 6)) AS j))
   WHERE based_start + 6 * {DAY} <= {closed_at})"""
 
@@ -682,6 +697,14 @@ def sql() -> dict[str, str]:
             ends AS (SELECT min(time_window) AS a, max(time_window) AS b FROM arrived)
             SELECT count(*) AS dropped FROM arrived CROSS JOIN ends
             WHERE time_window < b - 9 AND time_window <= b - 6""",
+        "stream_gap_fill": f"""WITH {FILLED_GRID}
+            SELECT location, window_start, lane_id, section_id, vel FROM sg""",
+        "stream_gap_history": "WITH "
+        + _histories(f"(SELECT max(window_start) - 6 * {DAY} FROM every)", FILLED_GRID, "every")
+        + f"\n{HISTORY_ROWS}",
+        "stream_ordered_publish": f"""{w[:-1]},{_stream_windows()}
+            SELECT location, window_start, section_id, lane_id, vel::DOUBLE / 10 AS avg_vel
+            FROM sw""",
         "stream_two_stage": "WITH "
         + _histories(f"(SELECT max(window_start) - 6 * {DAY} FROM sw)")
         + f"\n{HISTORY_ROWS}",

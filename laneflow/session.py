@@ -14,6 +14,8 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 SHUFFLE_WIDTH = "spark.sql.shuffle.partitions"
 BATCH_WIDTH = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 PARTITION_BYTES = 128 << 20
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def pin(spark: SparkSession) -> SparkSession:
@@ -39,9 +41,7 @@ def cluster_conf(executors: int, cores: int, largest_shuffle: int = 0) -> dict[s
         SHUFFLE_WIDTH: str(width),
         BATCH_WIDTH: str(max(width, -(-largest_shuffle // PARTITION_BYTES))),
         "spark.sql.files.maxPartitionBytes": "256m",
-        "spark.sql.streaming.stateStore.providerClass": (
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-        ),
+        STATE_STORE: ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
 
@@ -110,3 +110,14 @@ def state_width(spark: SparkSession, width: int | None) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(SHUFFLE_WIDTH, chosen)
+
+
+@contextmanager
+def timer_state(spark: SparkSession) -> Iterator[None]:
+    """Start a streaming query with timers in here: they need the RocksDB state store."""
+    chosen = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, chosen)

@@ -68,6 +68,21 @@ def _finished(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def write_once(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write ``df`` unless a finished table lies at ``path``; it isn't evaluated then."""
+    spark = df.sparkSession
+    if not _finished(spark, path):
+        write_table(df, path, fmt)
+        done = spark.createDataFrame([("done",)], "value string")
+        done.coalesce(1).write.mode("overwrite").text(f"{path}.done")
+
+
+def written_once(df: DataFrame, path: str) -> DataFrame:
+    """:func:`write_once`, read back."""
+    write_once(df, path)
+    return read_table(df.sparkSession, path, df.schema)
+
+
 def write_points(points: DataFrame, path: str) -> None:
     """Store raw points by site and UTC day, so that a range of hours reads its own days only."""
     day = F.to_date(F.timestamp_millis("Global_Time")).alias("day")
@@ -89,15 +104,11 @@ def section_table(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     range of time then skips files, and the frames of a window meet in one task, so that the window
     aggregate combines nearly all of them before its shuffle, in every experiment that reads them.
     """
-    spark = df.sparkSession
-    if not _finished(spark, path):
-        fields = [F.col(f.name).cast(f.dataType) for f in schemas.SECTION_AGG]
-        order = ("location", "elapsed_time")
-        stored = df.select(*fields).repartitionByRange(*order).sortWithinPartitions(*order)
-        write_table(stored, path, fmt)
-        done = spark.createDataFrame([("done",)], "value string")
-        done.coalesce(1).write.mode("overwrite").text(f"{path}.done")
-    return read_table(spark, path, schemas.SECTION_AGG, fmt)
+    fields = [F.col(f.name).cast(f.dataType) for f in schemas.SECTION_AGG]
+    order = ("location", "elapsed_time")
+    stored = df.select(*fields).repartitionByRange(*order).sortWithinPartitions(*order)
+    write_once(stored, path, fmt)
+    return read_table(df.sparkSession, path, schemas.SECTION_AGG, fmt)
 
 
 def append_metrics(metrics: DataFrame, path: str, fmt: str = "csv") -> None:

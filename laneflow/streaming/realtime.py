@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql.types import DataType, DecimalType
 
 from laneflow.config import SampleConfig, SiteConfig
 from laneflow.operators import forecast, regression
+from laneflow.session import timer_state
 from laneflow.sources import topics
-from laneflow.streaming import stages
+from laneflow.streaming import silence, stages
 
 
 #: Speeds of messages are decimals: their means don't depend on the order they are added in.
@@ -35,6 +37,8 @@ class RealtimeConfig:
     align_to_origin: bool = True
     speed: DataType | None = SPEED
     dedup: bool = False
+    fill: bool = False  # a default matrix for each window that a site is silent in
+    patience: int | None = None  # so many in a row at most; None: up to the watermark
 
     def to_json(self) -> str:
         """Everything the meaning of a model's weights depends on, and the rest of the settings."""
@@ -88,11 +92,21 @@ def window_stream(messages: DataFrame, config: RealtimeConfig) -> DataFrame:
 
 def matrix_stream(messages: DataFrame, config: RealtimeConfig) -> DataFrame:
     """First job: frame messages to one matrix per window."""
-    return stages.window_matrices(window_stream(messages, config), config.site, config.with_ramp)
+    matrices = stages.window_matrices(window_stream(messages, config), config.site, config.with_ramp)
+    if not config.fill:
+        return matrices
+    return silence.filled_matrices(
+        matrices, config.site, config.with_ramp, config.window_ms, config.patience
+    )
 
 
 def history_stream(messages: DataFrame, config: RealtimeConfig) -> DataFrame:
-    """Both jobs in one query: the second aggregate runs on the first one's windows."""
+    """Both jobs in one query: the second aggregate runs on the first one's windows.
+
+    Filled windows carry no watermark of their own, so ``fill`` takes two jobs joined by a topic.
+    """
+    if config.fill:
+        raise ValueError("histories over filled windows are read from a topic")
     return stages.histories(
         matrix_stream(messages, config),
         "timewindow",
@@ -204,7 +218,8 @@ def start_first_job(
 ) -> StreamingQuery:
     """Publish one matrix per closed window to a topic."""
     encoded = topics.encode_matrices(matrix_stream(messages, config))
-    return topics.write_stream(encoded, fmt, checkpoint, **sink)
+    with timer_state(messages.sparkSession) if config.fill else nullcontext():
+        return topics.write_stream(encoded, fmt, checkpoint, **sink)
 
 
 def _site_of(messages: DataFrame) -> Column:
