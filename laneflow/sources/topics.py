@@ -29,10 +29,14 @@ def kafka_sink_options(servers: str, topic: str) -> dict[str, str]:
 def read_stream(
     spark: SparkSession, fmt: str, path: str | None = None, **options: str
 ) -> DataFrame:
-    """Messages of a topic as they arrive; file formats get the declared schema."""
-    reader = spark.readStream.format(fmt).options(**options)
+    """Messages of a topic as they arrive; file formats get the declared schema.
+
+    A folder topic may hold folders, as an ordered publisher writes them, beside files.
+    """
+    reader = spark.readStream.format(fmt)
     if fmt != "kafka":
-        reader = reader.schema(schemas.TOPIC)
+        reader = reader.schema(schemas.TOPIC).option("recursiveFileLookup", "true")
+    reader = reader.options(**options)
     return reader.load(path) if path else reader.load()
 
 

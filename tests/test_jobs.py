@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from laneflow import schemas
 from laneflow.config import EXPERIMENTS, SiteConfig
 from laneflow.plans import jobs
-from laneflow.sources import files, topics
+from laneflow.sources import files, increments, topics
+from laneflow.streaming.late import LateRows
 
 SITE = SiteConfig()
 SECONDS = 130
@@ -100,3 +101,63 @@ def test_real_time_jobs_end_to_end(spark, raw, tmp_path):
     speeds = [v for r in out for row in r.prediction for v in row]
     assert len(out) > 0 and all(len(r.prediction) == 5 for r in out)
     assert max(speeds) <= 70
+
+
+def test_sections_absorbed_in_batches_equal_one_run(spark, raw, tmp_path):
+    out = str(tmp_path / "out")
+    window = ["--start", "0", "--end", str(SECONDS), "--max-dist", str(SITE.max_dist)]
+    everything = files.read_trajectories(spark, raw)
+    early = F.col("Global_Time") < SITE.origin_ms + 60_000
+    for batch, part in (("late", everything.filter(~early)), ("early", everything.filter(early))):
+        path = str(tmp_path / batch)
+        files.write_table(part, path, "csv", header="true")
+        for _ in range(2 if batch == "early" else 1):  # a batch that is run again counts once
+            jobs.main(["sections", "--raw", path, "--out", out, "--absorb", batch, *window])
+    jobs.main(["sections", "--raw", raw, "--out", out, *window])
+    whole = spark.read.parquet(files.section_path(out, SITE, "raw", (7, 8)))
+    absorbed = increments.read(spark, jobs.absorbed_path(out, SITE)).select(*whole.columns)
+    assert whole.count() > 0
+    assert whole.exceptAll(absorbed).isEmpty() and absorbed.exceptAll(whole).isEmpty()
+
+
+def test_jobs_over_silent_windows(spark, raw, tmp_path):
+    """A model fitted in epochs on the filled series, silence filled in the stream, late rows counted."""
+    d = {n: str(tmp_path / n) for n in ("raw", "out", "model", "in", "mid", "cp0", "cp1", "late")}
+    tick = (F.col("Global_Time") - SITE.origin_ms) / 1000
+    gappy = files.read_trajectories(spark, raw).filter("Location = 'us-101'").filter(~tick.between(40, 69.95))
+    files.write_table(gappy, d["raw"], "csv", header="true")
+    jobs.main([
+        "fit", "--raw", d["raw"], "--out", d["out"], "--model", d["model"], "--start", "0", "--end", str(SECONDS),
+        "--max-dist", str(SITE.max_dist), "--fill", "--epochs", "3",
+    ])
+    assert jobs.saved_config(spark, d["model"]).fill
+    weights = spark.read.json(d["model"]).collect()
+    assert len(weights) == 1 and len(weights[0].per_cell) == 50
+
+    points = gappy.withColumn("ElapsedTime", F.col("Global_Time") - SITE.origin_ms)
+    points = points.select(*[F.col(f.name).alias(f.name.lower()) for f in schemas.frame_point()])
+    points = points.withColumnRenamed("elapsedtime", "elapsed_time")
+    local = ["--format", "parquet", "--available-now"]
+
+    def aggregated():
+        jobs.main([
+            "aggregate", "--source", d["in"], "--topic", d["mid"], "--checkpoint", d["cp1"],
+            "--model", d["model"], "--late", d["late"], *local,
+        ])
+        found = topics.parse_matrices(spark.read.schema(schemas.TOPIC).parquet(d["mid"]))
+        start = F.unix_millis("timewindow.start")
+        rows = found.select(((start - SITE.origin_ms) / 10_000).cast("int").alias("w"), "matrix").collect()
+        return {r.w: r.matrix for r in rows}
+
+    end_ms = SITE.origin_ms + SECONDS * 1000 - 1
+    jobs.transmit(points, SITE.origin_ms, end_ms, "parquet", d["in"], 40_000, 2, d["cp0"])
+    out = aggregated()
+    silent = [[[60]] * SITE.sections] * 5
+    assert sorted(out) == list(range(SECONDS // 10 - 2))
+    assert [w for w in sorted(out) if out[w] == silent] == [4, 5, 6]
+    assert LateRows(spark, d["late"]).dropped().count() == 0
+
+    late = topics.frames_to_messages(points.filter(F.col("global_time") < SITE.origin_ms + 1_000))
+    late.select("key", "value").write.mode("append").parquet(d["in"])
+    assert aggregated() == out
+    assert LateRows(spark, d["late"]).dropped().head().dropped > 0
