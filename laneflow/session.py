@@ -15,7 +15,11 @@ SHUFFLE_WIDTH = "spark.sql.shuffle.partitions"
 BATCH_WIDTH = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 PARTITION_BYTES = 128 << 20
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on local disk; batches upload what they have changed instead of whole snapshots.
+ROCKSDB = {
+    STATE_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def pin(spark: SparkSession) -> SparkSession:
@@ -41,8 +45,7 @@ def cluster_conf(executors: int, cores: int, largest_shuffle: int = 0) -> dict[s
         SHUFFLE_WIDTH: str(width),
         BATCH_WIDTH: str(max(width, -(-largest_shuffle // PARTITION_BYTES))),
         "spark.sql.files.maxPartitionBytes": "256m",
-        STATE_STORE: ROCKSDB,
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        **ROCKSDB,
     }
 
 
@@ -115,9 +118,11 @@ def state_width(spark: SparkSession, width: int | None) -> Iterator[None]:
 @contextmanager
 def timer_state(spark: SparkSession) -> Iterator[None]:
     """Start a streaming query with timers in here: they need the RocksDB state store."""
-    chosen = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    chosen = {name: spark.conf.get(name, None) for name in ROCKSDB}
+    for name, value in ROCKSDB.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(STATE_STORE, chosen)
+        for name, value in chosen.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
