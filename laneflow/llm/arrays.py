@@ -21,7 +21,9 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def pieces(
+    batch: pa.RecordBatch, column: str = "text", most_bytes: int = PIECE_BYTES
+) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of the text column; nulls are empty texts. Offsets start at 0."""
     texts = batch.column(column).cast(pa.large_binary())
     lengths = texts.fill_null(b"")
@@ -32,7 +34,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[slice,
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] else np.zeros(0, np.uint8)
     start = 0
     while start < len(lengths):
-        stop = int(np.searchsorted(offsets, offsets[start] + PIECE_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[start] + most_bytes, side="right")) - 1
         stop = min(max(stop, start + 1), len(lengths))
         base = offsets[start]
         yield slice(start, stop), data[base : offsets[stop]], offsets[start : stop + 1] - base

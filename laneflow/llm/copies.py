@@ -16,7 +16,8 @@ is cut at range borders like any other. Each document is first compared to the f
 (that with the shortest unshared beginning); what these links join is one component. Then components
 meet by one row each, round by round, while that links many, and in the end all pairs of different
 components that the filter leaves, in blocks of bounded size. Candidates whose parities (a bit for each
-class of shingles) already differ in too many places are dropped; every other one is verified by the sets.
+class of shingles) already differ in too many places are dropped, those of a block where they meet, so that
+it doesn't tell them once for each shingle they share; every other one is verified by the sets.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 
 from laneflow.llm import arrays, components, shared, simhash
 from laneflow.llm.shared import F
@@ -37,16 +38,20 @@ BITS = 4
 #: Frequent shingles that come last in the order at most; the order decides the cost, not the result.
 FREQUENT = 1 << 18
 #: Shingles that are counted together, and how often one must occur in them to be frequent.
-COUNTED, OFTEN = 1 << 21, 8
+COUNTED, OFTEN = 1 << 20, 4
 #: Rows of a shingle that meet in one task at the end; more are cut into blocks.
 BLOCK = 2_048
 #: Rows of one key that one task of a join reads, about.
 SPLIT = 8_192
-AT_ONCE = 1 << 20
+#: Pairs that a block compares at once, and bytes of text that are taken into shingles at once: what a
+#: Python worker holds besides its batch stays at some tens of MB.
+AT_ONCE = 1 << 15
+PIECE_BYTES = 1 << 19
 NO_ID = -(1 << 63)
-NODE = "node long, n long, fp long, parity array<long>"
-#: Words of 64 bits of a set's parities.
-WORDS = 16
+NODE = "node long, n long, fp long, parity array<long>, wide array<long>"
+#: Words of 64 bits of a set's parities, those of a large set's second ones, and what makes it large. Sets of
+#: some 2,300 shingles may differ in half of the first words' bits and be alike, sets of 9,000 in half of the second.
+WORDS, WIDE, LARGE = 16, 64, 1_800
 POSTING = "token long, node long, n int, pos int"
 
 
@@ -78,12 +83,12 @@ def print_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def parity_of(hashes: np.ndarray) -> np.ndarray:
-    """For each of ``64 * WORDS`` classes of shingles whether the set has an odd number of them.
+def parity_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """For each of ``64 * words`` classes of shingles whether the set has an odd number of them.
 
     Two sets differ in at least as many shingles as their parities do in bits.
     """
-    odd = np.bincount((hashes & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    odd = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -92,7 +97,7 @@ def signed(values: list[int]) -> pa.Array:
 
 
 def sets_of(part: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
-    return [h for _, data, offsets in arrays.pieces(part) for h in shingle_sets(data, offsets, shingle)]
+    return [h for _, data, offsets in arrays.pieces(part, most_bytes=PIECE_BYTES) for h in shingle_sets(data, offsets, shingle)]
 
 
 def prints(part: pa.RecordBatch, shingle: int) -> pa.RecordBatch:
@@ -105,9 +110,10 @@ def prints(part: pa.RecordBatch, shingle: int) -> pa.RecordBatch:
             signed([node_of(h) for h in sets]),
             pa.array([len(h) for h in sets], pa.int64()),
             signed([print_of(h) for h in sets]),
-            pa.array([parity_of(h) for h in sets], pa.list_(pa.int64())),
+            pa.array([parity_of(h, WORDS) for h in sets], pa.list_(pa.int64())),
+            pa.array([parity_of(h, WIDE) if len(h) >= LARGE else [] for h in sets], pa.list_(pa.int64())),
         ],
-        [*kept, "node", "n", "fp", "parity"],
+        [*kept, "node", "n", "fp", "parity", "wide"],
     )
 
 
@@ -118,10 +124,14 @@ def frequent(texts: DataFrame, shingle: int, most: int) -> np.ndarray:
         held: list[np.ndarray] = []
 
         def told() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate(held), return_counts=True)
+            values = np.concatenate(held)
+            held.clear()
+            values.sort()
+            starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            times = np.diff(np.r_[starts, len(values)])
             often = times >= OFTEN
             return pa.RecordBatch.from_arrays(
-                [pa.array(values[often].view(np.int64)), pa.array(times[often])], ["token", "times"]
+                [pa.array(values[starts[often]].view(np.int64)), pa.array(times[often])], ["token", "times"]
             )
 
         for batch in batches:
@@ -129,7 +139,6 @@ def frequent(texts: DataFrame, shingle: int, most: int) -> np.ndarray:
                 held += {node_of(h): h for h in sets_of(part, shingle)}.values()
                 if sum(map(len, held)) >= COUNTED:
                     yield told()
-                    held = []
         if held:
             yield told()
 
@@ -216,8 +225,8 @@ def stars(rows: DataFrame, least: float, chain: bool) -> DataFrame:
     return by_range(rows).mapInArrow(link, "a long, b long").distinct()
 
 
-def every_pair(rows: DataFrame, count: int, least: float, block: int) -> DataFrame:
-    """``a, b``: all pairs of different roots at one token that may be alike."""
+def every_pair(rows: DataFrame, nodes: DataFrame, count: int, least: float, block: int) -> DataFrame:
+    """``a, b``: all pairs of different roots at one token that may be alike, by their parities too."""
     groups = count // block + 1
     hot = rows.groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > block)
     hot = shared.materialize(hot, "copies-hot").withColumnRenamed("token", "at")
@@ -229,16 +238,29 @@ def every_pair(rows: DataFrame, count: int, least: float, block: int) -> DataFra
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
         .withColumn("part", F.when(F.col("blocks") > 1, F.col("token")).otherwise(F.pmod("token", F.lit(groups))))
-        .select("part", "i", "j", "token", "node", "n", "pos", "root")
+        .join(nodes.select("node", "parity", "wide"), "node")
+        .select("part", "i", "j", "token", "node", "n", "pos", "root", "parity", "wide")
     )
     return cut.groupBy("part", "i", "j").applyInArrow(lambda table: candidates(table, least), "a long, b long").distinct()
 
 
+def few_apart(x: np.ndarray, y: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """May sets of these parities, ``n`` shingles both together, be alike?"""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (1 - least) / (1 + least) * n + 1e-9
+
+
 def candidates(table: pa.Table, least: float) -> pa.Table:
     """Pairs of one group; a token has a few blocks of rows at most here."""
+    table = table.combine_chunks()
     token, node, n, pos, root = (table.column(c).to_numpy() for c in ("token", "node", "n", "pos", "root"))
+    parity, wide = (
+        table.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, words)
+        for c, words in (("parity", WORDS), ("wide", WIDE))
+    )
+    second = np.cumsum(n >= LARGE) - 1  # a large set's place in ``wide``
     order = np.lexsort((node, token))
     token, node, n, pos, root = token[order], node[order], n[order], pos[order], root[order]
+    parity, second = parity[order], second[order]
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     sizes = np.diff(np.r_[starts, len(token)])
     at = np.arange(len(token))
@@ -250,6 +272,11 @@ def candidates(table: pa.Table, least: float) -> pa.Table:
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + AT_ONCE, side="right")))
         a, b = np.repeat(at[lo:hi], after[lo:hi]), arrays.ranges(at[lo:hi] + 1, after[lo:hi]) if after[lo:hi].any() else at[:0]
         good = (root[a] != root[b]) & enough(n[a], pos[a], n[b], pos[b], least)
+        a, b = a[good], b[good]
+        good = few_apart(parity[a], parity[b], n[a] + n[b], least)
+        large = np.flatnonzero(good & (np.minimum(n[a], n[b]) >= LARGE))
+        x, y = a[large], b[large]
+        good[large] = few_apart(wide[second[x]], wide[second[y]], n[x] + n[y], least)
         out.append(np.stack([node[a[good]], node[b[good]]]))
         lo = hi
     pairs = np.unique(np.concatenate(out, axis=1), axis=1)
@@ -270,13 +297,17 @@ def near_enough(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Without the pairs whose parities differ in more than two alike sets of their sizes may."""
 
     def side(end: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(end), F.struct("n", "parity").alias(f"_{end}"))
+        return nodes.select(F.col("node").alias(end), F.struct("n", "parity", "wide").alias(f"_{end}"))
 
     both = dealt_join(dealt_join(pairs, side("a"), "a"), side("b"), "b")
-    bits = F.zip_with("_a.parity", "_b.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+
+    def apart(words: str) -> Column:
+        bits = F.zip_with(f"_a.{words}", f"_b.{words}", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+
     most = F.lit((1 - least) / (1 + least)) * (F.col("_a.n") + F.col("_b.n")) + 1e-9
-    return both.filter(apart <= most).select("a", "b")
+    small = F.least("_a.n", "_b.n") < LARGE
+    return both.filter((apart("parity") <= most) & (small | (apart("wide") <= most))).select("a", "b")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -349,7 +380,7 @@ def all_links(keyed: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int
         if more.count() * 10 < tried:
             break
     parted = shared.materialize(still_open(with_roots(rows, links)), "copies-open")
-    rest = every_pair(parted, parted.count(), least, block).join(seen, ["a", "b"], "left_anti")
+    rest = every_pair(parted, nodes, parted.count(), least, block).join(seen, ["a", "b"], "left_anti")
     rest = shared.materialize(rest, "copies-pairs")
     if rest.isEmpty():
         return links
@@ -370,7 +401,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, b
     texts = keyed.select("text")
     rows = keyed.select(F.col("_doc").alias("doc_id"), F.col("_row").alias("row"), "text")
     rows = shared.per_batch(rows, lambda part: prints(part, shingle), f"doc_id long, row long, {NODE}")
-    best = (F.min(F.struct("doc_id", "row")).alias("least"), F.first("parity").alias("parity"))
+    best = (F.min(F.struct("doc_id", "row")).alias("least"), F.first("parity").alias("parity"), F.first("wide").alias("wide"))
     nodes = shared.materialize(rows.groupBy("node", "n", "fp").agg(*best), "copies-nodes")
     links = all_links(keyed, texts, nodes, shingle, least, block)
     kept = (

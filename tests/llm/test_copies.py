@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -104,3 +106,38 @@ def test_edges(spark):
     assert out.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(None, "a b  c d e F"), (None, None), (3, long + " end")], key=repr)
     assert copies.one_of_each(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [60, 2_600])
+def test_a_block_tells_pairs_that_may_be_alike_only(words):
+    """Unlike sets that share their first shingle, and one near copy: one pair, once for all shingles it shares."""
+    rng = np.random.default_rng(words)
+    shared_one, found = np.array([3], np.uint64), []
+    for _ in range(40):
+        found.append(np.unique(np.r_[shared_one, rng.integers(9, 1 << 63, words, dtype=np.uint64)]))
+    found.append(np.unique(np.r_[found[0][: -words // 20], rng.integers(9, 1 << 63, words // 20, dtype=np.uint64)]))
+    rows = [(k, i, len(h), int(np.searchsorted(h, t)), i) for k, t in ((3, 3), (5, found[0][1])) for i, h in enumerate(found) if t in h]
+    columns = [pa.array([r[c] for r in rows], pa.int64()) for c in range(5)]
+    table = pa.table(columns, ["token", "node", "n", "pos", "root"])
+    for name, words64, least_n in (("parity", copies.WORDS, 0), ("wide", copies.WIDE, copies.LARGE)):
+        known = [copies.parity_of(found[r[1]], words64) if r[2] >= least_n else [] for r in rows]
+        table = table.append_column(name, pa.array(known, pa.list_(pa.int64())))
+    assert copies.candidates(table, 0.8).to_pylist() == [{"a": 0, "b": 40}]
+
+
+def test_large_sets_equal_all_pairs(spark):
+    """Sets on both sides of the size from which they have second parities, alike and hardly unlike."""
+    rng = random.Random(17)
+    rows = []
+    for words in (1_700, 1_830, 3_000, 9_500):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        for share in (0, 0.015, 0.021, 0.023, 0.03):
+            copy = list(base)
+            for at in rng.sample(range(words), int(share * words)):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+        rows.append((len(rows), " ".join(base[: int(words * 0.82)])))
+        rows.append((len(rows), " ".join(f"w{rng.randrange(10**6)}" for _ in range(words))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sorted(r.doc_id for r in copies.one_of_each(docs, block=8).collect())
+    assert out == kept(rows) and 4 < len(out) < len(rows)
