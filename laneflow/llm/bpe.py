@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from laneflow.llm import shared
 
 #: Pieces, and runs between spaces, whose ids a Python worker remembers at most (some 200 bytes each).
-#: The memory is emptied when it is full; results don't depend on it.
+#: The memory is emptied when it is full and at the end of a task, so that later stages of the same worker
+#: don't pay for it; results don't depend on it.
 REMEMBERED = 500_000
 #: Letters and numbers of Unicode 16 that this Python's tables (15.1) lack; the library has them.
 NEWER = (
@@ -173,6 +174,10 @@ class Codec:
             self.strings[i] = string
         self.bytes_of = bytes_of
 
+    def forget(self) -> None:
+        """Drop the ids of pieces and runs seen so far."""
+        self.known, self.runs = {}, {}
+
     def normal(self, text: str) -> str:
         for kind, *more in self.steps:
             if kind == "Replace":
@@ -265,16 +270,19 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shipped)
-        for batch in batches:
-            for part in shared.parts(batch):
-                ids = [codec.encode(t) for t in shared.texts(part)]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                flat = pa.array(np.frombuffer(b"".join(ids), np.uint32).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
-                decoded = pa.array([codec.decode(x) for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes), lists, decoded], ["doc_id", "n_tokens", "ids", "decoded"]
-                )
+        try:
+            for batch in batches:
+                for part in shared.parts(batch):
+                    ids = [codec.encode(t) for t in shared.texts(part)]
+                    sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                    flat = pa.array(np.frombuffer(b"".join(ids), np.uint32).astype(np.int32))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+                    decoded = pa.array([codec.decode(x) for x in ids], pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id"), pa.array(sizes), lists, decoded], ["doc_id", "n_tokens", "ids", "decoded"]
+                    )
+        finally:
+            codec.forget()
 
     return shared.id_and_text(docs).mapInArrow(run, SCHEMA)
 
@@ -285,18 +293,21 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shipped)
-        for batch in batches:
-            for part in shared.parts(batch):
-                counts, ids_hex, text_hex = [], [], []
-                for text in shared.texts(part):
-                    ids = codec.encode(text)
-                    counts.append(len(ids) // 4)
-                    text_hex.append(shared.hex_digest(codec.decode(ids).encode()))
-                    ids_hex.append(shared.hex_digest(np.frombuffer(ids, np.uint32).astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(text_hex)],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        try:
+            for batch in batches:
+                for part in shared.parts(batch):
+                    counts, ids_hex, text_hex = [], [], []
+                    for text in shared.texts(part):
+                        ids = codec.encode(text)
+                        counts.append(len(ids) // 4)
+                        text_hex.append(shared.hex_digest(codec.decode(ids).encode()))
+                        ids_hex.append(shared.hex_digest(np.frombuffer(ids, np.uint32).astype("<u4").tobytes()))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(text_hex)],
+                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
+        finally:
+            codec.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return shared.id_and_text(docs).mapInArrow(run, schema)

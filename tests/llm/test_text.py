@@ -246,3 +246,12 @@ def test_pages(spark):
 def test_main_text_of_unbalanced_pages():
     for source in ("<p", "<a href='x>y", "</div></article>", "<script>never ends", "<!-- nor this", "<" * 2000, "<p>" * 3000):
         assert isinstance(templates.main_text(source, None, {}), str)
+
+
+def test_forgetting_changes_no_ids():
+    codec = bpe.Codec(bpe.Vocabulary.read(bpe.public_path()))
+    text = "Some words, some wordsΣ 12\n again"
+    ids = codec.encode(text)
+    assert codec.known and codec.runs
+    codec.forget()
+    assert not codec.known and not codec.runs and codec.encode(text) == ids
