@@ -47,6 +47,8 @@ SPLIT = 8_192
 #: Python worker holds besides its batch stays at some tens of MB.
 AT_ONCE = 1 << 15
 PIECE_BYTES = 1 << 19
+#: Bits that tell texts which are surely not asked for from the others before they are shuffled.
+MARKS = 1 << 22
 NO_ID = -(1 << 63)
 NODE = "node long, n long, fp long, parity array<long>, wide array<long>"
 #: Words of 64 bits of a set's parities, those of a large set's second ones, and what makes it large. Sets of
@@ -143,9 +145,9 @@ def frequent(texts: DataFrame, shingle: int, most: int) -> np.ndarray:
             yield told()
 
     found = texts.mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    # ``most`` rows of one number at most.
-    rows = found.orderBy(F.desc("times"), "token").limit(most).select("token").collect()
-    tokens = np.array([r.token for r in rows], np.int64).view(np.uint64)
+    # ``most`` rows of one number at most, as numbers and not as row objects.
+    rows = found.orderBy(F.desc("times"), "token").limit(most).select("token").toArrow()
+    tokens = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return np.stack([tokens[order], (len(tokens) - order).astype(np.uint64)])
 
@@ -310,14 +312,28 @@ def near_enough(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.filter((apart("parity") <= most) & (small | (apart("wide") <= most))).select("a", "b")
 
 
+def asked_texts(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``node, text`` of the rows of ``keyed`` that ``chosen`` names.
+
+    Only texts of a marked bit meet ``chosen``: a small table of bits, whose size is bounded, goes to the
+    texts, so that those of other rows aren't shuffled. Rows that share a bit with a chosen one pass as well
+    and end at the join.
+    """
+    word, bit = F.shiftright(F.col("_row").bitwiseAND(F.lit(MARKS - 1)), 6), F.col("_row").bitwiseAND(F.lit(63)).cast("int")
+    marked = chosen.select(F.col("row").alias("_row")).groupBy(word.alias("_word"))
+    marked = marked.agg(F.bit_or(F.expr("shiftleft(1L, cast(_row & 63 as int))")).alias("_bits"))
+    texts = keyed.select("_doc", "_row", "text").withColumn("_word", word).join(F.broadcast(marked), "_word")
+    texts = texts.filter(F.getbit("_bits", bit) == 1).select("_doc", "_row", "text")
+    return texts.join(chosen, (F.col("_doc") == F.col("doc_id")) & (F.col("_row") == F.col("row"))).select("node", "text")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs of which the sets share ``least`` of all their shingles, from the texts themselves."""
     pairs = shared.materialize(near_enough(pairs, nodes, least), "copies-near")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
     chosen = nodes.select("node", "least.*").join(asked, F.col("node") == F.col("of"), "left_semi")
     chosen = shared.materialize(chosen, "copies-asked")
-    texts = keyed.select("_doc", "_row", "text")
-    texts = texts.join(chosen, (F.col("_doc") == F.col("doc_id")) & (F.col("_row") == F.col("row"))).select("node", "text")
+    texts = asked_texts(keyed, chosen)
 
     def sets(part: pa.RecordBatch) -> pa.RecordBatch:
         found = [h.view(np.int64) for h in sets_of(part, shingle)]
@@ -329,11 +345,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int,
     known = shared.materialize(known, "copies-sets")
     one = dealt_join(pairs, known.select(F.col("node").alias("a"), F.col("set").alias("left")), "a")
     both = F.size(F.array_intersect("left", "right"))
-    return (
+    found = (
         dealt_join(one, known.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
         .filter(both >= F.lit(least) * (F.size("left") + F.size("right") - both))
         .select("a", "b")
     )
+    found = shared.materialize(found, "copies-links")
+    shared.discard(known)
+    return found
 
 
 def simhash_pairs(nodes: DataFrame, bits: int) -> DataFrame:
@@ -361,12 +380,16 @@ def all_links(keyed: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int
     """``a, b``: links that join all nodes of a Jaccard of ``least`` or more."""
     last = frequent(texts, shingle, FREQUENT)
     first = shared.per_batch(texts, lambda part: postings(part, shingle, least, last), POSTING)
-    rows = shared.materialize(met(shared.materialize(first, "copies-prefixes")), "copies-met")
+    first = shared.materialize(first, "copies-prefixes")
+    rows = shared.materialize(met(first), "copies-met")
+    shared.discard(first)
     seen = simhash_pairs(nodes, BITS).unionByName(stars(rows.withColumn("root", F.col("node")), least, False)).distinct()
     seen = shared.materialize(seen, "copies-pairs")
-    links = shared.materialize(verified(seen, nodes, keyed, shingle, least), "copies-links")
+    links = verified(seen, nodes, keyed, shingle, least)
     while True:
-        rows = shared.materialize(still_open(with_roots(rows, links)), "copies-open").drop("root")
+        opened = shared.materialize(still_open(with_roots(rows, links)).drop("root"), "copies-open")
+        shared.discard(rows)
+        rows = opened
         parted = with_roots(rows, links)
         best = parted.groupBy("token", "root").agg(F.min(F.struct("pos", "node", "n")).alias("x"))
         pairs = stars(best.select("token", "x.*", "root"), least, True).join(seen, ["a", "b"], "left_anti")
@@ -374,7 +397,7 @@ def all_links(keyed: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int
         tried = pairs.count()
         if not tried:
             break
-        more = shared.materialize(verified(pairs, nodes, keyed, shingle, least), "copies-links")
+        more = verified(pairs, nodes, keyed, shingle, least)
         seen, links = seen.unionByName(pairs), links.unionByName(more)
         # Few new links: what is open is hardly alike, and another round would not leave less for the end.
         if more.count() * 10 < tried:

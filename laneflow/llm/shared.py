@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from laneflow.session import materialize, pin
+from laneflow.session import discard, materialize, pin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,4 +75,4 @@ def hex_digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-__all__ = ["F", "hex_digest", "id_and_text", "materialize", "numbered", "parts", "per_batch", "table", "texts"]
+__all__ = ["F", "discard", "hex_digest", "id_and_text", "materialize", "numbered", "parts", "per_batch", "table", "texts"]

@@ -89,14 +89,19 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def release(spark: SparkSession) -> int:
-    """Empty the intermediates written so far; call it when no result that reads them is needed.
+    """Empty the intermediates written so far; call it when no result that reads them is needed."""
+    return discard(*[df for _, df in _written if df.sparkSession is spark])
+
+
+def discard(*tables: DataFrame) -> int:
+    """Empty these intermediates, as ``materialize`` returned them, once what was made of them is written too.
 
     Replaces each by a table without rows, which any store that Spark can write to supports.
     """
-    mine = [(path, df) for path, df in _written if df.sparkSession is spark]
+    mine = [x for x in _written if any(x[1] is df for df in tables)]
     for path, df in mine:
-        spark.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
-    _written[:] = [x for x in _written if x[1].sparkSession is not spark]
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
+        _written[:] = [x for x in _written if x[1] is not df]
     return len(mine)
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from laneflow.llm import copies
+from laneflow.llm import copies, shared
 from tests.llm import brute
 
 
@@ -141,3 +141,32 @@ def test_large_sets_equal_all_pairs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     out = sorted(r.doc_id for r in copies.one_of_each(docs, block=8).collect())
     assert out == kept(rows) and 4 < len(out) < len(rows)
+
+
+def test_only_texts_that_may_be_asked_for_meet_the_chosen(spark):
+    """Texts of other bits are left out by a broadcast table; one row each that is chosen, repeats included."""
+    # The second row has the bit of the first, the last has its word and another bit.
+    rows = [(1, 7, "a"), (1, 7 + copies.MARKS, "b"), (2, -1, "c"), (2, -1, "c"), (3, 9, "d"), (4, 8, "e")]
+    keyed = spark.createDataFrame(rows, "_doc long, _row long, text string")
+    chosen = spark.createDataFrame([(70, 1, 7), (80, 2, -1)], "node long, doc_id long, row long")
+    out = copies.asked_texts(keyed, chosen)
+    assert sorted(map(tuple, out.collect())) == [(70, "a"), (80, "c"), (80, "c")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan and "strategy=broadcast" in plan
+
+
+def test_tables_that_are_read_no_more_are_emptied(spark, monkeypatch):
+    written, write = {}, shared.materialize
+
+    def noted(df, name):
+        written.setdefault(name, []).append(write(df, name))
+        return written[name][-1]
+
+    monkeypatch.setattr(shared, "materialize", noted)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in copies.one_of_each(docs).collect()) == kept(rows)
+    for name, tables in (("copies-prefixes", written["copies-prefixes"]), ("copies-met", written["copies-met"]), ("copies-sets", written["copies-sets"])):
+        for table in tables:
+            folder = table.inputFiles()[0].rsplit("/", 1)[0]
+            assert spark.read.schema(table.schema).parquet(folder).count() == 0, name
