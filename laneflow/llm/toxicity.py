@@ -24,6 +24,8 @@ from laneflow.llm.shared import F
 
 #: Labelled rows to learn from at most: those with the least hashes of their id.
 SAMPLE = 10_000
+#: Sampled rows of one file of the written sample, about: as few files as the tasks that read them need.
+ROWS_OF_A_FILE = 1_250
 #: Mined voters at most, and the documents that a term must have to become one.
 VOTERS = 256
 SUPPORT = 4
@@ -219,7 +221,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: in
 
     Without labelled rows only the lexicon votes and its score is a fixed one.
     """
-    known = shared.materialize(sampled(docs, labels, sample), "toxic-sample")
+    few = sampled(docs, labels, sample).coalesce(max(1, sample // ROWS_OF_A_FILE))
+    known = shared.materialize(few, "toxic-sample")
     bad, good = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     high, low = (F.col("bad") + 0.5) / F.lit(bad + 1.0), (F.col("good") + 0.5) / F.lit(good + 1.0)
     seen, share = F.col("bad") + F.col("good"), bad / max(bad + good, 1)

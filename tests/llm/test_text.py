@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from laneflow.llm import bilstm, bpe, chat, lines, pii, templates, toxicity
+from laneflow.llm import bilstm, bpe, chat, lines, pii, shared, templates, toxicity
 from tests.llm import brute
 
 CONTROLS = st.sampled_from([*chat.CONTROL, "<", "|", ">", "\\", "[INST", "a", "\n", "é", "<|end|>\n", "<|turn|>"])
@@ -255,3 +255,21 @@ def test_forgetting_changes_no_ids():
     assert codec.known and codec.runs
     codec.forget()
     assert not codec.known and not codec.runs and codec.encode(text) == ids
+
+
+def test_the_sample_is_few_files_whatever_the_shuffle_has(spark, monkeypatch):
+    """At most a file for each ``ROWS_OF_A_FILE`` of the sample, on sessions of many partitions too."""
+    written, write = [], shared.materialize
+    monkeypatch.setattr(shared, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    monkeypatch.setattr(toxicity, "ROWS_OF_A_FILE", 30)
+    chosen = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in chosen}
+    try:
+        for key, value in chosen.items():
+            spark.conf.set(key, value)
+        docs = spark.createDataFrame([(i, f"w{i} x{i} y{i} z{i}") for i in range(200)], "doc_id long, text string")
+        toxicity.trained(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"), sample=90)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert 0 < written[0].count() <= 90 and len(written[0].inputFiles()) <= 3
